@@ -52,8 +52,8 @@ def logit(p, eps: float = 0.001) -> Column:
 
 
 def erf(x) -> Column:
-    """Error function by Abramowitz-Stegun 7.1.26 style rational form refined with a
-    Taylor series near zero; absolute error below 1.5e-7."""
+    """Error function by the published rational form 7.1.26 of Abramowitz and Stegun;
+    absolute error below 1.5e-7."""
     x = num(x)
     a = F.abs(x)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * a)

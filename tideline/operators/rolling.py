@@ -3,6 +3,8 @@ Spark sorts each symbol once."""
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -59,36 +61,52 @@ def limited_fill(x, limit: int, w: WindowSpec | None = None) -> Column:
     return F.last(num(x), ignorenulls=True).over(frame)
 
 
-def ewm_mean(df: DataFrame, x: str, alpha: float, out: str, key: str = "symbol", order: str = "session",
-             min_count: int = 1) -> DataFrame:
-    """Exponentially weighted mean, recursive form (first value seeds the state), without Python.
-
-    Rows are numbered per key and cut into blocks. Inside a block the recursion is a scaled prefix
-    sum; the state carried into a block is a short weighted sum over the ends of earlier blocks
-    whose weight is still above 1e-18. No task needs a key's whole history for the heavy part.
-    """
-    import math
-
-    decay = 1.0 - alpha
-    block = max(8, min(256, int(400 / -math.log(decay))))
-    reach = max(1, math.ceil(42.0 / (-math.log(decay) * block)))
+def _ewm_group(df: DataFrame, x: str, specs: dict[str, tuple[float, int]], key: str, order: str) -> DataFrame:
     cols = df.columns
+    rates = {out: -math.log(1.0 - alpha) for out, (alpha, _) in specs.items()}
+    block = max(8, min(256, int(400 / max(rates.values()))))
     w = Window.partitionBy(key).orderBy(order)
-    seen = df.withColumn("_i", F.when(F.col(x).isNotNull(), F.count(x).over(w.rowsBetween(
-        Window.unboundedPreceding, 0)) - 1))
-    live = (seen.filter(F.col("_i").isNotNull())
-            .withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_k", F.col("_i") % block))
-    coef = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    seen = df.withColumn("_i", F.when(F.col(x).isNotNull(), F.count(x).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    live = (seen.withColumn("_b", F.coalesce(F.floor(F.col("_i") / block), F.lit(-1)))
+            .withColumn("_k", F.col("_i") % block))
     inner = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    local = live.withColumn(
-        "_y", F.pow(F.lit(decay), F.col("_k")) * F.sum(coef * F.col(x) * F.pow(F.lit(decay), -F.col("_k"))).over(inner))
-    ends = local.groupBy(key, "_b").agg(F.max_by("_y", "_i").alias("_end"))
+    weight = {out: F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) for out, (alpha, _) in specs.items()}
+    local = live.select("*", *[
+        (F.exp(F.lit(-r) * F.col("_k")) * F.sum(weight[out] * F.col(x) * F.exp(F.lit(r) * F.col("_k"))).over(inner))
+        .alias(f"_y_{out}") for out, r in rates.items()])
+    ends = local.filter("_b >= 0").groupBy(key, "_b").agg(
+        *[F.max_by(f"_y_{out}", "_i").alias(f"_e_{out}") for out in specs])
     we = Window.partitionBy(key).orderBy("_b")
-    carry = sum((F.coalesce(F.lag("_end", m).over(we), F.lit(0.0)) * F.lit(decay ** (block * (m - 1)))
-                 for m in range(1, reach + 1)), F.lit(0.0))
-    ends = ends.select(key, "_b", carry.alias("_carry"))
-    full_y = local.join(ends, [key, "_b"]).withColumn(
-        "_y", F.col("_y") + F.pow(F.lit(decay), F.col("_k") + 1) * F.col("_carry"))
-    done = full_y.withColumn(out, F.when(F.col("_i") >= min_count - 1, F.col("_y")))
-    rest = seen.filter(F.col("_i").isNull()).withColumn(out, F.lit(None).cast("double"))
-    return done.select(*cols, out).unionByName(rest.select(*cols, out))
+    carries = []
+    for out, r in rates.items():
+        reach = max(1, math.ceil(42.0 / (r * block)))
+        carries.append(sum((F.coalesce(F.lag(f"_e_{out}", m).over(we), F.lit(0.0)) * F.lit(math.exp(-r * block * (m - 1)))
+                            for m in range(1, reach + 1)), F.lit(0.0)).alias(f"_c_{out}"))
+    ends = ends.select(key, "_b", *carries)
+    joined = local.join(ends, [key, "_b"], "left")
+    return joined.select(*cols, *[
+        F.when(F.col("_i") >= k - 1, F.col(f"_y_{out}") + F.exp(F.lit(-rates[out]) * (F.col("_k") + 1))
+               * F.col(f"_c_{out}")).alias(out) for out, (_, k) in specs.items()])
+
+
+def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: str = "symbol",
+              order: str = "session") -> DataFrame:
+    """Exponentially weighted means in recursive form (the first value seeds the state), no Python.
+
+    ``specs`` maps an output name to (input column, alpha, minimum count). Rows are numbered per
+    key and cut into blocks. Inside a block the recursion is a scaled prefix sum; the state carried
+    in is a short weighted sum over the ends of earlier blocks whose weight still matters in double
+    precision. The heavy window is partitioned by (key, block), never by the whole history.
+    """
+    by_input: dict[str, dict[str, tuple[float, int]]] = {}
+    for out, (x, alpha, k) in specs.items():
+        by_input.setdefault(x, {})[out] = (alpha, k)
+    for x, group in by_input.items():
+        df = _ewm_group(df, x, group, key, order)
+    return df
+
+
+def span(n: float) -> float:
+    """Smoothing factor of a span."""
+    return 2.0 / (n + 1.0)

@@ -92,7 +92,7 @@ SELECT symbol, session, ret1, target_return, target_direction, prob_up, vix, vol
 FROM signals, (VALUES ('buy_hold'), ('momentum'), ('reversal'), ('trend')) AS names(strategy)"""
 
 V["net_returns"] = """
-SELECT *, held * ret1 - turn * 0.001::DOUBLE AS net FROM (
+SELECT *, held * ret1 - turn * 0.0015::DOUBLE AS net FROM (
  SELECT *, abs(held - coalesce(lag(held) OVER w, 0.0)) AS turn FROM (
   SELECT *, coalesce(lag(target) OVER w, 0.0) AS held FROM strategies
   WINDOW w AS (PARTITION BY strategy, symbol ORDER BY session))
@@ -178,3 +178,17 @@ def with_views(sql: str) -> str:
             place(n)
     ctes = ",\n".join(f"{n} AS ({V[n].strip()})" for n in ordered)
     return f"WITH {ctes}\n{sql}"
+
+
+def ewm(src: str, specs: dict[str, tuple[str, float, int]], key: str = "symbol", order: str = "session") -> str:
+    """Closed form of the recursive exponentially weighted mean, appended to ``src``."""
+    w = f"(PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    xs = sorted({x for x, _, _ in specs.values()})
+    counts = ", ".join(f"count({x}) OVER {w} - 1 AS i_{x}" for x in xs)
+    outs = []
+    for out, (x, a, k) in specs.items():
+        r = f"(-ln(1.0::DOUBLE - {a!r}::DOUBLE))"
+        outs.append(
+            f"CASE WHEN i_{x} >= {k - 1} THEN exp(-{r} * i_{x}) * sum(CASE WHEN i_{x} = 0 THEN 1.0::DOUBLE "
+            f"ELSE {a!r}::DOUBLE END * {x} * exp({r} * i_{x})) OVER {w} END AS {out}")
+    return f"SELECT * EXCLUDE ({', '.join('i_' + x for x in xs)}), {', '.join(outs)} FROM (SELECT *, {counts} FROM {src})"

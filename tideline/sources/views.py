@@ -13,7 +13,7 @@ from tideline.functions.numeric import clip, logistic, sdiv
 from tideline.operators.rolling import by_symbol, full, pct_change, trailing
 from tideline.sources.tables import read_table
 
-COST_PER_SIDE = 0.001  # fixed value: commission plus slippage, one side
+COST_PER_SIDE = 0.0015  # fixed value: commission 0.001 plus slippage 0.0005, one side
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
