@@ -20,9 +20,14 @@ class Query:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
     contract: list[tuple[str, str]]
-    sql: str | None
+    body: str | None
     rows: tuple[str, ...]
 
+    @property
+    def sql(self) -> str | None:
+        """SQL twin with the shared views it needs in front."""
+        return None if self.body is None else sqlviews.with_views(self.body)
+
 
 CATALOG: dict[str, Query] = {}
 
@@ -75,12 +80,10 @@ def query(name: str, contract: str, sql: str | None = None, rows: str = ""):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return _project(fn(spark, sf_dir), cols)
 
-        full = None
-        if sql is not None:
-            full = sqlviews.with_views(_project_sql(sql, cols))
+        body = None if sql is None else _project_sql(sql, cols)
         if name in CATALOG:
             raise ValueError(f"duplicate query {name}")
-        CATALOG[name] = Query(name, build, cols, full, tuple(rows.split()))
+        CATALOG[name] = Query(name, build, cols, body, tuple(rows.split()))
         return fn
 
     return wrap
