@@ -51,15 +51,20 @@ def logit(p, eps: float = 0.001) -> Column:
     return F.log(q / (F.lit(1.0) - q))
 
 
+def bind(x, body) -> Column:
+    """Evaluate x once and use it many times in ``body``; keeps expression trees small."""
+    return F.element_at(F.transform(F.array(num(x)), body), 1)
+
+
 def erf(x) -> Column:
     """Error function by the published rational form 7.1.26 of Abramowitz and Stegun;
     absolute error below 1.5e-7."""
-    x = num(x)
-    a = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * a)
-    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (
-        F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
-    return F.signum(x) * (F.lit(1.0) - poly * F.exp(-a * a))
+    def poly(t):
+        return t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (
+            F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
+
+    return bind(x, lambda v: F.signum(v) * (F.lit(1.0) - F.exp(-v * v) * bind(
+        F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * F.abs(v)), poly)))
 
 
 def normal_cdf(x) -> Column:
@@ -106,15 +111,13 @@ def normal_quantile(p) -> Column:
 
 
 def student_t_tail(t, df) -> Column:
-    """P(T > |t|) by the normalising transform of Hill's type: z = (1 - 1/4v)·sqrt(v·ln(1+t²/v))…,
-    accurate to about 1e-3 for few degrees of freedom and converging to the normal tail."""
+    """P(T > |t|) by a normalising transform, z = sqrt(a ln(1 + t^2/v)) with a = v - 1/2 and a
+    first correction term; good to about 1e-3 for few degrees of freedom."""
     t, v = num(t), num(df).cast("double")
     a = v - F.lit(0.5)
     b = F.lit(48.0) * a * a
-    z2 = a * F.log(F.lit(1.0) + t * t / v)
-    z = F.sqrt(z2)
-    u = z + (z2 * z + F.lit(3.0) * z) / b
-    return F.lit(1.0) - normal_cdf(u)
+    z = F.sqrt(a * F.log(F.lit(1.0) + t * t / v))
+    return bind(z, lambda q: F.lit(1.0) - normal_cdf(q + (q * q * q + F.lit(3.0) * q) / b))
 
 
 def moment_skew(n, s1, s2, s3) -> Column:

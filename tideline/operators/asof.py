@@ -47,11 +47,18 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return joined.select("_l.*", *[hit.getField(v).alias(v) for v in values])
 
 
-def forward_map(bars: DataFrame, key: str = "symbol", day: str = "session", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, date) -> first session at or after the date, dense over the calendar, by generator."""
+def _day(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value).cast("date")
+
+
+def forward_map(bars: DataFrame, key: str = "symbol", day: str = "session", carry: tuple[str, ...] = (),
+                first_day=None) -> DataFrame:
+    """(key, date) -> first session at or after the date, dense over the calendar, by generator.
+    The first session also answers the dates from ``first_day`` on (a date or a scalar subquery)."""
     prev = F.lag(day).over(Window.partitionBy(key).orderBy(day))
     spans = bars.select(key, F.col(day).alias("anchor"), *carry, prev.alias("_prev"))
-    start = F.coalesce(F.date_add("_prev", 1), F.col("anchor"))
+    reach = F.col("anchor") if first_day is None else F.least(F.col("anchor"), _day(first_day))
+    start = F.coalesce(F.date_add("_prev", 1), reach)
     return spans.select(key, "anchor", *carry, F.explode(F.sequence(start, F.col("anchor"))).alias("date"))
 
 
@@ -60,7 +67,7 @@ def backward_map(bars: DataFrame, last_day, key: str = "symbol", day: str = "ses
     """(key, date) -> latest session at or before the date; the last session reaches to ``last_day``."""
     nxt = F.lead(day).over(Window.partitionBy(key).orderBy(day))
     spans = bars.select(key, F.col(day).alias("anchor"), *carry, nxt.alias("_next"))
-    end = F.greatest(F.coalesce(F.date_sub("_next", 1), F.lit(last_day).cast("date")), F.col("anchor"))
+    end = F.greatest(F.coalesce(F.date_sub("_next", 1), _day(last_day)), F.col("anchor"))
     return spans.select(key, "anchor", *carry, F.explode(F.sequence(F.col("anchor"), end)).alias("date"))
 
 

@@ -1,6 +1,6 @@
 """Importing this package registers every query of the catalog."""
 
 from tideline.plans.catalog import CATALOG
-from tideline.plans import joins, windows  # noqa: F401
+from tideline.plans import events, joins, windows  # noqa: F401
 
 __all__ = ["CATALOG"]

@@ -58,16 +58,16 @@ def _project_sql(body: str, contract: list[tuple[str, str]]) -> str:
     out = []
     for name, kind in contract:
         if kind == "s":
-            e = f"CAST({name} AS VARCHAR)"
+            e = f'CAST("{name}" AS VARCHAR)'
         elif kind == "d":
-            e = f"CAST(CAST({name} AS DATE) AS VARCHAR)"
+            e = f'CAST(CAST("{name}" AS DATE) AS VARCHAR)'
         elif kind == "t":
-            e = f"strftime({name}, '%Y-%m-%d %H:%M:%S')"
+            e = f"""strftime("{name}", '%Y-%m-%d %H:%M:%S')"""
         elif kind == "i":
-            e = f"CAST({name} AS BIGINT)"
+            e = f'CAST("{name}" AS BIGINT)'
         else:
-            e = f"round(CAST({name} AS DOUBLE), {kind}) + 0.0"
-        out.append(f"{e} AS {name}")
+            e = f'round(CAST("{name}" AS DOUBLE), {kind}) + 0.0'
+        out.append(f'{e} AS "{name}"')
     return f"SELECT {', '.join(out)} FROM (\n{body}\n) AS result"
 
 
