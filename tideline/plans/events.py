@@ -85,8 +85,8 @@ def _(spark, d):
 
 @query("j13_event_windows", "sample_id:i category:s window:s anchor:d raw:8",
        """SELECT s.sample_id, s.category, w.win AS "window", a.session AS anchor, sum(x.r) AS raw FROM samples s
-          ASOF JOIN (SELECT session, idx / lag(idx) OVER (ORDER BY session) - 1 AS r, pos FROM market QUALIFY r IS NOT NULL) a ON s.event_date <= a.session
-          JOIN event_windows w ON true JOIN (SELECT pos, idx / lag(idx) OVER (ORDER BY session) - 1 AS r FROM market QUALIFY r IS NOT NULL) x ON x.pos BETWEEN a.pos + w.lo AND a.pos + w.hi
+          ASOF JOIN (SELECT * FROM (SELECT session, idx / lag(idx) OVER (ORDER BY session) - 1 AS r, pos FROM market) WHERE r IS NOT NULL) a ON s.event_date <= a.session
+          JOIN event_windows w ON true JOIN (SELECT * FROM (SELECT pos, idx / lag(idx) OVER (ORDER BY session) - 1 AS r FROM market) WHERE r IS NOT NULL) x ON x.pos BETWEEN a.pos + w.lo AND a.pos + w.hi
           GROUP BY s.sample_id, s.category, w.win, a.session, w.lo, w.hi HAVING count(*) = w.hi - w.lo + 1""", "J13 J04")
 def _(spark, d):
     m = views.market(spark, d).withColumn("symbol", F.lit("index"))
