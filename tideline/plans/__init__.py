@@ -1,6 +1,6 @@
 """Importing this package registers every query of the catalog."""
 
 from tideline.plans.catalog import CATALOG
-from tideline.plans import evaluation, events, joins, signals, windows  # noqa: F401
+from tideline.plans import evaluation, events, joins, records, signals, windows  # noqa: F401
 
 __all__ = ["CATALOG"]
