@@ -8,6 +8,7 @@ from tideline.functions import text as tx
 from tideline.functions.numeric import clip, flag, logistic, moment_skew, sdiv, truth
 from tideline.operators import evaluate as evl
 from tideline.operators.asof import asof_join
+from tideline.operators.ranking import rank_all
 from tideline.operators.rolling import by_symbol, gated, pct_change, rank_in_window, trailing
 from tideline.plans.catalog import query
 from tideline.plans.sqlviews import add_view, full as sfull
@@ -402,19 +403,6 @@ def _(spark, d):
     return rank_all(g, [F.desc("holders"), F.desc(F.round("total_value", 2)), F.col("cusip")], "place")
 
 
-def rank_all(df, order, out: str):
-    """Global rank of many rows without one big window: range partitions are numbered locally and
-    shifted by the row counts of the partitions before them."""
-    from tideline.session import cut_lineage
-
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ordered = cut_lineage(ordered)
-    local = ordered.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before.select("_p", "_before"), "_p").withColumn(out, F.col("_k") + F.col("_before"))
-
-
 @query("a38_holder_pairs", "cusip:i manager:i value_usd:2", "SELECT cusip, manager, sum(value_usd) AS value_usd FROM holdings WHERE amount_type = 'SH' AND put_call IS NULL AND cusip IS NOT NULL GROUP BY 1, 2", "A38")
 def _(spark, d):
     return share_rows(spark, d).groupBy("cusip", "manager").agg(F.sum("value_usd").alias("value_usd"))
