@@ -110,10 +110,10 @@ def word_count(c) -> Column:
     return F.size(F.regexp_extract_all(num(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
-def importance(lowered, kind, rel, quality) -> Column:
+def importance(kind, rel, quality, sentiment, words) -> Column:
     boost = F.when(num(kind).isin("earnings", "guidance", "export_control", "customer_capex"), 0.20).otherwise(0.10)
-    long_text = F.least(word_count(lowered) / 500.0, F.lit(0.20))
-    return clip(F.lit(0.25) + 0.30 * num(rel) + 0.20 * num(quality) + 0.20 * F.abs(keyword_sentiment(lowered)) + boost + long_text, 0.0, 1.0)
+    long_text = F.least(num(words) / 500.0, F.lit(0.20))
+    return clip(F.lit(0.25) + 0.30 * num(rel) + 0.20 * num(quality) + 0.20 * F.abs(num(sentiment)) + boost + long_text, 0.0, 1.0)
 
 
 def string_set(c) -> Column:

@@ -26,27 +26,42 @@ def aligned_returns(f: DataFrame) -> DataFrame:
                                                F.col("idx_ret1").alias("m"), (F.col("rn") - 2).alias("p"))
 
 
+def _prefix(ret: DataFrame) -> DataFrame:
+    """Running sums along each symbol. Any later window sum is a difference of two of them, so the
+    cost of a window does not depend on its width."""
+    up = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    r, m = F.col("r"), F.col("m")
+    terms = {"R": r, "M": m, "RR": r * r, "MM": m * m, "RM": r * m}
+    return ret.select("*", *[F.sum(v).over(up).alias(f"_{k}") for k, v in terms.items()])
+
+
+def _upto(name: str, offset: int):
+    """Prefix value ``offset`` rows away, 0 before the first row."""
+    w = by_symbol()
+    c = F.lag(f"_{name}", -offset).over(w) if offset < 0 else F.lead(f"_{name}", offset).over(w) if offset else F.col(f"_{name}")
+    return F.coalesce(c, F.lit(0.0)) if offset < 0 else c
+
+
 def market_model(ret: DataFrame) -> DataFrame:
     """Alpha, beta and residual deviation known before each row: rows p-250 to p-21, all earlier
     rows when that span is too short, and the plain 60-row mean below 30 rows."""
-    w = by_symbol()
-    spans = {"est": w.rowsBetween(-250, -21), "all": w.rowsBetween(Window.unboundedPreceding, -1)}
-    cols = []
-    for k, fr in spans.items():
-        cols += [F.count("r").over(fr).alias(f"n_{k}"), F.avg("r").over(fr).alias(f"y_{k}"), F.avg("m").over(fr).alias(f"x_{k}"),
-                 F.var_samp("r").over(fr).alias(f"vy_{k}"), F.var_samp("m").over(fr).alias(f"vx_{k}"),
-                 F.covar_samp("m", "r").over(fr).alias(f"c_{k}")]
-    s = ret.select("*", *cols, F.avg("r").over(w.rowsBetween(-60, -1)).alias("mean60"))
-
-    def pick(name):
-        return F.when(F.col("p") > 50, F.col(f"{name}_est")).otherwise(F.col(f"{name}_all"))
-
-    s = s.select(*ret.columns, "mean60", *[pick(c).alias(c) for c in ("n", "y", "x", "vy", "vx", "c")])
+    wide = F.col("p") > 50
+    s = _prefix(ret)
+    p = F.col("p")
+    n = F.when(wide, F.least(p, F.lit(250)) - 20).otherwise(p).cast("double")
+    sums = {k: F.when(wide, _upto(k, -21) - _upto(k, -251)).otherwise(_upto(k, -1)) for k in ("R", "M", "RR", "MM", "RM")}
+    back60 = sdiv(_upto("R", -1) - _upto("R", -61), F.least(p, F.lit(60)))
+    s = s.select(*ret.columns, "_R", "_M", "_RR", n.alias("n"), back60.alias("mean60"), *[v.alias(f"s{k}") for k, v in sums.items()])
+    dof = F.nullif(F.col("n") - 1, F.lit(0.0))
+    s = s.withColumn("y", sdiv("sR", "n")).withColumn("x", sdiv("sM", "n"))
+    s = s.select("*", ((F.col("sRR") - F.col("n") * F.col("y") * F.col("y")) / dof).alias("vy"),
+                 ((F.col("sMM") - F.col("n") * F.col("x") * F.col("x")) / dof).alias("vx"),
+                 ((F.col("sRM") - F.col("n") * F.col("x") * F.col("y")) / dof).alias("c"))
     enough = F.col("n") >= 30
-    beta = F.when(enough, F.coalesce(sdiv("c", "vx"), F.lit(0.0))).otherwise(0.0)
-    s = s.withColumn("beta", beta)
+    flat = F.col("vx") <= 1e-18
+    s = s.withColumn("beta", F.when(enough & ~flat, F.col("c") / F.col("vx")).otherwise(0.0))
     return s.select(
-        *ret.columns, "beta",
+        *ret.columns, "_R", "_M", "_RR", "beta",
         F.when(enough, F.col("y") - F.col("beta") * F.col("x")).otherwise(F.coalesce("mean60", F.lit(0.0))).alias("alpha"),
         F.when(enough, F.sqrt(F.greatest(F.col("vy") - F.col("beta") * F.col("beta") * F.col("vx"), F.lit(0.0)))).alias("sigma"),
         enough.cast("int").alias("fitted"))
@@ -54,16 +69,16 @@ def market_model(ret: DataFrame) -> DataFrame:
 
 def bar_windows(fit: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
     """One row per (symbol, anchor session, window) that fits inside the series."""
-    w = by_symbol()
     rows = []
     for name, (a, b) in windows.items():
-        fr = w.rowsBetween(a, b)
-        rows.append(F.struct(
-            F.lit(name).alias("window"), F.count("r").over(fr).alias("n"), F.lit(b - a + 1).alias("width"),
-            F.sum("r").over(fr).alias("raw"), F.sum("m").over(fr).alias("bench"),
-            F.stddev_samp("r").over(fr).alias("spread")).alias(name))
-    wide = fit.select("*", *rows)
-    long = wide.select(*fit.columns, F.inline(F.array(*[F.col(n) for n in windows]))).filter("n = width")
+        width = b - a + 1
+        whole = (F.col("p") + a >= 0) & F.lead("r", b).over(by_symbol()).isNotNull() if b > 0 else F.col("p") + a >= 0
+        raw, bench, sq = (_upto(k, b) - _upto(k, a - 1) for k in ("R", "M", "RR"))
+        spread = F.sqrt(F.greatest(sq - raw * raw / width, F.lit(0.0)) / F.nullif(F.lit(width - 1.0), F.lit(0.0)))
+        rows.append(F.when(whole, F.struct(F.lit(name).alias("window"), F.lit(width).alias("n"), raw.alias("raw"),
+                                           bench.alias("bench"), spread.alias("spread"))).alias(name))
+    keep = [c for c in fit.columns if not c.startswith("_")]
+    long = fit.select(*keep, *rows).select(*keep, F.inline(F.array_compact(F.array(*[F.col(n) for n in windows]))))
     expected = F.col("alpha") * F.col("n") + F.col("beta") * F.col("bench")
     long = long.withColumn("expected", expected).withColumn("car", F.col("raw") - F.col("expected"))
     usable = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("spread"))

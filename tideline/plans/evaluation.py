@@ -12,6 +12,7 @@ from tideline.plans.catalog import query
 from tideline.plans.events import t_tail_sql
 from tideline.plans.sqlviews import add_view, gated as sgated
 from tideline.sources import views
+from tideline.sources.stages import stage
 
 
 def perf_sql(src: str, keys: str) -> str:
@@ -311,6 +312,10 @@ def candidate_rows(spark, d):
 
 
 def candidates(spark, d):
+    return stage(spark, d, "candidates", views.BAR_TABLES, build_candidates)
+
+
+def build_candidates(spark, d):
     rows = candidate_rows(spark, d)
     c = rt.full_performance(rows, KEYS).join(evl.directional(rows, KEYS), KEYS)
     return c.withColumn("profit_factor", F.least(F.coalesce("profit_factor", F.lit(0.0)), F.lit(99.0)))

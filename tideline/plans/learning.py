@@ -11,12 +11,14 @@ from tideline.operators.rolling import pct_change
 from tideline.plans import signals as sg
 from tideline.plans.catalog import query
 from tideline.plans.records import news
+from tideline.session import cut_lineage
 from tideline.sources import views
 
 
 def research(spark, d):
     f = feat.research_block(views.features(spark, d)).filter("rn > 60")
-    return md.model_frame(f.drop("rn"))
+    # Every fit and score below reads this frame: compute it once, in reliable storage.
+    return md.model_frame(cut_lineage(f.drop("rn")))
 
 
 @query("m01_fold_rates", "symbol:s fold:i n:i base_rate:6 active_rate:6 inactive_rate:6",
@@ -105,13 +107,13 @@ def labelled_news(spark, d):
                                       (F.lead("idx", 5).over(w) / F.col("idx") - 1).alias("fwd5"))
     n = news(spark, d).select("doc_id", "body", "available_at", "sentiment", "quality", "rel", "importance", F.col("words").cast("double").alias("words"))
     j = asof_join(n, m, "available_at", "market_close", ["market_close", "fwd5"], forward=True).filter("fwd5 IS NOT NULL")
-    return j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at"))
+    return cut_lineage(j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at")))
 
 
 def _compare(spark, d, kinds):
     n = labelled_news(spark, d)
     cut = n.agg(F.percentile_approx("t", 0.7)).first()[0]
-    n = md.class_index().fit(n).transform(n).persist()
+    n = md.class_index().fit(n).transform(n)
     out = None
     for name, (kind, text) in kinds.items():
         model = md.text_pipeline(kind, text).fit(n.filter(F.col("t") < cut))

@@ -13,6 +13,7 @@ from tideline.operators.rolling import by_symbol, gated, pct_change, rank_in_win
 from tideline.plans.catalog import query
 from tideline.plans.sqlviews import add_view, full as sfull
 from tideline.sources import views
+from tideline.sources.stages import stage
 from tideline.sources.tables import read_table
 
 # Names given to the anonymous feeds, by feed number.
@@ -50,6 +51,10 @@ def story(spark, d):
 
 
 def news(spark, d):
+    return stage(spark, d, "news", ("documents",), build_news)
+
+
+def build_news(spark, d):
     """Scored article table: whole text once per expression, no text leaves this projection twice."""
     s = story(spark, d)
     weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in tx.SOURCE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("publisher")), F.lit(1.0))
@@ -57,7 +62,7 @@ def news(spark, d):
     s = s.select("*", tx.lexicon_score("lowered", weight).alias("sentiment"), *topics, tx.event_type("lowered").alias("event_type"), tx.keyword_sentiment("lowered").alias("kw"),
                  tx.source_quality("publisher").alias("quality"), tx.relevance("lowered", F.col("lang") == "en").alias("rel"), tx.word_count("lowered").alias("words"),
                  tx.story_hash("day", "title").alias("story_id"))
-    return s.withColumn("importance", tx.importance("lowered", "event_type", "rel", "quality"))
+    return s.withColumn("importance", tx.importance("event_type", "rel", "quality", "kw", "words"))
 
 
 @query("f01_text_clean", "page_id:i n:i digest:s head:s",

@@ -10,6 +10,7 @@ from tideline.operators.rolling import by_symbol, pct_change, prior_quantile, tr
 from tideline.plans.catalog import query
 from tideline.plans.sqlviews import add_view, prior_q
 from tideline.sources import views
+from tideline.sources.stages import stage
 
 TRAIN, TEST = 252, 63
 
@@ -103,7 +104,8 @@ def activity(spark, d):
 
 
 def rule_signals(spark, d):
-    return rl.rule_signals(activity(spark, d))
+    """Walk-forward signals of every rule, a stage table: the selection queries all start here."""
+    return stage(spark, d, "rule_signals", views.BAR_TABLES, lambda s, f: rl.rule_signals(activity(s, f)))
 
 
 @query("p11_rule_mask", "symbol:s label:s role:s fold:i active:i",
@@ -157,6 +159,10 @@ FROM signals s JOIN states h ON h.symbol = s.symbol AND h.session = s.session JO
 
 
 def state_signals(spark, d):
+    return stage(spark, d, "state_signals", views.BAR_TABLES, build_state_signals)
+
+
+def build_state_signals(spark, d):
     f = views.features(spark, d)
     st = feat.market_state(f).select("symbol", "session", "hv", "lv", "tu", "td", "vq70")
     peers = feat.peer_cross_section(f).select("session", "breadth5", "mean5", "above20")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: int = 8,
-                  memory: str = "8g") -> SparkSession:
+                  memory: str = "8g", split_bytes: str = "4m") -> SparkSession:
     """A local session for tests and bench; on a cluster pass the session you already have."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,6 +18,8 @@ def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", split_bytes)
+        .config("spark.sql.files.openCostInBytes", "0")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideline.functions.numeric import clip, logistic, sdiv
 from tideline.operators.rolling import by_symbol, full, pct_change, trailing
+from tideline.sources.stages import stage
 from tideline.sources.tables import read_table
 
+BAR_TABLES = ("lineitem", "supplier", "nation", "region")
+
 COST_PER_SIDE = 0.0015  # fixed value: commission 0.001 plus slippage 0.0005, one side
 
 
@@ -33,6 +36,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars, a stage table: nearly every query starts from it."""
+    return stage(spark, d, "bars", BAR_TABLES, build_bars)
+
+
+def build_bars(spark: SparkSession, d: str) -> DataFrame:
     seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return lines(spark, d).groupBy("symbol", "sector", "session").agg(
         F.min_by("price", seq).alias("open"), F.max("price").alias("high"),
@@ -41,6 +49,10 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def market(spark: SparkSession, d: str) -> DataFrame:
+    return stage(spark, d, "market", ("lineitem",), build_market)
+
+
+def build_market(spark: SparkSession, d: str) -> DataFrame:
     """One row per session: broad index, volatility gauge, rate. ``pos`` numbers the sessions;
     the table is one row per calendar day at most, so the single ordered window is bounded."""
     li = read_table(spark, d, "lineitem")
@@ -53,8 +65,7 @@ def market(spark: SparkSession, d: str) -> DataFrame:
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """Exchange calendar: open 14:30 and close 21:00 UTC."""
-    days = (read_table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("session")).distinct()
-            .withColumn("pos", F.row_number().over(Window.orderBy("session"))))
+    days = market(spark, d).select("session", "pos")
     midnight = F.col("session").cast("timestamp_ntz")
     return days.select("session", "pos",
                        (midnight + F.expr("INTERVAL '14:30' HOUR TO MINUTE")).alias("market_open"),
@@ -67,6 +78,10 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
+    return stage(spark, d, "features", BAR_TABLES, build_features)
+
+
+def build_features(spark: SparkSession, d: str) -> DataFrame:
     """Daily feature frame: one shuffle by symbol, every rolling column on the same sort."""
     w = by_symbol()
     base = panel(spark, d).withColumn("rn", F.row_number().over(w))
@@ -137,7 +152,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """News records; the whole text is the body and the first line the title."""
-    return read_table(spark, d, "documents").select(
+    return spread(read_table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("body"),
         "source", "lang",
         F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id * 7919 % 2000000 AS INT), 0)")
@@ -146,6 +161,12 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
                "CAST(doc_id * 7919 % 2000000 + doc_id % 180 AS INT), 0)").alias("available_at"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Text work is heavy per row: when the input has fewer files than cores, spread it by key."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select(
         F.col("event_id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -170,6 +191,10 @@ def holdings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def option_bars(spark: SparkSession, d: str) -> DataFrame:
+    return stage(spark, d, "option_bars", BAR_TABLES, build_option_bars)
+
+
+def build_option_bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily option bars: strikes around the close, two monthly expiries, calls and puts."""
     ln = lines(spark, d).select(
         "symbol", "session", "qty", "disc",
