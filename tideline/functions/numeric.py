@@ -16,6 +16,23 @@ def sdiv(a, b) -> Column:
     return num(a).cast("double") / F.nullif(num(b).cast("double"), F.lit(0.0))
 
 
+def packed_order(*parts: tuple) -> Column:
+    """One decimal that sorts like the tuple of non-negative integers ``(column, digits), ...``.
+
+    An ordering key of a fixed-width type lets arg-min and arg-max run in a hash aggregate; a
+    struct key would sort the whole input. Too many digits raise an error, they never wrap.
+    """
+    width = 0
+    acc = None
+    for c, digits in parts:
+        v = num(c).cast(f"decimal({digits},0)")
+        width += digits
+        acc = v if acc is None else (acc * F.lit(str(10 ** digits)).cast(f"decimal({digits + 1},0)") + v).cast(f"decimal({width},0)")
+    if width > 38:
+        raise ValueError("ordering key is limited to 38 digits")
+    return acc
+
+
 def clip(x, lo=None, hi=None) -> Column:
     """Bound x, keeping NULL as NULL."""
     out = num(x)

@@ -67,8 +67,8 @@ def market_model(ret: DataFrame) -> DataFrame:
         enough.cast("int").alias("fitted"))
 
 
-def bar_windows(fit: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
-    """One row per (symbol, anchor session, window) that fits inside the series."""
+def window_arrays(fit: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+    """One row per anchor session with the array of event windows that fit inside the series."""
     rows = []
     for name, (a, b) in windows.items():
         width = b - a + 1
@@ -78,13 +78,22 @@ def bar_windows(fit: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS) -
         rows.append(F.when(whole, F.struct(F.lit(name).alias("window"), F.lit(width).alias("n"), raw.alias("raw"),
                                            bench.alias("bench"), spread.alias("spread"))).alias(name))
     keep = [c for c in fit.columns if not c.startswith("_")]
-    long = fit.select(*keep, *rows).select(*keep, F.inline(F.array_compact(F.array(*[F.col(n) for n in windows]))))
+    return fit.select(*keep, *rows).select(*keep, F.array_compact(F.array(*[F.col(n) for n in windows])).alias("v"))
+
+
+def unfold(arrays: DataFrame) -> DataFrame:
+    """One row per window, with the expected and the abnormal part of its return."""
+    long = arrays.select(*[c for c in arrays.columns if c != "v"], F.inline("v"))
     expected = F.col("alpha") * F.col("n") + F.col("beta") * F.col("bench")
     long = long.withColumn("expected", expected).withColumn("car", F.col("raw") - F.col("expected"))
     usable = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("spread"))
     return long.withColumn("scar", sdiv("car", usable * F.sqrt("n")))
 
 
+def bar_windows(fit: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+    return unfold(window_arrays(fit, windows))
+
+
 def event_cells(samples: DataFrame, bars: DataFrame, by: list[str]) -> DataFrame:
     """(symbol, anchor session, *by) with the number of samples k anchored there."""
     days = samples.groupBy("event_date", *by).agg(F.count("*").alias("k"))

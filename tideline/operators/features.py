@@ -110,16 +110,27 @@ def research_block(f: DataFrame) -> DataFrame:
 
 
 def technical_block(f: DataFrame) -> DataFrame:
-    """Thirty-odd technical columns; EWM columns come from the blocked recursion."""
-    t = atr(macd(rsi(f)))
-    t = ewm_means(t, {f"_e{n}": ("close", span(n), n) for n in (10, 20, 50)})
+    """Thirty-odd technical columns; all means of the close come from one blocked recursion."""
     w = by_symbol()
+    prev = F.lag("close").over(w)
+    chg = F.col("close") - prev
+    t = f.withColumn("_chg", chg).withColumn(
+        "tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)))
+    t = t.select("*", F.when(F.col("_chg").isNotNull(), F.greatest(F.col("_chg"), F.lit(0.0))).alias("_up"),
+                 F.when(F.col("_chg").isNotNull(), F.greatest(-F.col("_chg"), F.lit(0.0))).alias("_down"))
+    t = ewm_means(t, {**{f"_e{n}": ("close", span(n), n) for n in (10, 12, 20, 26, 50)},
+                      "_g": ("_up", 1 / 14, 14), "_l": ("_down", 1 / 14, 14)})
+    t = ewm_means(t.withColumn("_line", F.col("_e12") - F.col("_e26")), {"_sig": ("_line", span(9), 9)})
+    t = t.withColumn("rsi_14", F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + sdiv("_g", "_l")))
     top = F.col("close") == full(F.max, "close", 20)
     return t.select(
-        "*", *[sdiv("close", f"_e{n}").alias(f"ema_{n}_ratio") for n in (10, 20, 50)],
+        "*", sdiv(full(F.avg, "tr", 14), "close").alias("atr_ratio"),
+        *[sdiv("close", f"_e{n}").alias(f"ema_{n}_ratio") for n in (10, 20, 50)],
         sdiv(F.col("_e10") - F.col("_e20"), "close").alias("ema_10_20_spread"),
-        sdiv(F.col("_e20") - F.col("_e50"), "close").alias("ema_20_50_spread"), F.col("rsi_wilder").alias("rsi_14"),
-        flag(top & (F.col("rsi_wilder") < F.lag("rsi_wilder", 5).over(w))).alias("rsi_divergence"))
+        sdiv(F.col("_e20") - F.col("_e50"), "close").alias("ema_20_50_spread"),
+        sdiv("_line", "close").alias("macd_line"), sdiv("_sig", "close").alias("macd_signal"),
+        sdiv(F.col("_line") - F.col("_sig"), "close").alias("macd_hist"),
+        flag(top & (F.col("rsi_14") < F.lag("rsi_14", 5).over(w))).alias("rsi_divergence"))
 
 
 def market_state(f: DataFrame) -> DataFrame:

@@ -73,30 +73,26 @@ def limited_fill(x, limit: int, w: WindowSpec | None = None) -> Column:
 def _ewm_group(df: DataFrame, x: str, specs: dict[str, tuple[float, int]], key: str, order: str) -> DataFrame:
     cols = df.columns
     rates = {out: -math.log(1.0 - alpha) for out, (alpha, _) in specs.items()}
-    block = max(8, min(256, int(400 / max(rates.values()))))
+    # One block ahead the weight is below e^-42, so the state of the previous block is all that counts;
+    # the scaled weights inside a block stay far from overflow.
+    block = math.ceil(42.0 / min(rates.values()))
+    if max(rates.values()) * block > 650:
+        raise ValueError("smoothing factors too far apart for one pass; split the call")
     w = Window.partitionBy(key).orderBy(order)
-    seen = df.withColumn("_i", F.when(F.col(x).isNotNull(), F.count(x).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    live = (seen.withColumn("_b", F.coalesce(F.floor(F.col("_i") / block), F.lit(-1)))
-            .withColumn("_k", F.col("_i") % block))
-    inner = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    weight = {out: F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) for out, (alpha, _) in specs.items()}
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    seen = df.withColumn("_i", F.when(F.col(x).isNotNull(), F.count(x).over(up) - 1))
+    live = seen.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_k", F.col("_i") % block)
+    inner = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = live.select("*", *[
-        (F.exp(F.lit(-r) * F.col("_k")) * F.sum(weight[out] * F.col(x) * F.exp(F.lit(r) * F.col("_k"))).over(inner))
+        (F.exp(F.lit(-r) * F.col("_k")) * F.sum(
+            F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(specs[out][0])) * F.col(x) * F.exp(F.lit(r) * F.col("_k"))).over(inner))
         .alias(f"_y_{out}") for out, r in rates.items()])
-    ends = local.filter("_b >= 0").groupBy(key, "_b").agg(
-        *[F.max_by(f"_y_{out}", "_i").alias(f"_e_{out}") for out in specs])
-    we = Window.partitionBy(key).orderBy("_b")
-    carries = []
-    for out, r in rates.items():
-        reach = max(1, math.ceil(42.0 / (r * block)))
-        carries.append(sum((F.coalesce(F.lag(f"_e_{out}", m).over(we), F.lit(0.0)) * F.lit(math.exp(-r * block * (m - 1)))
-                            for m in range(1, reach + 1)), F.lit(0.0)).alias(f"_c_{out}"))
-    ends = ends.select(key, "_b", *carries)
-    joined = local.join(ends, [key, "_b"], "left")
-    return joined.select(*cols, *[
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    done = local.select("*", *[
+        F.last(F.when(F.col("_k") == block - 1, F.col(f"_y_{out}")), ignorenulls=True).over(before).alias(f"_c_{out}") for out in specs])
+    return done.select(*cols, *[
         F.when(F.col("_i") >= k - 1, F.col(f"_y_{out}") + F.exp(F.lit(-rates[out]) * (F.col("_k") + 1))
-               * F.col(f"_c_{out}")).alias(out) for out, (_, k) in specs.items()])
+               * F.coalesce(F.col(f"_c_{out}"), F.lit(0.0))).alias(out) for out, (_, k) in specs.items()])
 
 
 def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: str = "symbol",
@@ -105,8 +101,8 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: str
 
     ``specs`` maps an output name to (input column, alpha, minimum count). Rows are numbered per
     key and cut into blocks. Inside a block the recursion is a scaled prefix sum; the state carried
-    in is a short weighted sum over the ends of earlier blocks whose weight still matters in double
-    precision. The heavy window is partitioned by (key, block), never by the whole history.
+    in is the end of the block before. All windows share one shuffle by key, and a key is one
+    symbol's bars, bounded by the calendar.
     """
     by_input: dict[str, dict[str, tuple[float, int]]] = {}
     for out, (x, alpha, k) in specs.items():

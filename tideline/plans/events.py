@@ -12,6 +12,7 @@ from tideline.plans.catalog import query
 from tideline.plans.joins import noisy_days
 from tideline.plans.sqlviews import add_view
 from tideline.sources import views
+from tideline.sources.stages import stage
 
 
 def erf_sql(x: str) -> str:
@@ -64,12 +65,20 @@ SELECT s.sample_id, s.category, s.theme, s.importance, z.excluded, w.* FROM samp
 JOIN noisy z USING (event_date) JOIN bar_windows w ON w.symbol = a.symbol AND w.session = a.session""")
 
 
-def study(spark, d, by=("category",), samples=None):
-    """Cells joined to their windows: one row per symbol, anchor, window and group, weight k."""
-    f = views.features(spark, d)
-    ret = ev.aligned_returns(f)
-    cells = ev.event_cells(views.samples(spark, d) if samples is None else samples, ret, list(by))
-    return cells.join(ev.bar_windows(ev.market_model(ret)), ["symbol", "session"])
+def window_table(spark, d):
+    """Market model and event windows of every bar, a stage table."""
+    return stage(spark, d, "event_windows", views.BAR_TABLES,
+                 lambda s, f: ev.window_arrays(ev.market_model(ev.aligned_returns(views.features(s, f)))))
+
+
+def study(spark, d, by=("category",), samples=None, window=None):
+    """Cells joined to their windows: one row per symbol, anchor, window and group, weight k. The
+    windows travel through the join as one array and unfold behind it."""
+    arrays = window_table(spark, d)
+    cells = ev.event_cells(views.samples(spark, d) if samples is None else samples, arrays.select("symbol", "session"), list(by))
+    if window:
+        arrays = arrays.withColumn("v", F.filter("v", lambda x: x["window"].isin(window)))
+    return ev.unfold(cells.join(arrays, ["symbol", "session"]))
 
 
 @query("a01_market_model", "symbol:s session:d alpha:8 beta:6 sigma:8 fitted:i", "SELECT * FROM model_fit", "A01")
@@ -80,7 +89,7 @@ def _(spark, d):
 @query("a02_event_car", "symbol:s session:d window:s n:i raw:8 expected:8 car:8 scar:5",
        "SELECT * FROM bar_windows", "A02 J13")
 def _(spark, d):
-    return ev.bar_windows(ev.market_model(ev.aligned_returns(views.features(spark, d))))
+    return ev.unfold(window_table(spark, d))
 
 
 @query("j13_event_windows", "sample_id:i category:s window:s anchor:d raw:8",
@@ -140,7 +149,7 @@ def _(spark, d):
     pre, post = w.rowsBetween(-20, -1), w.rowsBetween(1, 20)
     delta = F.when((F.count("r").over(pre) >= 10) & (F.count("r").over(post) >= 10), F.corr("r", "m").over(post) - F.corr("r", "m").over(pre))
     c = ret.select("symbol", "session", delta.alias("delta"))
-    j = study(spark, d).filter("window = 'post_1_5'").join(c, ["symbol", "session"])
+    j = study(spark, d, window=["post_1_5"]).join(c, ["symbol", "session"])
     k = F.col("k")
     return j.groupBy("category", "symbol").agg(
         F.sum("k").alias("n"), (F.sum(k * F.col("raw")) / F.sum("k")).alias("mean"),
@@ -152,7 +161,7 @@ def _(spark, d):
           FROM detail d JOIN (SELECT symbol, session, sum(m) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS bench FROM ev_returns) b
             ON b.symbol = d.symbol AND b.session = d.session WHERE "window" = 'post_1_5' GROUP BY 1, 2""", "A06")
 def _(spark, d):
-    s = study(spark, d).filter("window = 'post_1_5'").withColumn("excess", F.col("raw") - F.col("bench"))
+    s = study(spark, d, window=["post_1_5"]).withColumn("excess", F.col("raw") - F.col("bench"))
     k = F.col("k")
     return s.groupBy("category", "sector").agg(
         F.sum("k").alias("n"), (F.sum(k * F.col("raw")) / F.sum("k")).alias("mean"),
@@ -234,7 +243,7 @@ def _(spark, d):
           FROM (SELECT category, sector, symbol, avg(raw) AS mean FROM detail WHERE "window" = 'post_1_5' GROUP BY 1, 2, 3) GROUP BY 1, 2""", "A09")
 def _(spark, d):
     k = F.col("k")
-    s = study(spark, d).filter("window = 'post_1_5'").groupBy("category", "sector", "symbol").agg(
+    s = study(spark, d, window=["post_1_5"]).groupBy("category", "sector", "symbol").agg(
         (F.sum(k * F.col("raw")) / F.sum("k")).alias("mean"))
     return s.groupBy("category", F.col("sector").alias("channel")).agg(
         F.avg(F.abs("mean")).alias("score"), F.count("*").alias("evidence"),
@@ -248,7 +257,7 @@ SELECT a.sample_id, a.category, a.symbol, a.raw AS x, b.car AS y FROM detail a J
 
 def drift_pairs(spark, d):
     """Pre-event return beside post-event abnormal return of the same anchor, weight k."""
-    s = study(spark, d)
+    s = study(spark, d, window=["pre_5", "post_1_5"])
     g = s.groupBy("symbol", "session", "category", "k").agg(
         F.max(F.when(F.col("window") == "pre_5", F.col("raw"))).alias("x"), F.max(F.when(F.col("window") == "post_1_5", F.col("car"))).alias("y"))
     return g.filter("x IS NOT NULL AND y IS NOT NULL")
@@ -331,10 +340,10 @@ LEFT JOIN (SELECT symbol, category, min(p_value) AS p_min FROM tested WHERE "win
 def _(spark, d):
     noisy = noisy_days(spark, d).select("event_date", F.col("noise_reason").isNotNull().cast("int").alias("excluded"))
     s = views.samples(spark, d).join(noisy, "event_date")
-    st = study(spark, d, ("category", "importance", "excluded"), s).filter("window = 'post_1_5'")
+    st = study(spark, d, ("category", "importance", "excluded"), s, ["post_1_5"])
     e = st.groupBy("symbol", "category").agg(F.sum(F.when(F.col("excluded") == 0, F.col("k")).otherwise(0)).alias("n_clean"),
                                              (F.sum(F.col("k") * F.col("importance")) / F.sum("k")).alias("importance"))
-    t = ev.weighted_summary(study(spark, d), ["category", "symbol", "window"]).filter("window IN ('post_1_5', 'post_1_20')")
+    t = ev.weighted_summary(study(spark, d, window=["post_1_5", "post_1_20"]), ["category", "symbol", "window"])
     t = t.groupBy("symbol", "category").agg(F.min("p_value").alias("p_min"))
     j = e.join(posterior(spark, d).select("symbol", "category", "posterior_mean"), ["symbol", "category"], "left").join(t, ["symbol", "category"], "left")
     penalty = F.when(F.col("n_clean") < 10, 0.3).when(F.col("n_clean") < 30, 0.6).otherwise(1.0)
@@ -390,7 +399,7 @@ def _(spark, d):
 def _(spark, d):
     f = views.features(spark, d)
     ret = ev.aligned_returns(f)
-    w5 = ev.bar_windows(ev.market_model(ret)).filter("window = 'post_1_5'").select("symbol", "session", "raw")
+    w5 = ev.unfold(window_table(spark, d)).filter("window = 'post_1_5'").select("symbol", "session", "raw")
     legs = views.bars(spark, d).groupBy("sector").agg(F.min("symbol").alias("long_leg"), F.max("symbol").alias("short_leg"))
     from tideline.operators.asof import forward_map
     first = views.samples(spark, d).agg(F.min("event_date")).scalar()

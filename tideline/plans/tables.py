@@ -49,7 +49,7 @@ def _(spark, d):
        """SELECT symbol, session, arg_max(CASE WHEN disc > 0.05 THEN price * (1 - disc) ELSE price END, row(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS price, count(*) AS copies FROM lines GROUP BY 1, 2""", "S04")
 def _(spark, d):
     ln = views.lines(spark, d).withColumn("adjusted", F.when(F.col("disc") > 0.05, F.col("price") * (1 - F.col("disc"))))
-    return ln.groupBy("symbol", "session").agg(F.max_by(F.coalesce("adjusted", "price"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("price"), F.count("*").alias("copies"))
+    return ln.groupBy("symbol", "session").agg(F.max_by(F.coalesce("adjusted", "price"), views.line_order()).alias("price"), F.count("*").alias("copies"))
 
 
 @query("s05_macro_parse", "obs_date:d value:4", "SELECT session AS obs_date, CASE WHEN vix >= 19 THEN round(vix, 4) END AS value FROM market WHERE session BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", "S05")
@@ -92,7 +92,7 @@ def _(spark, d):
     # Two feeds name their fields differently; the first present name wins.
     feed = t.select("symbol", "event_id", F.when(F.col("user_id") % 2 == 0, F.col("ts")).alias("t"), F.when(F.col("user_id") % 2 == 1, F.col("ts")).alias("timestamp"), F.col("price").alias("c"), "size")
     u = feed.withColumn("ts", F.coalesce("t", "timestamp")).filter("ts IS NOT NULL")
-    k = F.struct("ts", "event_id")
+    k = views.tick_order()
     return u.groupBy("symbol", F.date_trunc("minute", "ts").alias("minute")).agg(F.max_by("c", k).alias("price"), F.max_by("size", k).alias("size"))
 
 
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("s20_latest_quotes", "symbol:s latest:t price:6 history:i", "SELECT symbol, max(ts) AS latest, arg_max(price, row(ts, event_id)) AS price, count(*) AS history FROM ticks GROUP BY 1", "S20 W31")
 def _(spark, d):
-    return views.ticks(spark, d).groupBy("symbol").agg(F.max("ts").alias("latest"), F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.count("*").alias("history"))
+    return views.ticks(spark, d).groupBy("symbol").agg(F.max("ts").alias("latest"), F.max_by("price", views.tick_order()).alias("price"), F.count("*").alias("history"))
 
 
 @query("s21_strict_json", "symbol:s session:d doc:s", "SELECT symbol, session, CAST(json_object('symbol', symbol, 'n', n_lines, 'wide', CASE WHEN high > low THEN CAST(n_lines AS BIGINT) END) AS VARCHAR) AS doc FROM bars", "S21")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tideline.functions.numeric import clip, logistic, sdiv
-from tideline.operators.rolling import by_symbol, full, pct_change, trailing
+from tideline.functions.numeric import clip, logistic, packed_order, sdiv
+from tideline.operators.rolling import by_symbol, full, pct_change
 from tideline.sources.stages import stage
-from tideline.sources.tables import read_table
+from tideline.sources.tables import read_spread, read_table
 
 BAR_TABLES = ("lineitem", "supplier", "nation", "region")
 
@@ -22,12 +22,16 @@ COST_PER_SIDE = 0.0015  # fixed value: commission 0.001 plus slippage 0.0005, on
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """One row per traded line. The quote sits on a square-root scale so that daily moves stay
     around one percent and compounded equity stays inside double range."""
-    li = read_table(spark, d, "lineitem")
-    place = (read_table(spark, d, "supplier")
-             .join(read_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-             .join(read_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-             .select("s_suppkey", F.col("n_name").alias("symbol"), F.col("r_name").alias("sector")))
-    return li.join(place, li.l_suppkey == place.s_suppkey).select(
+    li = read_spread(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                                            "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    # Joined one table at a time: each right side is a base table of known size, so the planner can
+    # broadcast it when it is small and shuffle both sides by key when it is not.
+    supplier = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    nation = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("symbol"))
+    region = read_table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("sector"))
+    placed = (li.join(supplier, li.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+              .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    return placed.select(
         "symbol", "sector", F.to_date("l_shipdate").alias("session"),
         (F.lit(5000.0) + F.sqrt("l_extendedprice")).alias("price"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("ext"),
@@ -35,13 +39,22 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def line_order() -> Column:
+    """Trading order of lines; the last two parts break ties."""
+    return packed_order(("l_orderkey", 14), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 11))
+
+
+def tick_order() -> Column:
+    return packed_order((F.unix_micros(F.col("ts").cast("timestamp")), 18), ("event_id", 19))
+
+
 def bars(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars, a stage table: nearly every query starts from it."""
     return stage(spark, d, "bars", BAR_TABLES, build_bars)
 
 
 def build_bars(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    seq = line_order()
     return lines(spark, d).groupBy("symbol", "sector", "session").agg(
         F.min_by("price", seq).alias("open"), F.max("price").alias("high"),
         F.min("price").alias("low"), F.max_by("price", seq).alias("close"),
@@ -152,7 +165,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """News records; the whole text is the body and the first line the title."""
-    return spread(read_table(spark, d, "documents"), "doc_id").select(
+    return read_spread(spark, d, "documents", ["doc_id", "text", "source", "lang"]).select(
         F.col("doc_id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("body"),
         "source", "lang",
         F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id * 7919 % 2000000 AS INT), 0)")
@@ -161,12 +174,6 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
                "CAST(doc_id * 7919 % 2000000 + doc_id % 180 AS INT), 0)").alias("available_at"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text work is heavy per row: when the input has fewer files than cores, spread it by key."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select(
         F.col("event_id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -176,7 +183,7 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 
 def intraday(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of the tick stream."""
-    seq = F.struct("ts", "event_id")
+    seq = tick_order()
     return ticks(spark, d).groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bar")).agg(
         F.min_by("price", seq).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", seq).alias("close"), F.sum("size").alias("volume"), F.count("*").alias("n_ticks"))
@@ -215,6 +222,3 @@ def build_option_bars(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("cp") == "C", call_delta).otherwise(call_delta - 1).alias("delta"),
         F.concat(F.regexp_replace("symbol", "[^A-Z0-9]", ""), F.date_format("expiry", "yyMMdd"), "cp",
                  F.lpad((F.col("strike") * 1000).cast("bigint").cast("string"), 8, "0")).alias("occ"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["trailing"]
