@@ -129,7 +129,7 @@ def metric_history(spark, d):
         F.struct(F.lit("index").alias("metric"), F.when(F.col("vix") < 21, F.col("idx")).alias("value")))))
 
 
-@query("j09_metric_asof", "event_date:d rate:6 vol:6 index_level:4",
+@query("j09_metric_asof", "event_date:d rate:6 vol:6 index_level:6",
        """SELECT event_date, max(value) FILTER (metric = 'rate') AS rate, max(value) FILTER (metric = 'vol') AS vol,
             max(value) FILTER (metric = 'index') AS index_level
           FROM (SELECT e.event_date, e.metric, h.value FROM (SELECT DISTINCT event_date, metric FROM samples, (VALUES ('rate'), ('vol'), ('index')) t(metric)) e

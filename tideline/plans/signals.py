@@ -355,7 +355,7 @@ def _(spark, d):
 
 @query("p22_volatility_state", "session:d vix:4 change1:6 change5:6 state:s guidance:s",
        """SELECT *, CASE state WHEN 'panic' THEN 'cut exposure' WHEN 'elevated' THEN 'reduce size' WHEN 'normal' THEN 'no change' ELSE 'watch complacency' END AS guidance FROM (
-            SELECT session, vix, vix / lag(vix) OVER w - 1 AS change1, vix / lag(vix, 5) OVER w - 1 AS change5,
+            SELECT session, vix, vix / nullif(lag(vix) OVER w, 0) - 1 AS change1, vix / nullif(lag(vix, 5) OVER w, 0) - 1 AS change5,
               CASE WHEN vix >= 23 THEN 'panic' WHEN vix >= 21 THEN 'elevated' WHEN vix >= 18 THEN 'normal' ELSE 'calm' END AS state FROM market WINDOW w AS (ORDER BY session))""", "P22")
 def _(spark, d):
     w = Window.orderBy("session")

@@ -24,7 +24,7 @@ def _(spark, d):
     return views.bars(spark, d).filter("session BETWEEN DATE'1995-06-01' AND DATE'2001-06-30'")
 
 
-@query("s02_close_panel_fill", "session:d raw:4 filled:4 source:s",
+@query("s02_close_panel_fill", "session:d raw:9 filled:9 source:s",
        """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS session, avg(o_totalprice) / 1000 AS p, count(*) AS n FROM orders GROUP BY 1),
           x AS (SELECT m.session, CASE WHEN o.n >= 8 THEN o.p END AS p, CASE WHEN m.vix < 18 THEN m.idx END AS fb FROM market m LEFT JOIN o USING (session))
           SELECT session, coalesce(p, fb) AS raw, last_value(coalesce(p, fb) IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING) AS filled, CASE WHEN p IS NOT NULL THEN 'primary' WHEN fb IS NOT NULL THEN 'fallback' ELSE 'filled' END AS source FROM x""", "S02")
@@ -148,7 +148,7 @@ def _(spark, d):
     return m.select("symbol", "month", "net", pct_change("net", 12, w).alias("yoy"), F.when(F.count("*").over(f) >= 4, F.sum("net").over(f)).alias("roll4"), F.when(F.count("*").over(t) >= 10, F.avg("net").over(t)).alias("mean10"))
 
 
-@query("s24_outer_merge", "obs:d rate:6 vol:6 index_level:4",
+@query("s24_outer_merge", "obs:d rate:6 vol:6 index_level:6",
        """SELECT obs, rate, vol, index_level FROM (SELECT obs, value AS rate FROM metric_history WHERE metric = 'rate' AND value IS NOT NULL) FULL JOIN (SELECT obs, value AS vol FROM metric_history WHERE metric = 'vol' AND value IS NOT NULL) USING (obs)
           FULL JOIN (SELECT obs, value AS index_level FROM metric_history WHERE metric = 'index' AND value IS NOT NULL) USING (obs)""", "S24")
 def _(spark, d):

@@ -51,10 +51,18 @@ def read_growing_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="DROPMALFORMED")
 
 
+EVENT_COLUMNS = ("id STRING, name STRING, date DATE, end_date DATE, category STRING, secondary_categories ARRAY<STRING>, importance INT, "
+                 "geography STRING, source STRING, notes STRING, theme_tickers ARRAY<STRING>")
+
+
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True, schema=(
-        "id STRING, name STRING, date DATE, end_date DATE, category STRING, secondary_categories ARRAY<STRING>, importance INT, "
-        "geography STRING, source STRING, notes STRING, theme_tickers ARRAY<STRING>"))
+    """A hand-kept list in one JSON document."""
+    return spark.read.json(path, multiLine=True, schema=EVENT_COLUMNS)
+
+
+def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same table as splittable JSON lines, for lists that are not small."""
+    return spark.read.json(path, schema=EVENT_COLUMNS)
 
 
 def read_aligned_samples(spark: SparkSession, path: str) -> DataFrame:
