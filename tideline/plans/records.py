@@ -234,7 +234,6 @@ def _(spark, d):
     a = story(spark, d).groupBy("lang", "source", F.trunc("day", "month").alias("month")).agg(F.count("*").alias("n"))
     by_source = a.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     s = by_source.groupBy("lang").agg(F.sum("n").alias("events"), (F.max("n") / F.sum("n")).alias("max_source_share"),
-                                      F.array_join(F.array_sort(F.collect_list(F.struct("source", "n"))).cast("array<struct<source:string,n:string>>").getField("source"), ",").alias("unused"),
                                       F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.col("n").cast("string"))))).alias("counts"))
     m = a.groupBy("lang").agg(F.count_distinct("month").alias("months"))
     j = s.join(m, "lang")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tideline.plans.catalog import query
+from tideline.plans.sqlviews import ewm
 from tideline.sources import views
 from tideline.sources.tables import read_table
 from tideline.streaming import jobs
@@ -40,16 +41,31 @@ def _(spark, d):
     return jobs.run_to_table(jobs.activity_sessions(jobs.tick_stream(spark, d)), spark)
 
 
-@query("t04_session_vwap_state", "symbol:s event_id:i vwap:6 high:6 low:6",
-       """SELECT symbol, event_id, sum(price * size) OVER w / nullif(sum(size) OVER w, 0) AS vwap, max(price) OVER w AS high, min(price) OVER w AS low FROM ticks
-          WINDOW w AS (PARTITION BY symbol, CAST(timezone('America/New_York', ts AT TIME ZONE 'UTC') AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""", "T04")
+def bar_stream(spark, d, price):
+    """Stateful jobs read closed bars, not raw ticks: a symbol and day then has a bounded number of rows."""
+    path = jobs.work_folder(spark) + "/bars"
+    ts = F.col("bar").cast("timestamp")
+    b = views.intraday(spark, d).select("symbol", F.unix_timestamp(ts).alias("event_id"), ts.alias("ts"), price.alias("price"), F.col("volume").alias("size"))
+    b.write.parquet(path)
+    return spark.readStream.schema(b.schema).parquet(path)
+
+
+@query("t04_session_vwap_state", "symbol:s bar:t vwap:6 high:6 low:6",
+       """SELECT symbol, bar, sum(p * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap, max(p) OVER w AS high, min(p) OVER w AS low FROM (SELECT *, (high + low + close) / 3.0 AS p FROM intraday)
+          WINDOW w AS (PARTITION BY symbol, CAST(timezone('America/New_York', bar AT TIME ZONE 'UTC') AS DATE) ORDER BY bar ROWS UNBOUNDED PRECEDING)""", "T04")
 def _(spark, d):
-    return jobs.run_to_table(jobs.session_vwap(jobs.tick_stream(spark, d)), spark)
+    s = bar_stream(spark, d, (F.col("high") + F.col("low") + F.col("close")) / 3.0)
+    return jobs.run_to_table(jobs.session_vwap(s), spark).withColumnRenamed("ts", "bar")
 
 
-@query("t05_ewm_state", "symbol:s event_id:i fast:4 slow:4 rsi:4", None, "T05")
+@query("t05_ewm_state", "symbol:s bar:t fast:5 slow:5 rsi:5",
+       "SELECT b.symbol, b.bar, b.fast, b.slow, CASE WHEN r.l <> 0 THEN 100 - 100 / (1 + r.g / r.l) END AS rsi FROM ("
+       + ewm("intraday", {"fast": ("close", 2 / 13, 1), "slow": ("close", 2 / 27, 1)}, order="bar") + ") b LEFT JOIN ("
+       + ewm("(SELECT symbol, bar, greatest(chg, 0.0) AS up, greatest(-chg, 0.0) AS down FROM (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY bar) AS chg FROM intraday) WHERE chg IS NOT NULL)",
+             {"g": ("up", 1 / 14, 1), "l": ("down", 1 / 14, 1)}, order="bar") + ") r ON r.symbol = b.symbol AND r.bar = b.bar", "T05")
 def _(spark, d):
-    return jobs.run_to_table(jobs.streaming_ewm(jobs.tick_stream(spark, d)), spark)
+    s = bar_stream(spark, d, F.col("close"))
+    return jobs.run_to_table(jobs.streaming_ewm(s), spark).withColumnRenamed("ts", "bar")
 
 
 @query("t06_aged_means", "symbol:s day:t aged_mean:6 n:i",
