@@ -80,3 +80,20 @@ def block_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, block: in
     part = F.col("to_sum") - F.col("from_sum") + F.when(F.col("wraps"), F.col("total")).otherwise(0.0)
     means = b.groupBy(*keys, "n", "total", "rep").agg((F.sum(part) / F.first("n")).alias("m"))
     return means.groupBy(*keys, "n").agg((F.first("total") / F.first("n")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def iid_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, seed: str = "7", order: str = "session") -> DataFrame:
+    """Resampled Sharpe ratio and worst drawdown with hash-chosen rows. A repetition of one key is the
+    unit of work: its draws meet the series by an equi-join on the row number."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("v"), (F.row_number().over(w) - 1).alias("i"))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    draws = size.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    draws = draws.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot"))
+    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot")).cast("binary")), 1, 8), 16, 10).cast("long")
+    path = draws.withColumn("i", (code % F.col("n")).cast("int")).join(rows, [*keys, "i"])
+    run = Window.partitionBy(*keys, "rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    path = path.withColumn("_log", F.sum(F.log1p("v")).over(run))
+    path = path.withColumn("_dd", F.exp(F.col("_log") - F.greatest(F.max("_log").over(run), F.lit(0.0))) - 1)
+    one = path.groupBy(*keys, "rep").agg((F.avg("v") / F.when(F.stddev_pop("v") > 1e-12, F.stddev_pop("v")) * F.sqrt(F.lit(252.0))).alias("s"), F.min("_dd").alias("d"))
+    return one.groupBy(*keys).agg(F.percentile("s", 0.05).alias("sharpe_low"), F.percentile("s", 0.95).alias("sharpe_high"), F.percentile("d", 0.05).alias("drawdown_low"))

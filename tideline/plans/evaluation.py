@@ -230,6 +230,17 @@ def _(spark, d):
     return evl.block_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=40, block=21)
 
 
+@query("a25_path_bootstrap", "strategy:s symbol:s sharpe_low:5 sharpe_high:5 drawdown_low:6",
+       """WITH v AS (SELECT strategy, symbol, net AS v, row_number() OVER (PARTITION BY strategy, symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY strategy, symbol) AS n FROM net_returns),
+          k AS (SELECT strategy, symbol, any_value(n) AS n FROM v GROUP BY 1, 2),
+          s AS (SELECT k.*, rep.range AS rep, slot.range AS slot, ('0x' || substr(md5('7:' || rep.range || ':' || slot.range), 1, 8))::BIGINT % n AS i FROM k, range(0, 12) rep, range(0, 10000) slot WHERE slot.range < n),
+          p AS (SELECT s.strategy, s.symbol, s.rep, s.slot, v.v, sum(ln(1 + v.v)) OVER (PARTITION BY s.strategy, s.symbol, s.rep ORDER BY s.slot ROWS UNBOUNDED PRECEDING) AS lg FROM s JOIN v ON v.strategy = s.strategy AND v.symbol = s.symbol AND v.i = s.i),
+          o AS (SELECT strategy, symbol, rep, avg(v) / CASE WHEN stddev_pop(v) > 1e-12 THEN stddev_pop(v) END * sqrt(252) AS s, min(dd) AS d FROM (SELECT *, exp(lg - greatest(max(lg) OVER (PARTITION BY strategy, symbol, rep ORDER BY slot ROWS UNBOUNDED PRECEDING), 0)) - 1 AS dd FROM p) GROUP BY 1, 2, 3)
+          SELECT strategy, symbol, quantile_cont(s, 0.05) AS sharpe_low, quantile_cont(s, 0.95) AS sharpe_high, quantile_cont(d, 0.05) AS drawdown_low FROM o GROUP BY 1, 2""", "A25")
+def _(spark, d):
+    return evl.iid_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=12)
+
+
 @query("a26_placebo", "symbol:s n:i mean:8 t_stat:5",
        """SELECT symbol, count(*) AS n, avg(f5) AS mean, avg(f5) / nullif(stddev_samp(f5) / sqrt(count(*)), 0) AS t_stat FROM (
             SELECT symbol, f5, row_number() OVER (PARTITION BY symbol ORDER BY md5('placebo:' || symbol || ':' || session), session) AS k FROM (
@@ -519,6 +530,32 @@ def _(spark, d):
     return layer_metrics(spark, d)
 
 
+add_view("guard_grid", f"""
+WITH x AS (SELECT g.symbol, g.session, g.ret1, v.k AS min_votes, CASE WHEN position > 0 AND votes >= v.k THEN 0 ELSE position END AS position, row_number() OVER (PARTITION BY symbol, v.k ORDER BY session) AS i, count(*) OVER (PARTITION BY symbol, v.k) AS n FROM guarded g, (VALUES (2), (3), (4), (5)) v(k)),
+ h AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY symbol, min_votes ORDER BY session), 0) AS held FROM x),
+ t AS (SELECT *, abs(held - coalesce(lag(held) OVER (PARTITION BY symbol, min_votes ORDER BY session), 0)) AS turn, CASE WHEN i <= n * 7 // 10 THEN 'train' ELSE 'validation' END AS segment FROM h),
+ r AS (SELECT *, held * ret1 - turn * 0.0015::DOUBLE AS net FROM t) {perf_sql('r', 'symbol, min_votes, segment')}""")
+
+
+@query("a53_train_selected_guard", "symbol:s min_votes:i train_score:5 validation_sharpe:5 validation_drawdown:6",
+       """WITH s AS (SELECT *, round(sharpe_ratio + 2 * annualized_return - abs(max_drawdown), 7) AS score FROM guard_grid)
+          SELECT t.symbol, t.min_votes, t.score AS train_score, v.sharpe_ratio AS validation_sharpe, v.max_drawdown AS validation_drawdown
+          FROM (SELECT * FROM s WHERE segment = 'train' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, min_votes) = 1) t JOIN s v ON v.symbol = t.symbol AND v.min_votes = t.min_votes AND v.segment = 'validation'""", "A53 P16")
+def _(spark, d):
+    # The grid is scored on the training rows only; its winner meets the validation rows once.
+    g = sg.guarded(spark, d).select("symbol", "session", "ret1", "position", "votes")
+    w = Window.partitionBy("symbol")
+    g = g.withColumn("i", F.row_number().over(w.orderBy("session"))).withColumn("n", F.count("*").over(w))
+    g = g.withColumn("segment", F.when(F.col("i") <= F.floor(F.col("n") * 7 / 10), "train").otherwise("validation"))
+    g = g.withColumn("min_votes", F.explode(F.sequence(F.lit(2), F.lit(5))))
+    g = g.withColumn("position", F.when((F.col("position") > 0) & (F.col("votes") >= F.col("min_votes")), 0.0).otherwise(F.col("position")))
+    p = rt.performance(rt.net_of_costs(g, ["symbol", "min_votes"]), ["symbol", "min_votes", "segment"])
+    p = p.withColumn("score", F.round(F.col("sharpe_ratio") + 2 * F.col("annualized_return") - F.abs("max_drawdown"), 7))
+    best = p.filter("segment = 'train'").groupBy("symbol").agg(F.max_by(F.struct("min_votes", "score"), F.struct("score", -F.col("min_votes"))).alias("b")).select("symbol", "b.*")
+    v = p.filter("segment = 'validation'").select("symbol", "min_votes", F.col("sharpe_ratio").alias("validation_sharpe"), F.col("max_drawdown").alias("validation_drawdown"))
+    return best.join(v, ["symbol", "min_votes"]).withColumnRenamed("score", "train_score")
+
+
 @query("p29_degradation_gates", "symbol:s segment:s n_fail:i failures:s",
        """SELECT b.symbol, b.segment, len(f) AS n_fail, array_to_string(f, ',') AS failures FROM layer_metrics b JOIN layer_metrics m ON m.symbol = b.symbol AND m.segment = b.segment,
             LATERAL (SELECT list_filter([CASE WHEN m.annualized_return < b.annualized_return - 1e-9 THEN 'annualized_return' END, CASE WHEN m.sharpe_ratio < b.sharpe_ratio - 1e-9 THEN 'sharpe_ratio' END,
