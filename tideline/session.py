@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCK = threading.Lock()
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g", split_bytes: str = "4m") -> SparkSession:
@@ -30,16 +34,26 @@ def build_session(app: str = "tideline", cores: str = "*", shuffle_partitions: i
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; fall back to a new local one only where unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``. Only a session whose
+    executors are threads of the driver may do without: it gets a new local folder, once per application."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+        return configured.rstrip("/")
+    sc = spark.sparkContext
+    if not (sc.master or "").startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    with _LOCK:
+        if sc.applicationId not in _LOCAL:
+            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        return _LOCAL[sc.applicationId]
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point reliable checkpoints at the shared folder."""
+    folder = shared_folder(spark)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,19 +2,19 @@
 
 A stage cuts lineage with a written table, so it survives lost executors, and it is the same idea as
 a run whose stages are named tables. The folder is the shared checkpoint folder the cluster names in
-``spark.checkpoint.dir``; a new local folder is used only where that is unset, as in tests.
+``spark.checkpoint.dir``; without one a session that is not local is refused.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideline.session import shared_folder
+
 _LOCK = threading.Lock()
 _TABLES: dict[tuple, tuple[threading.Lock, dict]] = {}
 _ROOTS: dict[str, str] = {}
@@ -24,9 +24,7 @@ def stage_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     with _LOCK:
         if app not in _ROOTS:
-            shared = spark.conf.get("spark.checkpoint.dir", None)
-            base = shared or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-            _ROOTS[app] = f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"
+            _ROOTS[app] = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
         return _ROOTS[app]
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, StringType, TimestampType
 
+from tideline.session import shared_folder
+
 TICK_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster, or a local one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def tick_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 64) -> DataFrame:
