@@ -1,0 +1,71 @@
+"""Learned operators: held-out accuracy and exact parts."""
+
+import os
+import sys
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from tideline.llm import langid, queries, toxicity  # noqa: E402
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    text = "you are a stupid idiot and a total loser with trash talk while the house is open and the water is cold "
+    return toxicity.letter_model(spark.createDataFrame([(text * 40,)], "text string"))
+
+
+@pytest.mark.parametrize("written,meant", [
+    ("1d10t", "idiot"), ("st.u.p.i.d", "stupid"), ("l0s3r", "loser"), ("tr@$h", "trash"), ("stuuuupid", "stupid"), ("i d i o t", "idiot")])
+def test_decoding(letters, written, meant):
+    assert toxicity.decode(written, letters) == meant
+
+
+def test_plain_words_pass(letters):
+    restorer = toxicity.Restorer(letters)
+    assert restorer.words("The house, is open!!! ||| 42") == {"the", "house", "is", "open"}
+    assert toxicity.restored_text("A l0s3r, i d i o t house.", letters) == "A loser, idiot house."
+
+
+def test_letter_counts_cover_the_corpus(spark):
+    docs = spark.createDataFrame([("ab c",), (None,), ("",), ("ab",)], "text string").repartition(3)
+    counts = {(r.kind, r.slot): r.n for r in toxicity.letter_counts(docs).collect()}
+    at = toxicity._hash(np.array([ord(c) for c in " ab"], dtype=np.uint64), 3)[0]
+    assert counts[3, at] == 2
+
+
+def test_toxicity_is_learned(spark):
+    scores = queries.op9_toxicity(spark, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = scores.join(labels, "doc_id").filter("held_out").select("score", "toxic").toPandas()
+    rank = rows.score.rank().to_numpy()
+    positive = rows.toxic.to_numpy() == 1
+    auc = (rank[positive].sum() - positive.sum() * (positive.sum() + 1) / 2) / (positive.sum() * (~positive).sum())
+    assert auc > 0.85
+    assert scores.filter("score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").isEmpty()
+
+
+def test_languages_are_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    found = queries.op10_language_id(spark, SF).join(docs, "doc_id").filter("held_out")
+    assert found.select(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
+
+
+def test_undecided_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat " * 20, "en"), (2, "der Hund liegt auf der Matte " * 20, "de")], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !?"), (4, "the mat"), (5, "der Hund")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, model).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3
+    assert (got[4][0], got[5][0]) == ("en", "de")
+
+
+def test_filter_returns_all_languages_of_a_gram():
+    grams, owner = langid.gram_hashes(["abc", "", "a1b"])
+    assert np.bincount(owner, minlength=3).tolist() == [4 + 3 + 2, 1, 4 + 3 + 2]
+    assert set(grams[owner == 0]) & set(grams[owner == 2])
