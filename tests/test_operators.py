@@ -13,6 +13,7 @@ from tideline.functions import numeric as nm, text as tx
 from tideline.operators import evaluate as evl, events as ev, features as feat, folds as fd, ranking as rk, returns as rt
 from tideline.operators.asof import asof_join, backward_map, forward_map, interval_overlap_join
 from tideline.operators.rolling import ewm_means, prior_quantile, rank_in_window, span
+from tideline.session import shared_folder
 
 DAY0 = dt.date(2020, 1, 1)
 
@@ -47,7 +48,7 @@ def test_asof_edges_and_hot_key(spark, forward, exact):
     right = [("hot", day(i), float(i)) for i in range(10, 380, 7)] + [("cold", day(200), 1.0)]
     l = spark.createDataFrame(left, "k string, t date")
     r = spark.createDataFrame(right, "k string, u date, v double")
-    got = asof_join(l, r, "t", "u", ["v"], ["k"], forward=forward, allow_exact=exact, bucket_days=30).select("k", "t", "v").collect()
+    got = asof_join(l, r, "t", "u", ["v"], ["k"], forward=forward, allow_exact=exact).select("k", "t", "v").collect()
     assert sorted([tuple(x) for x in got], key=str) == brute_asof(left, right, forward, exact)
 
 
@@ -57,6 +58,18 @@ def test_asof_takes_the_larger_tie(spark):
     assert asof_join(l, r, "t", "u", ["v"]).first().v == 2.0
 
 
+def test_asof_spreads_a_hot_key_and_needs_no_window_over_facts(spark):
+    left = [("hot" if i % 10 else "cold", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=17 * i)) for i in range(3000)]
+    right = [(k, dt.datetime(2020, 1, 3) + dt.timedelta(hours=7 * i), i) for k in ("hot", "cold") for i in range(60)]
+    l = spark.createDataFrame(left, "k string, t timestamp_ntz")
+    r = spark.createDataFrame(right, "k string, u timestamp_ntz, v int")
+    joined = asof_join(l, r, "t", "u", ["v"], ["k"], grain="hour")
+    assert sorted([tuple(x) for x in joined.select("k", "t", "v").collect()], key=str) == brute_asof(left, right, False, True)
+    facts = joined._jdf.queryExecution().executedPlan().toString()
+    # only the calendar is windowed and gathered into cells; facts meet it by one equi-join
+    assert facts.count("Window [") == 1 and facts.count("Join") == 1
+
+
 def test_calendar_maps(spark):
     b = spark.createDataFrame([("A", day(2)), ("A", day(5))], "symbol string, session date")
     fwd = {r.date: r.anchor for r in forward_map(b, first_day=day(0)).collect()}
@@ -285,3 +298,28 @@ def test_text_scores(spark):
     assert c == "a & b c"
     s = spark.createDataFrame([("amd, NVX|amd;  tsm",)], "h string").select(tx.string_set("h").alias("c")).first().c
     assert s == ["AMD", "NVX", "TSM"]
+
+
+@pytest.mark.parametrize("t,df,tail", [(12.706205, 1, 0.025), (4.302653, 2, 0.025), (2.228139, 10, 0.025), (1.812461, 10, 0.05),
+                                       (2.580755, 1000, 0.005), (-2.228139, 10, 0.025), (0.0, 5, 0.5), (63.656741, 1, 0.005)])
+def test_student_tail_matches_published_values(spark, t, df, tail):
+    got = spark.createDataFrame([(t, df)], "t double, df int").select(nm.student_t_tail("t", "df").alias("p")).first().p
+    assert abs(got - tail) < 2e-6
+
+
+def test_short_series_have_a_mean_and_no_limits(spark):
+    df = spark.createDataFrame([("s", day(i), float(i)) for i in range(10)], "k string, session date, x double")
+    row = evl.block_bootstrap(df, ["k"], "x", reps=50, block=21).first()
+    assert (row.n, row["mean"], row.low, row.high) == (10, 4.5, None, None)
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://head:7077", "applicationId": "app"})()
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())

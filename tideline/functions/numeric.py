@@ -127,14 +127,55 @@ def normal_quantile(p) -> Column:
             .when(p < 0.02425, low).when(p > 1 - 0.02425, high).otherwise(mid))
 
 
+# Lanczos coefficients for g = 7.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+            12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x) -> Column:
+    """Logarithm of the gamma function for x >= 1/2, to about 1e-14."""
+    z = num(x) - F.lit(1.0)
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + F.lit(float(i)))
+    t = z + F.lit(7.5)
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + F.lit(0.5)) * F.log(t) - t + F.log(total)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: int = 200) -> Column:
+    """Continued fraction of the incomplete beta function by the modified Lentz method."""
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    d0 = F.lit(1.0) / safe(F.lit(1.0) - (a + b) * x / (a + F.lit(1.0)))
+
+    def step(state: Column, i: Column) -> Column:
+        m = i.cast("double")
+        even = m * (b - m) * x / ((a + m * 2 - 1) * (a + m * 2))
+        odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + 1))
+        c, d, h = state["c"], state["d"], state["h"]
+        return F.element_at(F.transform(F.array(F.struct(
+            (F.lit(1.0) / safe(F.lit(1.0) + even * d)).alias("d"), safe(F.lit(1.0) + even / c).alias("c"))), lambda one: F.element_at(F.transform(
+                F.array(F.struct((F.lit(1.0) / safe(F.lit(1.0) + odd * one["d"])).alias("d"), safe(F.lit(1.0) + odd / one["c"]).alias("c"))),
+                lambda two: F.struct(two["c"].alias("c"), two["d"].alias("d"), (h * one["d"] * one["c"] * two["d"] * two["c"]).alias("h"))), 1)), 1)
+
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["h"])
+
+
 def student_t_tail(t, df) -> Column:
-    """P(T > |t|) by a normalising transform, z = sqrt(a ln(1 + t^2/v)) with a = v - 1/2 and a
-    first correction term; good to about 1e-3 for few degrees of freedom."""
-    t, v = num(t), num(df).cast("double")
-    a = v - F.lit(0.5)
-    b = F.lit(48.0) * a * a
-    z = F.sqrt(a * F.log(F.lit(1.0) + t * t / v))
-    return bind(z, lambda q: F.lit(1.0) - normal_cdf(q + (q * q * q + F.lit(3.0) * q) / b))
+    """P(T > |t|) = I(v / (v + t^2); v/2, 1/2) / 2, exact to rounding for df >= 1."""
+    t, v = num(t).cast("double"), num(df).cast("double")
+
+    def tail(r: Column) -> Column:
+        a, x = r["a"], r["x"]
+        b = F.lit(0.5)
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - F.lit(0.5 * math.log(math.pi)) + a * F.log(x) + b * F.log(F.lit(1.0) - x))
+        near = front * _beta_fraction(a, b, x) / a
+        far = F.lit(1.0) - front * _beta_fraction(b, a, F.lit(1.0) - x) / b
+        return (F.when(x >= 1.0, F.lit(0.5)).when(x <= 0.0, F.lit(0.0))
+                .when(x < (a + 1.0) / (a + 2.5), near / 2).otherwise(far / 2))
+
+    return bind(F.struct((v / 2).alias("a"), (v / (v + t * t)).alias("x")), tail)
 
 
 def moment_skew(n, s1, s2, s3) -> Column:

@@ -1,9 +1,10 @@
 """As-of joins and calendar maps.
 
-A plain "union and carry forward" as-of join puts one key's whole history into one task. Here the
-timeline is cut into time buckets: the carry inside a bucket runs in a window over (key, bucket),
-and only one summary row per (key, bucket) takes part in the window over whole keys, so a key that
-holds a third of all rows is spread over its buckets.
+The right side of an as-of join here is a calendar: sessions, hourly bars, statements, readings of a metric.
+It becomes a map with one row per (key, time cell) that holds the few right rows a moment of the cell can
+see: those inside the cell and the nearest one beyond its border. Facts meet the map by an equi-join on key
+and cell and pick by comparison, so no window and no sort runs over facts; a key with a third of all rows
+is an ordinary skewed join, and where the map is small Spark broadcasts it.
 """
 
 from __future__ import annotations
@@ -15,36 +16,46 @@ def _bucket(t: str, days: int) -> Column:
     return F.floor(F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")) / days)
 
 
+def _cell(t: str, grain: str) -> Column:
+    if grain == "day":
+        return F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    if grain == "hour":
+        return F.floor(F.unix_micros(F.col(t).cast("timestamp")) / 3_600_000_000)
+    raise ValueError(f"unknown grain {grain}")
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: list[str],
               keys: list[str] | None = None, forward: bool = False, allow_exact: bool = True,
-              bucket_days: int = 30) -> DataFrame:
+              grain: str = "day") -> DataFrame:
     """Left rows with ``values`` of the latest right row at or before (or, forward, the first at or
-    after) their own time. Unmatched left rows keep NULLs. Ties on the right resolve to the
-    largest values struct going backward and the smallest going forward."""
+    after) their own time. Unmatched left rows keep NULLs, rows without a time leave. Ties on the right
+    resolve to the largest values struct going backward and the smallest going forward. A cell should
+    hold few right rows; ``grain`` is ``day`` or ``hour``."""
     keys = keys or []
-    payload = F.struct(*values)
-    lcols = left.columns
-    lhs = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("_t"), F.struct(*lcols).alias("_l"),
-                      F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_r"))
-    rhs = right.select(*[F.col(k) for k in keys], F.col(right_time).cast(left.schema[left_time].dataType).alias("_t"),
-                       F.lit(None).cast(lhs.schema["_l"].dataType).alias("_l"), payload.alias("_r"))
-    both = lhs.unionByName(rhs).filter("_t IS NOT NULL").withColumn("_b", _bucket("_t", bucket_days))
-    is_left = F.col("_l").isNotNull()
-    # Right rows sort before left rows of the same instant exactly when an exact match counts.
-    side = F.when(is_left, 1).otherwise(0) if allow_exact else F.when(is_left, 0).otherwise(1)
-    time = F.col("_t").desc() if forward else F.col("_t").asc()
-    value_order = F.col("_r").desc_nulls_last() if forward else F.col("_r").asc_nulls_last()
-    local = Window.partitionBy(*keys, "_b").orderBy(time, side, value_order).rowsBetween(Window.unboundedPreceding, 0)
-    within = both.withColumn("_near", F.last("_r", ignorenulls=True).over(local))
-    pick = F.min_by if forward else F.max_by
-    edge = both.groupBy(*keys, "_b").agg(
-        pick("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))).alias("_edge"))
-    border = F.col("_b").desc() if forward else F.col("_b").asc()
-    carry = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.select(*keys, "_b", F.last("_edge", ignorenulls=True).over(carry).alias("_carry"))
-    joined = within.filter(is_left).join(edge, [*keys, "_b"])
-    hit = F.coalesce("_near", "_carry")
-    return joined.select("_l.*", *[hit.getField(v).alias(v) for v in values])
+    rhs = right.select(*keys, F.col(right_time).cast(left.schema[left_time].dataType).alias("_t"), F.struct(*values).alias("_v")).filter("_t IS NOT NULL")
+    rhs = rhs.withColumn("_c", _cell("_t", grain))
+    ends = rhs.agg(F.min("_c").alias("low"), F.max("_c").alias("high")).first()  # two numbers of the calendar
+    low, high = (ends.low - 1, ends.high + 1) if ends.low is not None else (0, 0)
+    order = Window.partitionBy(*keys).orderBy("_t", "_v")
+    # a row is seen from its own cell to that of its neighbour; the outermost reaches to the border
+    if forward:
+        rhs = rhs.withColumn("_from", F.coalesce(F.lag("_c").over(order), F.lit(low))).withColumn("_to", F.col("_c"))
+    else:
+        rhs = rhs.withColumn("_from", F.col("_c")).withColumn("_to", F.coalesce(F.lead("_c").over(order), F.lit(high)))
+    seen = rhs.withColumn("_cell", F.explode(F.sequence("_from", "_to")))
+    chart = seen.groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).alias("_seen"))
+    facts = left.filter(F.col(left_time).isNotNull()).withColumn(
+        "_cell", F.greatest(F.lit(low), F.least(F.lit(high), _cell(left_time, grain))))
+    joined = facts.join(chart, [*keys, "_cell"], "left")
+    moment = F.col(left_time)
+    if forward:
+        fits = F.filter("_seen", lambda x: x["_t"] >= moment if allow_exact else x["_t"] > moment)
+        hit = F.try_element_at(fits, F.lit(1))
+    else:
+        fits = F.filter("_seen", lambda x: x["_t"] <= moment if allow_exact else x["_t"] < moment)
+        hit = F.try_element_at(fits, F.lit(-1))
+    joined = joined.withColumn("_hit", hit["_v"])
+    return joined.select(*[F.col(c) for c in left.columns if c not in values], *[F.col("_hit").getField(v).alias(v) for v in values])
 
 
 def _day(value) -> Column:

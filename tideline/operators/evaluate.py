@@ -60,7 +60,8 @@ def block_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, block: in
 
     Block sums are prepared once per start row with a row frame (wrapping through a doubled
     prefix sum), so a repetition is a sum over n/block looked-up sums rather than over n rows.
-    The last block of a repetition is cut so that every repetition has n terms.
+    The last block of a repetition is cut so that every repetition has n terms. A series of at most
+    one block has a mean and no limits.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     rows = df.filter(F.col(x).isNotNull()).select(*keys, order, F.col(x).alias("v"))
@@ -79,7 +80,8 @@ def block_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, block: in
     b = a.join(p.withColumnRenamed("prefix", "to_sum").withColumnRenamed("i", "j"), [*keys, "j"])
     part = F.col("to_sum") - F.col("from_sum") + F.when(F.col("wraps"), F.col("total")).otherwise(0.0)
     means = b.groupBy(*keys, "n", "total", "rep").agg((F.sum(part) / F.first("n")).alias("m"))
-    return means.groupBy(*keys, "n").agg((F.first("total") / F.first("n")).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    limits = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return total.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean")).join(limits, keys, "left")
 
 
 def iid_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, seed: str = "7", order: str = "session") -> DataFrame:

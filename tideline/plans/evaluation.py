@@ -4,8 +4,9 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from tideline.functions.numeric import clip, flag, normal_quantile, sdiv, student_t_tail, truth
+from tideline.functions.numeric import clip, flag, sdiv, student_t_tail, truth
 from tideline.operators import evaluate as evl, returns as rt, rules as rl
+from tideline.operators.ranking import rank_all
 from tideline.operators.rolling import by_symbol, ewm_means, gated, pct_change, trailing
 from tideline.plans import signals as sg
 from tideline.plans.catalog import query
@@ -220,25 +221,33 @@ def _(spark, d):
     return evl.newey_west(views.net_returns(spark, d), ["strategy", "symbol"], "net", 5)
 
 
+BLOCK_REPS = 1000  # repetitions of the interval
+PATH_REPS = 200  # paths of the resampled ratio; each redraws the whole series
+
+
 @query("a25_block_bootstrap", "strategy:s symbol:s n:i mean:8 low:7 high:7",
-       """WITH v AS (SELECT strategy, symbol, net AS v, row_number() OVER (PARTITION BY strategy, symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY strategy, symbol) AS n FROM net_returns),
-          k AS (SELECT strategy, symbol, any_value(n) AS n, avg(v) AS mean FROM v GROUP BY 1, 2 HAVING any_value(n) > 21),
-          s AS (SELECT k.*, rep.range AS rep, slot.range AS slot, ('0x' || substr(md5('42:' || rep.range || ':' || slot.range), 1, 8))::BIGINT % n AS start FROM k, range(0, 40) rep, range(0, 200) slot WHERE slot.range < ceil(n / 21.0)),
-          m AS (SELECT s.strategy, s.symbol, s.rep, any_value(s.mean) AS mean, any_value(s.n) AS n, sum(v.v) / any_value(s.n) AS m FROM s, range(0, 21) o, v WHERE v.strategy = s.strategy AND v.symbol = s.symbol AND s.slot * 21 + o.range < s.n AND v.i = (s.start + o.range) % s.n GROUP BY 1, 2, 3)
-          SELECT strategy, symbol, any_value(n) AS n, any_value(mean) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1, 2""", "A25")
+       f"""WITH v AS (SELECT strategy, symbol, net AS v, row_number() OVER (PARTITION BY strategy, symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY strategy, symbol) AS n FROM net_returns),
+          c AS (SELECT *, sum(v) OVER (PARTITION BY strategy, symbol ORDER BY i) - v AS before FROM v),
+          k AS (SELECT strategy, symbol, any_value(n) AS n, avg(v) AS mean, sum(v) AS total FROM v GROUP BY 1, 2),
+          s AS (SELECT k.*, rep.range AS rep, slot.range AS slot, ('0x' || substr(md5('42:' || rep.range || ':' || slot.range), 1, 8))::BIGINT % n AS i FROM k, range(0, {BLOCK_REPS}) rep, range(0, 2000) slot WHERE n > 21 AND slot.range < ceil(n / 21.0)),
+          z AS (SELECT *, least(21, n - slot * 21) AS size FROM s),
+          m AS (SELECT z.strategy, z.symbol, z.rep, sum(b.before - a.before + CASE WHEN z.i + size >= z.n THEN total ELSE 0 END) / any_value(z.n) AS m FROM z
+            JOIN c a ON a.strategy = z.strategy AND a.symbol = z.symbol AND a.i = z.i JOIN c b ON b.strategy = z.strategy AND b.symbol = z.symbol AND b.i = (z.i + size) % z.n GROUP BY 1, 2, 3),
+          q AS (SELECT strategy, symbol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1, 2)
+          SELECT k.strategy, k.symbol, k.n, k.mean, low, high FROM k LEFT JOIN q ON k.strategy = q.strategy AND k.symbol = q.symbol""", "A25")
 def _(spark, d):
-    return evl.block_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=40, block=21)
+    return evl.block_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=BLOCK_REPS, block=21)
 
 
 @query("a25_path_bootstrap", "strategy:s symbol:s sharpe_low:5 sharpe_high:5 drawdown_low:6",
-       """WITH v AS (SELECT strategy, symbol, net AS v, row_number() OVER (PARTITION BY strategy, symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY strategy, symbol) AS n FROM net_returns),
+       f"""WITH v AS (SELECT strategy, symbol, net AS v, row_number() OVER (PARTITION BY strategy, symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY strategy, symbol) AS n FROM net_returns),
           k AS (SELECT strategy, symbol, any_value(n) AS n FROM v GROUP BY 1, 2),
-          s AS (SELECT k.*, rep.range AS rep, slot.range AS slot, ('0x' || substr(md5('7:' || rep.range || ':' || slot.range), 1, 8))::BIGINT % n AS i FROM k, range(0, 12) rep, range(0, 10000) slot WHERE slot.range < n),
+          s AS (SELECT k.*, rep.range AS rep, slot.range AS slot, ('0x' || substr(md5('7:' || rep.range || ':' || slot.range), 1, 8))::BIGINT % n AS i FROM k, range(0, {PATH_REPS}) rep, range(0, 10000) slot WHERE slot.range < n),
           p AS (SELECT s.strategy, s.symbol, s.rep, s.slot, v.v, sum(ln(1 + v.v)) OVER (PARTITION BY s.strategy, s.symbol, s.rep ORDER BY s.slot ROWS UNBOUNDED PRECEDING) AS lg FROM s JOIN v ON v.strategy = s.strategy AND v.symbol = s.symbol AND v.i = s.i),
           o AS (SELECT strategy, symbol, rep, avg(v) / CASE WHEN stddev_pop(v) > 1e-12 THEN stddev_pop(v) END * sqrt(252) AS s, min(dd) AS d FROM (SELECT *, exp(lg - greatest(max(lg) OVER (PARTITION BY strategy, symbol, rep ORDER BY slot ROWS UNBOUNDED PRECEDING), 0)) - 1 AS dd FROM p) GROUP BY 1, 2, 3)
           SELECT strategy, symbol, quantile_cont(s, 0.05) AS sharpe_low, quantile_cont(s, 0.95) AS sharpe_high, quantile_cont(d, 0.05) AS drawdown_low FROM o GROUP BY 1, 2""", "A25")
 def _(spark, d):
-    return evl.iid_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=12)
+    return evl.iid_bootstrap(views.net_returns(spark, d), ["strategy", "symbol"], "net", reps=PATH_REPS)
 
 
 @query("a26_placebo", "symbol:s n:i mean:8 t_stat:5",
@@ -389,12 +398,11 @@ STRICT = "num_trades >= 5 AND abs(max_drawdown) <= 0.9 AND win_rate >= 0.2 AND d
 
 
 @query("p10_strict_filter", "place:i symbol:s label:s long_score:4",
-       f"SELECT row_number() OVER (ORDER BY round(long_score, 6) DESC, round(dir_precision, 6) DESC, symbol, label) AS place, symbol, label, long_score FROM scored WHERE months = 24 AND {STRICT} QUALIFY place <= 100", "P10 L01")
+       f"SELECT row_number() OVER (ORDER BY round(long_score, 6) DESC, round(dir_precision, 6) DESC, symbol, label) AS place, symbol, label, long_score FROM scored WHERE months = 24 AND {STRICT}", "P10 L01")
 def _(spark, d):
     s = scored(spark, d).filter(f"months = 24 AND {STRICT}")
-    order = [F.round("long_score", 6).desc(), F.round("dir_precision", 6).desc(), F.col("symbol"), F.col("label")]
-    top = s.orderBy(*order).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return rank_all(s.withColumn("_s", F.round("long_score", 6)).withColumn("_d", F.round("dir_precision", 6)),
+                    [F.col("_s").desc(), F.col("_d").desc(), "symbol", "label"], "place")
 
 
 @query("l02_top_per_bucket", "symbol:s label:s roles:s",

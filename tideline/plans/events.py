@@ -27,11 +27,15 @@ def cdf_sql(x: str) -> str:
 
 
 def t_tail_sql(t: str, df: str) -> str:
-    """Needs a subquery-free pair of scalar texts; the transform is repeated in line."""
-    a = f"({df} - 0.5::DOUBLE)"
-    z = f"sqrt({a} * ln(1.0::DOUBLE + ({t}) * ({t}) / {df}))"
-    u = f"({z} + (pow({z}, 3) + 3.0::DOUBLE * {z}) / (48.0::DOUBLE * {a} * {a}))"
-    return f"(1.0::DOUBLE - {cdf_sql(u)})"
+    """One-sided tail for whole degrees of freedom by the finite trigonometric series, which shares nothing with
+    the continued fraction of the Spark side."""
+    v = f"CAST({df} AS BIGINT)"
+    angle = f"atan(abs({t}) / sqrt({v}))"
+    even = (f"sin({angle}) * coalesce(list_sum(list_transform(range(0, {v} // 2), lambda k: "
+            f"exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos({angle}), 2 * k))), 0)")
+    odd = (f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), lambda k: "
+           f"exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos({angle}), 2 * k + 1))), 0))")
+    return f"((1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END) / 2)"
 
 
 add_view("ev_returns", "SELECT symbol, sector, session, ret1 AS r, idx_ret1 AS m, rn - 2 AS p FROM features WHERE ret1 IS NOT NULL")
@@ -209,7 +213,7 @@ def _(spark, d):
     c = dense.select(*key, "pos", F.when((F.count("ra").over(a) >= 20) & (F.count("ra").over(b) >= 10),
                                          F.corr("ra", "rb").over(b) - F.corr("ra", "rb").over(a)).alias("delta"))
     days = views.samples(spark, d).groupBy("event_date").agg(F.count("*").alias("k"))
-    at = asof_join(days, views.sessions(spark, d), "event_date", "session", ["session", "pos"], forward=True, bucket_days=365)
+    at = asof_join(days, views.sessions(spark, d), "event_date", "session", ["session", "pos"], forward=True)
     k = at.filter("pos >= 65").groupBy("pos").agg(F.sum("k").alias("k"))
     j = c.filter("delta IS NOT NULL").join(k, "pos")
     return j.groupBy(*key).agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("delta")) / F.sum("k")).alias("corr_delta_mean"))
@@ -468,7 +472,7 @@ def _(spark, d):
     zs = h.select("session", *[((F.col(c) - F.max_by(c, "session").over(allr)) / F.stddev_samp(c).over(allr)).alias(c) for c in dims])
     zs = zs.withColumn("distance", F.sqrt(sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0)) / 3)).select("session", "distance")
     days = views.samples(spark, d).groupBy("event_date").agg(F.count("*").alias("n")).withColumn("limit_day", F.date_sub("event_date", 1))
-    x = asof_join(days, zs, "limit_day", "session", ["session", "distance"], bucket_days=365).filter("distance IS NOT NULL")
+    x = asof_join(days, zs, "limit_day", "session", ["session", "distance"]).filter("distance IS NOT NULL")
     # Cumulative sample counts over distinct dates find the cut-off of the nearest half.
     run = Window.partitionBy(F.lit(1)).orderBy("distance", "event_date").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("keep", F.ceil(F.sum("n").over(allr) * 0.5))

@@ -28,7 +28,7 @@ def _(spark, d):
 def _(spark, d):
     done = views.intraday(spark, d).select("symbol", (F.col("bar") + F.expr("INTERVAL 1 HOUR")).alias("bar_end"), "close")
     j = asof_join(views.ticks(spark, d).select("event_id", "symbol", "ts"), done, "ts", "bar_end", ["bar_end", "close"],
-                  ["symbol"], bucket_days=1)
+                  ["symbol"], grain="hour")
     return j.withColumnRenamed("close", "bar_close")
 
 
@@ -54,7 +54,7 @@ def _(spark, d):
                  F.when(F.count("*").over(four) >= 2, F.sum("revenue").over(four)).alias("revenue_ttm"),
                  pct_change("revenue", 4, w).alias("growth"))
     j = asof_join(views.bars(spark, d).select("symbol", "session", "close"), q, "session", "visible",
-                  ["visible", "revenue_ttm", "growth"], ["symbol"], bucket_days=365)
+                  ["visible", "revenue_ttm", "growth"], ["symbol"])
     return j.withColumn("price_to_revenue", sdiv("close", F.col("revenue_ttm") / 1000000))
 
 
@@ -65,7 +65,7 @@ def _(spark, d):
     s = views.samples(spark, d)
     days = s.select("event_date").distinct()
     anchored = asof_join(days, views.sessions(spark, d).withColumnRenamed("session", "anchor"), "event_date", "anchor",
-                         ["anchor", "pos"], forward=True, bucket_days=365)
+                         ["anchor", "pos"], forward=True)
     return s.join(anchored, "event_date", "left")
 
 
@@ -111,7 +111,7 @@ def _(spark, d):
     s = views.samples(spark, d).withColumn("limit_day", F.date_sub("event_date", 1))
     days = s.select("limit_day").distinct()
     env = asof_join(days, views.market(spark, d).withColumnRenamed("session", "feature_date"), "limit_day", "feature_date",
-                    ["feature_date", "vix"], bucket_days=365)
+                    ["feature_date", "vix"])
     return s.join(env, "limit_day", "left")
 
 
@@ -139,7 +139,7 @@ def _(spark, d):
     days = views.samples(spark, d).select("event_date").distinct().withColumn(
         "metric", F.explode(F.array(F.lit("rate"), F.lit("vol"), F.lit("index"))))
     h = metric_history(spark, d).filter("value IS NOT NULL")
-    j = asof_join(days, h, "event_date", "obs", ["obs", "value"], ["metric"], bucket_days=365)
+    j = asof_join(days, h, "event_date", "obs", ["obs", "value"], ["metric"])
     p = j.groupBy("event_date").pivot("metric", ["rate", "vol", "index"]).agg(F.max("value"))
     return p.withColumnRenamed("index", "index_level")
 

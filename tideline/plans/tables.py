@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip, finite, flag, logistic, logit, sdiv, truth
 from tideline.operators import features as feat, rules as rl
-from tideline.operators.ranking import cluster_safe_boundaries, walk_boundaries
+from tideline.operators.ranking import cluster_safe_boundaries, rank_all, walk_boundaries
 from tideline.operators.rolling import by_symbol, pct_change, trailing
 from tideline.plans import evaluation as evq, signals as sg
 from tideline.plans.catalog import query
@@ -375,13 +375,18 @@ def _(spark, d):
     return f.select("symbol", "session", feat.direction_label("target_return", 0.005).alias("label"), (F.col("target_return") * F.col("ret5") > 0).cast("int").alias("aligned"))
 
 
+def priority_grid(rows, order: list, cap: int | None = None):
+    """All rows in order of priority; a caller may ask for the first ``cap`` only."""
+    ranked = rank_all(rows, order, "place")
+    return ranked if cap is None else ranked.filter(F.col("place") <= cap)
+
+
 @query("l08_priority_grid", "place:i symbol:s label:s distance:4 long_score:4",
-       r"""SELECT row_number() OVER (ORDER BY distance, symbol, label) AS place, symbol, label, distance, long_score FROM (SELECT symbol, label, round(abs(CAST(regexp_extract(label, '_mq([0-9.]+)', 1) AS DOUBLE) - 0.55) + CASE WHEN label LIKE 'ret20%' THEN 0 ELSE 0.1 END + CASE WHEN label LIKE '%base' THEN 0 ELSE 0.02 END, 6) AS distance, long_score FROM scored WHERE months = 60) QUALIFY place <= 120""", "L08")
+       r"""SELECT row_number() OVER (ORDER BY distance, symbol, label) AS place, symbol, label, distance, long_score FROM (SELECT symbol, label, round(abs(CAST(regexp_extract(label, '_mq([0-9.]+)', 1) AS DOUBLE) - 0.55) + CASE WHEN label LIKE 'ret20%' THEN 0 ELSE 0.1 END + CASE WHEN label LIKE '%base' THEN 0 ELSE 0.02 END, 6) AS distance, long_score FROM scored WHERE months = 60)""", "L08")
 def _(spark, d):
     s = evq.scored(spark, d).filter("months = 60")
     dist = F.round(F.abs(F.regexp_extract("label", "_mq([0-9.]+)", 1).cast("double") - 0.55) + F.when(F.col("label").startswith("ret20"), 0.0).otherwise(0.1) + F.when(F.col("label").endswith("base"), 0.0).otherwise(0.02), 6)
-    top = s.withColumn("distance", dist).orderBy("distance", "symbol", "label").limit(120)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("distance", "symbol", "label")))
+    return priority_grid(s.withColumn("distance", dist), ["distance", "symbol", "label"])
 
 
 # ---------------------------------------------------------------- adaptive rule choice

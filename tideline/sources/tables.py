@@ -7,19 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def table_files(spark: SparkSession, folder: str, name: str) -> tuple[int, int]:
-    """Number of files and bytes of a landed table, from the file system's own summary."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    summary = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
-    return summary.getFileCount(), summary.getLength()
-
-
-def read_spread(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
-    """Projected scan for work that is heavy per row. A small table in fewer files than cores would
-    keep most cores idle, so it is dealt out once; a large table is scanned as it lies."""
-    df = read_table(spark, folder, name).select(*columns)
-    files, size = table_files(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if files < cores and size < (1 << 30) else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tideline.functions.numeric import clip, logistic, packed_order, sdiv
 from tideline.operators.rolling import by_symbol, full, pct_change
 from tideline.sources.stages import stage
-from tideline.sources.tables import read_spread, read_table
+from tideline.sources.tables import read_table
 
 BAR_TABLES = ("lineitem", "supplier", "nation", "region")
 
@@ -22,7 +22,7 @@ COST_PER_SIDE = 0.0015  # fixed value: commission 0.001 plus slippage 0.0005, on
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """One row per traded line. The quote sits on a square-root scale so that daily moves stay
     around one percent and compounded equity stays inside double range."""
-    li = read_spread(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+    li = read_table(spark, d, "lineitem").select(*["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                                             "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     # Joined one table at a time: each right side is a base table of known size, so the planner can
     # broadcast it when it is small and shuffle both sides by key when it is not.
@@ -165,7 +165,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """News records; the whole text is the body and the first line the title."""
-    return read_spread(spark, d, "documents", ["doc_id", "text", "source", "lang"]).select(
+    return read_table(spark, d, "documents").select(*["doc_id", "text", "source", "lang"]).select(
         F.col("doc_id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("body"),
         "source", "lang",
         F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id * 7919 % 2000000 AS INT), 0)")

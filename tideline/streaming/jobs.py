@@ -126,7 +126,7 @@ def enrich_stream(ticks: DataFrame, bars: DataFrame, spark: SparkSession) -> Dat
     base = work_folder(spark)
 
     def step(batch: DataFrame, _: int) -> None:
-        asof_join(batch, bars, "ts", "bar_end", ["bar_end", "bar_close"], ["symbol"], bucket_days=1).write.mode("append").parquet(f"{base}/out")
+        asof_join(batch, bars, "ts", "bar_end", ["bar_end", "bar_close"], ["symbol"], grain="hour").write.mode("append").parquet(f"{base}/out")
 
     q = ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
