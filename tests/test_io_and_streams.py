@@ -121,3 +121,29 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() > 0 and "sharpe_ratio" in df.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_records_refuse_changes_and_forget_repeats(spark, tmp_path):
+    path = str(tmp_path / "records")
+    rows = [("m", "A", dt.date(2024, 1, 2), 0.5), ("m", "A", dt.date(2024, 1, 2), 0.5), ("m", "B", dt.date(2024, 2, 2), 0.1)]
+    schema = "model string, symbol string, session date, p double"
+    jobs.record_once(spark.createDataFrame(rows, schema), path)
+    jobs.record_once(spark.createDataFrame(rows, schema), path)
+    assert spark.read.parquet(path).count() == 2
+    for changed in ([("m", "A", dt.date(2024, 1, 2), 0.6)], [("m", "C", dt.date(2024, 1, 2), 0.1), ("m", "C", dt.date(2024, 1, 2), 0.2)]):
+        with pytest.raises(Exception, match="may not change"):
+            jobs.record_once(spark.createDataFrame(changed, schema), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_enrichment_restart_adds_no_row(spark, data, tmp_path):
+    bars = spark.createDataFrame([("view", dt.datetime(2024, 1, 1), 1.0)], "symbol string, bar_end timestamp, bar_close double")
+    ticks = jobs.tick_stream(spark, data).select("event_id", "symbol", "ts")
+    first = jobs.enrich_stream(ticks, bars, spark, str(tmp_path)).count()
+    assert jobs.enrich_stream(ticks, bars, spark, str(tmp_path)).count() == first == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+@pytest.mark.parametrize("column", ["future_5d_direction", "Trend", "signal", "out_close", "ret_after_event", "my_future", "technical"])
+def test_guard_names_every_leak(column):
+    with pytest.raises(ValueError, match=column):
+        files.assert_no_leakage(["close", column])

@@ -179,13 +179,38 @@ SELECT theme AS event_id, list_sort(list_distinct(list(CASE WHEN size > 495000 T
 FROM samples GROUP BY 1""")
 
 
+AS_OF, SAMPLES_FROM = "1998-01-01", "1993-01-01"  # decision day and first day of the history
+
+
+@query("p25_event_samples", "event_id:s sample_id:i event_date:d comparability:2",
+       f"""SELECT DISTINCT u.event_id, s.sample_id, s.event_date, CASE WHEN s.category = list_min(u.categories) THEN 1.0 ELSE 0.75 END AS comparability
+          FROM upcoming u JOIN samples s ON list_has_any(u.categories, [s.category, s.theme]) WHERE s.event_date < DATE '{AS_OF}' AND s.event_date >= DATE '{SAMPLES_FROM}'""", "P25")
+def _(spark, d):
+    return event_samples(upcoming(spark, d).withColumn("category", F.array_min("categories")), views.samples(spark, d), AS_OF, SAMPLES_FROM)
+
+
+def event_samples(events, samples, as_of: str, start: str = "1900-01-01"):
+    """Earlier samples that share a category with an event: comparability 1.0 for the event's own category, 0.75 for
+    any other shared one. Dates before the decision day only; one row per sample and date."""
+    past = samples.filter((F.col("event_date") < F.lit(as_of).cast("date")) & (F.col("event_date") >= F.lit(start).cast("date")))
+    past = past.select("sample_id", "event_date", F.col("category").alias("_own"), F.explode(F.array_distinct(F.array("category", "theme"))).alias("tag"))
+    met = events.select("event_id", "category", F.explode("categories").alias("tag")).join(past, "tag")
+    return met.groupBy("event_id", "sample_id", "event_date").agg(
+        F.max(F.when(F.col("_own") == F.col("category"), 1.0).otherwise(0.75)).alias("comparability"))
+
+
+def upcoming(spark, d):
+    s = views.samples(spark, d)
+    return s.groupBy("theme").agg(F.collect_set(F.when(F.col("size") > 495000, F.col("category"))).alias("big")).select(
+        F.col("theme").alias("event_id"), F.array_distinct(F.concat("big", F.array("theme"))).alias("categories"))
+
+
 @query("j11_array_overlap", "event_id:s n_samples:i avg_size:4",
        """SELECT u.event_id, count(*) AS n_samples, avg(s.size) AS avg_size FROM upcoming u JOIN samples s
           ON list_has_any(u.categories, [s.category, s.theme]) GROUP BY 1""", "J11 P25")
 def _(spark, d):
     s = views.samples(spark, d)
-    up = s.groupBy("theme").agg(F.collect_set(F.when(F.col("size") > 495000, F.col("category"))).alias("big")).select(
-        F.col("theme").alias("event_id"), F.array_distinct(F.concat("big", F.array("theme"))).alias("categories"))
+    up = upcoming(spark, d)
     # Samples collapse to one row per category set before they meet the events.
     sets = s.groupBy(F.array("category", "theme").alias("tags")).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     met = up.select("event_id", F.explode("categories").alias("tag")).join(

@@ -23,10 +23,12 @@ def _(spark, d):
 
 
 @query("t02_sliding_news", "start:t n:i mean_x:6",
-       """SELECT w AS start, count(*) AS n, avg(length(body)) AS mean_x FROM (SELECT *, unnest([date_trunc('day', published_at), date_trunc('day', published_at) - INTERVAL 1 DAY, date_trunc('day', published_at) - INTERVAL 2 DAY]) AS w FROM articles) GROUP BY 1""", "T02")
+       """SELECT w AS start, count(*) AS n, avg(length(body)) AS mean_x FROM (SELECT *, unnest([date_trunc('day', published_at), date_trunc('day', published_at) - INTERVAL 1 DAY, date_trunc('day', published_at) - INTERVAL 2 DAY]) AS w FROM articles) GROUP BY 1
+          HAVING w + INTERVAL 3 DAY <= (SELECT max(published_at) - INTERVAL 1 DAY FROM articles)""", "T02")
 def _(spark, d):
-    a = views.articles(spark, d).select(F.col("published_at").cast("timestamp").alias("ts"), F.length("body").cast("double").alias("x"))
-    return jobs.sliding_counts(a)
+    raw = spark.readStream.schema(read_table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    a = views.shape_articles(raw).select(F.col("published_at").cast("timestamp").alias("ts"), F.length("body").cast("double").alias("x"))
+    return jobs.run_to_table(jobs.sliding_counts(a), spark)
 
 
 @query("t03_activity_sessions", "user_id:i start:t n:i volume:2",
@@ -89,10 +91,13 @@ def _(spark, d):
 @query("t10_record_sink", "model:s symbol:s records:i sessions:i",
        "SELECT 'baseline' AS model, symbol, count(*) AS records, count(DISTINCT session) AS sessions FROM signals GROUP BY 2", "T10")
 def _(spark, d):
-    path = jobs.work_folder(spark) + "/records"
+    base = jobs.work_folder(spark)
+    path = base + "/records"
     batch = views.signals(spark, d).select(F.lit("baseline").alias("model"), "symbol", "session", F.round("prob_up", 9).alias("prob_up"))
-    jobs.record_once(batch, path)
-    jobs.record_once(batch, path)  # a retried batch changes nothing
+    batch.write.parquet(f"{base}/landed")
+    for state in ("first", "restarted"):  # a restart that lost its checkpoint sees the same records and adds none
+        stream = spark.readStream.schema(batch.schema).parquet(f"{base}/landed")
+        jobs.record_sink(stream, path, f"{base}/{state}").awaitTermination()
     return spark.read.parquet(path).groupBy("model", "symbol").agg(F.count("*").alias("records"), F.count_distinct("session").alias("sessions"))
 
 

@@ -15,6 +15,7 @@ from tideline.plans.joins import metric_history
 from tideline.plans.records import story
 from tideline.plans.sqlviews import add_view
 from tideline.sources import views
+from tideline.sources.files import audit_columns
 from tideline.sources.tables import read_table
 
 
@@ -272,6 +273,18 @@ def _(spark, d):
                     (sdiv("q.price", F.lag("last_price").over(Window.partitionBy("symbol").orderBy("day"))) - 1).alias("change"))
 
 
+_AUDIT = ["symbol", "session", "close", "volume", "ret1", "ret20", "vol60", "target_return"]
+
+
+@query("p07_column_audit", "column:s role:s reason:s non_null:i",
+       " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{'label' if c == 'target_return' else 'excluded' if c == 'future_return' else 'price_input' if c in ('close', 'volume') else 'feature'}' AS role, '{'label or decision field' if c == 'future_return' else ''}' AS reason, count({'target_return' if c == 'future_return' else c}) AS non_null FROM features"""
+                          for c in [*_AUDIT, "future_return"]), "P07")
+def _(spark, d):
+    # a copy of the label under a label-side name must be found out
+    f = views.features(spark, d).select(*_AUDIT, F.col("target_return").alias("future_return"))
+    return audit_columns(f, prices=("close", "volume"), labels=("target_return",))
+
+
 _PROFILE = ["ret1", "ret20", "z20", "vol60", "target_return"]
 
 

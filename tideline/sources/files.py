@@ -4,18 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Label-side columns, prefixes and parts of names.
 FORBIDDEN_NAMES = {"label_end_at", "fit_at", "decision_at", "output_window", "output_timestamps", "future_return", "future_returns",
-                   "future_1d_return", "future_3d_return", "future_5d_return"}  # fixed values: label-side columns
+                   "future_1d_return", "future_3d_return", "future_5d_return", "future_1d_direction", "future_3d_direction",
+                   "future_5d_direction", "volatility_shock", "downside_tail_risk", "trend", "alignment", "signal", "position", "direction"}
 FORBIDDEN_PREFIXES = ("out_", "overall_", "output_", "future_")
+FORBIDDEN_PARTS = ("future", "post_event", "after_event")
+MIXED_COLUMNS = {"technical": "holds input and output readings together; only parsed in_ keys are allowed"}
 
 
-def assert_no_leakage(columns: list[str]) -> None:
+def leak_reason(column: str, extra: tuple[str, ...] = ()) -> str | None:
+    """Why a column may not be a feature; None if it may. ``extra`` names label columns of the caller."""
+    name = column.strip().lower()
+    if name in FORBIDDEN_NAMES or name in extra:
+        return "label or decision field"
+    if name.startswith(FORBIDDEN_PREFIXES):
+        return "prefix of the label side"
+    if any(p in name for p in FORBIDDEN_PARTS):
+        return "names a later time"
+    return MIXED_COLUMNS.get(name)
+
+
+def assert_no_leakage(columns: list[str], extra: tuple[str, ...] = ()) -> None:
     """Refuse feature frames that carry label-side columns."""
-    bad = sorted(c for c in columns if c.lower() in FORBIDDEN_NAMES or c.lower().startswith(FORBIDDEN_PREFIXES))
+    bad = {c: r for c in columns if (r := leak_reason(c, extra))}
     if bad:
         raise ValueError(f"feature frame contains label-side columns: {bad}")
 
 
+def audit_columns(df: DataFrame, text: tuple[str, ...] = (), prices: tuple[str, ...] = (), labels: tuple[str, ...] = ()) -> DataFrame:
+    """column, role (news_text, price_input, label, excluded, feature), reason and non-null rows of every column."""
+    def role(c: str) -> str:
+        return ("label" if c in labels else "excluded" if leak_reason(c) else "news_text" if c in text
+                else "price_input" if c in prices else "feature")
+
+    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(role(c)).alias("role"), F.lit(leak_reason(c) or "").alias("reason"),
+                              F.col(f"c{i}").alias("non_null")) for i, c in enumerate(df.columns)])
+    return one.select(F.inline(rows))
+
+
 def read_bars_csv(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Daily bars; both dates inclusive, required columns enforced by the schema."""
     df = spark.read.csv(path, header=True, enforceSchema=False, mode="FAILFAST",

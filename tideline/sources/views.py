@@ -165,7 +165,12 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """News records; the whole text is the body and the first line the title."""
-    return read_table(spark, d, "documents").select(*["doc_id", "text", "source", "lang"]).select(
+    return shape_articles(read_table(spark, d, "documents"))
+
+
+def shape_articles(raw: DataFrame) -> DataFrame:
+    """News records from landed texts, bounded or streamed."""
+    return raw.select(
         F.col("doc_id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("body"),
         "source", "lang",
         F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id * 7919 % 2000000 AS INT), 0)")

@@ -6,10 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, StringType, TimestampType
 
+from tideline.functions.numeric import packed_order
+from tideline.operators.asof import asof_join
 from tideline.session import shared_folder
 
 TICK_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -44,7 +47,7 @@ def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    seq = F.struct("ts", "event_id")
+    seq = packed_order((F.unix_micros("ts"), 18), ("event_id", 19))
     g = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width).alias("w")).agg(
         F.min_by("price", seq).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", seq).alias("close"),
         F.sum("size").alias("volume"), F.count("*").alias("n"))
@@ -96,41 +99,51 @@ def parse_lines(lines: DataFrame, schema: str = "event_id BIGINT, ts TIMESTAMP,
 def record_once(batch: DataFrame, path: str) -> None:
     """Append records whose identity (model, symbol, session) is new; refuse a changed record.
 
-    Rerunning the same batch adds nothing, so the sink is safe under retries.
+    Repeats inside the batch are written once; two different records of one identity, in the batch or against
+    the history, fail the write before anything is committed. The table is partitioned by the month of the
+    session, so a batch reads the months that it touches. Rerunning a batch adds nothing.
     """
     spark = batch.sparkSession
     ident = ["model", "symbol", "session"]
     body = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in batch.columns]).cast("binary"), 256)
-    new = batch.withColumn("identity_hash", body)
+    new = batch.withColumn("identity_hash", body).dropDuplicates(["identity_hash"]).withColumn("month", F.date_format("session", "yyyy-MM"))
+    twice = F.count("*").over(Window.partitionBy(*ident)) > 1
+    refuse = F.raise_error(F.lit("a recorded forecast may not change")).cast("string")
+    new = new.withColumn("_twice", twice).withColumn("identity_hash", F.when(F.col("_twice"), refuse).otherwise(F.col("identity_hash"))).drop("_twice")
     try:
-        old = spark.read.parquet(path).select(*ident, F.col("identity_hash").alias("_old"))
-    except Exception as e:  # noqa: BLE001 - the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+        old = spark.read.parquet(path)
+    except AnalysisException as e:  # the first batch finds no table
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        new.write.mode("append").parquet(path)
-        return
-    changed = new.join(old, ident).filter("identity_hash <> _old")
-    if not changed.isEmpty():
-        raise ValueError("a recorded forecast may not change")
-    new.join(old, ident, "left_anti").write.mode("append").parquet(path)
+    else:
+        old = old.join(new.select("month").distinct(), "month", "left_semi").select(*ident, F.col("identity_hash").alias("_old"))
+        new = new.join(old, ident, "left")
+        same = F.when(F.col("_old") != F.col("identity_hash"), refuse).otherwise(F.col("_old"))
+        new = new.withColumn("_old", same).filter("_old IS NULL").drop("_old")
+    try:
+        new.repartition("month").write.mode("append").partitionBy("month").parquet(path)
+    except PySparkException as e:
+        if "a recorded forecast may not change" in str(e):
+            raise ValueError("a recorded forecast may not change") from e
+        raise
 
 
 def record_sink(stream: DataFrame, path: str, state: str):
     return stream.writeStream.foreachBatch(lambda b, _: record_once(b, path)).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def enrich_stream(ticks: DataFrame, bars: DataFrame, spark: SparkSession) -> DataFrame:
-    """Attach the last closed bar to each tick, batch by batch, with the bucketed as-of join."""
-    from tideline.operators.asof import asof_join
-
-    base = work_folder(spark)
+def enrich_stream(ticks: DataFrame, bars: DataFrame, spark: SparkSession, base: str | None = None) -> DataFrame:
+    """Attach the last closed bar to each tick, batch by batch, with the as-of join. Every batch owns a folder that
+    a retry replaces."""
+    base = base or work_folder(spark)
 
-    def step(batch: DataFrame, _: int) -> None:
-        asof_join(batch, bars, "ts", "bar_end", ["bar_end", "bar_close"], ["symbol"], grain="hour").write.mode("append").parquet(f"{base}/out")
+    def step(batch: DataFrame, number: int) -> None:
+        joined = asof_join(batch, bars, "ts", "bar_end", ["bar_end", "bar_close"], ["symbol"], grain="hour")
+        joined.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     q = ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 VWAP_OUT = StructType([StructField("symbol", StringType()), StructField("day", StringType()), StructField("event_id", LongType()),
@@ -176,23 +189,23 @@ class EwmState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         p = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        s = list(self.state.get()) if self.state.exists() else None
-        out = []
-        for x in p["price"].to_numpy():
-            if s is None:
-                s = [x, x, None, None, x]
-            else:
-                chg = x - s[4]
-                s[0] += (x - s[0]) * 2 / 13
-                s[1] += (x - s[1]) * 2 / 27
-                up, down = max(chg, 0.0), max(-chg, 0.0)
-                s[2] = up if s[2] is None else s[2] + (up - s[2]) / 14
-                s[3] = down if s[3] is None else s[3] + (down - s[3]) / 14
-                s[4] = x
-            out.append((s[0], s[1], 100 - 100 / (1 + s[2] / s[3]) if s[3] else None))
-        self.state.update(tuple(None if v is None else float(v) for v in s))
-        f = pd.DataFrame(out, columns=["fast", "slow", "rsi"], index=p.index)
-        yield pd.DataFrame({"symbol": key[0], "event_id": p["event_id"], "ts": p["ts"], "fast": f["fast"], "slow": f["slow"], "rsi": f["rsi"].astype(float)})
+        held = self.state.get() if self.state.exists() else (None,) * len(self.FIELDS)
+        fast, slow, gain, loss, last = held
+        x = p["price"].astype(float)
+        change = x.diff() if last is None else x - x.shift(fill_value=last)
+
+        def carried(values: pd.Series, alpha: float, before: float | None) -> pd.Series:
+            """Exponential mean that goes on from the carried value, which counts as the first element."""
+            head = [] if before is None else [pd.Series([before])]
+            out = pd.concat([*head, values], ignore_index=True).ewm(alpha=alpha, adjust=False).mean()
+            return out.iloc[len(head):].set_axis(values.index)
+
+        f = pd.DataFrame({"fast": carried(x, 2 / 13, fast), "slow": carried(x, 2 / 27, slow),
+                          "gain": carried(change.clip(lower=0), 1 / 14, gain), "loss": carried(-change.clip(upper=0), 1 / 14, loss), "last": x})
+        rsi = (100 - 100 / (1 + f["gain"] / f["loss"])).where(f["loss"] > 0)
+        end = f.iloc[-1]
+        self.state.update(tuple(None if pd.isna(end[n]) else float(end[n]) for n in self.FIELDS))
+        yield pd.DataFrame({"symbol": key[0], "event_id": p["event_id"], "ts": p["ts"], "fast": f["fast"], "slow": f["slow"], "rsi": rsi})
 
     def close(self) -> None:
         pass
