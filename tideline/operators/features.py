@@ -105,7 +105,7 @@ def research_block(f: DataFrame) -> DataFrame:
         (sdiv("open", F.lag("close").over(w)) - 1).alias("overnight"), F.col("vol_ratio").alias("volume_ratio"),
         (F.col("p20") - 1).alias("price_ma20"), (F.col("p60") - 1).alias("price_ma60"),
         clip(pct_change("volume", 1), -0.99, 10.0).alias("volume_change"), "vol20", "vol60",
-        "ret1", "ret5", "ret20", "ret60",
+        "ret1", "ret5", "ret20", "ret60", F.lead("session", 2).over(w).alias("label_end_at"),
         (sdiv(F.lead("open", 2).over(w), F.lead("open", 1).over(w)) - 1).alias("research_target"))
 
 

@@ -4,10 +4,11 @@ a fit sees many partitions; only fold and parameter lists are driver-side."""
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, NGram, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -18,11 +19,35 @@ FEATURES = ["ret1", "ret5", "ret20", "ret60", "vol20", "vol60", "day_range", "ov
 
 
 def model_frame(block: DataFrame) -> DataFrame:
-    """Research rows with a mature target; ``t`` orders the calendar between 0 and 1."""
+    """Research rows with a mature target; ``t`` orders the calendar between 0 and 1 and ``t_end`` is the place of
+    the session on which the label is known."""
     d = block.filter("research_target IS NOT NULL").withColumn("label", (F.col("research_target") > 0).cast("double"))
     day = F.datediff("session", F.lit("1970-01-01").cast("date"))
     span = d.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()  # two numbers of the calendar
-    return d.withColumn("t", (day - F.lit(span.a)) / F.lit(max(1, (span.b or 1) - (span.a or 0))))
+    width = F.lit(max(1, (span.b or 1) - (span.a or 0)))
+    end = F.datediff("label_end_at", F.lit("1970-01-01").cast("date"))
+    return d.withColumn("t", (day - F.lit(span.a)) / width).withColumn("t_end", (end - F.lit(span.a)) / width)
+
+
+def mature(d: DataFrame, cut: float) -> DataFrame:
+    """Rows that may teach a model whose first decision is at ``cut``: their labels are known before it."""
+    return d.filter(F.col("t_end") < cut)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Effort of the iterative fits. The defaults are those of a full research run; the registered queries name
+    smaller ones, so that all of them together stay in minutes on one machine."""
+
+    boosting_rounds: int = 180
+    trees: int = 300
+    text_trees: int = 200
+    text_depth: int = 8
+    iterations: int = 100
+    trials: int = 40
+
+
+QUERY_SIZES = Sizes(boosting_rounds=8, trees=12, text_trees=20, text_depth=8, iterations=25, trials=4)
 
 
 def _stages(estimator):
@@ -31,9 +56,10 @@ def _stages(estimator):
                             StandardScaler(inputCol="raw_v", outputCol="features", withMean=True), estimator])
 
 
-def estimators(seed: int = 42) -> dict[str, object]:
-    return {"logistic_0.2": LogisticRegression(regParam=0.05, maxIter=25), "logistic_1.0": LogisticRegression(regParam=0.01, maxIter=25),
-            "boosting_2": GBTClassifier(maxDepth=2, maxIter=8, stepSize=0.2, seed=seed), "forest": RandomForestClassifier(maxDepth=4, numTrees=12, seed=seed)}
+def estimators(sizes: Sizes = Sizes(), seed: int = 42) -> dict[str, object]:
+    return {"logistic_0.2": LogisticRegression(regParam=0.05, maxIter=sizes.iterations), "logistic_1.0": LogisticRegression(regParam=0.01, maxIter=sizes.iterations),
+            "boosting_2": GBTClassifier(maxDepth=2, maxIter=sizes.boosting_rounds, stepSize=0.2, seed=seed),
+            "forest": RandomForestClassifier(maxDepth=4, numTrees=sizes.trees, seed=seed)}
 
 
 def probability(model, df: DataFrame, name: str) -> DataFrame:
@@ -54,29 +80,29 @@ def brier(df: DataFrame, p: str = "p") -> float:
     return df.agg(F.avg(F.pow(F.col(p) - F.col("label"), 2))).first()[0]
 
 
-def fold_predictions(d: DataFrame, cuts: list[float], names: list[str]) -> DataFrame:
-    """Expanding calendar folds: each cut trains on everything before it and predicts up to the next."""
+def fold_predictions(d: DataFrame, cuts: list[float], names: list[str], sizes: Sizes = Sizes()) -> DataFrame:
+    """Expanding calendar folds: each cut trains on all labels known before it and predicts up to the next."""
     out = None
-    est = estimators()
+    est = estimators(sizes)
     for k, cut in enumerate(cuts):
         end = cuts[k + 1] if k + 1 < len(cuts) else 1.01
-        train, test = d.filter(F.col("t") < cut - 0.002), d.filter((F.col("t") >= cut) & (F.col("t") < end))
+        train, test = mature(d, cut), d.filter((F.col("t") >= cut) & (F.col("t") < end))
         for name, m in fit_many({n: est[n] for n in names}, train).items():
             p = probability(m, test, "p").select("symbol", "session", "label", "research_target", "p", F.lit(name).alias("model"), F.lit(k).alias("fold"))
             out = p if out is None else out.unionByName(p)
     return out
 
 
-def nested_calibration(d: DataFrame, cut: float = 0.7) -> DataFrame:
+def nested_calibration(d: DataFrame, cut: float = 0.7, sizes: Sizes = Sizes()) -> DataFrame:
     """60/20/20 inside the training span: tune by Brier, choose a calibrator on a later block, refit."""
     a, b = cut * 0.6, cut * 0.8
-    core, tune, cal, train, test = (d.filter(c) for c in (
-        F.col("t") < a, (F.col("t") >= a) & (F.col("t") < b), (F.col("t") >= b) & (F.col("t") < cut), F.col("t") < cut, F.col("t") >= cut))
-    grid = {n: e for n, e in estimators().items() if n.startswith("logistic")}
+    core, train, test = mature(d, a), mature(d, cut), d.filter(F.col("t") >= cut)
+    tune, cal = mature(d.filter(F.col("t") >= a), b), mature(d.filter(F.col("t") >= b), cut)
+    grid = {n: e for n, e in estimators(sizes).items() if n.startswith("logistic")}
     models = fit_many(grid, core)
     best = min(models, key=lambda n: brier(probability(models[n], tune, "p")))
-    calib = fit_many({best: grid[best]}, d.filter(F.col("t") < b))[best]
-    base = d.filter(F.col("t") < b).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("r")).first().r
+    calib = fit_many({best: grid[best]}, mature(d, b))[best]
+    base = mature(d, b).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("r")).first().r
     mid = b + (cut - b) / 2
     cp = probability(calib, cal, "p")
 
@@ -85,7 +111,7 @@ def nested_calibration(d: DataFrame, cut: float = 0.7) -> DataFrame:
         return Pipeline(stages=[one, LogisticRegression(featuresCol="zv", regParam=0.01, maxIter=50, probabilityCol="sp", rawPredictionCol="sr", predictionCol="spred")]).fit(
             fit_on.withColumn("z", logit("p")))
 
-    early = sigmoid(cp.filter(F.col("t") < mid))
+    early = sigmoid(mature(cp, mid))
     late = early.transform(cp.filter(F.col("t") >= mid).withColumn("z", logit("p"))).withColumn("s", vector_to_array("sp").getItem(1))
     late = late.withColumn("k", F.col("p") * 0.5 + 0.5 * base)
     scores = late.agg(*[F.avg(F.pow(F.col(c) - F.col("label"), 2)).alias(n) for n, c in (("raw", "p"), ("shrink", "k"), ("sigmoid", "s"))]).first().asDict()
@@ -112,28 +138,36 @@ def select_features(d: DataFrame, k: int = 8, cap: float = 0.92) -> list[tuple[s
     return [(c, score[c]) for c in kept]
 
 
-def regressors(seed: int = 42) -> dict[str, object]:
+def regressors(sizes: Sizes = Sizes(), seed: int = 42) -> dict[str, object]:
     kw = {"labelCol": "research_target"}
-    return {"elastic": LinearRegression(regParam=0.001, elasticNetParam=0.5, maxIter=25, **kw), "forest_r": RandomForestRegressor(maxDepth=4, numTrees=10, seed=seed, **kw),
-            "boosting_r": GBTRegressor(maxDepth=2, maxIter=6, seed=seed, **kw)}
+    return {"elastic": LinearRegression(regParam=0.001, elasticNetParam=0.5, maxIter=sizes.iterations, **kw), "forest_r": RandomForestRegressor(maxDepth=4, numTrees=sizes.trees, seed=seed, **kw),
+            "boosting_r": GBTRegressor(maxDepth=2, maxIter=sizes.boosting_rounds, seed=seed, **kw)}
 
 
-def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 256) -> Pipeline:
-    """TF-IDF of one- and two-word terms beside scaled numerics, one against the rest."""
+def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 256, sizes: Sizes = Sizes()) -> Pipeline:
+    """TF-IDF of one- and two-word terms, ranked in one list, beside scaled numerics; one class against the rest.
+    Rows bring a ``weight`` that makes classes count alike."""
     nums = ["sentiment", "quality", "rel", "importance", "words"]
     stages = [VectorAssembler(inputCols=nums, outputCol="nv"), StandardScaler(inputCol="nv", outputCol="ns")]
     parts = ["ns"]
     if text:
-        stages += [RegexTokenizer(inputCol="body", outputCol="tok", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="tok", outputCol="bi")]
-        for src in ("tok", "bi"):
-            stages += [CountVectorizer(inputCol=src, outputCol=f"{src}_c", vocabSize=vocabulary // 2), IDF(inputCol=f"{src}_c", outputCol=f"{src}_v")]
-            parts.append(f"{src}_v")
+        stages += [RegexTokenizer(inputCol="body", outputCol="tok", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="tok", outputCol="bi"),
+                   SQLTransformer(statement="SELECT *, concat(tok, bi) AS terms FROM __THIS__"),
+                   CountVectorizer(inputCol="terms", outputCol="terms_c", vocabSize=vocabulary), IDF(inputCol="terms_c", outputCol="terms_v")]
+        parts.append("terms_v")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    base = LogisticRegression(regParam=0.05, maxIter=15)
-    stages.append(OneVsRest(classifier=base, featuresCol="features", labelCol="y") if kind == "logistic"
-                  else RandomForestClassifier(featuresCol="features", labelCol="y", maxDepth=4, numTrees=10, seed=42))
+    base = LogisticRegression(regParam=0.05, maxIter=sizes.iterations, weightCol="weight")
+    stages.append(OneVsRest(classifier=base, featuresCol="features", labelCol="y", weightCol="weight") if kind == "logistic" else
+                  RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxDepth=sizes.text_depth, numTrees=sizes.text_trees, seed=42))
     return Pipeline(stages=stages)
 
 
+def balanced(train: DataFrame, label: str = "y") -> DataFrame:
+    """``weight`` = rows / (classes * rows of the class); one row per class is joined."""
+    n = train.groupBy(label).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("s"), F.count("*").alias("k")).first()
+    return train.join(n, label).withColumn("weight", F.lit(float(total.s or 0)) / (F.col("_n") * F.lit(max(1, total.k)))).drop("_n")
+
+
 def class_index() -> StringIndexer:
     return StringIndexer(inputCol="target", outputCol="y", handleInvalid="keep")

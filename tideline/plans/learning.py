@@ -44,19 +44,19 @@ def _scores(p):
 
 @query("m01_fold_models", "model:s fold:i n:i brier:5 log_loss:5", None, "M01")
 def _(spark, d):
-    return _scores(md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "boosting_2"]))
+    return _scores(md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "boosting_2"], md.QUERY_SIZES))
 
 
 @query("m02_nested_calibration", "mapping:s parameter:s calibrator:s n:i brier:5", None, "M02")
 def _(spark, d):
-    p = md.nested_calibration(research(spark, d))
+    p = md.nested_calibration(research(spark, d), sizes=md.QUERY_SIZES)
     u = p.unpivot(["label", "parameter", "calibrator"], ["raw", "shrink", "sigmoid", "calibrated", "base_rate"], "mapping", "p")
     return u.groupBy("mapping", "parameter", "calibrator").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))
 
 
 @query("m03_weighted_ensemble", "symbol:s n:i brier:5 long_days:i", None, "M03")
 def _(spark, d):
-    p = md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "logistic_0.2", "forest"])
+    p = md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "logistic_0.2", "forest"], md.QUERY_SIZES)
     # Weights from the first fold, predictions from the second.
     w = _scores(p.filter("fold = 0")).select("model", F.greatest(0.26 - F.col("brier"), F.lit(0.001)).alias("w"))
     e = p.filter("fold = 1").join(w, "model").groupBy("symbol", "session", "label").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
@@ -65,19 +65,19 @@ def _(spark, d):
 
 @query("m04_feature_selection", "place:i feature:s relevance:6", None, "M04")
 def _(spark, d):
-    kept = md.select_features(research(spark, d).filter("t < 0.7"))
+    kept = md.select_features(md.mature(research(spark, d), 0.7))
     return spark.createDataFrame([(i + 1, c, s) for i, (c, s) in enumerate(kept)], "place int, feature string, relevance double")
 
 
 @query("m05_candidate_estimators", "model:s kind:s n:i error:6", None, "M05")
 def _(spark, d):
     f = research(spark, d)
-    train, test = f.filter("t < 0.7"), f.filter("t >= 0.7")
+    train, test = md.mature(f, 0.7), f.filter("t >= 0.7")
     out = None
-    for name, m in md.fit_many(md.estimators(), train).items():
+    for name, m in md.fit_many(md.estimators(md.QUERY_SIZES), train).items():
         r = md.probability(m, test, "p").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("error")).select(F.lit(name).alias("model"), F.lit("classifier").alias("kind"), "n", "error")
         out = r if out is None else out.unionByName(r)
-    for name, m in md.fit_many(md.regressors(), train).items():
+    for name, m in md.fit_many(md.regressors(md.QUERY_SIZES), train).items():
         r = m.transform(test).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2))).alias("error")).select(F.lit(name).alias("model"), F.lit("regressor").alias("kind"), "n", "error")
         out = out.unionByName(r)
     return out
@@ -89,10 +89,10 @@ def _(spark, d):
 
     f = research(spark, d)
     rng = random.Random(7)
-    trials = [(10 ** rng.uniform(-4, -0.5), round(rng.random(), 4)) for _ in range(4)]
+    trials = [(10 ** rng.uniform(-4, -0.5), round(rng.random(), 4)) for _ in range(md.QUERY_SIZES.trials)]
     rows = None
     for k, cut in enumerate((0.5, 0.75)):
-        train, test = f.filter(F.col("t") < cut), f.filter((F.col("t") >= cut) & (F.col("t") < cut + 0.25))
+        train, test = md.mature(f, cut), f.filter((F.col("t") >= cut) & (F.col("t") < cut + 0.25))
         fits = md.fit_many({i: LogisticRegression(regParam=r, elasticNetParam=e, maxIter=20) for i, (r, e) in enumerate(trials)}, train)
         for i, m in fits.items():
             p = md.probability(m, test, "p").select(F.lit(i).alias("trial"), F.lit(trials[i][0]).alias("reg"), F.lit(trials[i][1]).alias("elastic"), F.lit(k).alias("fold"), F.pow(F.col("p") - F.col("label"), 2).alias("sq"))
@@ -104,19 +104,21 @@ def labelled_news(spark, d):
     """Articles with the direction of the index over five sessions from the deciding close."""
     w = Window.orderBy("session")
     m = views.market(spark, d).select((F.col("session").cast("timestamp_ntz") + F.expr("INTERVAL 21 HOUR")).alias("market_close"),
-                                      (F.lead("idx", 5).over(w) / F.col("idx") - 1).alias("fwd5"))
+                                      (F.lead("idx", 5).over(w) / F.col("idx") - 1).alias("fwd5"),
+                                      F.unix_timestamp(F.lead("session", 5).over(w).cast("timestamp") + F.expr("INTERVAL 21 HOUR")).alias("t_end"))
     n = news(spark, d).select("doc_id", "body", "available_at", "sentiment", "quality", "rel", "importance", F.col("words").cast("double").alias("words"))
-    j = asof_join(n, m, "available_at", "market_close", ["market_close", "fwd5"], forward=True).filter("fwd5 IS NOT NULL")
+    j = asof_join(n, m, "available_at", "market_close", ["market_close", "fwd5", "t_end"], forward=True).filter("fwd5 IS NOT NULL")
     return cut_lineage(j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at")))
 
 
 def _compare(spark, d, kinds):
     n = labelled_news(spark, d)
     cut = n.agg(F.percentile_approx("t", 0.7)).first()[0]
-    n = md.class_index().fit(n).transform(n)
+    n = md.class_index().fit(md.mature(n, cut)).transform(n)  # classes are learned from training rows too
+    train = cut_lineage(md.balanced(md.mature(n, cut)))
     out = None
     for name, (kind, text) in kinds.items():
-        model = md.text_pipeline(kind, text).fit(n.filter(F.col("t") < cut))
+        model = md.text_pipeline(kind, text, sizes=md.QUERY_SIZES).fit(train)
         r = model.transform(n.filter(F.col("t") >= cut)).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
         out = r if out is None else out.unionByName(r)
     return out
