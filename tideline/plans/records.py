@@ -11,6 +11,7 @@ from tideline.operators.asof import asof_join
 from tideline.operators.ranking import rank_all
 from tideline.operators.rolling import by_symbol, gated, pct_change, rank_in_window, trailing
 from tideline.plans.catalog import query
+from tideline.plans.events import cdf_sql
 from tideline.plans.sqlviews import add_view, full as sfull
 from tideline.sources import views
 from tideline.sources.stages import stage
@@ -362,12 +363,35 @@ def implied_vol(o, rate: float = 0.04):
     return o.withColumn("solved_iv", F.nullif(F.nanvl(iv, F.lit(-1.0)), F.lit(-1.0)))
 
 
-@query("f20_implied_volatility", "occ:s session:d mid:4 solved_iv:4", None, "F20")
+def _value_sql(m: str) -> str:
+    """Option value at volatility ``m`` for the columns of the view below."""
+    d1 = f"((log_moneyness + (0.04::DOUBLE + 0.5::DOUBLE * {m} * {m}) * tau) / ({m} * sqrt(tau)))"
+    d2 = f"({d1} - {m} * sqrt(tau))"
+    return (f"CASE WHEN cp = 'C' THEN spot * {cdf_sql(d1)} - disc * {cdf_sql(d2)} ELSE disc * {cdf_sql('-' + d2)} - spot * {cdf_sql('-' + d1)} END")
+
+
+# The lower end of the interval is carried through 80 halvings of its width.
+add_view("solved_options", f"""
+SELECT *, CASE WHEN mid > 0 AND mid >= CASE WHEN cp = 'C' THEN greatest(spot - strike, 0) ELSE greatest(strike - spot, 0) END * 0.98
+   THEN list_reduce(list_prepend(0.01::DOUBLE, list_transform(range(1, 81), lambda i: 4.99::DOUBLE / pow(2.0::DOUBLE, i))),
+     lambda low, w: CASE WHEN {_value_sql('(low + w)')} > mid THEN low ELSE low + w END) + 4.99::DOUBLE / pow(2.0::DOUBLE, 81) END AS solved_iv
+FROM (SELECT *, greatest(dte, 1) / 365.0::DOUBLE AS tau, strike * exp(-0.04::DOUBLE * greatest(dte, 1) / 365.0::DOUBLE) AS disc, ln(spot / strike) AS log_moneyness FROM option_bars)""")
+
+
+@query("f20_implied_volatility", "occ:s session:d mid:4 solved_iv:4", "SELECT occ, session, mid, solved_iv FROM solved_options", "F20")
 def _(spark, d):
     return implied_vol(views.option_bars(spark, d))
 
 
-@query("a44_option_daily", "symbol:s session:d expiry:d atm_strike:2 straddle_move:6 atm_iv:4 put_minus_call:4 put_call_volume:6 iv_rank60:6", None, "A44")
+@query("a44_option_daily", "symbol:s session:d expiry:d atm_strike:2 straddle_move:6 atm_iv:4 put_minus_call:4 put_call_volume:6 iv_rank60:6",
+       """WITH e AS (SELECT symbol, session, arg_min(expiry, abs(dte - 14) * 100000 + dte) AS expiry FROM solved_options GROUP BY 1, 2),
+          x AS (SELECT o.* FROM solved_options o JOIN e USING (symbol, session, expiry)),
+          s AS (SELECT symbol, session, expiry, spot, strike, max(mid) FILTER (cp = 'C') AS cm, max(mid) FILTER (cp = 'P') AS pm, max(solved_iv) FILTER (cp = 'C') AS civ, max(solved_iv) FILTER (cp = 'P') AS piv,
+              coalesce(sum(volume) FILTER (cp = 'C'), 0) AS cv, coalesce(sum(volume) FILTER (cp = 'P'), 0) AS pv FROM x GROUP BY 1, 2, 3, 4, 5),
+          g AS (SELECT *, sum(cv) OVER k AS acv, sum(pv) OVER k AS apv, row_number() OVER (PARTITION BY symbol, session, expiry, spot ORDER BY abs(strike - spot), strike) AS place FROM s WINDOW k AS (PARTITION BY symbol, session, expiry, spot)),
+          a AS (SELECT symbol, session, expiry, strike AS atm_strike, (cm + pm) / spot AS straddle_move, (coalesce(civ, piv) + coalesce(piv, civ)) / 2 AS atm_iv, piv - civ AS put_minus_call, apv / nullif(acv, 0) AS put_call_volume FROM g WHERE place = 1),
+          l AS (SELECT *, list(atm_iv) FILTER (atm_iv IS NOT NULL) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS l FROM a)
+          SELECT *, CASE WHEN len(l) >= 20 AND atm_iv IS NOT NULL THEN (len(list_filter(l, lambda v: v < atm_iv)) + (len(list_filter(l, lambda v: v = atm_iv)) + 1) / 2.0) / len(l) END AS iv_rank60 FROM l""", "A44")
 def _(spark, d):
     o = implied_vol(views.option_bars(spark, d))
     call, put = F.col("cp") == "C", F.col("cp") == "P"
