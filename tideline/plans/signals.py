@@ -75,18 +75,22 @@ def _(spark, d):
     return ok.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("target_direction").alias("up"), F.max("label_end_at").alias("last_end"))
 
 
-_RULES = ", ".join(f"('{r['label']}', '{r['m']}', {r['mq']}, {r['vq']}, '{r['filter']}')" for r in rl.rule_grid())
-add_view("rules", f"SELECT * FROM (VALUES {_RULES}) t(label, m, mq, vq, flt)")
-add_view("rule_activity", """
-SELECT r.symbol, r.session, r.fold, r.role, r.i, r.ret1, r.target_return, r.target_direction, u.label,
-       coalesce((CASE u.m WHEN 'ret20' THEN r.ret20 ELSE r.z20 END) > t.mcut AND r.vol_ratio > t.vcut
-         AND (u.flt = 'base' OR (u.flt = 'index_up' AND r.idx_ret5 > 0) OR (u.flt = 'vol_calm' AND r.vol20 < r.vol60 * 1.10)), false) AS active
-FROM fold_rows r JOIN rules u ON true JOIN (
-  SELECT symbol, fold, u.label, quantile_cont(CASE u.m WHEN 'ret20' THEN ret20 ELSE z20 END, CASE WHEN any_value(u.mq) = 0.5 THEN 0.5 ELSE 0.6 END) AS mcut,
-         quantile_cont(vol_ratio, 0.45) AS vcut FROM fold_rows, rules u WHERE role = 'train' GROUP BY 1, 2, 3) t
-  ON t.symbol = r.symbol AND t.fold = r.fold AND t.label = u.label""".replace(
-    "quantile_cont(CASE u.m WHEN 'ret20' THEN ret20 ELSE z20 END, CASE WHEN any_value(u.mq) = 0.5 THEN 0.5 ELSE 0.6 END)",
-    "CASE WHEN any_value(u.mq) = 0.5 THEN quantile_cont(CASE u.m WHEN 'ret20' THEN ret20 ELSE z20 END, 0.5) ELSE quantile_cont(CASE u.m WHEN 'ret20' THEN ret20 ELSE z20 END, 0.6) END"))
+add_view("rule_frame", """
+SELECT f.*, avg(f.ret1) OVER (PARTITION BY f.sector, f.session) AS sector_ret1, t.rsi_14, t.macd_hist, o.obv_signal, c.pre_holiday, c.pre_holiday_momentum, p.breadth5, p.mean5, s.net3, s.stress
+FROM features f LEFT JOIN technical_rows t ON t.symbol = f.symbol AND t.session = f.session LEFT JOIN obv_rows o ON o.symbol = f.symbol AND o.session = f.session
+LEFT JOIN calendar_rows c ON c.symbol = f.symbol AND c.session = f.session LEFT JOIN peers p ON p.session = f.session
+LEFT JOIN (SELECT session, sum(net) OVER (ORDER BY session ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS net3, negative AS stress FROM shocks) s ON s.session = f.session""")
+add_view("rule_fold_rows", f"""
+SELECT b.*, f.fold, CASE WHEN b.i < {TRAIN} + f.fold * {TEST} THEN 'train' ELSE 'test' END AS role
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS len
+      FROM rule_frame WHERE target_return IS NOT NULL) b, range(0, 200) f(fold)
+WHERE {TRAIN} + f.fold * {TEST} < b.len AND b.i >= f.fold * {TEST} AND b.i < {TRAIN} + f.fold * {TEST} + {TEST}""")
+_CUTS = ", ".join(f"quantile_cont({c}, {q}) AS {n}" for n, c, q in rl.cut_columns())
+_MASKS = ", ".join(f"{{'label': '{r['label']}', 'active': {rl.mask_sql(r)}}}" for r in rl.rule_grid())
+add_view("rule_activity", f"""
+SELECT symbol, session, fold, role, i, ret1, target_return, target_direction, u.label AS label, u.active AS active FROM (
+  SELECT r.symbol, r.session, r.fold, r.role, r.i, r.ret1, r.target_return, r.target_direction, unnest([{_MASKS}]) AS u
+  FROM rule_fold_rows r JOIN (SELECT symbol, fold, {_CUTS} FROM rule_fold_rows WHERE role = 'train' GROUP BY 1, 2) t ON t.symbol = r.symbol AND t.fold = r.fold)""")
 add_view("rule_signals", """
 SELECT a.symbol, a.session, a.fold, a.label, a.i, a.ret1, a.target_return, a.target_direction, a.active,
        CASE WHEN a.active THEN f.p ELSE 0.5 END AS prob_up, CASE WHEN a.active THEN f.move ELSE 0.0 END AS expected,
@@ -98,8 +102,25 @@ FROM rule_activity a JOIN (
 WHERE a.role = 'test'""")
 
 
+def build_rule_frame(spark, d):
+    """Features with every column that a rule predicate reads; the peer columns are one row per session."""
+    f = views.features(spark, d)
+    key = ["symbol", "session"]
+    shocks = feat.peer_shocks(f).select("session", F.sum("net").over(Window.orderBy("session").rowsBetween(-2, 0)).alias("net3"), F.col("negative").alias("stress"))
+    f = f.withColumn("sector_ret1", F.avg("ret1").over(Window.partitionBy("sector", "session")))
+    return (f.join(feat.technical_block(views.features(spark, d)).select(*key, "rsi_14", "macd_hist"), key, "left")
+            .join(feat.obv(views.bars(spark, d)).select(*key, "obv_signal"), key, "left")
+            .join(feat.calendar_block(views.features(spark, d)).select(*key, "pre_holiday", "pre_holiday_momentum"), key, "left")
+            .join(feat.peer_cross_section(views.features(spark, d)).select("session", "breadth5", "mean5"), "session", "left")
+            .join(shocks, "session", "left"))
+
+
+def rule_frame(spark, d):
+    return stage(spark, d, "rule_frame", views.BAR_TABLES, build_rule_frame)
+
+
 def activity(spark, d):
-    f = fold_rows(spark, d)
+    f = fd.with_folds(fd.number_rows(rule_frame(spark, d).filter("target_return IS NOT NULL")), TRAIN, TEST)
     return rl.rule_activity(f, rl.fold_thresholds(f))
 
 

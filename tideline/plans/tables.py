@@ -404,7 +404,8 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- adaptive rule choice
 _Q = (0.55, 0.60, 0.65, 0.70)  # fixed values: searched quantiles
-_FILTERS = {"index_up": "idx_ret5 > 0", "vix_calm": "vix_chg5 < vix80", "vol_calm": "vol20 < vol60 * 1.2", "trend_up": "p60 > 1.0"}
+_FILTERS = {"rsi_below_75": "rsi_14 < 75", "sector_up": "sector_ret1 > 0", "index_up": "idx_ret1 > 0", "vix_calm": "vix_chg5 < vix80",
+            "vol_calm": "vol20 < vol60 * 1.2", "trend_up": "p60 > 1.0", "no_bad_holiday": "NOT (pre_holiday = 1 AND pre_holiday_momentum < 0)"}
 _SETS = [(), *[(f,) for f in _FILTERS], *itertools.combinations(_FILTERS, 2)]
 
 
@@ -416,13 +417,16 @@ _SPEC_SQL = ", ".join(f"({i}, {mq}, {vq}, '{'+'.join(flt)}', {len(flt)})" for i,
 _THR = ", ".join(f"quantile_cont(r.ret20, {x}) AS m{int(x * 100 + 0.5)}, quantile_cont(r.vol_ratio, {x}) AS v{int(x * 100 + 0.5)}" for x in _Q)
 
 
+_FILTER_SQL = " ".join(f"AND (NOT contains(sp.flt, '{k}') OR {c})" for k, c in _FILTERS.items())
+
+
 @query("w36_adaptive_rule", "symbol:s spec:i momentum_q:2 volume_q:2 filters:s score:5",
-       f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM features WHERE target_return IS NOT NULL),
+       f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rule_frame WHERE target_return IS NOT NULL),
           k AS (SELECT DISTINCT symbol, n, f.fold, n - 189 + f.fold * 63 AS s0 FROM b, range(0, 3) f(fold) WHERE n >= 273),
           t AS (SELECT k.symbol, k.fold, k.s0, {_THR}, quantile_cont(r.vix_chg5, 0.8) AS vix80 FROM k JOIN b r ON r.symbol = k.symbol AND r.i < k.s0 GROUP BY 1, 2, 3),
           sp AS (SELECT * FROM (VALUES {_SPEC_SQL}) s(spec, mq, vq, flt, nf)),
           x AS (SELECT b.symbol, t.fold, sp.spec, b.i, b.target_return AS r, coalesce(b.ret20 > CASE sp.mq WHEN 0.55 THEN m55 WHEN 0.60 THEN m60 WHEN 0.65 THEN m65 ELSE m70 END AND b.vol_ratio > CASE sp.vq WHEN 0.55 THEN v55 WHEN 0.60 THEN v60 WHEN 0.65 THEN v65 ELSE v70 END
-               AND (NOT contains(sp.flt, 'index_up') OR b.idx_ret5 > 0) AND (NOT contains(sp.flt, 'vix_calm') OR b.vix_chg5 < t.vix80) AND (NOT contains(sp.flt, 'vol_calm') OR b.vol20 < b.vol60 * 1.2) AND (NOT contains(sp.flt, 'trend_up') OR b.p60 > 1.0), false) AS a
+               {_FILTER_SQL}, false) AS a
               FROM t JOIN b ON b.symbol = t.symbol AND b.i >= t.s0 AND b.i < t.s0 + 63, sp),
           e AS (SELECT *, a AND NOT coalesce(lag(a) OVER (PARTITION BY symbol, fold, spec ORDER BY i), false) AS entry FROM x),
           f AS (SELECT symbol, fold, spec, count(*) FILTER (a) AS n, count(*) FILTER (entry) AS trades, avg(r) FILTER (a) AS m, stddev_pop(r) FILTER (a) AS sd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) FILTER (a) AS win, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS cov,
@@ -433,7 +437,7 @@ _THR = ", ".join(f"quantile_cont(r.ret20, {x}) AS m{int(x * 100 + 0.5)}, quantil
           SELECT symbol, spec, mq AS momentum_q, vq AS volume_q, flt AS filters, score FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, spec) = 1""", "W36 P12 J14")
 def _(spark, d):
     w = Window.partitionBy("symbol")
-    b = views.features(spark, d).filter("target_return IS NOT NULL").withColumn("i", F.row_number().over(w.orderBy("session")) - 1).withColumn("n", F.count("*").over(w)).filter("n >= 273")
+    b = sg.rule_frame(spark, d).filter("target_return IS NOT NULL").withColumn("i", F.row_number().over(w.orderBy("session")) - 1).withColumn("n", F.count("*").over(w)).filter("n >= 273")
     start = lambda f: F.col("n") - 189 + f * 63
     # Training rows serve every later fold; validation rows exactly one.
     tr = b.withColumn("fold", F.explode(F.array_compact(F.array(*[F.when(F.col("i") < start(f), f) for f in range(3)]))))
@@ -447,9 +451,11 @@ def _(spark, d):
         for f in flt:
             ok = ok & F.col(f)
         specs.append(ok)
-    x = va.select("symbol", "fold", "i", "r", F.posexplode(F.array(*specs)).alias("spec", "a"))
-    prev = F.lag("a").over(Window.partitionBy("symbol", "fold", "spec").orderBy("i"))
-    e = x.withColumn("entry", F.col("a") & ~F.coalesce(prev, F.lit(False)))
+    # the previous day's masks are one lag of an array: one sort by symbol and fold, not by specification
+    masks = va.select("symbol", "fold", "i", "r", F.array(*specs).alias("on"))
+    masks = masks.withColumn("was", F.lag("on").over(Window.partitionBy("symbol", "fold").orderBy("i")))
+    pairs = F.zip_with("on", F.coalesce("was", F.transform("on", lambda a: F.lit(False))), lambda a, p: F.struct(a.alias("a"), (a & ~p).alias("entry")))
+    e = masks.select("symbol", "fold", "r", F.posexplode(pairs).alias("spec", "p")).select("symbol", "fold", "r", "spec", "p.a", "p.entry")
     ar = F.when(F.col("a"), F.col("r"))
     g = e.groupBy("symbol", "fold", "spec").agg(
         F.count(ar).alias("n"), F.sum(F.col("entry").cast("int")).alias("trades"), F.avg(ar).alias("m"), F.stddev_pop(ar).alias("sd"), F.avg((ar > 0).cast("int")).alias("win"), F.avg(F.col("a").cast("int")).alias("cov"),

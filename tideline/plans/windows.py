@@ -73,9 +73,11 @@ def _(spark, d):
     return feat.atr(views.bars(spark, d))
 
 
-@query("w07_obv", "symbol:s session:d obv:3 obv_signal:4",
-       f"""SELECT *, obv - obv_ema AS obv_signal FROM ({ewm("(SELECT *, sum(sgn * volume) OVER (PARTITION BY symbol ORDER BY session ROWS UNBOUNDED PRECEDING) AS obv FROM (SELECT *, coalesce(sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY session)), 0) AS sgn FROM bars))",
-            {"obv_ema": ("obv", span(10), 1)})})""", "W07")
+add_view("obv_rows", f"""SELECT *, obv - obv_ema AS obv_signal FROM ({ewm("(SELECT *, sum(sgn * volume) OVER (PARTITION BY symbol ORDER BY session ROWS UNBOUNDED PRECEDING) AS obv FROM (SELECT *, coalesce(sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY session)), 0) AS sgn FROM bars))",
+            {"obv_ema": ("obv", span(10), 1)})})""")
+
+
+@query("w07_obv", "symbol:s session:d obv:3 obv_signal:4", "SELECT * FROM obv_rows", "W07")
 def _(spark, d):
     return feat.obv(views.bars(spark, d))
 
@@ -159,8 +161,7 @@ def _(spark, d):
     return feat.research_block(views.features(spark, d)).filter("rn > 60")
 
 
-@query("w15_technical_block", "symbol:s session:d p20:8 p60:8 z20:6 vol20:8 vol60:8 vol_ratio:6 atr_ratio:8 ema_10_ratio:8 ema_20_ratio:8 ema_50_ratio:8 macd_hist:8 rsi_14:6 rsi_divergence:i",
-       f"""WITH e AS ({ewm('features', {**EMAS, "e12": ("close", span(12), 12), "e26": ("close", span(26), 26)})}),
+add_view("technical_rows", f"""WITH e AS ({ewm('features', {**EMAS, "e12": ("close", span(12), 12), "e26": ("close", span(26), 26)})}),
            m AS ({ewm('(SELECT *, e12 - e26 AS line FROM e)', {"sig": ("line", span(9), 9)})}),
            r AS ({ewm("(SELECT *, greatest(chg, 0.0) AS up, greatest(-chg, 0.0) AS down FROM (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY session) AS chg, greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY session)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY session))) AS tr FROM m) WHERE chg IS NOT NULL)",
                       {"ag": ("up", 1 / 14, 14), "al": ("down", 1 / 14, 14)})}),
@@ -168,7 +169,10 @@ def _(spark, d):
            SELECT *, {sfull('avg', 'tr', 14)} / close AS atr_ratio, close / ema10 AS ema_10_ratio, close / ema20 AS ema_20_ratio,
              close / ema50 AS ema_50_ratio, (line - sig) / close AS macd_hist,
              CASE WHEN close = {sfull('max', 'close', 20)} AND rsi_14 < lag(rsi_14, 5) OVER (PARTITION BY symbol ORDER BY session)
-               THEN 1 ELSE 0 END AS rsi_divergence FROM t WHERE rn > 60""".replace("FROM t WHERE rn > 60", "FROM t QUALIFY rn > 60"), "W15 J01")
+               THEN 1 ELSE 0 END AS rsi_divergence FROM t""")
+
+
+@query("w15_technical_block", "symbol:s session:d p20:8 p60:8 z20:6 vol20:8 vol60:8 vol_ratio:6 atr_ratio:8 ema_10_ratio:8 ema_20_ratio:8 ema_50_ratio:8 macd_hist:8 rsi_14:6 rsi_divergence:i", "SELECT * FROM technical_rows WHERE rn > 60", "W15 J01")
 def _(spark, d):
     return feat.technical_block(views.features(spark, d)).filter("rn > 60")
 
@@ -199,20 +203,20 @@ def _(spark, d):
     return feat.market_state(views.features(spark, d))
 
 
-@query("w18_calendar_block", "symbol:s session:d next_gap:i prev_gap:i next_holiday:i prev_holiday:i pre_holiday:i post_holiday:i holiday_week:i pre_holiday_momentum:8",
-       """SELECT *, CASE WHEN next_gap >= 3 AND next_holiday = 1 THEN 1 ELSE 0 END AS pre_holiday,
+add_view("calendar_rows", """SELECT *, CASE WHEN next_gap >= 3 AND next_holiday = 1 THEN 1 ELSE 0 END AS pre_holiday,
             CASE WHEN prev_gap >= 3 AND prev_holiday = 1 THEN 1 ELSE 0 END AS post_holiday,
             CASE WHEN next_gap >= 3 AND next_holiday = 1 THEN ret5 ELSE 0 END AS pre_holiday_momentum
           FROM (SELECT symbol, session, ret5, greatest(coalesce(nx - session, 1), 1) AS next_gap,
             greatest(coalesce(session - pv, 1), 1) AS prev_gap,
             CASE WHEN nx IS NOT NULL AND EXISTS (SELECT 1 FROM range(1, 5000) t(i) WHERE i < nx - session AND isodow(session + CAST(i AS INT)) <= 5) THEN 1 ELSE 0 END AS next_holiday,
             CASE WHEN pv IS NOT NULL AND EXISTS (SELECT 1 FROM range(1, 5000) t(i) WHERE i < session - pv AND isodow(pv + CAST(i AS INT)) <= 5) THEN 1 ELSE 0 END AS prev_holiday,
-            CASE WHEN open_days < 5 + CASE WHEN isodow(session) IN (6, 7) THEN 0 WHEN isodow(session) IN (1, 2) THEN 1 WHEN isodow(session) IN (4, 5) THEN 1 ELSE 1 END THEN 1 ELSE 0 END AS hw_unused,
             CASE WHEN open_days < (SELECT count(*) FROM range(-2, 6) t(i) WHERE isodow(session + CAST(i AS INT)) <= 5) THEN 1 ELSE 0 END AS holiday_week
           FROM (SELECT symbol, session, ret5, lead(session) OVER w AS nx, lag(session) OVER w AS pv,
             count(*) FILTER (isodow(session) <= 5) OVER (PARTITION BY symbol ORDER BY session RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND INTERVAL 5 DAY FOLLOWING) AS open_days
-            FROM features WINDOW w AS (PARTITION BY symbol ORDER BY session)))""".replace(
-           "CASE WHEN open_days < 5 + CASE WHEN isodow(session) IN (6, 7) THEN 0 WHEN isodow(session) IN (1, 2) THEN 1 WHEN isodow(session) IN (4, 5) THEN 1 ELSE 1 END THEN 1 ELSE 0 END AS hw_unused,\n            ", ""), "W18 U05")
+            FROM features WINDOW w AS (PARTITION BY symbol ORDER BY session)))""")
+
+
+@query("w18_calendar_block", "symbol:s session:d next_gap:i prev_gap:i next_holiday:i prev_holiday:i pre_holiday:i post_holiday:i holiday_week:i pre_holiday_momentum:8", "SELECT * FROM calendar_rows", "W18 U05")
 def _(spark, d):
     return feat.calendar_block(views.features(spark, d))
 
