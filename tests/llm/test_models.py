@@ -28,10 +28,16 @@ def test_decoding(letters, written, meant):
 
 def test_plain_words_pass(letters):
     restorer = toxicity.Restorer(letters)
-    assert restorer.words("The house, is open!!! ||| 42") == {"the", "house", "is", "open"}
+    assert restorer.marked("The house, is open!!! ||| 42 cold$$$").strip("^$").split("$^") == ["the", "house", "is", "open", "cold"]
+    assert "^idiot$" in restorer.marked("an 1d10t!") and "^loser$" in restorer.marked("l o s e r")
     assert toxicity.restored_text("A l0s3r, i d i o t house.", letters) == "A loser, idiot house."
 
 
+def test_hint_misses_nothing_to_restore():
+    for word in ("1d10t", "st.u.p.i.d", "tr@sh", "stuuupid", "$tupid", "id1ot", "idi*t", "a$$", "i d i o t", "x.i.d.i.o.t"):
+        assert toxicity._HINT.search(f"some {word} there")
+
+
 def test_letter_counts_cover_the_corpus(spark):
     docs = spark.createDataFrame([("ab c",), (None,), ("",), ("ab",)], "text string").repartition(3)
     counts = {(r.kind, r.slot): r.n for r in toxicity.letter_counts(docs).collect()}

@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from tideline.llm.common import arrow_by_bytes, mix, odd_constants, saved, slice
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 16_000
-#: Features of the classifier, chosen among 2**HASH_BITS by chi-squared.
-FEATURES = 4096
+#: Hash slots of n-grams, chosen among 2**HASH_BITS by chi-squared, whose n-grams are the classifier's features.
+FEATURES = 2048
 HASH_BITS = 20
 #: Slots of the hashed trigram and context counts.
 LM_SLOTS = 1 << 18
@@ -48,9 +49,18 @@ SEPARATORS = frozenset(".-_*~'`^,:;/\\ ")
 #: Costs in nats: a look-alike, a masked letter, a separator or repeat dropped, a sign kept as a break.
 LOOK, MASK, DROP, KEEP = 0.7, 2.5, 0.5, 6.0
 
-_SUSPECT = re.compile(r"(.)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|^[$@€£¡|(<{][^\W\d_]|[^\W\d_][$@€£]+$")
+_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|^[$@€£¡|(<{][^\W\d_]|[^\W\d_][$@€£]{1,2}$")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,}(?!\S)")
+#: Whether a text may hold anything to restore at all; a superset of the two patterns above.
+_HINT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s.,;:!?]|[^\W\d_][.,;:!?]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|[$@€£¡|(<{][^\W\d_]|(?:(?<!\S)[^\W\d_][ .\-_*]{1,2}){3}")
 _EDGES = ".,;:?!\"')]}&%#*"
+#: A sign three or more times at a word's end is ornament, no letter.
+_ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+
+
+def core(written: str) -> str:
+    """A written word without ornaments and punctuation at its ends."""
+    return _ORNAMENT.sub("", written.rstrip(".,;:?!")).rstrip(_EDGES).lstrip("\"'([{.,;:&%#*")
 
 
 def _hash(points: np.ndarray, n: int) -> np.ndarray:
@@ -146,33 +156,31 @@ def suspicious(word: str) -> bool:
 
 
 class Restorer:
-    """Restored words of texts, remembered by written word."""
+    """Decodings of suspicious words, remembered by written word."""
 
-    def __init__(self, model: LetterModel, most: int = 500_000):
+    def __init__(self, model: LetterModel, most: int = 100_000):
         self.model, self.most, self.seen = model, most, {}
 
-    def word(self, written: str) -> tuple[str, ...]:
-        """The word as letters, and its decoding where it may hide another."""
+    def word(self, written: str) -> str:
+        """What a suspicious word may mean, as words with a blank between; empty for all others."""
         found = self.seen.get(written)
         if found is None:
             if len(self.seen) >= self.most:
                 self.seen.clear()
-            core = written.rstrip(_EDGES).lstrip("\"'([{.,;:&%#*")
-            plain = tuple(x for x in _OTHER.split(core) if x)
-            if core and suspicious(core) and any(map(str.isalpha, core)):
-                plain += tuple(x for x in decode(core, self.model).split() if x)
-            found = self.seen[written] = tuple(dict.fromkeys(plain))
+            inner = core(written)
+            found = decode(inner, self.model) if suspicious(inner) and any(map(str.isalpha, inner)) else ""
+            self.seen[written] = found
         return found
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of a text, restored ones included; runs of single letters are tried as one word."""
+    def marked(self, text: str) -> str:
+        """``^word$^word$...``: the words of a text, lower-cased letters only, and behind them the restored ones.
+        Runs of single letters are tried as one word."""
         low = text.lower()
-        out: set[str] = set()
-        for written in set(_SPLIT.findall(low)):
-            out.update(self.word(written))
-        for m in _SPACED.finditer(low):
-            out.update(decode(m[0], self.model).split())
-        return out
+        parts = [low]
+        if _HINT.search(low):
+            parts += filter(None, map(self.word, set(_SPLIT.findall(low))))
+            parts += [decode(m[0], self.model) for m in _SPACED.finditer(low)]
+        return "^" + _OTHER.sub("$^", " ".join(parts)) + "$"
 
 
 def restored_text(text: str, model: LetterModel) -> str:
@@ -180,42 +188,53 @@ def restored_text(text: str, model: LetterModel) -> str:
     text = _SPACED.sub(lambda m: decode(m[0].lower(), model), text)
 
     def one(m: re.Match) -> str:
-        core = m[0].lower().rstrip(_EDGES)
-        return decode(core, model) + m[0][len(core):] if suspicious(core) and any(map(str.isalpha, core)) else m[0]
+        inner = core(m[0])
+        if not suspicious(inner.lower()) or not any(map(str.isalpha, inner)):
+            return m[0]
+        return m[0].replace(inner, decode(inner.lower(), model))
 
     return _SPLIT.sub(one, text)
 
 
-def slots_of(word: str) -> set[int]:
-    """Hashed features of a word: itself and its n-grams of 4 to 6 letters, word ends marked."""
+def grams_of(word: str) -> set[str]:
+    """Features of a word: itself and its n-grams of 4 to 6 letters, word ends marked."""
     marked = f"^{word}$"
-    grams = {marked} | {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
-    return {zlib.crc32(g.encode()) & ((1 << HASH_BITS) - 1) for g in grams}
+    return {marked} | {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
+
+
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & ((1 << HASH_BITS) - 1)
+
+
+class Matcher:
+    """The features of a marked text, all found in one walk of an automaton."""
+
+    def __init__(self, grams: list[str]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for k, gram in enumerate(grams):
+            self.automaton.add_word(gram, k)
+        self.automaton.make_automaton()
+        self.empty = not grams
+
+    def __call__(self, marked: str) -> list[int]:
+        return [] if self.empty else sorted({k for _, k in self.automaton.iter(marked)})
 
 
 @dataclass
 class Scorer:
     letters: LetterModel
-    weights: dict[int, float]
+    grams: list[str]
+    weights: np.ndarray
     bias: float
 
     def reader(self):
-        """A function from text to score that remembers words."""
-        restorer, known = Restorer(self.letters), {}
-
-        def features(word: str) -> tuple[int, ...]:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= 1_000_000:
-                    known.clear()
-                found = known[word] = tuple(s for s in slots_of(word) if s in self.weights)
-            return found
+        """A function from text to score."""
+        restorer, matcher = Restorer(self.letters), Matcher(self.grams)
 
         def score(text: str) -> float:
-            hit: set[int] = set()
-            for word in restorer.words(text):
-                hit.update(features(word))
-            z = self.bias + sum(self.weights[s] for s in sorted(hit))
+            z = self.bias + float(self.weights[matcher(restorer.marked(text))].sum())
             return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
         return score
@@ -235,8 +254,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, teaches: Column) -> DataFrame:
 def _fit(rows: list[np.ndarray], y: np.ndarray, n: int, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient steps with momentum; both classes weigh alike."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    col = col.astype(np.int64)
+    col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
     w, b, v, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     share = y.mean()
     importance = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
@@ -250,52 +268,78 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, n: int, steps: int = 300, l2: fl
     return w, b
 
 
+def _words(marked: str) -> set[str]:
+    return {w for w in marked[1:-1].split("$^") if w}
+
+
+def _telling_grams(seen: DataFrame, one: float, zero: float) -> list[str]:
+    """N-grams of the FEATURES hash slots that tell the classes apart best, from rows (toxic, marked)."""
+    size = 1 << HASH_BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, slots = np.zeros((2, size), dtype=np.int64), lru_cache(200_000)(lambda word: frozenset(map(_slot, grams_of(word))))
+        for batch in batches:
+            for y, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit = set().union(*map(slots, _words(marked)))
+                n[y, np.fromiter(hit, np.int64, len(hit))] += 1
+        at = np.flatnonzero(n.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], ["slot", "a", "b"])
+
+    a, b = F.col("a"), F.col("b")  # texts of class 1 and 0 that have the feature
+    found = seen.mapInArrow(counted, "slot long, a long, b long").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    gap = a * F.lit(zero) - b * F.lit(one)
+    chi = gap * gap * F.lit(one + zero) / (F.lit(one * zero) * (a + b) * (F.lit(one + zero) - a - b + 1e-9))
+    best = found.filter(a + b >= 3).withColumn("chi", chi).orderBy(F.desc("chi"), "slot").limit(FEATURES).toArrow()
+    chosen = frozenset(best["slot"].to_pylist())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for batch in batches:
+            fresh: set[str] = set()
+            for marked in batch.column(1).to_pylist():
+                for word in _words(marked) - known:
+                    known.add(word)
+                    fresh |= {g for g in grams_of(word) if _slot(g) in chosen}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh), pa.string())], ["gram"])
+
+    return sorted(seen.mapInArrow(named, "gram string").distinct().toArrow()["gram"].to_pylist())
+
+
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Scorer:
     """Fit on the labelled rows for which ``teaches`` holds; the letter model reads every row of ``docs``."""
     spark = docs.sparkSession
     arrow_by_bytes(spark)
     letters = letter_model(docs)
     shared = spark.sparkContext.broadcast(letters)  # 2 * LM_SLOTS counts
-    sample = _labelled(docs, labels, teaches)
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
         for batch in slices(batches, "text"):
-            found = []
-            for text in texts_of(batch, "text"):
-                hit: set[int] = set()
-                for word in restorer.words(text):
-                    hit |= slots_of(word)
-                found.append(np.array(sorted(hit), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "slots"])
-
-    seen = saved(sample.select("text", "toxic").mapInArrow(featured, "toxic int, slots array<int>"), "features")
-    totals = seen.groupBy("toxic").count().collect()  # two rows
-    n = {r.toxic: r["count"] for r in totals}
+            marked = [restorer.marked(text) for text in texts_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marked, pa.string())], ["toxic", "marked"])
+
+    sample = _labelled(docs, labels, teaches)
+    seen = saved(sample.select("text", "toxic").mapInArrow(restored, "toxic int, marked string"), "restored")
+    n = {r.toxic: float(r["count"]) for r in seen.groupBy("toxic").count().collect()}  # two rows
     if len(n) < 2:
-        # one class: a constant, on the side of the class that was seen
-        return Scorer(letters, {}, {(): -2.0, (0,): -2.0, (1,): 2.0}[tuple(n)])
-    one, zero = float(n[1]), float(n[0])
-    a, b = F.col("a"), F.col("b")  # texts of class 1 and 0 that have the feature
-    found = seen.select(F.explode("slots").alias("slot"), "toxic").groupBy("slot").agg(F.sum("toxic").alias("a"), (F.count("*") - F.sum("toxic")).alias("b"))
-    gap = a * F.lit(zero) - b * F.lit(one)
-    chi = gap * gap * F.lit(one + zero) / (F.lit(one * zero) * (a + b) * (F.lit(one + zero) - a - b + 1e-9))
-    best = found.filter(a + b >= 3).withColumn("chi", chi).orderBy(F.desc("chi"), "slot").limit(FEATURES).toArrow()
-    slots = np.sort(best["slot"].to_numpy())
-    chosen = spark.sparkContext.broadcast(slots)
+        # one class or none: a constant, on the side of the class that was seen
+        return Scorer(letters, [], np.zeros(0), {(): -2.0, (0,): -2.0, (1,): 2.0}[tuple(n)])
+    grams = _telling_grams(seen, n[1], n[0])
+    chosen = spark.sparkContext.broadcast(grams)
 
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(chosen.value)
         for batch in batches:
-            kept = [np.flatnonzero(np.isin(chosen.value, np.asarray(x))).astype(np.int32) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["toxic", "slots"])
+            hits = [matcher(marked) for marked in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "hits"])
 
-    rows = seen.mapInArrow(reduced, "toxic int, slots array<int>").toArrow()  # SAMPLE rows of a few features
-    w, bias = _fit([np.asarray(x) for x in rows["slots"].to_pylist()], rows["toxic"].to_numpy().astype(float), len(slots))
-    return Scorer(letters, {int(s): float(x) for s, x in zip(slots, w, strict=True) if abs(x) > 1e-6}, float(bias))
+    rows = seen.mapInArrow(matched, "toxic int, hits array<int>").toArrow()  # SAMPLE rows of a few features
+    w, bias = _fit([np.asarray(x, dtype=np.int64) for x in rows["hits"].to_pylist()], rows["toxic"].to_numpy().astype(float), len(grams))
+    return Scorer(letters, grams, w, float(bias))
 
 
 def scored(docs: DataFrame, scorer: Scorer, *columns: str) -> DataFrame:
-    """The given columns of ``docs`` (the text must be one of them), and score."""
+    """The given columns of ``docs`` (the text must be one of them), and _score."""
     spark = docs.sparkSession
     arrow_by_bytes(spark)
     shared = spark.sparkContext.broadcast(scorer)
@@ -313,4 +357,3 @@ def scored(docs: DataFrame, scorer: Scorer, *columns: str) -> DataFrame:
 
 def predicted(score: str = "_score") -> Column:
     return F.when(F.col(score) >= 0.5, 1).otherwise(0).cast("int")
-
