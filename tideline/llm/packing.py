@@ -209,9 +209,10 @@ def _grouped(items: DataFrame, limit: int, islands: int, rounds: int, seed: int)
     state = world.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
                          F.transform("items", lambda x: x["length"]).alias("lengths"),
                          F.array().cast("array<array<long>>").alias("guests"), F.lit(0.0).alias("fitness"))
-    state = state.repartition("block", "island")
+    # few bytes, much work: a stated number of partitions is not coalesced
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for number in range(rounds):
-        state = saved(state.mapInPandas(_round(limit, number), _STATE), "islands")
+        state = saved(state.repartition(tasks, F.xxhash64("block", "island")).mapInPandas(_round(limit, number), _STATE), "islands")
         if number + 1 < rounds:
             elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.slice("guests", 1, 1).alias("came"))
             state = state.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat("guests", "came").alias("guests"), "fitness")
