@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.functions.numeric import clip, flag, num, sdiv, truth
-from tideline.operators.rolling import (by_symbol, ewm_means, full, gated, pct_change, prior_quantile, span, trailing)
+from tideline.operators.rolling import (by_symbol, ewm_means, full, gated, pct_change, frame_quantiles, prior_quantile, span, trailing)
 
 
 def ewm_std(df: DataFrame, x: str, n: int, out: str, key: str = "symbol", order: str = "session") -> DataFrame:
@@ -135,7 +135,8 @@ def technical_block(f: DataFrame) -> DataFrame:
 
 def market_state(f: DataFrame) -> DataFrame:
     """Regime flags with shifted quantile cut-offs, adaptive momentum and risk budget."""
-    s = f.select("*", prior_quantile("vix", 0.7).alias("vq70"), prior_quantile("vix", 0.3).alias("vq30"))
+    s = f.select("*", frame_quantiles("vix", (0.7, 0.3), trailing(126, -1), 40).alias("_v"))
+    s = s.select("*", F.col("_v.q0").alias("vq70"), F.col("_v.q1").alias("vq30")).drop("_v")
     s = s.select(
         "*", flag(F.col("vix") > F.col("vq70")).alias("hv"), flag(F.col("vix") < F.col("vq30")).alias("lv"),
         flag((F.col("p20") > 1) & (F.col("p60") > 1) & (F.col("ret20") > 0)).alias("tu"),

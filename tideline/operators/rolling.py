@@ -44,12 +44,16 @@ def sorted_quantile(v: Column, q: float) -> Column:
     return (F.lit(1.0) + lo - at) * a + (at - lo) * b
 
 
+def frame_quantiles(x, qs: tuple[float, ...], frame: WindowSpec, min_count: int) -> Column:
+    """Struct of quantiles q0, q1, ... of a frame's values, all from one sorted array."""
+    values = F.sort_array(F.collect_list(num(x)).over(frame))
+    return bind(values, lambda v: F.when(F.size(v) >= min_count, F.struct(*[sorted_quantile(v, q).alias(f"q{i}") for i, q in enumerate(qs)])))
+
+
 def prior_quantile(x, q: float, n: int = 126, min_count: int = 40, w: WindowSpec | None = None) -> Column:
     """Quantile of the n rows before the current one: a value never sets its own cut-off. Sorting a
     short array once per row beats the map-based quantile aggregate, which is rebuilt for every frame."""
-    frame = trailing(n, -1, w)
-    values = F.sort_array(F.collect_list(num(x)).over(frame))
-    return bind(values, lambda v: F.when(F.size(v) >= min_count, sorted_quantile(v, q)))
+    return frame_quantiles(x, (q,), trailing(n, -1, w), min_count)["q0"]
 
 
 def rank_in_window(x, n: int | None, min_count: int, w: WindowSpec | None = None) -> Column:

@@ -331,10 +331,12 @@ def _(spark, d):
 @query("j27_business_day_lookup", "symbol:s date:d prior_day:d next_day:d",
        """WITH days AS (SELECT DISTINCT b.symbol, e.event_date AS date FROM (SELECT DISTINCT symbol FROM bars) b, (SELECT DISTINCT event_date FROM samples) e)
           SELECT d.symbol, d.date, p.session AS prior_day, n.session AS next_day FROM days d ASOF LEFT JOIN bars p ON d.symbol = p.symbol AND d.date >= p.session
-          ASOF LEFT JOIN bars n ON d.symbol = n.symbol AND d.date <= n.session WHERE p.session IS NOT NULL AND n.session IS NOT NULL""", "J27")
+          ASOF LEFT JOIN bars n ON d.symbol = n.symbol AND d.date <= n.session""", "J27")
 def _(spark, d):
     b = views.bars(spark, d).select("symbol", "session")
     days = views.samples(spark, d).select(F.col("event_date").alias("date")).distinct()
-    nxt = forward_map(b).withColumnRenamed("anchor", "next_day")
-    prv = backward_map(b, "1900-01-01").withColumnRenamed("anchor", "prior_day")
-    return nxt.join(prv, ["symbol", "date"]).join(days, "date", "left_semi")
+    ends = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()  # two dates
+    # the maps reach beyond the sessions on one side each; a date outside a symbol's history keeps one neighbour
+    nxt = forward_map(b, first_day=ends.a).withColumnRenamed("anchor", "next_day")
+    prv = backward_map(b, ends.b).withColumnRenamed("anchor", "prior_day")
+    return nxt.join(prv, ["symbol", "date"], "full").join(days, "date", "left_semi")

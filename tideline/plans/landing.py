@@ -16,7 +16,7 @@ def _(spark, d):
 
 
 @query("s12_aligned_samples", "symbol:s samples:i input_rows:i input_keys:i last_close_sum:1",
-       "SELECT symbol, count(*) AS samples, sum(n) AS input_rows, count(*) AS input_keys, sum(close) AS last_close_sum FROM (SELECT symbol, close, count(*) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n FROM bars) GROUP BY 1", "S12")
+       "SELECT symbol, count(*) AS samples, sum(n) AS input_rows, sum(len(list_filter(['in_close', 'out_close'], lambda k: starts_with(k, 'in_')))) AS input_keys, sum(close) AS last_close_sum FROM (SELECT symbol, close, count(*) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n FROM bars) GROUP BY 1", "S12")
 def _(spark, d):
     from tideline.operators.rolling import trailing
 
@@ -29,7 +29,7 @@ def _(spark, d):
                                    F.sum(F.element_at("input_window", -1)).alias("last_close_sum"))
 
 
-@query("s13_event_table", "category:s events:i first_day:d tags:i", "SELECT category, count(*) AS events, min(event_date) AS first_day, 2 * count(*) AS tags FROM samples GROUP BY 1", "S13")
+@query("s13_event_table", "category:s events:i first_day:d tags:i", "SELECT category, count(*) AS events, min(event_date) AS first_day, sum(len([theme, CAST(importance AS VARCHAR)])) AS tags FROM samples GROUP BY 1", "S13")
 def _(spark, d):
     path = jobs.work_folder(spark) + "/events"
     s = views.samples(spark, d)
@@ -42,9 +42,9 @@ def _(spark, d):
 def _(spark, d):
     path = jobs.work_folder(spark) + "/growing"
     # Rows of one priority are torn, as in a file read while it grows.
-    line = F.when(F.col("importance") == 3, F.concat(F.col("category"), F.lit(",not-a-number"))).otherwise(F.concat_ws(",", "category", "importance"))
-    views.samples(spark, d).select(line.alias("value")).write.text(path)
-    g = spark.read.csv(path, schema="category STRING, importance INT", mode="DROPMALFORMED")
+    torn = F.when(F.col("importance") == 3, "not-a-number").otherwise(F.col("importance").cast("string"))
+    views.samples(spark, d).select("category", torn.alias("importance")).write.csv(path, header=True)
+    g = files.read_growing_csv(spark, path, "category STRING, importance INT")
     return g.filter("importance IS NOT NULL").groupBy("category").agg(F.count("*").alias("rows"), F.sum("importance").alias("total_importance"))
 
 

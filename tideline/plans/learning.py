@@ -106,7 +106,7 @@ def labelled_news(spark, d):
     m = views.market(spark, d).select((F.col("session").cast("timestamp_ntz") + F.expr("INTERVAL 21 HOUR")).alias("market_close"),
                                       (F.lead("idx", 5).over(w) / F.col("idx") - 1).alias("fwd5"),
                                       F.unix_timestamp(F.lead("session", 5).over(w).cast("timestamp") + F.expr("INTERVAL 21 HOUR")).alias("t_end"))
-    n = news(spark, d).select("doc_id", "body", "available_at", "sentiment", "quality", "rel", "importance", F.col("words").cast("double").alias("words"))
+    n = news(spark, d).join(views.articles(spark, d).select("doc_id", "body"), "doc_id").select("doc_id", "body", "available_at", "sentiment", "quality", "rel", "importance", F.col("words").cast("double").alias("words"))
     j = asof_join(n, m, "available_at", "market_close", ["market_close", "fwd5", "t_end"], forward=True).filter("fwd5 IS NOT NULL")
     return cut_lineage(j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at")))
 

@@ -56,14 +56,14 @@ def news(spark, d):
 
 
 def build_news(spark, d):
-    """Scored article table: whole text once per expression, no text leaves this projection twice."""
+    """Scored article table without its texts: whoever needs one joins the documents."""
     s = story(spark, d)
     weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in tx.SOURCE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("publisher")), F.lit(1.0))
     topics = [F.least(tx.hits("lowered", t) / 3.0, F.lit(1.0)).alias(f"s_{k}") for k, t in tx.TOPIC_TERMS.items()]
     s = s.select("*", tx.lexicon_score("lowered", weight).alias("sentiment"), *topics, tx.event_type("lowered").alias("event_type"), tx.keyword_sentiment("lowered").alias("kw"),
                  tx.source_quality("publisher").alias("quality"), tx.relevance("lowered", F.col("lang") == "en").alias("rel"), tx.word_count("lowered").alias("words"),
                  tx.story_hash("day", "title").alias("story_id"))
-    return s.withColumn("importance", tx.importance("event_type", "rel", "quality", "kw", "words"))
+    return s.withColumn("importance", tx.importance("event_type", "rel", "quality", "kw", "words")).drop("title", "body", "lowered")
 
 
 @query("f01_text_clean", "page_id:i n:i digest:s head:s",
@@ -127,7 +127,7 @@ def _(spark, d):
 
 
 @query("f09_json_cells", "event_id:i k:i bad_is_empty:i n_keys:i",
-       """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS bad_is_empty, len(json_keys(props)) AS n_keys FROM events""", "F09 S08")
+       """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN json_valid('{' || props) THEN 0 ELSE 1 END AS bad_is_empty, len(json_keys(props)) AS n_keys FROM events""", "F09 S08")
 def _(spark, d):
     e = read_table(spark, d, "events")
     m = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))

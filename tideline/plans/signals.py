@@ -6,9 +6,9 @@ from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip, flag, logistic, sdiv, truth
 from tideline.operators import features as feat, folds as fd, returns as rt, rules as rl
-from tideline.operators.rolling import by_symbol, pct_change, prior_quantile, trailing
+from tideline.operators.rolling import by_symbol, frame_quantiles, pct_change, prior_quantile, trailing
 from tideline.plans.catalog import query
-from tideline.plans.sqlviews import add_view, prior_q
+from tideline.plans.sqlviews import add_view, gated as sgated, prior_q
 from tideline.sources import views
 from tideline.sources.stages import stage
 
@@ -191,22 +191,26 @@ def build_state_signals(spark, d):
     return views.signals(spark, d).join(st, ["symbol", "session"]).join(peers, "session").join(shocks, "session")
 
 
-REGIMES = {"vix_high": ("vix >= vix_q70", lambda: F.col("vix") >= F.col("vix_q70")), "vix_low": ("vix <= vix_q35", lambda: F.col("vix") <= F.col("vix_q35")),
+# The current value is part of its own window and may be the cut-off itself: a hair's width keeps it on the same side.
+REGIMES = {"vix_high": ("vix >= vix_q70 - 1e-9", lambda: F.col("vix") >= F.col("vix_q70") - 1e-9),
+           "vix_low": ("vix <= vix_q35 + 1e-9", lambda: F.col("vix") <= F.col("vix_q35") + 1e-9),
            "index_strong": ("idx_ret5 > 0", lambda: F.col("idx_ret5") > 0), "index_weak": ("idx_ret5 <= 0", lambda: F.col("idx_ret5") <= 0),
            "breadth_strong": ("breadth5 >= 0.625", lambda: F.col("breadth5") >= 0.625), "breadth_weak": ("breadth5 <= 0.375", lambda: F.col("breadth5") <= 0.375),
            "vol_calm": ("vol20 < vol60", lambda: F.col("vol20") < F.col("vol60")), "vol_hot": ("vol20 >= vol60 * 1.2", lambda: F.col("vol20") >= F.col("vol60") * 1.2)}
 add_view("regimes", f"""
-WITH q AS (SELECT *, coalesce({prior_q('vix', 0.35, 252, 60)}, quantile_cont(vix, 0.35) OVER (PARTITION BY symbol)) AS vix_q35,
-                  coalesce({prior_q('vix', 0.7, 252, 60)}, quantile_cont(vix, 0.7) OVER (PARTITION BY symbol)) AS vix_q70 FROM state_signals)
+WITH q AS (SELECT *, coalesce({sgated('quantile_cont({x}, 0.35)', 'vix', -251, 0, 60)}, quantile_cont(vix, 0.35) OVER (PARTITION BY symbol)) AS vix_q35,
+                  coalesce({sgated('quantile_cont({x}, 0.7)', 'vix', -251, 0, 60)}, quantile_cont(vix, 0.7) OVER (PARTITION BY symbol)) AS vix_q70 FROM state_signals)
 """ + " UNION ALL ".join(f"SELECT symbol, session, position, prob_up, target_return, target_direction, '{k}' AS regime FROM q WHERE {c}" for k, (c, _) in REGIMES.items()))
 
 
 def regimes(spark, d):
-    """Long table of (row, regime) memberships; cut-offs are trailing, with a whole-sample fallback."""
+    """Long table of (row, regime) memberships; cut-offs are trailing and include the current row. The fallback for
+    the first rows is the whole sample's quantile, which looks ahead: these masks describe results and trade nothing."""
     s = state_signals(spark, d)
     whole = Window.partitionBy("symbol")
-    for q in (0.35, 0.7):
-        s = s.withColumn(f"vix_q{int(q * 100)}", F.coalesce(prior_quantile("vix", q, 252, 60), F.percentile("vix", q).over(whole)))
+    s = s.withColumn("_v", frame_quantiles("vix", (0.35, 0.7), trailing(252), 60))
+    for i, q in enumerate((0.35, 0.7)):
+        s = s.withColumn(f"vix_q{int(q * 100)}", F.coalesce(F.col("_v")[f"q{i}"], F.percentile("vix", q).over(whole)))
     member = F.explode(F.array_compact(F.array(*[F.when(truth(c()), k) for k, (_, c) in REGIMES.items()])))
     return s.select("symbol", "session", "position", "prob_up", "target_return", "target_direction", member.alias("regime"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip, flag, num, sdiv, truth
 from tideline.operators import features as feat
-from tideline.operators.rolling import (by_symbol, ewm_means, full, gated, limited_fill, pct_change, prior_quantile,
+from tideline.operators.rolling import (by_symbol, ewm_means, full, gated, limited_fill, pct_change, frame_quantiles, prior_quantile,
                                         rank_in_window, span, trailing)
 from tideline.plans.catalog import query
 from tideline.plans.sqlviews import add_view, ewm, full as sfull, gated as sgated, pct, prior_q
@@ -106,7 +106,8 @@ def _(spark, d):
 def _(spark, d):
     f = views.features(spark, d).withColumn("absret", F.abs("ret1"))
     f = f.select("symbol", "session", "absret", prior_quantile("absret", 0.9).alias("cut90"),
-                 prior_quantile("vix", 0.35, 252, 60).alias("vix_lo"), prior_quantile("vix", 0.7, 252, 60).alias("vix_hi"))
+                 frame_quantiles("vix", (0.35, 0.7), trailing(252, -1), 60).alias("v"))
+    f = f.select("symbol", "session", "absret", "cut90", F.col("v.q0").alias("vix_lo"), F.col("v.q1").alias("vix_hi"))
     return f.withColumn("shock", flag(F.col("absret") > F.col("cut90")))
 
 
