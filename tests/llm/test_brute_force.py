@@ -122,7 +122,25 @@ def test_fingerprint_components(spark):
 
 def test_connected_walks_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90)], "a long, b long")
-    assert {r.v: r.root for r in linking.connected(edges).collect()} == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
+    assert {r.v: r.root for r in linking.connected(edges, 42).collect()} == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
+
+
+def test_pair_signatures_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(9)
+    sets, truth = [], []
+    for n in (5, 40, 150, 590, 620, 1500):
+        for part in (0.7, 0.8, 0.85, 0.95):
+            x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            k = round(2 * part * n / (1 + part))
+            sets += [x[:n], x[n - k : 2 * n - k]]
+            truth.append(100 * k >= 80 * (2 * n - k))
+    table = np.concatenate([neardup.similarity_sketch(s, np.zeros(len(s), dtype=np.int64), 1) for s in sets])
+    bits, over = linking.pair_signatures(sets, table)
+    rows = [(*(x for i in (k, k + 1) for x in (bits[i].tolist(), int(over[i]), len(sets[i]))), truth[k // 2]) for k in range(0, len(sets), 2)]
+    df = spark.createDataFrame(rows, "bits array<long>, over long, n long, bits2 array<long>, over2 long, n2 long, truth boolean")
+    got = df.select(linking.within_reach(neardup.BINS, 80).alias("ok"), "truth", "n").collect()
+    assert all(r.ok for r in got if r.truth)
+    assert not all(r.ok for r in got if not r.truth)
 
 
 def test_similarity_sketch_fills_and_estimates():

@@ -29,10 +29,17 @@ def arrow_by_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, is computed once, survives lost executors."""
+#: Rows of a file of a slim intermediate table.
+FILE_ROWS = 50_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, is computed once, survives lost executors. ``rows``
+    is a bound on a slim table's rows; it then goes into as many files as they need, not one a partition."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,7 +83,7 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered; forgets all when a corpus has more words than fit."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -3,8 +3,8 @@
 Nodes that share a band key are candidates. In a bucket every node is first compared with one centre; nodes
 that linked to it, directly or through other buckets, are one component and need no comparison among
 themselves. A second round takes other centres for what is still apart. At last every pair of nodes that
-share a bucket, lie in different components and were not compared yet is compared, so that no candidate link
-between components is missed. Links are confirmed on full shingle sets.
+share a bucket, lie in different components and were not compared yet is taken once, in its first shared
+bucket, if the nodes' pair signatures allow a link; so no candidate link between components is missed. Links are confirmed on full shingle sets.
 
 Buckets are aggregated with partial results and joined back, never gathered in one task. Components are found
 by minimum labels with pointer jumping over tables in the shared folder.
@@ -16,24 +16,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, saved, shingle_hashes, slices, word_hashes
+from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, mix, saved, shingle_hashes, slices, word_hashes
 
 #: Rounds with one centre a bucket before the remaining pairs across components are listed.
 CENTRE_ROUNDS = 2
+#: Words of a node's pair signature. Sets of up to COUNTED elements are thrown into 256 cells; each cell's count is
+#: written in unary with DEPTH bits, so that common bits of two signatures, and the elements beyond DEPTH of the
+#: set that has fewer of them, bound the intersection from above: no link is lost. Larger sets have
+#: COORDINATE_BITS hashed bits of every sketch coordinate instead; a pair is left out when it seems less alike than
+#: the threshold by more than REACH standard errors, one in a billion at the threshold itself.
+SIGNATURE_WORDS = 16
+COUNTED = 600
+DEPTH = 4
+COORDINATE_BITS = 4
+REACH = 6.0
+
+
+def pair_signatures(sets: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, SIGNATURE_WORDS) signatures and the elements beyond DEPTH, from sets and their sketches."""
+    bits = np.zeros((len(sets), 64 * SIGNATURE_WORDS), dtype=np.uint8)
+    over = np.zeros(len(sets), dtype=np.int64)
+    nibbles = (mix(table) >> np.uint64(64 - COORDINATE_BITS)).astype(np.uint8)
+    for i, s in enumerate(sets):
+        if len(s) <= COUNTED:
+            counts = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=256)
+            bits[i] = (np.arange(DEPTH) < counts[:, None]).reshape(-1)
+            over[i] = np.maximum(counts - DEPTH, 0).sum()
+        else:
+            own = ((nibbles[i][:, None] >> np.arange(COORDINATE_BITS, dtype=np.uint8)) & 1).reshape(-1)
+            bits[i, : len(own)] = own
+    return np.packbits(bits, axis=1).view(np.int64), over
+
+
+def most_apart(coordinates: int, percent: int) -> int:
+    """Different bits that sketch signatures of sets at the threshold hardly ever exceed."""
+    p = 1 - percent / 100
+    mean = coordinates * p * COORDINATE_BITS / 2
+    variance = coordinates * (p * (COORDINATE_BITS + COORDINATE_BITS**2) / 4 - (p * COORDINATE_BITS / 2) ** 2)
+    return int(mean + REACH * variance**0.5)
+
+
+def within_reach(coordinates: int, percent: int) -> Column:
+    """Whether the signatures of a pair (columns bits, over, n; and the same with a 2) allow a link."""
+    def count(combine) -> Column:
+        return F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(combine(x, y))), F.lit(0), lambda a, x: a + x)
+
+    shared = count(lambda x, y: x.bitwiseAND(y)) + F.least("over", "over2")
+    apart = count(lambda x, y: x.bitwiseXOR(y))
+    small, small2 = F.col("n") <= COUNTED, F.col("n2") <= COUNTED
+    return (F.when(small & small2, 100 * shared >= percent * (F.col("n") + F.col("n2") - shared))
+            .when(~small & ~small2, apart <= most_apart(coordinates, percent)).otherwise(True))
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(v, root) with the smallest node reachable, from edges (a, b) in any direction; without loops needed."""
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.select(F.col("a").alias("v")).distinct().withColumn("root", F.col("v")), "labels")
+def connected(edges: DataFrame, rows: int) -> DataFrame:
+    """(v, root) with the smallest node reachable, from at most ``rows`` edges (a, b) in any direction."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = saved(both, "edges", 2 * rows)
+    labels = saved(both.select(F.col("a").alias("v")).distinct().withColumn("root", F.col("v")), "labels", 2 * rows)
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("low"))
-        step = labels.join(near, "v").select("v", "root", F.least("root", "low").alias("next"))
-        step = saved(step, "labels")
+        step = saved(labels.join(near, "v").select("v", "root", F.least("root", "low").alias("next")), "labels", 2 * rows)
         jump = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        labels = saved(step.join(jump, "next").select("v", F.least("next", "far").alias("root"), (F.col("root") != F.least("next", "far")).alias("moved")), "labels")
+        root = F.least("next", "far")
+        labels = saved(step.join(jump, "next").select("v", root.alias("root"), (F.col("root") != root).alias("moved")), "labels", 2 * rows)
         if labels.filter("moved").isEmpty():
             return labels.select("v", "root")
         labels = labels.select("v", "root")
@@ -66,26 +113,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return saved(wide.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
     at = lambda name: labels.select(F.col("node").alias(name), F.col("comp").alias(f"c{name}"))
-    edges = saved(links.join(at("a"), "a").join(at("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "merges")
-    if edges.isEmpty():
+    edges = links.join(at("a"), "a").join(at("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    rows = links.count()
+    if not rows:
         return labels
-    roots = connected(edges).withColumnRenamed("v", "comp")
-    return saved(labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+    roots = connected(saved(edges.distinct(), "merges", rows), rows).withColumnRenamed("v", "comp")
+    return saved(labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components", nodes)
 
 
 def _ordered(rows: DataFrame, one: str, two: str) -> DataFrame:
     return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def components(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, comp) for every node that shares a band key with another. ``reps``: node, keys; ``docs``: doc_id,
-    text of at least these nodes."""
+def components(reps: DataFrame, docs: DataFrame, width: int, percent: int, coordinates: int) -> DataFrame:
+    """(node, comp) for every node that shares a band key with another. ``reps``: node, keys, n (size), bits and
+    over (pair signature, of ``coordinates`` sketch coordinates where the set is large); ``docs``: doc_id, text of at least these nodes."""
     bands = reps.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     meets = saved(bands.join(shared.select("key", "low"), "key"), "meets")
-    nodes = saved(meets.select("node").distinct(), "nodes")
+    met = meets.count()
+    nodes = saved(meets.select("node").distinct(), "nodes", met)
+    many = nodes.count()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
     texts = saved(texts, "texts")
     labels = nodes.withColumn("comp", F.col("node"))
@@ -97,19 +147,25 @@ def components(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             told = meets.select("key", "node").join(labels, "node")
             apart = told.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"))
             apart = apart.filter("c0 <> c1 and n > 2").select("key")  # two nodes of a bucket were compared already
-            told = saved(told.join(apart, "key"), "apart")
+            told = saved(told.join(apart, "key"), "apart", met)
             if number < CENTRE_ROUNDS:
-                order = F.xxhash64(F.lit(number), "node")
+                order = F.xxhash64(F.lit(number), "key", "node")  # other centres in every bucket
                 centre = told.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("c"))
                 pairs = told.join(centre, "key").filter("comp <> c.comp").select("node", F.col("c.node").alias("centre"))
                 pairs = _ordered(pairs, "node", "centre")
             else:
-                other = told.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-                pairs = _ordered(told.join(other, "key").filter("comp < comp2"), "node", "node2")
+                short = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+                told = told.join(reps.select("node", short.alias("keys"), "bits", "over", "n"), "node")
+                other = told.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "keys", "bits", "over", "n")])
+                first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), True)
+                pairs = told.join(other, "key").filter(
+                    (F.col("comp") < F.col("comp2")) & (F.array_position("keys", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) == first)
+                    & within_reach(coordinates, percent))
+                pairs = _ordered(pairs, "node", "node2")
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs, "pairs", met)
         if pairs.isEmpty():
             break
-        seen = pairs if seen is None else saved(seen.unionByName(pairs), "seen")
-        labels = _merge(labels, confirmed(pairs, texts, width, percent))
+        seen = pairs if seen is None else saved(seen.unionByName(pairs), "seen", 2 * met)
+        labels = _merge(labels, confirmed(pairs, texts, width, percent), many)
     return labels

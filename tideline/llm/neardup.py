@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, mix, odd_constants, saved, shielded, slices
-from tideline.llm.linking import components, shingle_set
+from tideline.llm.linking import components, pair_signatures, shingle_set
 
 ROWS = 6
 BANDS = 42
@@ -80,7 +80,7 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, hi, lo (digest of the set), n_shingles, keys; no keys where only an equal set can link."""
+    """doc_id, hi, lo (digest of the set), n_shingles; keys, bits and over, empty where only an equal set can link."""
     arrow_by_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,25 +92,31 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             banded = np.flatnonzero(100 * n >= percent * (n + 1))
             many = [sets[k] for k in banded]
             owner = np.repeat(np.arange(len(many)), n[banded])
-            keys = band_keys(similarity_sketch(np.concatenate(many) if many else np.zeros(0, np.uint64), owner, len(many)))
-            found: list = [[]] * len(sets)
-            for k, row in zip(banded, keys, strict=True):
-                found[k] = row
+            table = similarity_sketch(np.concatenate(many) if many else np.zeros(0, np.uint64), owner, len(many))
+            found: list[list] = [[[]] * len(sets), [[]] * len(sets)]
+            bits, beyond = pair_signatures(many, table)
+            over = np.zeros(len(sets), dtype=np.int64)
+            over[banded] = beyond
+            for column, part in zip(found, (band_keys(table), bits), strict=True):
+                for k, row in zip(banded, part, strict=True):
+                    column[k] = row
+            lists = [pa.array(column, pa.list_(pa.int64())) for column in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(n), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "hi", "lo", "n_shingles", "keys"])
+                [batch.column(0), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(n), *lists, pa.array(over)],
+                ["doc_id", "hi", "lo", "n_shingles", "keys", "bits", "over"])
 
-    schema = "doc_id long, hi long, lo long, n_shingles long, keys array<long>"
+    schema = "doc_id long, hi long, lo long, n_shingles long, keys array<long>, bits array<long>, over long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     slim = saved(sketches(docs, width, percent), "sketches")
-    classes = saved(slim.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "classes")
+    rows = slim.count()
+    classes = saved(slim.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "classes", rows)
     first = slim.filter(F.size("keys") > 0).join(classes, ["hi", "lo"]).filter("doc_id = node")
-    reps = saved(first.select("node", "keys"), "representatives")
-    labels = components(reps, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    reps = saved(first.select("node", "keys", "bits", "over", F.col("n_shingles").alias("n")), "representatives", rows)
+    labels = components(reps, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent, BINS)
     named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
     out = slim.select("doc_id", "hi", "lo", "n_shingles").join(named, ["hi", "lo"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
@@ -120,6 +126,21 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
 
 def near_survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays: of each group the one with the smallest id."""
-    gone = saved(near_groups(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = saved(near_groups(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", docs.count())
     own, restore = shielded(docs, ("doc_id",))
     return restore(own.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+
+
+#: DuckDB twin of the query: every pair that shares a shingle is counted, then links are followed to the end.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
