@@ -64,6 +64,7 @@ QUERIES = {f.__name__: f for f in (
     op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL = {
+    "op5_near_dedup": neardup.SQL,
     "op7_exact_dedup": exact.SQL,
     "op8_line_dedup": lines.SQL,
 }
