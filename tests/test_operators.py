@@ -323,3 +323,20 @@ def test_intermediate_tables_need_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_group_quantile_of_a_group_with_nearly_all_rows(spark):
+    rnd = random.Random(6)
+    rows = [("hot" if i % 50 else "cold", float(rnd.randrange(400))) for i in range(5000)] + [("cold", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    for q in (0.0, 0.3, 0.5, 1.0):
+        got = {r.k: r.v for r in rk.group_quantile(df, ["k"], "x", q, "v").collect()}
+        for k in ("hot", "cold"):
+            assert abs(got[k] - np.quantile([x for g, x in rows if g == k and x is not None], q)) < 1e-9
+
+
+def test_running_total_restarts_with_every_key(spark):
+    rows = [(i % 3, i, i % 5) for i in range(600)]
+    got = rk.running_total(spark.createDataFrame(rows, "k int, o int, x int").repartition(5), ["k"], ["o"], "x", "s").collect()
+    for r in got:
+        assert r.s == sum(x for k, o, x in rows if k == r.k and o < r.o)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions.numeric import clip, num, sdiv
+from tideline.operators.ranking import running_total
 
 
 def right_closed_bin(p, lo: float, step: float, bins: int) -> Column:
@@ -33,11 +34,9 @@ def directional(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Rank-sum area under the curve with average ranks for ties, on distinct-score counts."""
+    """Rank-sum area under the curve with average ranks for ties, on distinct-score counts; a group may hold all rows."""
     c = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("rank", before + (F.col("n") + 1) / 2)
+    c = running_total(c, keys, [score], "n", "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     g = c.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("_r"), F.sum("pos").alias("_p"), F.sum("n").alias("_n"))
     return g.select(*keys, sdiv(F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * (F.col("_n") - F.col("_p"))).alias("auc"))
 

@@ -20,6 +20,34 @@ def rank_all(df: DataFrame, order: list, out: str) -> DataFrame:
             .drop("_p", "_k", "_before"))
 
 
+def running_total(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+    """Sum of ``x`` over the rows of the same keys before a row, in order, without gathering a key in one task:
+    range partitions are summed locally and shifted by the partitions before; a key's first value is its origin."""
+    by = [*keys, *order]
+    ordered = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    local = ordered.withColumn("_k", F.coalesce(F.sum(x).over(w), F.lit(0)))
+    sizes = ordered.groupBy("_p").agg(F.sum(x).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    whole = local.join(before, "_p").withColumn("_g", F.col("_k") + F.col("_before"))
+    origin = whole.groupBy(*keys).agg(F.min("_g").alias("_o"))
+    return whole.join(origin, keys).withColumn(out, F.col("_g") - F.col("_o")).drop("_p", "_k", "_before", "_g", "_o")
+
+
+def group_quantile(df: DataFrame, keys: list[str], x: str, q: float, out: str) -> DataFrame:
+    """Linear-interpolated quantile per group for groups of any size: distinct values with counts, their running
+    totals, and the two order statistics picked by position."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    placed = running_total(counts, keys, [x], "_c", "_b")
+    total = placed.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = placed.join(total, keys).withColumn("_at", (F.col("_n") - 1) * F.lit(float(q))).withColumn("_lo", F.floor("_at"))
+    holds = lambda i: (F.col("_b") <= i) & (i < F.col("_b") + F.col("_c"))
+    low = F.max(F.when(holds(F.col("_lo")), F.col(x)))
+    high = F.max(F.when(holds(F.least(F.col("_lo") + 1, F.col("_n") - 1)), F.col(x)))
+    part = F.max(F.col("_at") - F.col("_lo"))
+    return placed.groupBy(*keys).agg(((F.lit(1.0) - part) * low + part * high).alias(out))
+
+
 def running_max(df: DataFrame, pos: str, x: str, out: str, block: int = 50_000) -> DataFrame:
     """Running maximum along a global position: inside blocks by window, across blocks by a summary."""
     b = df.withColumn("_b", F.floor(F.col(pos) / block))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip, flag, sdiv, student_t_tail, truth
 from tideline.operators import evaluate as evl, returns as rt, rules as rl
-from tideline.operators.ranking import rank_all
+from tideline.operators.ranking import group_quantile, rank_all
 from tideline.operators.rolling import by_symbol, ewm_means, gated, pct_change, trailing
 from tideline.plans import signals as sg
 from tideline.plans.catalog import query
@@ -119,10 +119,11 @@ def _(spark, d):
 def _(spark, d):
     r = sg.regimes(spark, d)
     a = (F.col("position") > 0) & F.col("target_return").isNotNull()
-    return r.groupBy("regime").agg(
+    g = r.groupBy("regime").agg(
         F.count("*").alias("regime_days"), F.sum(a.cast("int")).alias("active_days"), F.avg(F.when(a, (F.col("target_return") > 0).cast("int"))).alias("precision"),
-        F.coalesce(F.avg(F.when(a, F.col("target_return"))), F.lit(0.0)).alias("avg_next"), F.coalesce(F.percentile(F.when(a, F.col("target_return")), 0.5), F.lit(0.0)).alias("median_next"),
-        F.avg(F.when(a, F.col("prob_up"))).alias("avg_prob"))
+        F.coalesce(F.avg(F.when(a, F.col("target_return"))), F.lit(0.0)).alias("avg_next"), F.avg(F.when(a, F.col("prob_up"))).alias("avg_prob"))
+    median = group_quantile(r.filter(a), ["regime"], "target_return", 0.5, "median")
+    return g.join(median, "regime", "left").withColumn("median_next", F.coalesce("median", F.lit(0.0)))
 
 
 @query("a20_monthly_returns", "strategy:s symbol:s year:i " + " ".join(f"m{k}:6" for k in range(1, 13)),
