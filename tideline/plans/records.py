@@ -177,6 +177,9 @@ def _(spark, d):
 AS_OF = "1999-06-01 00:00:00"
 
 
+OVERLAY_HOURS = 720  # oldest article of the overlay
+
+
 @query("a29_decayed_overlay", "lang:s article_count:i sentiment:6 signal:i confidence:6 flags:s",
        f"""WITH o AS (SELECT lang, count(*) AS article_count, sum(w * sentiment) / sum(w) AS sentiment, sum(w * s_regulatory) / sum(w) AS rg, sum(w * s_competition) / sum(w) AS cp, sum(w * s_earnings) / sum(w) AS er FROM (
              SELECT *, exp(-(epoch(TIMESTAMP '{AS_OF}') - epoch(published_at)) / 3600.0 / 72.0) AS w FROM news WHERE published_at <= TIMESTAMP '{AS_OF}' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 720 HOUR AND available_at <= TIMESTAMP '{AS_OF}') GROUP BY 1),
@@ -186,12 +189,28 @@ def _(spark, d):
     return overlay(news(spark, d))
 
 
-def overlay(n, as_of: str = AS_OF, hours: int = 720):
-    """Age-weighted sentiment per language at an instant; only articles known by then take part."""
+TOP_ARTICLES = 10  # length of the list; the list is the feature
+
+
+@query("a29_top_articles", "lang:s place:i doc_id:i published:t sentiment:6",
+       f"""SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY published_at DESC, doc_id) AS place, doc_id, published_at AS published, sentiment FROM news
+           WHERE published_at <= TIMESTAMP '{AS_OF}' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL {OVERLAY_HOURS} HOUR AND available_at <= TIMESTAMP '{AS_OF}' AND available_at >= published_at QUALIFY place <= {TOP_ARTICLES}""", "A29")
+def _(spark, d):
+    n = known_articles(news(spark, d), AS_OF, OVERLAY_HOURS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("published_at"), "doc_id"))
+    return n.withColumn("place", place).filter(F.col("place") <= TOP_ARTICLES).withColumnRenamed("published_at", "published")
+
+
+def known_articles(n, as_of: str, hours: int):
+    """Articles of the last hours that were available at an instant."""
     now = F.lit(as_of).cast("timestamp_ntz")
     age = (F.unix_timestamp(now) - F.unix_timestamp("published_at")) / 3600.0
-    n = n.filter((F.col("published_at") <= now) & (age <= hours) & (F.col("available_at") <= now) & (F.col("available_at") >= F.col("published_at")))
-    n = n.withColumn("w", F.exp(-age / 72.0))
+    return n.filter((F.col("published_at") <= now) & (age <= hours) & (F.col("available_at") <= now) & (F.col("available_at") >= F.col("published_at"))).withColumn("age", age)
+
+
+def overlay(n, as_of: str = AS_OF, hours: int = OVERLAY_HOURS):
+    """Age-weighted sentiment per language at an instant; only articles known by then take part."""
+    n = known_articles(n, as_of, hours).withColumn("w", F.exp(-F.col("age") / 72.0))
     w = F.col("w")
     g = n.groupBy("lang").agg(F.count("*").alias("article_count"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(a) for c, a in (
         ("sentiment", "sentiment"), ("s_regulatory", "rg"), ("s_competition", "cp"), ("s_earnings", "er"))])
@@ -243,6 +262,37 @@ def _(spark, d):
     return j.select("lang", "events", "months", "max_source_share", text.alias("source_counts"), F.array_join(F.array_compact(why), ";").alias("reasons"))
 
 
+# Gate of an event store, and the bases on which an availability time counts as verified.
+GATE = {"events": 250, "months": 24, "share": 0.75}
+VERIFIED = ("verified_ingestion_log", "verified_vendor_release")
+
+
+@query("p33_event_gate", "lang:s status:s events:i months:i max_source_share:6 reasons:s",
+       f"""WITH b AS (SELECT lang, source, published_at, available_at, CASE WHEN available_at > published_at THEN 'verified_ingestion_log' ELSE 'publication_time' END AS basis FROM articles),
+          c AS (SELECT lang, source, count(*) AS n FROM b GROUP BY 1, 2), s AS (SELECT lang, max(n) * 1.0 / sum(n) AS share FROM c GROUP BY 1),
+          m AS (SELECT lang, count(*) AS events, count(DISTINCT date_trunc('month', published_at)) AS months, count(*) - count(available_at) AS missing, count(*) FILTER (basis NOT IN {VERIFIED}) AS unverified FROM b GROUP BY 1),
+          r AS (SELECT m.*, s.share AS max_source_share, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'historical_available_at_missing' END, CASE WHEN unverified > 0 THEN 'historical_availability_provenance_unverified' END,
+            CASE WHEN events < {GATE['events']} THEN 'labeled_events<{GATE['events']}' END, CASE WHEN months < {GATE['months']} THEN 'coverage_months<{GATE['months']}' END, CASE WHEN share > {GATE['share']} THEN 'single_source_share>{GATE['share']:.2f}' END], lambda x: x IS NOT NULL), ';') AS reasons FROM m JOIN s USING (lang))
+          SELECT *, CASE WHEN reasons = '' THEN 'ready_for_walk_forward' ELSE 'insufficient_point_in_time_sample' END AS status FROM r""", "P33")
+def _(spark, d):
+    a = views.articles(spark, d)
+    basis = F.when(F.col("available_at") > F.col("published_at"), "verified_ingestion_log").otherwise("publication_time")
+    a = a.groupBy("lang", "source", F.trunc(F.to_date("published_at"), "month").alias("month")).agg(
+        F.count("*").alias("n"), F.sum(F.col("available_at").isNull().cast("int")).alias("missing"), F.sum((~basis.isin(*VERIFIED)).cast("int")).alias("unverified"))
+    return event_gate(a)
+
+
+def event_gate(counts):
+    """Gate per language from counts per (lang, source, month); every reason that speaks against the store."""
+    s = counts.groupBy("lang", "source").agg(F.sum("n").alias("n")).groupBy("lang").agg((F.max("n") / F.sum("n")).alias("max_source_share"))
+    g = counts.groupBy("lang").agg(F.sum("n").alias("events"), F.count_distinct("month").alias("months"), F.sum("missing").alias("missing"), F.sum("unverified").alias("unverified")).join(s, "lang")
+    why = F.array_join(F.array_compact(F.array(
+        F.when(F.col("missing") > 0, "historical_available_at_missing"), F.when(F.col("unverified") > 0, "historical_availability_provenance_unverified"),
+        F.when(F.col("events") < GATE["events"], f"labeled_events<{GATE['events']}"), F.when(F.col("months") < GATE["months"], f"coverage_months<{GATE['months']}"),
+        F.when(F.col("max_source_share") > GATE["share"], f"single_source_share>{GATE['share']:.2f}"))), ";")
+    return g.withColumn("reasons", why).withColumn("status", F.when(F.col("reasons") == "", "ready_for_walk_forward").otherwise("insufficient_point_in_time_sample"))
+
+
 @query("p34_news_freshness", "doc_id:i freshness:s eligible:i age_hours:4",
        f"""SELECT doc_id, freshness, CASE WHEN freshness = 'fresh' THEN 1 ELSE 0 END AS eligible, CASE WHEN freshness IN ('fresh', 'expired') THEN age END AS age_hours FROM (
             SELECT doc_id, age, CASE WHEN length(body) < 20 THEN 'empty' WHEN published_at IS NULL OR available_at IS NULL THEN 'missing_timestamp' WHEN published_at > TIMESTAMP '{AS_OF}' OR available_at > TIMESTAMP '{AS_OF}' THEN 'future_timestamp' WHEN age > 2400 THEN 'expired' ELSE 'fresh' END AS freshness
