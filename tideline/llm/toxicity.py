@@ -51,13 +51,21 @@ LOOK, MASK, DROP, KEEP = 0.7, 2.5, 0.5, 6.0
 
 _SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|^[$@€£¡|(<{][^\W\d_]|[^\W\d_][$@€£]{1,2}$")
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,}(?!\S)")
-#: Whether a text may hold anything to restore at all; a superset of the two patterns above.
-_HINT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s.,;:!?]|[^\W\d_][.,;:!?]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|[$@€£¡|(<{][^\W\d_]|(?:(?<!\S)[^\W\d_][ .\-_*]{1,2}){3}")
+#: A text that none of these finds has nothing to restore: a letter three times, a sign or digit, punctuation before
+#: a letter, single letters in a row. Four plain searches are much faster than one with alternatives.
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_HINTS = (_TRIPLE, re.compile(r"[^\w\s.,;:!?]|\d"), re.compile(r"[.,;:!?][^\W\d_]"),
+          re.compile(r"(?<!\S)[^\W\d_][ .\-_*]{1,2}[^\W\d_][ .\-_*]{1,2}[^\W\d_][ .\-_*]"))
 _EDGES = ".,;:?!\"')]}&%#*"
 #: A sign three or more times at a word's end is ornament, no letter.
 _ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 
 
+def may_hide(low: str) -> bool:
+    """Whether a lower-cased text may hold anything to restore."""
+    return any(p.search(low) for p in _HINTS)
+
+
 def core(written: str) -> str:
     """A written word without ornaments and punctuation at its ends."""
     return _ORNAMENT.sub("", written.rstrip(".,;:?!")).rstrip(_EDGES).lstrip("\"'([{.,;:&%#*")
@@ -177,8 +185,9 @@ class Restorer:
         Runs of single letters are tried as one word."""
         low = text.lower()
         parts = [low]
-        if _HINT.search(low):
-            parts += filter(None, map(self.word, set(_SPLIT.findall(low))))
+        if may_hide(low):
+            odd = (w for w in set(low.split()) if not w.rstrip(".,;:!?").isalpha() or _TRIPLE.search(w))
+            parts += filter(None, map(self.word, sorted(odd)))
             parts += [decode(m[0], self.model) for m in _SPACED.finditer(low)]
         return "^" + _OTHER.sub("$^", " ".join(parts)) + "$"
 
