@@ -1,5 +1,6 @@
 """Folds, rules, signal policies and return operators."""
 
+import itertools
 import math
 
 from pyspark.sql import Window, functions as F
@@ -487,7 +488,34 @@ def _(spark, d):
     return rt.greedy_intraday_trades(feat.micro_score(feat.intraday_features(views.intraday(spark, d))))
 
 
-@query("r07_walk_forward_intraday", "symbol:s test_session:d enabled:i mode:s threshold:i horizon:i train_trades:i test_trades:i test_net:8", None, "R07")
+# Settings of the walk-forward search on hourly bars, in order of preference among equals.
+R07_MODES, R07_THRESHOLDS, R07_HORIZONS, R07_MIN_TRADES, R07_TRAIN = ("trend", "inverse"), (2, 3, 4, 5), (2, 4, 6), 6, 4
+_R07 = ", ".join(f"({k}, '{m}', {t}, {h})" for k, (m, t, h) in enumerate(itertools.product(R07_MODES, R07_THRESHOLDS, R07_HORIZONS)))
+
+
+@query("r07_walk_forward_intraday", "symbol:s test_session:d enabled:i mode:s threshold:i horizon:i train_trades:i test_trades:i test_net:8",
+       f"""WITH RECURSIVE d AS (SELECT symbol, session_ny, row_number() OVER (PARTITION BY symbol ORDER BY session_ny) AS k FROM (SELECT DISTINCT symbol, session_ny FROM intraday_scored)),
+          t AS (SELECT symbol, session_ny AS test_session, k AS test_k FROM d WHERE k > {R07_TRAIN}),
+          g AS (SELECT s.symbol, t.test_k, CASE WHEN d.k < t.test_k THEN 'train' ELSE 'test' END AS part, s.bar, s.session_ny, s.open, s.close, s.micro_score
+                FROM intraday_scored s JOIN d ON d.symbol = s.symbol AND d.session_ny = s.session_ny JOIN t ON t.symbol = s.symbol AND d.k BETWEEN t.test_k - {R07_TRAIN} AND t.test_k),
+          p AS (SELECT *, row_number() OVER (PARTITION BY symbol, test_k, part ORDER BY bar) - 1 AS i, count(*) OVER (PARTITION BY symbol, test_k, part) AS n FROM g),
+          st AS (SELECT * FROM (VALUES {_R07}) v(place, mode, threshold, h)),
+          c AS (SELECT p.symbol, p.test_k, p.part, st.place, st.h, p.i, (CASE WHEN p.micro_score >= st.threshold THEN 1 ELSE -1 END) * (CASE st.mode WHEN 'trend' THEN 1 ELSE -1 END) * (x.close / e.open - 1) - 0.0015 AS r
+                FROM p JOIN st ON abs(p.micro_score) >= st.threshold JOIN p e ON e.symbol = p.symbol AND e.test_k = p.test_k AND e.part = p.part AND e.i = p.i + 1
+                JOIN p x ON x.symbol = p.symbol AND x.test_k = p.test_k AND x.part = p.part AND x.i = p.i + st.h WHERE p.i < p.n - st.h - 1 AND e.session_ny = x.session_ny),
+          nx AS (SELECT c.*, d.i AS next_i FROM c ASOF LEFT JOIN c d ON c.symbol = d.symbol AND c.test_k = d.test_k AND c.part = d.part AND c.place = d.place AND c.i + c.h + 1 <= d.i),
+          chain(symbol, test_k, part, place, i) AS (SELECT symbol, test_k, part, place, min(i) FROM c GROUP BY 1, 2, 3, 4
+                UNION ALL SELECT nx.symbol, nx.test_k, nx.part, nx.place, nx.next_i FROM chain a JOIN nx ON nx.symbol = a.symbol AND nx.test_k = a.test_k AND nx.part = a.part AND nx.place = a.place AND nx.i = a.i WHERE nx.next_i IS NOT NULL),
+          tr AS (SELECT nx.* FROM nx JOIN chain USING (symbol, test_k, part, place, i)),
+          q AS (SELECT *, eq / max(eq) OVER (PARTITION BY symbol, test_k, place ORDER BY i) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol, test_k, place ORDER BY i)) AS eq FROM tr WHERE part = 'train')),
+          m AS (SELECT symbol, test_k, place, count(*) AS n, avg(r) AS mean, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win, arg_max(eq, i) AS last, min(dd) AS dd,
+                CASE WHEN coalesce(sum(r) FILTER (r < 0), 0) < 0 THEN coalesce(sum(r) FILTER (r > 0), 0) / -sum(r) FILTER (r < 0) ELSE 1e9 END AS pf FROM q GROUP BY 1, 2, 3),
+          b AS (SELECT * FROM m WHERE n >= {R07_MIN_TRADES} QUALIFY row_number() OVER (PARTITION BY symbol, test_k ORDER BY round(mean * 1000 + least(pf, 3.0) + win + last - 1 - abs(dd) * 2, 9) DESC, place) = 1),
+          o AS (SELECT t.*, b.place, b.n, CASE WHEN b.mean >= 0.0005 AND b.pf >= 1.25 AND b.win >= 0.55 THEN 1 ELSE 0 END AS enabled FROM t LEFT JOIN b USING (symbol, test_k)),
+          z AS (SELECT symbol, test_k, place, count(*) AS trades, sum(r) AS net FROM tr WHERE part = 'test' GROUP BY 1, 2, 3)
+          SELECT o.symbol, o.test_session, o.enabled, coalesce(st.mode, 'none') AS mode, coalesce(st.threshold, 0) AS threshold, coalesce(st.h, 0) AS horizon, coalesce(o.n, 0) AS train_trades,
+            CASE WHEN o.enabled = 1 THEN coalesce(z.trades, 0) ELSE 0 END AS test_trades, CASE WHEN o.enabled = 1 THEN coalesce(z.net, 0) ELSE 0 END AS test_net
+          FROM o LEFT JOIN st USING (place) LEFT JOIN z ON z.symbol = o.symbol AND z.test_k = o.test_k AND z.place = o.place""", "R07")
 def _(spark, d):
     import numpy as np
     import pandas as pd
@@ -496,7 +524,7 @@ def _(spark, d):
     days = f.select("symbol", "session_ny").distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("symbol").orderBy("session_ny")))
     f = f.join(days, ["symbol", "session_ny"])
     # Each bar serves the next four test sessions as training data and its own as test data.
-    f = f.withColumn("test_k", F.explode(F.sequence(F.col("k"), F.col("k") + 4))).filter("test_k > 4")
+    f = f.withColumn("test_k", F.explode(F.sequence(F.col("k"), F.col("k") + R07_TRAIN))).filter(F.col("test_k") > R07_TRAIN)
 
     def trades(p, threshold, mode, h):
         score = p["micro_score"].to_numpy()
@@ -517,17 +545,17 @@ def _(spark, d):
         if test.empty:
             return pd.DataFrame(columns=["symbol", "test_session", "enabled", "mode", "threshold", "horizon", "train_trades", "test_trades", "test_net"])
         best, best_score = None, -np.inf
-        for mode in ("trend", "inverse"):
-            for threshold in (2, 3, 4, 5):
-                for h in (2, 4, 6):
+        for mode in R07_MODES:
+            for threshold in R07_THRESHOLDS:
+                for h in R07_HORIZONS:
                     t = trades(train, threshold, mode, h)
-                    if len(t) < 6:
+                    if len(t) < R07_MIN_TRADES:
                         continue
                     loss = -t[t < 0].sum()
                     pf = t[t > 0].sum() / loss if loss > 0 else np.inf
                     eq = np.cumprod(1 + t)
                     dd = (eq / np.maximum.accumulate(eq) - 1).min()
-                    score = t.mean() * 1000 + min(pf, 3.0) + (t > 0).mean() + eq[-1] - 1 - abs(dd) * 2
+                    score = round(t.mean() * 1000 + min(pf, 3.0) + (t > 0).mean() + eq[-1] - 1 - abs(dd) * 2, 9)  # equal trades tie
                     if score > best_score:
                         best, best_score = (mode, threshold, h, len(t), t.mean(), pf, (t > 0).mean()), score
         on = best is not None and best[4] >= 0.0005 and best[5] >= 1.25 and best[6] >= 0.55
