@@ -10,6 +10,7 @@ from tideline.operators.asof import asof_join
 from tideline.operators.rolling import pct_change
 from tideline.plans import signals as sg
 from tideline.plans.catalog import query
+from tideline.plans.sqlviews import add_view
 from tideline.plans.records import news
 from tideline.session import cut_lineage
 from tideline.sources import views
@@ -37,6 +38,51 @@ def _(spark, d):
                     ((F.col("s") - F.col("sa") + 1) / (F.col("n") - F.col("na") + 2)).alias("inactive_rate"))
 
 
+add_view("research_rows", """
+SELECT *, CASE WHEN research_target > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+       (session - min(session) OVER ()) / greatest(max(session) OVER () - min(session) OVER (), 1)::DOUBLE AS t, (label_end_at - min(session) OVER ()) / greatest(max(session) OVER () - min(session) OVER (), 1)::DOUBLE AS t_end
+FROM (SELECT symbol, session, rn, ret1, ret5, ret20, ret60, vol20, vol60, (high - low) / nullif(close, 0) AS day_range, open / nullif(lag(close) OVER w, 0) - 1 AS overnight, vol_ratio AS volume_ratio, p20 - 1 AS price_ma20, p60 - 1 AS price_ma60,
+        CASE WHEN lag(volume) OVER w IS NOT NULL THEN least(greatest(volume / nullif(lag(volume) OVER w, 0) - 1, -0.99), 10.0) END AS volume_change,
+        lead(session, 2) OVER w AS label_end_at, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS research_target FROM features WINDOW w AS (PARTITION BY symbol ORDER BY session))
+WHERE rn > 60 AND research_target IS NOT NULL""")
+
+
+@query("m01_mature_folds", "fold:i train:i train_up:i last_label_end:d test:i test_up:i",
+       """SELECT fold, count(*) FILTER (t_end < cut) AS train, sum(label) FILTER (t_end < cut) AS train_up, max(label_end_at) FILTER (t_end < cut) AS last_label_end,
+            count(*) FILTER (t >= cut AND t < stop) AS test, sum(label) FILTER (t >= cut AND t < stop) AS test_up
+          FROM research_rows, (VALUES (0, 0.6, 0.8), (1, 0.8, 1.01)) f(fold, cut, stop) GROUP BY 1""", "M01")
+def _(spark, d):
+    f = research(spark, d)
+    out = None
+    for k, (cut, stop) in enumerate(((0.6, 0.8), (0.8, 1.01))):
+        train = md.mature(f, cut).agg(F.count("*").alias("train"), F.sum("label").alias("train_up"), F.max("label_end_at").alias("last_label_end"))
+        test = f.filter((F.col("t") >= cut) & (F.col("t") < stop)).agg(F.count("*").alias("test"), F.sum("label").alias("test_up"))
+        one = train.withColumn("fold", F.lit(k)).join(test.withColumn("fold", F.lit(k)), "fold")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _greedy_sql(k: int = 8, cap: float = 0.92) -> str:
+    """Features by |correlation with the label|, each kept while places are free and no kept one is a near copy."""
+    names = md.FEATURES
+    score = ", ".join(f"('{c}', coalesce(abs(corr({c}, label)), 0))" for c in names)
+    pairs = ", ".join(f"('{a}', '{b}', coalesce(abs(corr({a}, {b})), 0))" for i, a in enumerate(names) for b in names[i + 1:])
+    steps = "s0 AS (SELECT map_from_entries(list((i || '_' || j, x))) AS m, 0 AS n FROM c)"
+    for i in range(1, len(names) + 1):
+        near = " OR ".join(f"(k{j} AND m['{j}_{i}'] > {cap})" for j in range(1, i)) or "false"
+        steps += f",\n s{i} AS (SELECT *, n + CASE WHEN k{i} THEN 1 ELSE 0 END AS n_ FROM (SELECT *, n < {k} AND NOT ({near}) AS k{i} FROM s{i - 1}))"
+        steps += f",\n t{i} AS (SELECT * EXCLUDE (n, n_), n_ AS n FROM s{i})"
+        steps = steps.replace(f"FROM s{i - 1}))", f"FROM {'t' + str(i - 1) if i > 1 else 's0'}))")
+    flags = ", ".join(f"k{i}" for i in range(1, len(names) + 1))
+    return f"""WITH r AS (SELECT * FROM research_rows WHERE t_end < 0.7),
+ y AS (SELECT unnest([{score}]) AS u FROM r),
+ o AS (SELECT u[1] AS feature, u[2] AS relevance, row_number() OVER (ORDER BY u[2] DESC, u[1]) AS i FROM y),
+ p AS (SELECT unnest([{pairs}]) AS u FROM r),
+ c AS (SELECT least(a.i, b.i) AS i, greatest(a.i, b.i) AS j, p.u[3] AS x FROM p JOIN o a ON a.feature = p.u[1] JOIN o b ON b.feature = p.u[2]),
+ {steps}
+SELECT row_number() OVER (ORDER BY o.i) AS place, feature, relevance FROM o, t{len(names)} WHERE [{flags}][o.i]"""
+
+
 def _scores(p):
     return p.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"),
                                           F.avg(-(F.col("label") * F.log("p") + (1 - F.col("label")) * F.log(1 - F.col("p")))).alias("log_loss"))
@@ -63,7 +109,7 @@ def _(spark, d):
     return e.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"), F.sum((F.col("p") >= 0.52).cast("int")).alias("long_days"))
 
 
-@query("m04_feature_selection", "place:i feature:s relevance:6", None, "M04")
+@query("m04_feature_selection", "place:i feature:s relevance:6", _greedy_sql(), "M04")
 def _(spark, d):
     kept = md.select_features(md.mature(research(spark, d), 0.7))
     return spark.createDataFrame([(i + 1, c, s) for i, (c, s) in enumerate(kept)], "place int, feature string, relevance double")
