@@ -202,11 +202,13 @@ def _(spark, d):
           r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pit, session) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM d)
           SELECT symbol, any_value(n) AS n, avg(pit) AS pit_mean, max(greatest(k * 1.0 / n - pit, pit - (k - 1) * 1.0 / n)) AS ks FROM r GROUP BY 1""", "A23")
 def _(spark, d):
-    f = views.features(spark, d).withColumn("lr10", F.log(F.col("close") / F.lag("close", 10).over(by_symbol())))
-    draws = F.collect_list("lr10").over(trailing(252))
-    f = f.select("symbol", "session", draws.alias("draws"))
-    j = intervals(spark, d).join(f, ["symbol", "session"])
-    j = j.select("symbol", "session", (F.size(F.filter("draws", lambda v: v <= F.col("actual"))) / F.size("draws")).alias("pit"))
+    f = views.features(spark, d).select("symbol", "session", F.log(F.col("close") / F.lag("close", 10).over(by_symbol())).alias("lr10"),
+                                        F.row_number().over(by_symbol()).alias("i"))
+    # few rows have an interval: only their windows are laid out, row by row
+    need = intervals(spark, d).join(f.select("symbol", "session", "i"), ["symbol", "session"]).select(
+        "symbol", "session", "actual", F.explode(F.sequence(F.greatest(F.col("i") - 251, F.lit(1)), F.col("i"))).alias("i"))
+    drawn = need.join(f.select("symbol", "i", "lr10"), ["symbol", "i"])
+    j = drawn.groupBy("symbol", "session").agg((F.sum((F.col("lr10") <= F.col("actual")).cast("int")) / F.count("lr10")).alias("pit"))
     w = Window.partitionBy("symbol")
     r = j.withColumn("k", F.row_number().over(w.orderBy("pit", "session"))).withColumn("n", F.count("*").over(w))
     return r.groupBy("symbol").agg(F.first("n").alias("n"), F.avg("pit").alias("pit_mean"),
