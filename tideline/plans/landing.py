@@ -7,6 +7,39 @@ from tideline.sources import files, views
 from tideline.streaming import jobs
 
 
+@query("s01_bars_csv", "symbol:s rows:i first:d last:d volume:2",
+       "SELECT symbol, count(*) AS rows, min(session) AS first, max(session) AS last, sum(volume) AS volume FROM bars WHERE session BETWEEN DATE '1994-01-03' AND DATE '1996-12-30' GROUP BY 1", "S01")
+def _(spark, d):
+    path = jobs.work_folder(spark) + "/bars"
+    views.bars(spark, d).select("symbol", "session", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume")).write.csv(path, header=True)
+    b = files.read_bars_csv(spark, path, "1994-01-03", "1996-12-30")
+    return b.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("session").alias("first"), F.max("session").alias("last"), F.sum("volume").alias("volume"))
+
+
+@query("s05_macro_csv", "series_id:s rows:i known:i total:4",
+       """SELECT series_id, count(*) AS rows, count(v) AS known, sum(v) AS total FROM (SELECT 'rate' AS series_id, session, CASE WHEN tnx > 40 THEN tnx END AS v FROM market UNION ALL SELECT 'vol', session, CASE WHEN vix > 20 THEN vix END FROM market)
+          WHERE session BETWEEN DATE '1993-01-01' AND DATE '1997-12-31' GROUP BY 1""", "S05")
+def _(spark, d):
+    path = jobs.work_folder(spark) + "/macro"
+    m = views.market(spark, d).select(F.inline(F.array(
+        F.struct(F.lit("rate").alias("series_id"), F.col("session").alias("obs_date"), F.when(F.col("tnx") > 40, F.col("tnx")).alias("v")),
+        F.struct(F.lit("vol").alias("series_id"), F.col("session").alias("obs_date"), F.when(F.col("vix") > 20, F.col("vix")).alias("v")))))
+    m.select("series_id", "obs_date", F.coalesce(F.col("v").cast("string"), F.lit(".")).alias("raw")).write.csv(path, header=True)
+    o = files.read_macro_csv(spark, path, "1993-01-01", "1997-12-31")
+    return o.groupBy("series_id").agg(F.count("*").alias("rows"), F.count("value").alias("known"), F.sum("value").alias("total"))
+
+
+@query("s21_json_export", "symbol:s rows:i with_return:i explicit_nulls:i",
+       "SELECT symbol, count(*) AS rows, count(ret60) AS with_return, count(*) - count(ret60) AS explicit_nulls FROM features GROUP BY 1", "S21")
+def _(spark, d):
+    path = jobs.work_folder(spark) + "/export"
+    files.export_json(views.features(spark, d).select("symbol", "session", "ret60"), path)
+    # every line must name the key, also where it is null
+    t = spark.read.text(path).select(F.get_json_object("value", "$.symbol").alias("symbol"), F.get_json_object("value", "$.ret60").alias("r"), F.json_object_keys("value").alias("k"))
+    return t.groupBy("symbol").agg(F.count("*").alias("rows"), F.count("r").alias("with_return"),
+                                   F.sum((F.col("r").isNull() & F.array_contains("k", "ret60")).cast("int")).alias("explicit_nulls"))
+
+
 @query("s11_vendor_events", "source:s rows:i with_headline:i", "SELECT source, count(*) AS rows, count(title) AS with_headline FROM articles WHERE title <> '' GROUP BY 1", "S11")
 def _(spark, d):
     path = jobs.work_folder(spark) + "/vendor"
