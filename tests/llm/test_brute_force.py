@@ -310,7 +310,7 @@ def test_pack(spark):
 
 
 def test_fast_tokenizer_gives_the_same_ids():
-    own, _ = packing._encoder("byte_bpe_50k.json")
+    own = packing._own("byte_bpe_50k.json")
     rng = random.Random(4)
     points = [c for c in range(0x250)] + [0x2028, 0x3000, 0x4E2D, 0x1F600, 0x0301, 0x0E01, 0x0660]
     texts = ["".join(chr(rng.choice(points)) for _ in range(200)) for _ in range(300)]

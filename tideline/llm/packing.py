@@ -40,29 +40,36 @@ LOOSE = 0.98
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@cache
-def _encoder(vocabulary: str):
-    """Two encoders for one vocabulary: its own library's, and one that is faster on plain letters.
+# Two encoders for one vocabulary: its own library's, and one that is faster on plain letters. Both split by the
+# same pattern, but their tables of letters and digits belong to different Unicode versions; texts beyond Latin
+# script are left to the first, which is loaded only where there are any.
 
-    Both split by the same pattern, but their tables of letters and digits belong to different Unicode
-    versions; texts beyond Latin script are left to the first."""
-    import tiktoken
-    from public_tokenizers import PATTERN, path
+
+@cache
+def _own(vocabulary: str):
+    from public_tokenizers import path
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path(vocabulary))
     own.encode_special_tokens = True
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path(vocabulary.replace(".json", ".tiktoken")), "rb"))}
-    fast = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return own, fast
+    return own
+
+
+@cache
+def _fast(vocabulary: str):
+    import tiktoken
+    from public_tokenizers import PATTERN, path
+
+    with open(path(vocabulary.replace(".json", ".tiktoken")), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
+    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, vocabulary: str = "byte_bpe_50k.json") -> np.ndarray:
     """Ids as little-endian unsigned 32-bit integers, without special tokens."""
-    own, fast = _encoder(vocabulary)
     if text.isascii() or max(text) < "ɐ":
-        return np.asarray(fast.encode_ordinary(text), dtype="<u4")
-    return np.asarray(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(_fast(vocabulary).encode_ordinary(text), dtype="<u4")
+    return np.asarray(_own(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:

@@ -90,7 +90,7 @@ class LetterModel:
         key = context + letter
         value = self.seen.get(key)
         if value is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 30_000:
                 self.seen.clear()
             points = np.array([ord(c) for c in key], dtype=np.uint64)
             n, of = self.trigrams[_hash(points, 3)[0]], self.contexts[_hash(points[:2], 2)[0]]
@@ -286,11 +286,11 @@ def _telling_grams(seen: DataFrame, one: float, zero: float) -> list[str]:
     size = 1 << HASH_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, slots = np.zeros((2, size), dtype=np.int64), lru_cache(200_000)(lambda word: frozenset(map(_slot, grams_of(word))))
-        for batch in batches:
+        n = np.zeros((2, size), dtype=np.int64)
+        slots = lru_cache(100_000)(lambda word: np.fromiter({_slot(g) for g in grams_of(word)}, np.int32))
+        for batch in slices(batches, "marked"):
             for y, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hit = set().union(*map(slots, _words(marked)))
-                n[y, np.fromiter(hit, np.int64, len(hit))] += 1
+                n[y, np.unique(np.concatenate([np.zeros(0, np.int32), *map(slots, _words(marked))]))] += 1
         at = np.flatnonzero(n.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], ["slot", "a", "b"])
 
@@ -303,8 +303,10 @@ def _telling_grams(seen: DataFrame, one: float, zero: float) -> list[str]:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[str] = set()
-        for batch in batches:
+        for batch in slices(batches, "marked"):
             fresh: set[str] = set()
+            if len(known) > 200_000:
+                known.clear()
             for marked in batch.column(1).to_pylist():
                 for word in _words(marked) - known:
                     known.add(word)
@@ -338,7 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column) -> Scorer:
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(chosen.value)
-        for batch in batches:
+        for batch in slices(batches, "marked"):
             hits = [matcher(marked) for marked in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "hits"])
 
