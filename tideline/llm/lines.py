@@ -72,9 +72,9 @@ WITH l AS (
 k AS (SELECT doc_id, site, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
 b AS (SELECT line FROM k WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 d AS (SELECT doc_id, list(DISTINCT line) AS bad FROM k JOIN b USING (line) GROUP BY doc_id),
-j AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)),
+j AS (SELECT documents.doc_id, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)),
         lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS kept
-      FROM documents LEFT JOIN d USING (doc_id))
-SELECT doc_id, array_to_string(kept, chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines,
-       CAST(len(lines) - len(kept) AS BIGINT) AS n_removed FROM j
+      FROM documents LEFT JOIN d ON d.doc_id IS NOT DISTINCT FROM documents.doc_id)
+SELECT doc_id, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_removed FROM j
 """
