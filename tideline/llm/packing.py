@@ -34,6 +34,8 @@ ISLANDS = 2
 ROUNDS = 2
 POPULATION = 6
 OFFSPRING = 6
+#: States of islands in a file of the table between two rounds.
+STATES_A_FILE = 128
 #: A sequence is loose, and its items are packed again with others', below this fill.
 LOOSE = 0.98
 
@@ -218,8 +220,10 @@ def _grouped(items: DataFrame, limit: int, islands: int, rounds: int, seed: int)
                          F.array().cast("array<array<long>>").alias("guests"), F.lit(0.0).alias("fitness"))
     # few bytes, much work: a stated number of partitions is not coalesced
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, blocks * islands // STATES_A_FILE)
     for number in range(rounds):
-        state = saved(state.repartition(tasks, F.xxhash64("block", "island")).mapInPandas(_round(limit, number), _STATE), "islands")
+        evolved = state.repartition(tasks, F.xxhash64("block", "island")).mapInPandas(_round(limit, number), _STATE)
+        state = saved(evolved.repartition(files), "islands")
         if number + 1 < rounds:
             elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.slice("guests", 1, 1).alias("came"))
             state = state.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat("guests", "came").alias("guests"), "fitness")
