@@ -193,6 +193,18 @@ def test_likeness_estimates_jaccard():
         assert abs(fingerprints.likeness(fingerprints.signature(a), fingerprints.signature(b)) - part) < 0.15
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+@pytest.mark.parametrize("part", [0.0, 0.5, 0.9])
+def test_likeness_of_long_texts_estimates_jaccard(n, part):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+    k = round(2 * part * n / (1 + part))
+    a, b = fingerprints.signature(x[:n]), fingerprints.signature(x[n - k : 2 * n - k])
+    prints = [np.array(re.findall("....", fingerprints.fingerprint(p))) for p in (a, b)]
+    for estimate in (fingerprints.likeness(a, b), float((prints[0] == prints[1]).mean())):
+        assert abs(estimate - part) < (0.15 if part else 0.01)
+
+
 def water_level(sizes: dict[str | None, int]) -> dict[str | None, float]:
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

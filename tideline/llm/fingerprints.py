@@ -2,8 +2,9 @@
 
 A text's shingles, runs of ``WIDTH`` words with A-Z lower-cased (the whole sequence where words are fewer), are
 hashed and sent through ``PERMUTATIONS`` universal hash permutations, all at once in numpy; the signature holds
-the minimum of each. The fingerprint is the signature as hexadecimal text, 16 bits a permutation. The likeness
-of two fingerprints is the share of equal places, an estimate of the shingle sets' Jaccard similarity.
+the minimum of each. The fingerprint is the signature as hexadecimal text, the low 16 bits of each minimum: a minimum
+over n shingles lies near 2^32 / n, so the high bits of long texts say little. The likeness of two fingerprints is the
+share of equal places, an estimate of the shingle sets' Jaccard similarity.
 ``near_components`` joins bands of the signatures in Spark and verifies Jaccard on the full sets.
 
 Null counts as empty. Texts without words share one fingerprint, which is like itself only. Equal texts have
@@ -45,12 +46,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _kept(places: np.ndarray) -> np.ndarray:
+    return places & np.uint32(0xFFFF)
+
+
 def fingerprint(places: np.ndarray) -> str:
-    return (places >> np.uint32(16)).astype(">u2").tobytes().hex()
+    return _kept(places).astype(">u2").tobytes().hex()
 
 
 def likeness(one: np.ndarray, two: np.ndarray) -> float:
-    return float(((one >> np.uint32(16)) == (two >> np.uint32(16))).mean())
+    return float((_kept(one) == _kept(two)).mean())
 
 
 def text_signature(text: str, cache: WordHashes) -> np.ndarray:
