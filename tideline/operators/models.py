@@ -3,6 +3,8 @@ a fit sees many partitions; only fold and parameter lists are driver-side."""
 
 from __future__ import annotations
 
+import itertools
+import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -36,8 +38,8 @@ def mature(d: DataFrame, cut: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sizes:
-    """Effort of the iterative fits. The defaults are those of a full research run; the registered queries name
-    smaller ones, so that all of them together stay in minutes on one machine."""
+    """Effort of the iterative fits. The defaults are those of a full research run, and of the registered queries;
+    ``trials`` counts for each family of a random search."""
 
     boosting_rounds: int = 180
     trees: int = 300
@@ -47,9 +49,6 @@ class Sizes:
     trials: int = 40
 
 
-QUERY_SIZES = Sizes(boosting_rounds=8, trees=12, text_trees=20, text_depth=8, iterations=25, trials=4)
-
-
 def _stages(estimator):
     filled = [f"{c}_f" for c in FEATURES]
     return Pipeline(stages=[Imputer(inputCols=FEATURES, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_v"),
@@ -123,6 +122,48 @@ def nested_calibration(d: DataFrame, cut: float = 0.7, sizes: Sizes = Sizes()) -
                       F.lit(best).alias("parameter"), F.lit(chosen).alias("calibrator"))
 
 
+def random_trials(sizes: Sizes = Sizes(), seed: int = 7) -> list[dict]:
+    """The parameters of every trial of the random search: ``sizes.trials`` draws in each family."""
+    rng = random.Random(seed)
+    out = [{"model": "logistic", "reg": 10 ** rng.uniform(-4, -0.5), "elastic": round(rng.random(), 4)} for _ in range(sizes.trials)]
+    grids = {"forest": {"trees": (160, 240, 320, 420), "depth": (3, 4, 5, 6), "min_rows": (6, 10, 14, 18)},
+             "boosting": {"rounds": (80, 120, 160, 220), "depth": (2, 3, 4), "step": (0.02, 0.035, 0.05, 0.08), "subsample": (0.7, 0.85, 1.0)}}
+    for name, grid in grids.items():
+        every = list(itertools.product(*grid.values()))
+        out += [{"model": name, **dict(zip(grid, x, strict=True))} for x in rng.sample(every, min(sizes.trials, len(every)))]
+    return [{"trial": i, **t} for i, t in enumerate(out)]
+
+
+def trial_estimator(t: dict, sizes: Sizes = Sizes(), seed: int = 42):
+    if t["model"] == "logistic":
+        return LogisticRegression(regParam=t["reg"], elasticNetParam=t["elastic"], maxIter=sizes.iterations)
+    if t["model"] == "forest":
+        return RandomForestClassifier(numTrees=t["trees"], maxDepth=t["depth"], minInstancesPerNode=t["min_rows"], seed=seed)
+    return GBTClassifier(maxIter=t["rounds"], maxDepth=t["depth"], stepSize=t["step"], subsamplingRate=t["subsample"], seed=seed)
+
+
+def random_search(d: DataFrame, cuts: list[float], width: float, trials: list[dict], sizes: Sizes = Sizes()) -> list[dict]:
+    """The trials with ``folds`` and ``brier`` over the blocks of ``width`` behind the cuts. A model is scored as soon
+    as it is fitted and then dropped; the driver keeps two numbers of it."""
+    sums = {t["trial"]: [0, 0, 0.0] for t in trials}
+    for cut in cuts:
+        train, test = mature(d, cut).persist(), d.filter((F.col("t") >= cut) & (F.col("t") < cut + width)).persist()
+
+        def one(t: dict):
+            m = _stages(trial_estimator(t, sizes)).fit(train)
+            return probability(m, test, "p").agg(F.count("*").alias("n"), F.sum(F.pow(F.col("p") - F.col("label"), 2)).alias("sq")).first()
+
+        try:
+            with ThreadPoolExecutor(4) as pool:
+                for t, r in zip(trials, pool.map(one, trials), strict=True):
+                    held = sums[t["trial"]]
+                    held[:] = held[0] + (r.n > 0), held[1] + r.n, held[2] + (r.sq or 0.0)
+        finally:
+            train.unpersist()
+            test.unpersist()
+    return [t | {"folds": k, "brier": sq / n} for t in trials for k, n, sq in [sums[t["trial"]]] if n]
+
+
 def select_features(d: DataFrame, k: int = 8, cap: float = 0.92) -> list[tuple[str, float]]:
     """Rank by |correlation with the target|, drop near-copies. One aggregation gives every
     correlation; the greedy pruning walks a features x features matrix."""

@@ -1,7 +1,5 @@
 """Model-fitting queries. Rates are SQL-checked; iterative fits are rows-only."""
 
-import random
-
 from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip
@@ -90,19 +88,19 @@ def _scores(p):
 
 @query("m01_fold_models", "model:s fold:i n:i brier:5 log_loss:5", None, "M01")
 def _(spark, d):
-    return _scores(md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "boosting_2"], md.QUERY_SIZES))
+    return _scores(md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "boosting_2"]))
 
 
 @query("m02_nested_calibration", "mapping:s parameter:s calibrator:s n:i brier:5", None, "M02")
 def _(spark, d):
-    p = md.nested_calibration(research(spark, d), sizes=md.QUERY_SIZES)
+    p = md.nested_calibration(research(spark, d))
     u = p.unpivot(["label", "parameter", "calibrator"], ["raw", "shrink", "sigmoid", "calibrated", "base_rate"], "mapping", "p")
     return u.groupBy("mapping", "parameter", "calibrator").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))
 
 
 @query("m03_weighted_ensemble", "symbol:s n:i brier:5 long_days:i", None, "M03")
 def _(spark, d):
-    p = md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "logistic_0.2", "forest"], md.QUERY_SIZES)
+    p = md.fold_predictions(research(spark, d), [0.6, 0.8], ["logistic_1.0", "logistic_0.2", "forest"])
     # Weights from the first fold, predictions from the second.
     w = _scores(p.filter("fold = 0")).select("model", F.greatest(0.26 - F.col("brier"), F.lit(0.001)).alias("w"))
     e = p.filter("fold = 1").join(w, "model").groupBy("symbol", "session", "label").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
@@ -120,30 +118,20 @@ def _(spark, d):
     f = research(spark, d)
     train, test = md.mature(f, 0.7), f.filter("t >= 0.7")
     out = None
-    for name, m in md.fit_many(md.estimators(md.QUERY_SIZES), train).items():
+    for name, m in md.fit_many(md.estimators(), train).items():
         r = md.probability(m, test, "p").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("error")).select(F.lit(name).alias("model"), F.lit("classifier").alias("kind"), "n", "error")
         out = r if out is None else out.unionByName(r)
-    for name, m in md.fit_many(md.regressors(md.QUERY_SIZES), train).items():
+    for name, m in md.fit_many(md.regressors(), train).items():
         r = m.transform(test).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2))).alias("error")).select(F.lit(name).alias("model"), F.lit("regressor").alias("kind"), "n", "error")
         out = out.unionByName(r)
     return out
 
 
-@query("m06_random_search", "trial:i reg:6 elastic:4 folds:i brier:6", None, "M06")
+@query("m06_random_search", "trial:i model:s reg:6 elastic:4 trees:i rounds:i depth:i min_rows:i step:6 subsample:4 folds:i brier:6", None, "M06")
 def _(spark, d):
-    from pyspark.ml.classification import LogisticRegression
-
-    f = research(spark, d)
-    rng = random.Random(7)
-    trials = [(10 ** rng.uniform(-4, -0.5), round(rng.random(), 4)) for _ in range(md.QUERY_SIZES.trials)]
-    rows = None
-    for k, cut in enumerate((0.5, 0.75)):
-        train, test = md.mature(f, cut), f.filter((F.col("t") >= cut) & (F.col("t") < cut + 0.25))
-        fits = md.fit_many({i: LogisticRegression(regParam=r, elasticNetParam=e, maxIter=20) for i, (r, e) in enumerate(trials)}, train)
-        for i, m in fits.items():
-            p = md.probability(m, test, "p").select(F.lit(i).alias("trial"), F.lit(trials[i][0]).alias("reg"), F.lit(trials[i][1]).alias("elastic"), F.lit(k).alias("fold"), F.pow(F.col("p") - F.col("label"), 2).alias("sq"))
-            rows = p if rows is None else rows.unionByName(p)
-    return rows.groupBy("trial", "reg", "elastic").agg(F.count_distinct("fold").alias("folds"), F.avg("sq").alias("brier"))
+    rows = md.random_search(research(spark, d), [0.5, 0.75], 0.25, md.random_trials())
+    names = "trial int, model string, reg double, elastic double, trees int, rounds int, depth int, min_rows int, step double, subsample double, folds int, brier double"
+    return spark.createDataFrame([tuple(r.get(x.split()[0]) for x in names.split(", ")) for r in rows], names)
 
 
 def labelled_news(spark, d):
@@ -164,7 +152,7 @@ def _compare(spark, d, kinds):
     train = cut_lineage(md.balanced(md.mature(n, cut)))
     out = None
     for name, (kind, text) in kinds.items():
-        model = md.text_pipeline(kind, text, sizes=md.QUERY_SIZES).fit(train)
+        model = md.text_pipeline(kind, text).fit(train)
         r = model.transform(n.filter(F.col("t") >= cut)).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
         out = r if out is None else out.unionByName(r)
     return out
