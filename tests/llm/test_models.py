@@ -72,6 +72,17 @@ def test_undecided_texts(spark):
     assert (got[4][0], got[5][0]) == ("en", "de")
 
 
+def test_language_filter_grows_with_its_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLOTS", 64)
+    docs = spark.createDataFrame([(i, f"{'ab' if i % 2 else 'xy'}{'cdefghij'[i % 8]}kl mno", "en" if i % 2 else "de") for i in range(400)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.slots.shape[1] > 64 and (model.false_rate <= langid.FILL**langid.PROBES).all()
+    assert {r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in langid.identify(docs, model).collect()} == {True}
+    assert langid.slots_for(10_000_000) * langid.FILL >= langid.PROBES * 10_000_000
+    with pytest.raises(ValueError):
+        langid.slots_for(langid.MOST_SLOTS)
+
+
 def test_filter_returns_all_languages_of_a_gram():
     grams, owner = langid.gram_hashes(["abc", "", "a1b"])
     assert np.bincount(owner, minlength=3).tolist() == [4 + 3 + 2, 1, 4 + 3 + 2]

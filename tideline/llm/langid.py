@@ -10,7 +10,9 @@ slice, and the largest corrected share decides; ties go to the first language by
 N-grams are runs of 2 to 4 code points of the lower-cased letters of a text, any run of other characters being
 one blank, with a blank at both ends. Null texts and texts without a letter are ``und`` with score 0; so is
 everything when no language was learned. Null or empty languages teach nothing. Rows that repeat a document
-count again. The filter's size is a parameter and does not grow with the corpus; its counts cover all of it.
+count again. ``SLOTS`` is the least size: the number of slots doubles until the language with the most n-grams fills
+at most ``FILL`` of its slice (``PROBES`` * n-grams / slots bounds the fill), so a language's false positives stay
+at most ``FILL ** PROBES``. A filter that would need more than ``MOST_SLOTS`` fails.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ SHARE = 0.2
 LEAST = 5
 SLOTS = 1 << 21
 PROBES = 3
+#: Bound on the part of a language's slice that is set, and on the slots (8 bytes each for every WORD_BITS languages).
+FILL = 0.5
+MOST_SLOTS = 1 << 26
 #: Languages whose bits share one 64-bit integer.
 WORD_BITS = 62
 _OTHER = re.compile(r"[\W\d_]+")
@@ -102,23 +107,34 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class LanguageFilter:
     languages: tuple[str, ...]
-    slots: np.ndarray  # (words, SLOTS): one bit per language
+    slots: np.ndarray  # (words, slots): one bit per language
     false_rate: np.ndarray  # per language
 
     def masks(self, grams: np.ndarray, word: int) -> np.ndarray:
         """The languages, of one word of the masks, that contain each n-gram."""
-        out = self.slots[word][_slot(grams, 0)]
+        size = self.slots.shape[1]
+        out = self.slots[word][_slot(grams, 0, size)]
         for k in range(1, PROBES):
-            out = out & self.slots[word][_slot(grams, k)]
+            out = out & self.slots[word][_slot(grams, k, size)]
         return out
 
 
-def _slot(grams: np.ndarray, k: int) -> np.ndarray:
-    return ((grams * _STEP[4 + k]) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def _slot(grams: np.ndarray, k: int, size: int) -> np.ndarray:
+    return ((grams * _STEP[4 + k]) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def slots_for(most: int) -> int:
+    """Slots, a power of two, of which ``most`` n-grams of one language set at most ``FILL``."""
+    size = SLOTS
+    while PROBES * most > FILL * size:
+        size *= 2
+    if size > MOST_SLOTS:
+        raise ValueError(f"{most} n-grams of a language need {size} slots, more than MOST_SLOTS = {MOST_SLOTS}")
+    return size
 
 
 def learn(docs: DataFrame) -> LanguageFilter:
-    """Count, choose, and gather the filter: at most SLOTS rows a word of the masks reach the driver."""
+    """Count, choose, and gather the filter: at most one row a slot and word of the masks reaches the driver."""
     counts = saved(gram_counts(docs), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     languages = tuple(r.lang for r in totals.select("lang").orderBy("lang").collect())  # one row per language
@@ -129,17 +145,20 @@ def learn(docs: DataFrame) -> LanguageFilter:
         rate = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
         top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
         kept = rate.filter(F.col("n") >= LEAST).join(top, "gram").filter(F.col("rate") >= SHARE * F.col("top"))
+        kept = saved(kept.select("lang", "gram"), "kept")
+        size = slots_for(kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0)
         index = F.element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.col("lang"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 grams = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 i = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = np.concatenate([_slot(grams, k) for k in range(PROBES)])
+                at = np.concatenate([_slot(grams, k, size) for k in range(PROBES)])
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(i // WORD_BITS, PROBES)),
                                                   pa.array(np.left_shift(np.int64(1), np.tile(i % WORD_BITS, PROBES)))], ["slot", "word", "bits"])
 
         placed = kept.select("gram", index.cast("long").alias("i")).mapInArrow(place, "slot long, word long, bits long")
+        slots = np.zeros((words, size), dtype=np.int64)
         rows = placed.groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
         slots[rows["word"].to_numpy(), rows["slot"].to_numpy()] = rows["bits"].to_numpy()
     fill = np.array([((slots[i // WORD_BITS] >> np.int64(i % WORD_BITS)) & 1).mean() for i in range(len(languages))])
@@ -164,7 +183,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """doc_id, lang_pred, score (the language's part of all corrected shares); one row per row of ``docs``."""
     spark = docs.sparkSession
     arrow_by_bytes(spark)
-    shared = spark.sparkContext.broadcast(model)  # words * SLOTS * 8 bytes, fixed by parameters
+    shared = spark.sparkContext.broadcast(model)  # words * slots * 8 bytes, MOST_SLOTS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
