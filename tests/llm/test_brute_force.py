@@ -136,6 +136,23 @@ def test_fingerprint_components(spark):
     assert {r.doc_id: r.component_id for r in fingerprints.near_components(df).collect()} == brute_components(texts, 5)
 
 
+def test_last_round_runs_where_centres_repeat(spark):
+    linked = family(7, 150, 1, 1)
+    texts = [prose(8, 150), *linked]
+    nodes = spark.range(64).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("node"))
+    nodes = nodes.select("key", F.col("node").cast("long").alias("node"))
+    centre = nodes.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(1), "key", "node")).alias("c"))
+    key = centre.filter("c = 0").first().key  # round 1 takes the centre of round 0 again
+    sets = [np.unique(fingerprints.shingle_hashes(fingerprints.word_hashes(t.encode(), WordHashes()), 5)) for t in texts]
+    table = np.concatenate([neardup.similarity_sketch(x, np.zeros(len(x), dtype=np.int64), 1) for x in sets])
+    bits, over = linking.pair_signatures(sets, table)
+    reps = spark.createDataFrame([(i, [key], bits[i].tolist(), int(over[i]), len(sets[i])) for i in range(3)],
+                                 "node long, keys array<long>, bits array<long>, over long, n long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.node: r.comp for r in linking.components(reps, docs, 5, 80, neardup.BINS).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 def test_connected_walks_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90)], "a long, b long")
     assert {r.v: r.root for r in linking.connected(edges, 42).collect()} == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}

@@ -165,7 +165,9 @@ def components(reps: DataFrame, docs: DataFrame, width: int, percent: int, coord
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs", met)
         if pairs.isEmpty():
-            break
+            if seen is None:  # no bucket holds two nodes
+                break
+            continue  # centres may repeat; the last round still compares all that remain apart
         seen = pairs if seen is None else saved(seen.unionByName(pairs), "seen", 2 * met)
         labels = _merge(labels, confirmed(pairs, texts, width, percent), many)
     return labels
