@@ -1,10 +1,10 @@
-"""The ten corpus queries: thin digests of their operators, each over its whole table, and their DuckDB twins."""
+"""The corpus queries: thin digests of their operators, each over its whole table, and their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact, fingerprints, langid, lines, mixing, neardup, packing, pii, sharding, toxicity
+from tideline.llm import exact, fingerprints, langid, lines, manifest, mixing, neardup, packing, pii, sharding, toxicity
 from tideline.llm.common import crc_of_id, documents
 
 
@@ -59,12 +59,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_mix_sources, op3_pack_sequences, op4_fingerprints, op5_near_dedup, op6_shard_groups,
-    op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_language_id)}
+    op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest)}
 
 ORACLE_SQL = {
     "op5_near_dedup": neardup.SQL,
     "op7_exact_dedup": exact.SQL,
     "op8_line_dedup": lines.SQL,
+    "op11_merkle_manifest": manifest.SQL,
 }
