@@ -144,34 +144,51 @@ def test_last_round_runs_where_centres_repeat(spark):
     centre = nodes.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(1), "key", "node")).alias("c"))
     key = centre.filter("c = 0").first().key  # round 1 takes the centre of round 0 again
     sets = [np.unique(fingerprints.shingle_hashes(fingerprints.word_hashes(t.encode(), WordHashes()), 5)) for t in texts]
-    table = np.concatenate([neardup.similarity_sketch(x, np.zeros(len(x), dtype=np.int64), 1) for x in sets])
-    bits, over = linking.pair_signatures(sets, table)
-    reps = spark.createDataFrame([(i, [key], bits[i].tolist(), int(over[i]), len(sets[i])) for i in range(3)],
-                                 "node long, keys array<long>, bits array<long>, over long, n long")
+    bits = linking.parity_bits(sets)
+    facts = spark.createDataFrame([(i, bits[i].tolist(), len(sets[i])) for i in range(3)], "node long, bits array<long>, n long")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.node: r.comp for r in linking.components(reps, docs, 5, 80, neardup.BINS).collect()}
+    got = {r.node: r.comp for r in linking.components(facts.select("node", F.lit(key).alias("key")), facts, docs, 5, 80).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def test_hot_bucket_meets_in_blocks(spark, monkeypatch):
+    """A bucket of near copies of which few link: all pairs across components are compared, in blocks."""
+    monkeypatch.setattr(linking, "BLOCK_NODES", 7)
+    monkeypatch.setattr(linking, "CENTRE_ROUNDS", 1)
+    texts = dict(enumerate(family(31, 150, 20, 1)[1:] + family(32, 150, 0, 0) + family(31, 150, 40, 9)[1:]))
+    sets = [np.unique(fingerprints.shingle_hashes(fingerprints.word_hashes(t.encode(), WordHashes()), 5)) for t in texts.values()]
+    bits = linking.parity_bits(sets)
+    facts = spark.createDataFrame([(i, bits[i].tolist(), len(sets[i])) for i in texts], "node long, bits array<long>, n long")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.node: r.comp for r in linking.components(facts.select("node", F.lit(1).cast("long").alias("key")), facts, docs, 5, 80).collect()}
+    want = brute_components(texts, 5)
+    assert got == want and 1 < len(set(want.values())) < 61
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b = prose(41, 60), prose(42, 60)
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (7, prose(43, 60))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_groups(df).collect()} == {(5, 3), (3, 3), (9, 3), (7, 7)}
+
+
 def test_connected_walks_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90)], "a long, b long")
     assert {r.v: r.root for r in linking.connected(edges, 42).collect()} == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
 
 
-def test_pair_signatures_never_rule_out_a_link(spark):
+def test_parity_bits_never_rule_out_a_link(spark):
     rng = np.random.default_rng(9)
     sets, truth = [], []
-    for n in (5, 40, 150, 590, 620, 1500):
+    for n in (5, 40, 150, 590, 620, 1500, 20_000):
         for part in (0.7, 0.8, 0.85, 0.95):
             x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
             k = round(2 * part * n / (1 + part))
             sets += [x[:n], x[n - k : 2 * n - k]]
             truth.append(100 * k >= 80 * (2 * n - k))
-    table = np.concatenate([neardup.similarity_sketch(s, np.zeros(len(s), dtype=np.int64), 1) for s in sets])
-    bits, over = linking.pair_signatures(sets, table)
-    rows = [(*(x for i in (k, k + 1) for x in (bits[i].tolist(), int(over[i]), len(sets[i]))), truth[k // 2]) for k in range(0, len(sets), 2)]
-    df = spark.createDataFrame(rows, "bits array<long>, over long, n long, bits2 array<long>, over2 long, n2 long, truth boolean")
-    got = df.select(linking.within_reach(neardup.BINS, 80).alias("ok"), "truth", "n").collect()
+    bits = linking.parity_bits(sets)
+    rows = [(*(x for i in (k, k + 1) for x in (bits[i].tolist(), len(sets[i]))), truth[k // 2]) for k in range(0, len(sets), 2)]
+    df = spark.createDataFrame(rows, "bits array<long>, n long, bits2 array<long>, n2 long, truth boolean")
+    got = df.select(linking.may_link(80).alias("ok"), "truth", "n").collect()
     assert all(r.ok for r in got if r.truth)
     assert not all(r.ok for r in got if not r.truth)
 

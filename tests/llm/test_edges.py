@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline  # noqa: E402
 from fixtures import clashing, empty, hard, rows  # noqa: E402
-from tideline.llm import exact, fingerprints, langid, lines, mixing, neardup, packing, pii, sharding, toxicity  # noqa: E402
+from tideline.llm import exact, fingerprints, langid, lines, manifest, mixing, neardup, packing, paritysketch, pii, sharding, toxicity  # noqa: E402
 from tideline.llm.common import crc_of_id  # noqa: E402
 
 N = len(rows())
@@ -33,6 +33,8 @@ OPERATORS = {
     "exact": lambda d, s: exact.exact_groups(d),
     "lines": lambda d, s: lines.clean_lines(d, min_sites=2),
     "toxicity": lambda d, s: toxicity.scored(d, toxicity.learn(d, labels(s), crc_of_id() % 5 != 0), "doc_id", "text"),
+    "manifest": lambda d, s: manifest.verified(d),
+    "jaccard": lambda d, s: paritysketch.jaccard_join(d),
     "langid": lambda d, s: langid.identify(d, langid.learn(d.filter(crc_of_id() % 4 != 2))),
 }
 PER_PIECE = {"pack"}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.llm.common import WordHashes, arrow_by_bytes, mix, odd_constants, saved, shingle_hashes, slices, texts_of, word_hashes
-from tideline.llm.linking import components, pair_signatures
+from tideline.llm.linking import components, parity_bits
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -143,7 +143,7 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in slices(batches, "text"):
-            ids, prints, keys, bits, over, n = [], [], [], [], [], []
+            ids, prints, keys, bits, n = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
                 shingles = shingle_hashes(word_hashes(text.encode(), cache), WIDTH)
                 if len(shingles):
@@ -151,20 +151,18 @@ def near_components(docs: DataFrame, percent: int = 80) -> DataFrame:
                     rows = places[: bands * BAND_ROWS].astype(np.uint64).reshape(bands, BAND_ROWS)
                     ids.append(doc_id)
                     distinct = np.unique(shingles)
-                    own, beyond = pair_signatures([distinct], places.astype(np.uint64)[None])
-                    bits.append(own[0])
-                    over.append(int(beyond[0]))
+                    bits.append(parity_bits([distinct])[0])
                     n.append(len(distinct))
                     prints.append(sha256(distinct.tobytes()).hexdigest())
                     keys.append(mix((mix(rows) * steps).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, bits)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.string()), *lists,
-                                              pa.array(over, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "set", "keys", "bits", "over", "n"])
+                                              pa.array(n, pa.int64())], ["doc_id", "set", "keys", "bits", "n"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    slim = saved(plain.mapInArrow(run, "doc_id long, set string, keys array<long>, bits array<long>, over long, n long"), "signatures")
+    slim = saved(plain.mapInArrow(run, "doc_id long, set string, keys array<long>, bits array<long>, n long"), "signatures")
     classes = saved(slim.groupBy("set").agg(F.min("doc_id").alias("node")), "classes")
-    reps = saved(slim.join(classes, "set").filter("doc_id = node").select("node", "keys", "bits", "over", "n"), "representatives")
-    labels = components(reps, plain, WIDTH, percent, PERMUTATIONS)
+    reps = saved(slim.join(classes, "set").filter("doc_id = node").select("node", "keys", "bits", "n"), "representatives")
+    labels = components(reps.select("node", F.explode("keys").alias("key")), reps.select("node", "n", "bits"), plain, WIDTH, percent)
     named = classes.join(labels, "node", "left").select("set", F.coalesce("comp", "node").alias("component_id"))
     return slim.join(named, "set").select("doc_id", "component_id")

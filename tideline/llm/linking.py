@@ -1,13 +1,15 @@
-"""From band keys to verified components, without all pairs of a bucket.
-
-Nodes that share a band key are candidates. In a bucket every node is first compared with one centre; nodes
-that linked to it, directly or through other buckets, are one component and need no comparison among
-themselves. A second round takes other centres for what is still apart. At last every pair of nodes that
-share a bucket, lie in different components and were not compared yet is taken once, in its first shared
-bucket, if the nodes' pair signatures allow a link; so no candidate link between components is missed. Links are confirmed on full shingle sets.
-
-Buckets are aggregated with partial results and joined back, never gathered in one task. Components are found
-by minimum labels with pointer jumping over tables in the shared folder.
+"""From shared keys to verified components, without all pairs of a bucket.
+
+Nodes that share a key are candidates. In a bucket every node is first compared with one centre; nodes that
+linked to it, directly or through other buckets, are one component and need no comparison among themselves. A
+second round takes other centres for what is still apart. At last every pair of nodes that share a bucket, lie
+in different components and were not compared yet is taken once; so no candidate link between components is
+missed. A bucket of many nodes is cut into blocks then, and every pair of blocks is a task's worth of its own.
+
+No pair goes to the texts that its nodes' sizes or parity bits rule out: every element flips one of 1,024 bits, so
+that the bits in which two sets differ bound their symmetric difference from below, whatever their sizes. Links
+are confirmed on full shingle sets. Buckets are aggregated with partial results and joined back, never gathered in
+one task. Components are found by minimum labels with pointer jumping over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,52 +24,27 @@ from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, mix, saved
 
 #: Rounds with one centre a bucket before the remaining pairs across components are listed.
 CENTRE_ROUNDS = 2
-#: Words of a node's pair signature. Sets of up to COUNTED elements are thrown into 256 cells; each cell's count is
-#: written in unary with DEPTH bits, so that common bits of two signatures, and the elements beyond DEPTH of the
-#: set that has fewer of them, bound the intersection from above: no link is lost. Larger sets have
-#: COORDINATE_BITS hashed bits of every sketch coordinate instead; a pair is left out when it seems less alike than
-#: the threshold by more than REACH standard errors, one in a billion at the threshold itself.
-SIGNATURE_WORDS = 16
-COUNTED = 600
-DEPTH = 4
-COORDINATE_BITS = 4
-REACH = 6.0
-
-
-def pair_signatures(sets: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sets, SIGNATURE_WORDS) signatures and the elements beyond DEPTH, from sets and their sketches."""
-    bits = np.zeros((len(sets), 64 * SIGNATURE_WORDS), dtype=np.uint8)
-    over = np.zeros(len(sets), dtype=np.int64)
-    nibbles = (mix(table) >> np.uint64(64 - COORDINATE_BITS)).astype(np.uint8)
-    for i, s in enumerate(sets):
-        if len(s) <= COUNTED:
-            counts = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=256)
-            bits[i] = (np.arange(DEPTH) < counts[:, None]).reshape(-1)
-            over[i] = np.maximum(counts - DEPTH, 0).sum()
-        else:
-            own = ((nibbles[i][:, None] >> np.arange(COORDINATE_BITS, dtype=np.uint8)) & 1).reshape(-1)
-            bits[i, : len(own)] = own
-    return np.packbits(bits, axis=1).view(np.int64), over
-
+#: Words of 64 parity bits a node has.
+PARITY_WORDS = 16
+#: Nodes of a block of a bucket; two blocks meet in one place.
+BLOCK_NODES = 256
 
-def most_apart(coordinates: int, percent: int) -> int:
-    """Different bits that sketch signatures of sets at the threshold hardly ever exceed."""
-    p = 1 - percent / 100
-    mean = coordinates * p * COORDINATE_BITS / 2
-    variance = coordinates * (p * (COORDINATE_BITS + COORDINATE_BITS**2) / 4 - (p * COORDINATE_BITS / 2) ** 2)
-    return int(mean + REACH * variance**0.5)
 
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY_WORDS) parity sketches: each element flips one of 64 * PARITY_WORDS bits."""
+    width = 64 * PARITY_WORDS
+    bits = np.zeros((len(sets), width), dtype=np.uint8)
+    for i, s in enumerate(sets):
+        bits[i] = np.bincount((mix(s) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
-def within_reach(coordinates: int, percent: int) -> Column:
-    """Whether the signatures of a pair (columns bits, over, n; and the same with a 2) allow a link."""
-    def count(combine) -> Column:
-        return F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(combine(x, y))), F.lit(0), lambda a, x: a + x)
 
-    shared = count(lambda x, y: x.bitwiseAND(y)) + F.least("over", "over2")
-    apart = count(lambda x, y: x.bitwiseXOR(y))
-    small, small2 = F.col("n") <= COUNTED, F.col("n2") <= COUNTED
-    return (F.when(small & small2, 100 * shared >= percent * (F.col("n") + F.col("n2") - shared))
-            .when(~small & ~small2, apart <= most_apart(coordinates, percent)).otherwise(True))
+def may_link(percent: int) -> Column:
+    """Whether sizes and parity bits of a pair (columns n, bits; and the same with a 2) allow a link. With intersection
+    i, union u and symmetric difference d = u - i, percent * u <= 100 * i means d * (100 + percent) <= (n + n2) * (100 - percent)."""
+    apart = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
 
 
 def connected(edges: DataFrame, rows: int) -> DataFrame:
@@ -127,47 +104,75 @@ def _ordered(rows: DataFrame, one: str, two: str) -> DataFrame:
     return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def components(reps: DataFrame, docs: DataFrame, width: int, percent: int, coordinates: int) -> DataFrame:
-    """(node, comp) for every node that shares a band key with another. ``reps``: node, keys, n (size), bits and
-    over (pair signature, of ``coordinates`` sketch coordinates where the set is large); ``docs``: doc_id, text of at least these nodes."""
-    bands = reps.select("node", F.explode("keys").alias("key"))
+def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose facts allow a link."""
+    one = facts.withColumnRenamed("node", "a")
+    two = facts.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    return pairs.join(one, "a").join(two, "b").filter(may_link(percent)).select("a", "b")
+
+
+def _across(told: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of told (key, node, comp, n, bits, m: nodes of the key) with a common key and different
+    components that may link. A key's nodes lie in blocks; a pair meets in the place (key, its blocks)."""
+    blocks = F.ceil(F.col("m") / BLOCK_NODES).cast("int")
+    told = told.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = told.select("key", "node", "comp", "n", "bits", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
+    right = told.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "bits")],
+                        F.col("at").alias("j"), F.explode(F.sequence(F.lit(0), "at")).alias("i"))
+    met = left.join(right, ["key", "i", "j"]).filter((F.col("comp") != F.col("comp2")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("node2"))))
+    return _ordered(met.filter(may_link(percent)), "node", "node2")
+
+
+def components(bands: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, comp) for every node that shares a key with another. ``bands``: node, key; ``facts``: node, n (size),
+    bits (parity); ``docs``: doc_id, text of at least these nodes."""
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     meets = saved(bands.join(shared.select("key", "low"), "key"), "meets")
     met = meets.count()
     nodes = saved(meets.select("node").distinct(), "nodes", met)
     many = nodes.count()
+    facts = saved(facts.join(nodes, "node").dropDuplicates(["node", "n", "bits"]), "facts")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
     texts = saved(texts, "texts")
     labels = nodes.withColumn("comp", F.col("node"))
     seen = None
     for number in range(CENTRE_ROUNDS + 1):
         if number == 0:
-            pairs = _ordered(meets.filter("node <> low"), "node", "low")
+            pairs = _possible(_ordered(meets.filter("node <> low"), "node", "low"), facts, percent)
         else:
             told = meets.select("key", "node").join(labels, "node")
-            apart = told.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"))
-            apart = apart.filter("c0 <> c1 and n > 2").select("key")  # two nodes of a bucket were compared already
+            apart = told.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"))
+            apart = apart.filter("c0 <> c1 and m > 2").select("key", "m")  # two nodes of a bucket were compared already
             told = saved(told.join(apart, "key"), "apart", met)
             if number < CENTRE_ROUNDS:
                 order = F.xxhash64(F.lit(number), "key", "node")  # other centres in every bucket
                 centre = told.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("c"))
                 pairs = told.join(centre, "key").filter("comp <> c.comp").select("node", F.col("c.node").alias("centre"))
-                pairs = _ordered(pairs, "node", "centre")
+                pairs = _possible(_ordered(pairs, "node", "centre"), facts, percent)
             else:
-                short = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-                told = told.join(reps.select("node", short.alias("keys"), "bits", "over", "n"), "node")
-                other = told.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "keys", "bits", "over", "n")])
-                first = F.array_position(F.zip_with("keys", "keys2", lambda x, y: x == y), True)
-                pairs = told.join(other, "key").filter(
-                    (F.col("comp") < F.col("comp2")) & (F.array_position("keys", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) == first)
-                    & within_reach(coordinates, percent))
-                pairs = _ordered(pairs, "node", "node2")
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+                pairs = _across(told.join(facts, "node"), percent)
+            pairs = pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs
         pairs = saved(pairs, "pairs", met)
         if pairs.isEmpty():
-            if seen is None:  # no bucket holds two nodes
-                break
-            continue  # centres may repeat; the last round still compares all that remain apart
+            continue  # centres may repeat or say nothing; the last round still compares all that remain apart
         seen = pairs if seen is None else saved(seen.unionByName(pairs), "seen", 2 * met)
         labels = _merge(labels, confirmed(pairs, texts, width, percent), many)
     return labels
+
+
+def class_components(slim: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of slim (doc_id, hi, lo, n_shingles), from the classes
+    (hi, lo, node) of equal sets and the labels (node, comp) of linked ones. Classes with a common ``doc_id`` are linked:
+    rows that repeat an id are one document, whatever their texts."""
+    own = slim.select("doc_id", "hi", "lo", "n_shingles")
+    mine = own.filter("n_shingles > 0 and doc_id is not null").join(classes, ["hi", "lo"])
+    twice = mine.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+    twice = saved(mine.join(twice, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "twice")
+    if not twice.isEmpty():
+        every = classes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        labels = _merge(saved(every, "components"), twice, classes.count())
+    named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
+    out = own.join(named, ["hi", "lo"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,7 @@ band with probability 3e-6, and then other links of its group remain.
 Texts lower-case A-Z; words are runs of anything but space and U+0009 to U+000D. A set is the distinct runs of
 ``width`` words, as 64-bit hashes; with fewer words the whole sequence is one. Null, empty and blank texts
 have empty sets and link with nothing. Equal sets are one class before any comparison. Rows that repeat a
-``doc_id`` are one document. Rows without id link with nothing and stay. An empty table gives an empty result.
+``doc_id`` are one document, also where their texts differ: it links what either text links. Rows without id link with nothing and stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, mix, odd_constants, saved, shielded, slices
-from tideline.llm.linking import components, pair_signatures, shingle_set
+from tideline.llm.linking import class_components, components, parity_bits, shingle_set
 
 ROWS = 6
 BANDS = 42
@@ -80,7 +80,7 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, hi, lo (digest of the set), n_shingles; keys, bits and over, empty where only an equal set can link."""
+    """doc_id, hi, lo (digest of the set), n_shingles; keys and parity bits, empty where only an equal set can link."""
     arrow_by_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +94,15 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             owner = np.repeat(np.arange(len(many)), n[banded])
             table = similarity_sketch(np.concatenate(many) if many else np.zeros(0, np.uint64), owner, len(many))
             found: list[list] = [[[]] * len(sets), [[]] * len(sets)]
-            bits, beyond = pair_signatures(many, table)
-            over = np.zeros(len(sets), dtype=np.int64)
-            over[banded] = beyond
-            for column, part in zip(found, (band_keys(table), bits), strict=True):
+            for column, part in zip(found, (band_keys(table), parity_bits(many)), strict=True):
                 for k, row in zip(banded, part, strict=True):
                     column[k] = row
             lists = [pa.array(column, pa.list_(pa.int64())) for column in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(n), *lists, pa.array(over)],
-                ["doc_id", "hi", "lo", "n_shingles", "keys", "bits", "over"])
+                [batch.column(0), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array(n), *lists],
+                ["doc_id", "hi", "lo", "n_shingles", "keys", "bits"])
 
-    schema = "doc_id long, hi long, lo long, n_shingles long, keys array<long>, bits array<long>, over long"
+    schema = "doc_id long, hi long, lo long, n_shingles long, keys array<long>, bits array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -115,13 +112,10 @@ def near_groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame
     rows = slim.count()
     classes = saved(slim.filter("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "classes", rows)
     first = slim.filter(F.size("keys") > 0).join(classes, ["hi", "lo"]).filter("doc_id = node")
-    reps = saved(first.select("node", "keys", "bits", "over", F.col("n_shingles").alias("n")), "representatives", rows)
-    labels = components(reps, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent, BINS)
-    named = classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("comp", "node").alias("comp"))
-    out = slim.select("doc_id", "hi", "lo", "n_shingles").join(named, ["hi", "lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    reps = saved(first.select("node", "keys", "bits", F.col("n_shingles").alias("n")), "representatives", rows)
+    bands = reps.select("node", F.explode("keys").alias("key"))
+    labels = components(bands, reps.select("node", "n", "bits"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    return class_components(slim, classes, labels)
 
 
 def near_survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
