@@ -4,13 +4,14 @@ import os
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fixtures import hard, prose, rows  # noqa: E402
 from test_brute_force import brute_components, families, family  # noqa: E402
-from tideline.llm import paritysketch as parity  # noqa: E402
+from tideline.llm import paritysketch as parity, tokens  # noqa: E402
 
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -65,6 +66,23 @@ def test_linked_sets_agree_in_enough_pieces():
                 assert any(shared >= max(p, q) for shared, p, q in agree if min(p, q) > 1) or any(shared >= 1 for shared, p, q in agree if min(p, q) == 1), (percent, n, b)
 
 
+def test_shingle_sets_tell_what_bytes_tell(monkeypatch):
+    texts = [None, "", "  \n ", "one", "One two", "a B c D e f G", "a b c d e f g", "x" * 50 + " y", "é ü ß É", "tail", "no  space\tat\x0bend", prose(3, 400), prose(3, 400).upper(),
+             "a\x1cb c", "a b\x1c c", "long " * 3000]
+    texts += [prose(i, 1 + i % 9) for i in range(60)]
+    column = pa.array(["cut", *texts, "cut"]).slice(1, len(texts))
+    for block in (7, 100, 1 << 20):
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        for width in (1, 2, 5):
+            got = tokens.shingle_sets(column, width)
+            words = [(t or "").encode().lower().split() for t in texts]
+            want = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+            assert [len(x) for x in got] == [len(x) for x in want]
+            for i in range(len(texts)):
+                for j in range(i):
+                    assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
 def test_hard_rows(spark):
     got = parity.jaccard_join(hard(spark)).collect()
     texts = {}

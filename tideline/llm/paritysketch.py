@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.common import WordHashes, arrow_by_bytes, bytes_of, mix, odd_constants, saved, slices
-from tideline.llm.linking import class_components, components, parity_bits, shingle_set
+from tideline.llm.common import arrow_by_bytes, mix, odd_constants, saved, slices
+from tideline.llm.linking import class_components, components, parity_bits
+from tideline.llm.tokens import shingle_sets
 
 #: Pieces beyond the largest difference of a band, as a share of it.
 SPARE = 8
@@ -67,10 +68,13 @@ def sketches_of(n: int, percent: int) -> list[tuple[int, int, int]]:
 
 def piece_keys(tokens: np.ndarray, band: int, pieces: int, need: int) -> tuple[np.ndarray, int]:
     """Keys of a set's pieces, and in how many of them it must agree with a partner."""
-    at = (mix(tokens * _PIECE[band]) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
-    order = np.argsort(at)
-    at, values = at[order], mix(tokens[order] * _VALUE[band])
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at = (tokens * _PIECE[band] >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
+    order = np.argsort(at.astype(np.uint16 if pieces < 1 << 16 else np.uint32), kind="stable")
+    at, values = at[order], tokens[order] * _VALUE[band]
+    new = np.empty(len(at), dtype=bool)
+    new[0] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
     filled = at[starts]
     keys = mix(np.bitwise_xor.reduceat(values, starts) + mix(filled * np.uint64(64) + np.uint64(band)))
     empty = pieces - len(filled)
@@ -83,9 +87,8 @@ def piece_keys(tokens: np.ndarray, band: int, pieces: int, need: int) -> tuple[n
 def described(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, hi, lo (digest of the set), n_shingles, parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches, "text"):
-            sets = [shingle_set(b, width, cache) for b in bytes_of(batch, "text")]
+            sets = shingle_sets(batch.column(1), width)
             digests = np.frombuffer(b"".join(_digest(s) for s in sets), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests[0::2]), pa.array(digests[1::2]), pa.array([len(s) for s in sets], pa.int64()),
@@ -101,11 +104,10 @@ def _digest(tokens: np.ndarray) -> bytes:
 def pieces(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """hi (half of the set's digest), band, need, keys; sets that a task has met before are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, met = WordHashes(), set()
+        met = set()
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
-            for raw in bytes_of(batch, "text"):
-                tokens = shingle_set(raw, width, cache)
+            for tokens in shingle_sets(batch.column(0), width):
                 digest = _digest(tokens)
                 if digest in met:
                     continue
