@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact, fingerprints, langid, lines, manifest, mixing, neardup, packing, paritysketch, pii, sharding, toxicity
+from tideline.llm import exact, fingerprints, langid, lines, manifest, mixing, neardup, packing, paritysketch, pii, prefixtrie, sharding, toxicity
 from tideline.llm.common import crc_of_id, documents
 
 
@@ -67,10 +67,14 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paritysketch.jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_pseudonyms, op2_mix_sources, op3_pack_sequences, op4_fingerprints, op5_near_dedup, op6_shard_groups,
     op7_exact_dedup, op8_line_dedup, op9_toxicity, op10_language_id, op11_merkle_manifest,
-    op12_jaccard_join)}
+    op12_jaccard_join, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op5_near_dedup": neardup.SQL,
@@ -78,4 +82,5 @@ ORACLE_SQL = {
     "op8_line_dedup": lines.SQL,
     "op11_merkle_manifest": manifest.SQL,
     "op12_jaccard_join": paritysketch.SQL,
+    "op13_prefix_trie": prefixtrie.SQL,
 }
