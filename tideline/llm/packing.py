@@ -16,6 +16,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,12 +40,13 @@ STATES_A_FILE = 128
 #: A sequence is loose, and its items are packed again with others', below this fill.
 LOOSE = 0.98
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth int"
 
 
 # Two encoders for one vocabulary: its own library's, and one that is faster on plain letters. Both split by the
 # same pattern, but their tables of letters and digits belong to different Unicode versions; texts beyond Latin
-# script are left to the first, which is loaded only where there are any.
+# script, and texts that hold the literal of an added token, are left to the first, which is loaded only where there
+# are any.
 
 
 @cache
@@ -52,9 +54,16 @@ def _own(vocabulary: str):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path(vocabulary))
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path(vocabulary))
+
+
+@cache
+def _literals(vocabulary: str) -> tuple[str, ...]:
+    """Texts that the vocabulary's library encodes as one added token."""
+    from public_tokenizers import path
+
+    with open(path(vocabulary), encoding="utf-8") as lines:
+        return tuple(x["content"] for x in json.load(lines).get("added_tokens") or ())
 
 
 @cache
@@ -69,32 +78,35 @@ def _fast(vocabulary: str):
 
 def token_ids(text: str, vocabulary: str = "byte_bpe_50k.json") -> np.ndarray:
     """Ids as little-endian unsigned 32-bit integers, without special tokens."""
-    if text.isascii() or max(text) < "ɐ":
+    if (text.isascii() or max(text) < "ɐ") and not any(x in text for x in _literals(vocabulary)):
         return np.asarray(_fast(vocabulary).encode_ordinary(text), dtype="<u4")
     return np.asarray(_own(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32 and, on demand, ids of every piece of every document."""
+    """Rows doc_id, piece, start, length, ids_crc32, nth (number of the document among its task's) and, on demand, ids of
+    every piece of every document."""
     arrow_by_bytes(docs.sparkSession)
     schema = _PIECES + (", ids array<long>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = 0
         for batch in slices(batches, "text"):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
+                nth = (nth + 1) % (1 << 30)
                 ids = np.append(token_ids(text, vocabulary), np.uint32(0)).astype("<u4")
                 first = len(ids) - (len(ids) - 1) // limit * limit
                 for k, stop in enumerate(range(first, len(ids) + 1, limit)):
                     start = stop - (limit if k else first)
-                    row = (doc_id, k, start, stop - start, zlib.crc32(ids[start:stop].tobytes()))
+                    row = (doc_id, k, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), nth)
                     for column, value in zip(out, row, strict=False):
                         column.append(value)
                     if with_ids:
-                        out[5].append(ids[start:stop].astype(np.int64))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 5 + with_ids
+                        out[6].append(ids[start:stop].astype(np.int64))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids"]
+            n = 6 + with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types[:n], strict=True)], names[:n])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -212,8 +224,8 @@ def _grouped(items: DataFrame, limit: int, islands: int, rounds: int, seed: int)
     """Items with block and bin: blocks by hash, islands by rows, elites by a join of neighbouring islands."""
     n = items.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"), F.lit(blocks)))
-    item = F.struct((-F.col("length")).alias("less"), "doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32", "nth"), F.lit(blocks)))
+    item = F.struct((-F.col("length")).alias("less"), "doc_id", "piece", "start", "length", "ids_crc32", "nth")
     world = saved(dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items")), "blocks")
     state = world.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
                          F.transform("items", lambda x: x["length"]).alias("lengths"),
@@ -229,7 +241,7 @@ def _grouped(items: DataFrame, limit: int, islands: int, rounds: int, seed: int)
             state = state.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat("guests", "came").alias("guests"), "fitness")
     best = state.groupBy("block").agg(F.max_by(F.col("guests")[0], F.struct("fitness", -F.col("island"))).alias("bins"))
     joined = world.join(best, "block").select("block", F.explode(F.arrays_zip("items", "bins")).alias("z"))
-    return joined.select("z.items.doc_id", "z.items.piece", "z.items.start", "z.items.length", "z.items.ids_crc32",
+    return joined.select("z.items.doc_id", "z.items.piece", "z.items.start", "z.items.length", "z.items.ids_crc32", "z.items.nth",
                          "block", F.col("z.bins").alias("bin"))
 
 
@@ -237,7 +249,7 @@ def _numbered(grouped: DataFrame, level: int) -> DataFrame:
     """sequence_id and gapless offset: a bin's items are few, one window per bin."""
     number = ((F.col("block") * F.lit(1 << 20) + F.col("bin")) * 4 + level).cast("long")
     rows = grouped.withColumn("sequence_id", number)
-    before = ("sum(length) OVER (PARTITION BY sequence_id ORDER BY length DESC, doc_id, piece, ids_crc32 "
+    before = ("sum(length) OVER (PARTITION BY sequence_id ORDER BY length DESC, doc_id, piece, ids_crc32, nth "
               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     return rows.withColumn("offset", F.coalesce(F.expr(before), F.lit(0)).cast("long")).drop("block", "bin")
 
@@ -252,7 +264,7 @@ def pack(cut: DataFrame, limit: int = LIMIT, islands: int = ISLANDS, rounds: int
     loose = saved(fill.filter(F.col("fill") < F.lit(LOOSE * limit)).select("block", "bin"), "loose")
     firm = grouped.join(loose, ["block", "bin"], "left_anti")
     again = _grouped(grouped.join(loose, ["block", "bin"], "left_semi").drop("block", "bin"), limit, islands, rounds, 2)
-    return full.unionByName(_numbered(firm, 0)).unionByName(_numbered(again, 1))
+    return full.unionByName(_numbered(firm, 0)).unionByName(_numbered(again, 1)).drop("nth")
 
 
 def pack_documents(docs: DataFrame, limit: int = LIMIT, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
