@@ -9,21 +9,25 @@ slice, and the largest corrected share decides; ties go to the first language by
 
 N-grams are runs of 2 to 4 code points of the lower-cased letters of a text, any run of other characters being
 one blank, with a blank at both ends. Null texts and texts without a letter are ``und`` with score 0; so is
-everything when no language was learned. Null or empty languages teach nothing. Rows that repeat a document
-count again. ``SLOTS`` is the least size: the number of slots doubles until the language with the most n-grams fills
-at most ``FILL`` of its slice (``PROBES`` * n-grams / slots bounds the fill), so a language's false positives stay
-at most ``FILL ** PROBES``. A filter that would need more than ``MOST_SLOTS`` fails.
+everything when no language was learned. Letters are what Python calls alphabetic: number signs such as ``½`` are none.
+Null or empty languages teach nothing. Rows that repeat a document count again; further columns are not read. The
+number of slots doubles from ``SLOTS`` until the language with the most n-grams fills at most ``FILL`` of its slice
+(``PROBES`` * n-grams / slots bounds the fill), so a language's false positives stay at most ``FILL ** PROBES``.
+
+The filter is a model of bounded size, ``FILTER_BYTES``, so that every task can hold it. Counts cover all rows; a
+language with more n-grams than ``most_grams`` (1.3 million for up to 62 languages) keeps its most frequent ones.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.llm.common import arrow_by_bytes, mix, odd_constants, saved, slices, texts_of
 
@@ -32,12 +36,18 @@ SHARE = 0.2
 LEAST = 5
 SLOTS = 1 << 21
 PROBES = 3
-#: Bound on the part of a language's slice that is set, and on the slots (8 bytes each for every WORD_BITS languages).
+#: Bound on the part of a language's slice that is set, and on the filter's bytes (8 a slot for every WORD_BITS languages).
 FILL = 0.5
-MOST_SLOTS = 1 << 26
+FILTER_BYTES = 1 << 26
 #: Languages whose bits share one 64-bit integer.
 WORD_BITS = 62
-_OTHER = re.compile(r"[\W\d_]+")
+
+def _signs() -> str:
+    """Characters that count as word characters but are no letters and no decimal digits, such as fractions."""
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+
+
+_OTHER = re.compile(rf"[\W\d_{_signs()}]+")
 _STEP = odd_constants(31, 8)
 #: Distinct n-grams that a task holds before it passes their counts on.
 HELD = 2_000_000
@@ -123,30 +133,43 @@ def _slot(grams: np.ndarray, k: int, size: int) -> np.ndarray:
     return ((grams * _STEP[4 + k]) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
-def slots_for(most: int) -> int:
+def most_grams(words: int) -> int:
+    """N-grams of a language that a filter with so many words of languages holds within ``FILTER_BYTES``."""
+    size = 1 << (FILTER_BYTES // (8 * words)).bit_length() - 1
+    return int(size * FILL) // PROBES
+
+
+def slots_for(most: int, words: int) -> int:
     """Slots, a power of two, of which ``most`` n-grams of one language set at most ``FILL``."""
-    size = SLOTS
+    size = min(SLOTS, 1 << (FILTER_BYTES // (8 * words)).bit_length() - 1)
     while PROBES * most > FILL * size:
         size *= 2
-    if size > MOST_SLOTS:
-        raise ValueError(f"{most} n-grams of a language need {size} slots, more than MOST_SLOTS = {MOST_SLOTS}")
     return size
 
 
+def kept_grams(counts: DataFrame, most: int) -> DataFrame:
+    """lang, gram: what each language contains. Of more than ``most``, the most frequent counts that fit."""
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rate = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
+    kept = rate.filter(F.col("n") >= LEAST).join(top, "gram").filter(F.col("rate") >= SHARE * F.col("top"))
+    kept = saved(kept.select("lang", "gram", "n"), "kept")
+    sizes = kept.groupBy("lang", "n").agg(F.count("*").alias("c"))  # a row a language and count
+    held = F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    cut = sizes.withColumn("held", held).filter(F.col("held") <= most).groupBy("lang").agg(F.min("n").alias("cut"))
+    return kept.join(cut, "lang").filter("n >= cut").select("lang", "gram")
+
+
 def learn(docs: DataFrame) -> LanguageFilter:
     """Count, choose, and gather the filter: at most one row a slot and word of the masks reaches the driver."""
     counts = saved(gram_counts(docs), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = tuple(r.lang for r in totals.select("lang").orderBy("lang").collect())  # one row per language
+    languages = tuple(r.lang for r in counts.select("lang").distinct().orderBy("lang").collect())  # one row per language
     number = {name: i for i, name in enumerate(languages)}
     words = max(1, -(-len(languages) // WORD_BITS))
-    slots = np.zeros((words, SLOTS), dtype=np.int64)
+    slots = np.zeros((words, 1), dtype=np.int64)
     if languages:
-        rate = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
-        top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
-        kept = rate.filter(F.col("n") >= LEAST).join(top, "gram").filter(F.col("rate") >= SHARE * F.col("top"))
-        kept = saved(kept.select("lang", "gram"), "kept")
-        size = slots_for(kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0)
+        kept = saved(kept_grams(counts, most_grams(words)), "kept")
+        size = slots_for(kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0, words)
         index = F.element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.col("lang"))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """doc_id, lang_pred, score (the language's part of all corrected shares); one row per row of ``docs``."""
     spark = docs.sparkSession
     arrow_by_bytes(spark)
-    shared = spark.sparkContext.broadcast(model)  # words * slots * 8 bytes, MOST_SLOTS at most
+    shared = spark.sparkContext.broadcast(model)  # FILTER_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
