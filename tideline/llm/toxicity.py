@@ -5,7 +5,7 @@
 2. Channel: a written character may stand for itself, for the letters that it looks like (leetspeak), for a
    masked letter, or for nothing (separators inside a word); a run of one letter may be a shorter run. Suspicious
    words and runs of single letters become character lattices, and Viterbi decoding finds the likeliest letters.
-   Words of letters only, with no letter three times in a row, are their own decoding.
+   Words of letters only are their own decoding, unless a letter stands three times in a row or several are doubled.
 3. Score: logistic regression on words and their boundary-marked letter n-grams, as written and as restored;
    it is fitted on at most ``SAMPLE`` labelled rows, chosen by hash, and its ``FEATURES`` most telling features.
 
@@ -49,13 +49,18 @@ SEPARATORS = frozenset(".-_*~'`^,:;/\\ ")
 #: Costs in nats: a look-alike, a masked letter, a separator or repeat dropped, a sign kept as a break.
 LOOK, MASK, DROP, KEEP = 0.7, 2.5, 0.5, 6.0
 
-_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|^[$@€£¡|(<{][^\W\d_]|[^\W\d_][$@€£]{1,2}$")
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){3,}(?!\S)")
-#: A text that none of these finds has nothing to restore: a letter three times, a sign or digit, punctuation before
-#: a letter, single letters in a row. Four plain searches are much faster than one with alternatives.
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_HINTS = (_TRIPLE, re.compile(r"[^\w\s.,;:!?]|\d"), re.compile(r"[.,;:!?][^\W\d_]"),
-          re.compile(r"(?<!\S)[^\W\d_][ .\-_*]{1,2}[^\W\d_][ .\-_*]{1,2}[^\W\d_][ .\-_*]"))
+#: Letters in runs: one three times, or three doubled letters close by, or a doubled one at both ends of a word.
+_DOUBLED = r"([^\W\d_])\1[^\W\d_]?([^\W\d_])\2.*([^\W\d_])\3|^([^\W\d_])\4.*([^\W\d_])\5$"
+_SUSPECT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_]\d|\d[^\W\d_]|^[$@€£¡!|+(<{][^\W\d_]|[^\W\d_][$@€£+|!]{1,2}$|"
+                      + re.sub(r"\\(\d)", lambda m: f"\\{int(m[1]) + 1}", _DOUBLED))
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,3}[^\W\d_]){2,}(?!\S)")
+#: A text that none of these finds has nothing to restore: a letter three times or two doubled ones close by, a sign or
+#: digit, punctuation before a letter, an exclamation mark after one, single letters in a row. Plain searches are much
+#: faster than one with alternatives.
+_RUNS = re.compile(r"([^\W\d_])\1(?:\1|[^\W\d_]?([^\W\d_])\2)")
+_HINTS = (_RUNS, re.compile(r"[^\w\s.,;:!?]|\d"), re.compile(r"[.,;:!?][^\W\d_]"), re.compile(r"[^\W\d_]!"),
+          re.compile(r"(?<!\S)[^\W\d_][ .\-_*]{1,3}[^\W\d_][ .\-_*]{1,3}[^\W\d_](?!\S)"))
+_ENDS = re.compile(r"^([^\W\d_])\1.*([^\W\d_])\2$")
 _EDGES = ".,;:?!\"')]}&%#*"
 #: A sign three or more times at a word's end is ornament, no letter.
 _ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
@@ -71,6 +76,20 @@ def core(written: str) -> str:
     return _ORNAMENT.sub("", written.rstrip(".,;:?!")).rstrip(_EDGES).lstrip("\"'([{.,;:&%#*")
 
 
+def cores(written: str) -> list[str]:
+    """What of a lower-cased word may be meant: its core, and the core with an opening bracket or an exclamation mark that
+    may stand for a letter."""
+    inner = core(written)
+    if not any(map(str.isalpha, inner)):
+        return []
+    out = [inner] if suspicious(inner) else []
+    if written[0] in "({<" and written[1:2].isalpha() and not any(c in ")}>" for c in written):
+        out.append(written[0] + inner)
+    if written.endswith("!") and written[-2:-1].isalpha():
+        out.append(inner + "!")
+    return out
+
+
 def _hash(points: np.ndarray, n: int) -> np.ndarray:
     total = np.full(max(0, len(points) - n + 1), n, dtype=np.uint64)
     for i in range(n):
@@ -175,9 +194,7 @@ class Restorer:
         if found is None:
             if len(self.seen) >= self.most:
                 self.seen.clear()
-            inner = core(written)
-            found = decode(inner, self.model) if suspicious(inner) and any(map(str.isalpha, inner)) else ""
-            self.seen[written] = found
+            found = self.seen[written] = " ".join(decode(x, self.model) for x in cores(written))
         return found
 
     def marked(self, text: str) -> str:
@@ -186,7 +203,7 @@ class Restorer:
         low = text.lower()
         parts = [low]
         if may_hide(low):
-            odd = (w for w in set(low.split()) if not w.rstrip(".,;:!?").isalpha() or _TRIPLE.search(w))
+            odd = (w for w in set(low.split()) if not w.rstrip(".,;:?").isalpha() or _RUNS.search(w) or _ENDS.search(w.rstrip(".,;:?")))
             parts += filter(None, map(self.word, sorted(odd)))
             parts += [decode(m[0], self.model) for m in _SPACED.finditer(low)]
         return "^" + _OTHER.sub("$^", " ".join(parts)) + "$"
@@ -197,10 +214,10 @@ def restored_text(text: str, model: LetterModel) -> str:
     text = _SPACED.sub(lambda m: decode(m[0].lower(), model), text)
 
     def one(m: re.Match) -> str:
-        inner = core(m[0])
-        if not suspicious(inner.lower()) or not any(map(str.isalpha, inner)):
-            return m[0]
-        return m[0].replace(inner, decode(inner.lower(), model))
+        low = m[0].lower()
+        inner = next(iter(cores(low)), "")
+        at = low.find(inner) if inner and len(low) == len(m[0]) else -1
+        return m[0] if at < 0 else m[0][:at] + decode(inner, model) + m[0][at + len(inner) :]
 
     return _SPLIT.sub(one, text)
 
