@@ -349,10 +349,11 @@ def test_pack(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    docs = hard(spark)
+    more = [(70, "a <|endoftext|> b", "en", "s", 1), (71, "é<|endoftext|><|endoftext|>", "fr", "s", 1), *[(72, "the same row again and again " * 9, "en", "s", 1)] * 3000]
+    docs = hard(spark).unionByName(spark.createDataFrame(more, SCHEMA))
     got = packing.pack_documents(docs).collect()
     want = Counter()
-    for r in rows():
+    for r in rows() + more:
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
         first = len(ids) % 2048 or 2048
         for k, stop in enumerate(range(first, len(ids) + 1, 2048)):
@@ -371,8 +372,18 @@ def test_pack(spark):
     assert len(places) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_repeated_rows_lie_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 32)
+    docs = spark.createDataFrame([(1, "one row many times " * 4)] * 640, "doc_id long, text string").repartition(4)
+    dealt = packing._grouped(packing.pieces(docs), 2048, 2, 1, 1)
+    assert max(r["count"] for r in dealt.groupBy("block").count().collect()) < 100
+
+
 def test_fast_tokenizer_gives_the_same_ids():
-    own = packing._own("byte_bpe_50k.json")
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
     rng = random.Random(4)
     points = [c for c in range(0x250)] + [0x2028, 0x3000, 0x4E2D, 0x1F600, 0x0301, 0x0E01, 0x0660]
     texts = ["".join(chr(rng.choice(points)) for _ in range(200)) for _ in range(300)]
@@ -419,6 +430,47 @@ def shape(text: str) -> str:
     return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+", lambda m: "0" * (1 if "." in text else len(m[0])), text)))
 
 
+def test_addresses_are_those_of_a_plain_search():
+    plain = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
+    pattern = next(k.pattern for k in pii.KINDS if k.name == "email")
+    rng = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab1%%..@@_+-é ,xyz") for _ in range(rng.randrange(40))) + rng.choice(["", "@ab.cd", "x@a.bc", "a@b-c.de f"])
+        assert [m.span() for m in pii._emails(pattern, text)] == [m.span() for m in plain.finditer(text)], text
+
+
+def test_values_in_long_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert pii.find("%D0%BF" * 180_000 + "@", b"k") == []
+    dates = " ".join(f"2020-{1 + i % 12:02d}-{1 + i % 28:02d} a{i}@x.org" for i in range(40_000))
+    assert len(pii.find(dates, b"k")) == 80_000
+    assert time.process_time() - began < 60
+
+
+def test_replacement_by_a_dictionary(spark):
+    """Every value replaced by what the Feistel permutation itself gives, and nothing else."""
+    key = b"k"
+    days = {f"2020-{m:02d}-{d:02d}": (m, d) for m in (1, 5, 12) for d in (1, 9, 28)}
+    first = pii._FIRST_DAY
+
+    def day(text):
+        from datetime import date, timedelta
+
+        n = (date(2020, *days[text]) - first).days
+        return (first + timedelta(pii.Feistel(key, "date", pii._DAYS).encrypt(n))).isoformat()
+
+    text = "; ".join(f"on {d} or {d}, not 2020-13-01 {i}" for i, d in enumerate(days))
+    want = text
+    for d in days:
+        want = want.replace(d, f"<{d}>")
+    for d in days:
+        want = want.replace(f"<{d}>", day(d))
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key).first()
+    assert (got.text, got.n_found) == (want, 2 * len(days))
+
+
 def test_pseudonyms_round_trip_and_keep_their_format():
     key = b"k"
     for text in CASES:
