@@ -42,12 +42,9 @@ FILTER_BYTES = 1 << 26
 #: Languages whose bits share one 64-bit integer.
 WORD_BITS = 62
 
-def _signs() -> str:
-    """Characters that count as word characters but are no letters and no decimal digits, such as fractions."""
-    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-
-
-_OTHER = re.compile(rf"[\W\d_{_signs()}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Word characters that are no letters and no decimal digits, such as fractions; none is ASCII.
+_SIGNS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _STEP = odd_constants(31, 8)
 #: Distinct n-grams that a task holds before it passes their counts on.
 HELD = 2_000_000
@@ -55,7 +52,9 @@ HELD = 2_000_000
 
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the texts and the number of the text each is from."""
-    plain = [f" {_OTHER.sub(' ', t.lower()).strip()} " for t in texts]
+    # a class of characters that joins both kinds is searched six times as slowly
+    plain = [t if t.isascii() or _SIGNS.isdisjoint(t) else "".join(" " if c in _SIGNS else c for c in t) for t in texts]
+    plain = [f" {_OTHER.sub(' ', t.lower()).strip()} " for t in plain]
     lengths = np.array([len(p) for p in plain], dtype=np.int64)
     points = np.frombuffer("".join(plain).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(plain)), lengths)
