@@ -51,12 +51,32 @@ def test_registered_text_fits_have_full_sizes(spark, monkeypatch, name, want):
 
 def test_random_search_tries_every_family(spark):
     trials = md.random_trials()
-    assert Counter(t["model"] for t in trials) == {"logistic": 40, "forest": 40, "boosting": 40}
-    assert len({tuple(sorted((k, v) for k, v in t.items() if k != "trial")) for t in trials}) == 120
-    assert md.trial_estimator(trials[0]).getMaxIter() == 100
-    small = [{"trial": 0, "model": "logistic", "reg": 0.01, "elastic": 0.5}, {"trial": 1, "model": "forest", "trees": 3, "depth": 2, "min_rows": 1},
-             {"trial": 2, "model": "boosting", "rounds": 2, "depth": 2, "step": 0.1, "subsample": 1.0}]
-    d = spark.createDataFrame([(k / 80, k / 80, float(k % 2), *[float((k * 7 + i) % 11 + 20 * (k % 2)) for i in range(len(md.FEATURES))]) for k in range(80)],
-                              ", ".join(f"{c} double" for c in ["t", "t_end", "label", *md.FEATURES]))
-    got = md.random_search(d, [0.5, 0.75], 0.25, small)
-    assert [(r["trial"], r["folds"]) for r in got] == [(0, 2), (1, 2), (2, 2)] and all(0 <= r["brier"] < 0.25 for r in got)
+    assert Counter(t["model"] for t in trials) == {"logistic": 20, "forest": 20, "boosting": 20}
+    assert len({tuple(sorted((k, v) for k, v in t.items() if k != "trial")) for t in trials}) == 60
+    assert all(t[k] in md.SPACES[t["model"]][k] for t in trials for k in md.SPACES[t["model"]])
+    assert len(md.random_trials(10**6)) == 5 * 4 * 3 * 4 + 4**7 + 4**7
+    classifier, regressor = md.trial_estimators({"model": "forest", **{k: v[-1] for k, v in md.SPACES["forest"].items()}}, 100)
+    assert (classifier.getNumTrees(), classifier.getMaxDepth(), regressor.getMinInstancesPerNode()) == (420, 6, 18)
+
+
+def test_random_search_scores_and_best_rows(spark):
+    """A learnable frame: scores follow from accuracy, loss and weight of every block, one best row a family."""
+    small = [{"trial": 0, "model": "logistic", "c": 0.5, "r_alpha": 0.001, "r_l1": 0.5, "top_k": 8},
+             {"trial": 1, "model": "forest", "trees": 3, "depth": 2, "min_rows": 1, "r_trees": 3, "r_depth": 2, "r_min_rows": 1, "top_k": 8},
+             {"trial": 2, "model": "boosting", "rounds": 2, "step": 0.1, "leaves": 5, "r_rounds": 2, "r_step": 0.1, "r_leaves": 5, "top_k": 16},
+             {"trial": 3, "model": "logistic", "c": 0.0001, "r_alpha": 0.001, "r_l1": 0.5, "top_k": 8}]
+    d = spark.createDataFrame([(k / 80, k / 80, float(k % 2), k % 2 - 0.5, *[float((k * 7 + i) % 11 + 20 * (k % 2)) for i in range(len(md.FEATURES))]) for k in range(80)],
+                              ", ".join(f"{c} double" for c in ["t", "t_end", "label", "research_target", *md.FEATURES]))
+    got = md.random_search(d, small)
+    assert sorted(r["trial"] for r in got) == [0, 1, 2, 3] and all(r["folds"] == 4 for r in got)
+    assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
+    assert Counter(r["model"] for r in got if r["best"]) == {"logistic": 1, "forest": 1, "boosting": 1}
+    assert {r["trial"]: r["best"] for r in got}[3] == 0  # so strong a penalty learns nothing
+    best = next(r for r in got if r["trial"] == 0)
+    assert best["accuracy_mean"] == 1 and best["accuracy_std"] == 0 and best["rmse_mean"] < 0.2
+    assert md.fold_score(0.4, 1.0) == (0.05, 0.4 + 0.004 - 0.12) and md.fold_score(1.0, 0.0)[0] == 5.75
+
+
+def test_best_quote_and_stories_need_no_sort_aggregate(spark, data):
+    for name in ("p39_best_quote", "w31_story_dedupe"):
+        assert "SortAggregate" not in CATALOG[name].build(spark, data)._jdf.queryExecution().executedPlan().toString(), name

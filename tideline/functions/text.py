@@ -44,7 +44,8 @@ SOURCE_GRADES = {
     "marketwatch": 0.78, "barron's": 0.80, "yahoo finance": 0.72, "zacks": 0.68, "seeking alpha": 0.62}
 SOURCE_WEIGHTS = {
     "reuters": 1.15, "bloomberg": 1.15, "cnbc": 1.05, "wall street journal": 1.15, "the wall street journal": 1.15,
-    "barron's": 1.05, "marketwatch": 0.95, "yahoo finance": 0.95, "seeking alpha": 0.85}
+    "barron's": 1.05, "marketwatch": 0.95, "yahoo finance": 0.95, "investing.com": 0.90,
+    "seeking alpha": 0.85}
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
@@ -95,10 +96,10 @@ def keyword_sentiment(lowered) -> Column:
 def source_quality(source, default: float = 0.55) -> Column:
     """Grade of the first listed source whose name is contained."""
     s = F.lower(F.trim(num(source)))
-    out = F.when(F.contains(s, F.lit("reuters")), SOURCE_GRADES["reuters"])
-    for name, grade in SOURCE_GRADES.items():
-        out = out.when(F.contains(s, F.lit(name)), grade)
-    return out.otherwise(default)
+    out = F.lit(default)
+    for name, grade in reversed(SOURCE_GRADES.items()):
+        out = F.when(F.contains(s, F.lit(name)), grade).otherwise(out)
+    return out
 
 
 def relevance(lowered, in_scope, terms: list[str] | None = None) -> Column:

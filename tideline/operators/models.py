@@ -3,14 +3,16 @@ a fit sees many partitions; only fold and parameter lists are driver-side."""
 
 from __future__ import annotations
 
-import itertools
+import json
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from statistics import mean, pstdev
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -46,7 +48,7 @@ class Sizes:
     text_trees: int = 200
     text_depth: int = 8
     iterations: int = 100
-    trials: int = 40
+    trials: int = 20
 
 
 def _stages(estimator):
@@ -122,46 +124,106 @@ def nested_calibration(d: DataFrame, cut: float = 0.7, sizes: Sizes = Sizes()) -
                       F.lit(best).alias("parameter"), F.lit(chosen).alias("calibrator"))
 
 
-def random_trials(sizes: Sizes = Sizes(), seed: int = 7) -> list[dict]:
-    """The parameters of every trial of the random search: ``sizes.trials`` draws in each family."""
-    rng = random.Random(seed)
-    out = [{"model": "logistic", "reg": 10 ** rng.uniform(-4, -0.5), "elastic": round(rng.random(), 4)} for _ in range(sizes.trials)]
-    grids = {"forest": {"trees": (160, 240, 320, 420), "depth": (3, 4, 5, 6), "min_rows": (6, 10, 14, 18)},
-             "boosting": {"rounds": (80, 120, 160, 220), "depth": (2, 3, 4), "step": (0.02, 0.035, 0.05, 0.08), "subsample": (0.7, 0.85, 1.0)}}
-    for name, grid in grids.items():
-        every = list(itertools.product(*grid.values()))
-        out += [{"model": name, **dict(zip(grid, x, strict=True))} for x in rng.sample(every, min(sizes.trials, len(every)))]
-    return [{"trial": i, **t} for i, t in enumerate(out)]
+# The searched parameters of each family, for the classifier and the regressor beside it.
+SPACES = {
+    "logistic": {"c": (0.15, 0.25, 0.5, 0.8, 1.2), "r_alpha": (0.0002, 0.0005, 0.001, 0.002), "r_l1": (0.25, 0.5, 0.75), "top_k": (8, 10, 12, 16)},
+    "forest": {"trees": (160, 240, 320, 420), "depth": (3, 4, 5, 6), "min_rows": (6, 10, 14, 18),
+               "r_trees": (160, 240, 320, 420), "r_depth": (3, 4, 5, 6), "r_min_rows": (6, 10, 14, 18), "top_k": (8, 10, 12, 16)},
+    "boosting": {"rounds": (80, 120, 160, 220), "step": (0.02, 0.035, 0.05, 0.08), "leaves": (5, 8, 12, 16),
+                 "r_rounds": (80, 120, 160, 220), "r_step": (0.02, 0.035, 0.05, 0.08), "r_leaves": (5, 8, 12, 16), "top_k": (8, 10, 12, 16)}}
+
+
+def random_trials(trials: int = Sizes().trials, seed: int = 42) -> list[dict]:
+    """``trials`` different draws from each family's product of values; all of it where it has fewer. A draw is a rank in
+    the product, read in mixed radix, so the product itself is never listed."""
+    out = []
+    for model, space in SPACES.items():
+        size = math.prod(map(len, space.values()))
+        for rank in random.Random(f"{seed} {model}").sample(range(size), min(trials, size)):
+            drawn = {"trial": len(out), "model": model}
+            for name, values in space.items():
+                rank, at = divmod(rank, len(values))
+                drawn[name] = values[at]
+            out.append(drawn)
+    return out
 
 
-def trial_estimator(t: dict, sizes: Sizes = Sizes(), seed: int = 42):
+def trial_estimators(t: dict, rows: int, sizes: Sizes = Sizes(), seed: int = 42) -> tuple:
+    """(classifier, regressor) of a trial over a training block of so many rows. Leaves are bounded by depth; an L1
+    penalty's inverse strength counts all rows."""
+    c = {"featuresCol": "chosen", "labelCol": "label", "weightCol": "weight"}
+    r = {"featuresCol": "chosen", "labelCol": "research_target"}
     if t["model"] == "logistic":
-        return LogisticRegression(regParam=t["reg"], elasticNetParam=t["elastic"], maxIter=sizes.iterations)
+        return (LogisticRegression(regParam=1 / (t["c"] * max(1, rows)), elasticNetParam=1.0, maxIter=sizes.iterations, featuresCol="chosen"),
+                LinearRegression(regParam=t["r_alpha"], elasticNetParam=t["r_l1"], maxIter=sizes.iterations, **r))
     if t["model"] == "forest":
-        return RandomForestClassifier(numTrees=t["trees"], maxDepth=t["depth"], minInstancesPerNode=t["min_rows"], seed=seed)
-    return GBTClassifier(maxIter=t["rounds"], maxDepth=t["depth"], stepSize=t["step"], subsamplingRate=t["subsample"], seed=seed)
-
-
-def random_search(d: DataFrame, cuts: list[float], width: float, trials: list[dict], sizes: Sizes = Sizes()) -> list[dict]:
-    """The trials with ``folds`` and ``brier`` over the blocks of ``width`` behind the cuts. A model is scored as soon
-    as it is fitted and then dropped; the driver keeps two numbers of it."""
-    sums = {t["trial"]: [0, 0, 0.0] for t in trials}
-    for cut in cuts:
-        train, test = mature(d, cut).persist(), d.filter((F.col("t") >= cut) & (F.col("t") < cut + width)).persist()
-
-        def one(t: dict):
-            m = _stages(trial_estimator(t, sizes)).fit(train)
-            return probability(m, test, "p").agg(F.count("*").alias("n"), F.sum(F.pow(F.col("p") - F.col("label"), 2)).alias("sq")).first()
+        return (RandomForestClassifier(numTrees=t["trees"], maxDepth=t["depth"], minInstancesPerNode=t["min_rows"], seed=seed, **c),
+                RandomForestRegressor(numTrees=t["r_trees"], maxDepth=t["r_depth"], minInstancesPerNode=t["r_min_rows"], seed=seed, **r))
+    return (GBTClassifier(maxIter=t["rounds"], stepSize=t["step"], maxDepth=math.ceil(math.log2(t["leaves"])), seed=seed, featuresCol="chosen"),
+            GBTRegressor(maxIter=t["r_rounds"], stepSize=t["r_step"], maxDepth=math.ceil(math.log2(t["r_leaves"])), seed=seed, **r))
+
+
+def fold_score(accuracy: float, log_loss: float) -> tuple[float, float]:
+    """(weight, score) of a fold."""
+    weight = max(0.05, 10 * max(0.0, accuracy - 0.5) + max(0.0, 0.75 - log_loss))
+    return weight, accuracy + 0.08 * weight - 0.12 * log_loss
+
+
+#: Rows of a partition of the tables that all trials share.
+ROWS_A_PART = 100_000
+
+
+def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Sizes = Sizes(), at_once: int = 8) -> list[dict]:
+    """The trials with their scores over expanding calendar blocks, best first, ``best`` marking the first of each family.
+
+    Each block is imputed, ordered by relevance and scaled once; all trials share these two vector tables. The driver
+    keeps four numbers a trial and block."""
+    found: dict[int, list[tuple]] = {t["trial"]: [] for t in trials}
+    for k in range(1, splits + 1):
+        cut, stop = k / (splits + 1), (k + 1) / (splits + 1) if k < splits else 1.01
+        train, test = mature(d, cut), d.filter((F.col("t") >= cut) & (F.col("t") < stop))
+        if train.isEmpty() or test.isEmpty():
+            continue
+        named = [c for c, _ in select_features(train, len(FEATURES))]
+        filled = [f"{c}_f" for c in named]
+        prepared = Pipeline(stages=[Imputer(inputCols=named, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_v"),
+                                    StandardScaler(inputCol="raw_v", outputCol="features", withMean=True)]).fit(train)
+        keep = ["features", "label", "research_target"]
+        rows = train.count()
+        parts = 1 + rows // ROWS_A_PART  # a fit runs hundreds of short jobs: few tasks each, several fits at once
+        train = balanced(prepared.transform(train).select(*keep), "label").coalesce(parts).persist()
+        test = prepared.transform(test).select(*keep).coalesce(parts).persist()
+
+        def one(t: dict, train=train, test=test, rows=rows, width=len(named)) -> tuple:
+            chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(min(t["top_k"], width))))
+            own, other = chosen.transform(train), chosen.transform(test)
+            classifier, regressor = trial_estimators(t, rows, sizes)
+            p = clip(vector_to_array("probability").getItem(1), 0.01, 0.99)
+            up = vector_to_array("probability").getItem(1) >= 0.5
+            loss = F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))
+            a = classifier.fit(own).transform(other).agg(F.avg((up == (F.col("label") > 0)).cast("int")).alias("acc"), loss.alias("loss")).first()
+            e = regressor.fit(own).transform(other).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2))).alias("rmse")).first()
+            return a.acc, a.loss, e.rmse
 
         try:
-            with ThreadPoolExecutor(4) as pool:
+            with ThreadPoolExecutor(at_once) as pool:
                 for t, r in zip(trials, pool.map(one, trials), strict=True):
-                    held = sums[t["trial"]]
-                    held[:] = held[0] + (r.n > 0), held[1] + r.n, held[2] + (r.sq or 0.0)
+                    found[t["trial"]].append(r)
         finally:
             train.unpersist()
             test.unpersist()
-    return [t | {"folds": k, "brier": sq / n} for t in trials for k, n, sq in [sums[t["trial"]]] if n]
+    out = []
+    for t in trials:
+        folds = found[t["trial"]]
+        if folds:
+            weights, scores = zip(*[fold_score(acc, loss) for acc, loss, _ in folds], strict=True)
+            acc, loss, rmse = (mean(x) for x in zip(*folds, strict=True))
+            out.append({"trial": t["trial"], "model": t["model"], "params": json.dumps({k: v for k, v in t.items() if k not in ("trial", "model")}, sort_keys=True),
+                        "folds": len(folds), "score": mean(scores) - 0.25 * pstdev(scores), "accuracy_mean": acc, "accuracy_std": pstdev([x[0] for x in folds]),
+                        "log_loss_mean": loss, "weight_mean": mean(weights), "rmse_mean": rmse})
+    out.sort(key=lambda r: (-r["score"], r["trial"]))
+    first = {r["model"]: r["trial"] for r in reversed(out)}
+    return [r | {"best": int(first[r["model"]] == r["trial"])} for r in out]
 
 
 def select_features(d: DataFrame, k: int = 8, cap: float = 0.92) -> list[tuple[str, float]]:

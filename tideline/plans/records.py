@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from tideline.functions import text as tx
-from tideline.functions.numeric import clip, flag, logistic, moment_skew, sdiv, truth
+from tideline.functions.numeric import clip, flag, logistic, moment_skew, packed_order, sdiv, truth
 from tideline.operators import evaluate as evl
 from tideline.operators.asof import asof_join
 from tideline.operators.ranking import rank_all
@@ -236,7 +236,7 @@ def _(spark, d):
 def _(spark, d):
     s = story(spark, d).select("doc_id", "published_at", tx.story_hash("day", "title").alias("story_id"))
     # Partial aggregates instead of a row number, so a story with very many copies stays cheap.
-    k = F.struct("published_at", "doc_id")
+    k = packed_order((F.unix_micros(F.col("published_at").cast("timestamp")), 17), ("doc_id", 19))
     return s.groupBy("story_id").agg(F.min_by("doc_id", k).alias("first_doc"), F.max_by("doc_id", k).alias("last_doc"), F.count("*").alias("copies"))
 
 

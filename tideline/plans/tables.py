@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from tideline.functions.numeric import clip, finite, flag, logistic, logit, sdiv, truth
+from tideline.functions.numeric import clip, finite, flag, logistic, logit, packed_order, sdiv, truth
 from tideline.operators import features as feat, rules as rl
 from tideline.operators.ranking import cluster_safe_boundaries, rank_all, walk_boundaries
 from tideline.operators.rolling import by_symbol, pct_change, trailing
@@ -265,12 +265,13 @@ def _(spark, d):
 def _(spark, d):
     ny = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
     t = views.ticks(spark, d).withColumn("first", (F.col("user_id") % 3 == 0).cast("int")).withColumn("mins", F.hour(ny) * 60 + F.minute(ny))
-    rank = F.struct("first", "ts", "event_id")
-    b = t.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by(F.struct("price", "first", "mins"), rank).alias("q"), F.max_by("price", F.struct("ts", "event_id")).alias("last_price"))
-    m = F.col("q.mins")
-    return b.select("symbol", "day", F.col("q.price").alias("price"), F.when(F.col("q.first") == 1, "primary").otherwise("backup").alias("provider"),
+    at = ((F.unix_micros(F.col("ts").cast("timestamp")), 17), ("event_id", 19))
+    rank = packed_order(("first", 1), *at)
+    b = t.groupBy("symbol", F.to_date("ts").alias("day")).agg(*[F.max_by(c, rank).alias(c) for c in ("price", "first", "mins")], F.max_by("price", packed_order(*at)).alias("last_price"))
+    m = F.col("mins")
+    return b.select("symbol", "day", "price", F.when(F.col("first") == 1, "primary").otherwise("backup").alias("provider"),
                     F.when(m.between(570, 959), "regular").when(m.between(240, 569), "pre").when(m.between(960, 1199), "post").otherwise("overnight").alias("session_class"),
-                    (sdiv("q.price", F.lag("last_price").over(Window.partitionBy("symbol").orderBy("day"))) - 1).alias("change"))
+                    (sdiv("price", F.lag("last_price").over(Window.partitionBy("symbol").orderBy("day"))) - 1).alias("change"))
 
 
 _AUDIT = ["symbol", "session", "close", "volume", "ret1", "ret20", "vol60", "target_return"]
