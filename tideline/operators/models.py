@@ -18,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.numeric import clip, logit
+from tideline.session import ensure_checkpoint_dir
 
 FEATURES = ["ret1", "ret5", "ret20", "ret60", "vol20", "vol60", "day_range", "overnight", "volume_ratio", "price_ma20", "price_ma60", "volume_change"]
 
@@ -173,45 +174,57 @@ def fold_score(accuracy: float, log_loss: float) -> tuple[float, float]:
 ROWS_A_PART = 100_000
 
 
+def _search_tables(d: DataFrame, k: int, splits: int) -> tuple | None:
+    """(train, test, rows, features) of a calendar block, imputed, ordered by relevance and scaled once for all trials."""
+    cut, stop = k / (splits + 1), (k + 1) / (splits + 1) if k < splits else 1.01
+    train, test = mature(d, cut), d.filter((F.col("t") >= cut) & (F.col("t") < stop))
+    if train.isEmpty() or test.isEmpty():
+        return None
+    named = [c for c, _ in select_features(train, len(FEATURES))]
+    filled = [f"{c}_f" for c in named]
+    prepared = Pipeline(stages=[Imputer(inputCols=named, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_v"),
+                                StandardScaler(inputCol="raw_v", outputCol="features", withMean=True)]).fit(train)
+    keep = ["features", "label", "research_target"]
+    rows = train.count()
+    parts = 1 + rows // ROWS_A_PART  # a fit runs hundreds of short jobs: few tasks each, many fits at once
+    return (balanced(prepared.transform(train).select(*keep), "label").coalesce(parts).persist(),
+            prepared.transform(test).select(*keep).coalesce(parts).persist(), rows, len(named))
+
+
 def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Sizes = Sizes(), at_once: int = 8) -> list[dict]:
     """The trials with their scores over expanding calendar blocks, best first, ``best`` marking the first of each family.
 
-    Each block is imputed, ordered by relevance and scaled once; all trials share these two vector tables. The driver
-    keeps four numbers a trial and block."""
-    found: dict[int, list[tuple]] = {t["trial"]: [] for t in trials}
-    for k in range(1, splits + 1):
-        cut, stop = k / (splits + 1), (k + 1) / (splits + 1) if k < splits else 1.01
-        train, test = mature(d, cut), d.filter((F.col("t") >= cut) & (F.col("t") < stop))
-        if train.isEmpty() or test.isEmpty():
-            continue
-        named = [c for c, _ in select_features(train, len(FEATURES))]
-        filled = [f"{c}_f" for c in named]
-        prepared = Pipeline(stages=[Imputer(inputCols=named, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_v"),
-                                    StandardScaler(inputCol="raw_v", outputCol="features", withMean=True)]).fit(train)
-        keep = ["features", "label", "research_target"]
-        rows = train.count()
-        parts = 1 + rows // ROWS_A_PART  # a fit runs hundreds of short jobs: few tasks each, several fits at once
-        train = balanced(prepared.transform(train).select(*keep), "label").coalesce(parts).persist()
-        test = prepared.transform(test).select(*keep).coalesce(parts).persist()
-
-        def one(t: dict, train=train, test=test, rows=rows, width=len(named)) -> tuple:
-            chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(min(t["top_k"], width))))
-            own, other = chosen.transform(train), chosen.transform(test)
-            classifier, regressor = trial_estimators(t, rows, sizes)
-            p = clip(vector_to_array("probability").getItem(1), 0.01, 0.99)
-            up = vector_to_array("probability").getItem(1) >= 0.5
-            loss = F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))
-            a = classifier.fit(own).transform(other).agg(F.avg((up == (F.col("label") > 0)).cast("int")).alias("acc"), loss.alias("loss")).first()
-            e = regressor.fit(own).transform(other).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2))).alias("rmse")).first()
-            return a.acc, a.loss, e.rmse
-
-        try:
-            with ThreadPoolExecutor(at_once) as pool:
-                for t, r in zip(trials, pool.map(one, trials), strict=True):
-                    found[t["trial"]].append(r)
-        finally:
+    Each block is prepared once; all trials share its two vector tables, and the fits of all blocks, trials and kinds run
+    side by side, ``at_once`` at a time. Boosting checkpoints its residuals in the shared folder, as the lineage of
+    hundreds of rounds would grow with every job. The driver keeps three numbers a trial and block."""
+    ensure_checkpoint_dir(d.sparkSession)
+    tables = [x for x in (_search_tables(d, k, splits) for k in range(1, splits + 1)) if x]
+
+    def fit(job: tuple) -> tuple:
+        t, (train, test, rows, width), kind = job
+        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(min(t["top_k"], width))))
+        classifier, regressor = trial_estimators(t, rows, sizes)
+        scored = (classifier if kind == "label" else regressor).fit(chosen.transform(train)).transform(chosen.transform(test))
+        if kind != "label":
+            return tuple(scored.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2)))).first())
+        up = vector_to_array("probability").getItem(1)
+        p = clip(up, 0.01, 0.99)
+        return tuple(scored.agg(F.avg(((up >= 0.5) == (F.col("label") > 0)).cast("int")),
+                                F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))).first())
+
+    jobs = [(t, x, kind) for t in trials for x in tables for kind in ("label", "target")]
+    # The longest fits start first, so that none is left alone at the end.
+    order = sorted(range(len(jobs)), key=lambda i: -(jobs[i][0].get("rounds", 0) + jobs[i][0].get("trees", 0)))
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            done = dict(zip(order, pool.map(lambda i: fit(jobs[i]), order), strict=True))
+    finally:
+        for train, test, _, _ in tables:
             train.unpersist()
             test.unpersist()
+    found: dict[int, list[tuple]] = {t["trial"]: [] for t in trials}
+    for i in range(0, len(jobs), 2):
+        found[jobs[i][0]["trial"]].append(done[i] + done[i + 1])
     out = []
     for t in trials:
         folds = found[t["trial"]]

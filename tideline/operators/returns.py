@@ -121,26 +121,42 @@ def ledger(df: DataFrame, keys: list[str], shares_per_unit: float = 100.0, initi
 
 
 def greedy_intraday_trades(scored: DataFrame, horizon: int = 4, cost: float = 0.0015) -> DataFrame:
-    """Non-overlapping trades: enter the next bar, leave after ``horizon`` bars of the same session,
-    look again after the exit. The choice is sequential, so one symbol's bars (bounded by the bar
-    calendar) form a group; symbols run in parallel."""
-    import pandas as pd
-
-    schema = "symbol string, signal_time timestamp_ntz, exit_time timestamp_ntz, side int, gross double, net double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("bar").reset_index(drop=True)
-        sig, day = p["signal"].to_numpy(), p["session_ny"].to_numpy()
-        op, cl, t = p["open"].to_numpy(), p["close"].to_numpy(), p["bar"]
-        rows, i, n = [], 0, len(p)
-        while i < n - horizon - 1:
-            if sig[i] == 0 or day[i + 1] != day[i + horizon]:
-                i += 1
-                continue
-            gross = float(sig[i] * (cl[i + horizon] / op[i + 1] - 1.0))
-            rows.append((p["symbol"].iloc[0], t.iloc[i], t.iloc[i + horizon], int(sig[i]), gross, gross - cost))
-            i += horizon + 1
-        return pd.DataFrame(rows, columns=["symbol", "signal_time", "exit_time", "side", "gross", "net"])
-
-    cols = scored.select("symbol", "bar", "session_ny", "open", "close", "signal")
-    return cols.groupBy("symbol").applyInPandas(run, schema)
+    """Non-overlapping trades: enter the bar after a signal, leave ``horizon`` bars after the signal in the same session,
+    look again after the exit. The last bar of a symbol takes no exit.
+
+    A trade never leaves its session, so all that one session hands to the next is whether its first bar is still barred.
+    Each session (a bounded group) is walked for both cases; which case holds is a scan of that bit over a symbol's
+    sessions. A symbol with most of the bars is dealt out by its sessions like any other."""
+    bars = scored.select("symbol", "session_ny", F.struct("bar", "open", "close", F.col("signal").cast("int").alias("signal")).alias("b"))
+    s = bars.groupBy("symbol", "session_ny").agg(F.array_sort(F.collect_list("b")).alias("bars"))
+    w = Window.partitionBy("symbol").orderBy("session_ny")
+    before = F.lag(F.element_at("bars", -1)).over(w)
+    final = F.lead("session_ny").over(w).isNull().cast("int")
+    s = s.select("symbol", "session_ny", "bars", before.alias("before"), final.alias("final"))
+    # With the last bar of the session before in front, bar k of ``line`` is the signal bar of an entry at bars[k].
+    s = s.withColumn("line", F.concat(F.array("before"), F.slice("bars", 1, F.size("bars") - 1)))
+    places = F.size("bars") - horizon - F.col("final")
+
+    def walk(barred: int):
+        def step(acc, k):
+            # Array places count from 0 in sequence(0, n - 1); no bar before the first one means no signal.
+            go = (k >= acc["free"]) & (F.coalesce(F.get("line", k)["signal"], F.lit(0)) != 0)
+            return F.when(go, F.struct((k + horizon + 1).alias("free"), F.concat(acc["at"], F.array(k)).alias("at"))).otherwise(acc)
+
+        none = F.struct(F.lit(barred).alias("free"), F.array().cast("array<int>").alias("at"))
+        return F.when(places < 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(places, F.lit(0))), none, step))
+
+    s = s.withColumn("open_walk", walk(0)).withColumn("barred_walk", walk(1))
+    out = [(F.col(f"{c}.free") > F.size("bars")).cast("int") for c in ("open_walk", "barred_walk")]
+    s = s.withColumn("_out0", out[0]).withColumn("_out1", out[1]).withColumn("_flip", (F.col("_out0") > F.col("_out1")).cast("int"))
+    # A session with one result for both cases sets the bit; the others keep or flip it.
+    flips = F.sum("_flip").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("_flips", flips)
+    fixed = F.when(F.col("_out0") == F.col("_out1"), F.col("_out0") + F.col("_flips"))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_bit", (F.coalesce(F.last(fixed, ignorenulls=True).over(past), F.lit(0)) + F.coalesce(F.lag("_flips").over(w), F.lit(0))) % 2)
+    taken = s.select("symbol", "bars", "line", F.explode(F.when(F.col("_bit") == 1, F.col("barred_walk.at")).otherwise(F.col("open_walk.at"))).alias("k"))
+    signal, entry, leave = F.get("line", F.col("k")), F.get("bars", F.col("k")), F.get("bars", F.col("k") + horizon - 1)
+    t = taken.select("symbol", signal["bar"].alias("signal_time"), leave["bar"].alias("exit_time"), signal["signal"].alias("side"),
+                     (signal["signal"] * (leave["close"] / entry["open"] - 1)).alias("gross"))
+    return t.withColumn("net", F.col("gross") - F.lit(cost))
