@@ -602,6 +602,247 @@ def _(spark, d):
                                                            flag(F.max("deg") <= 0.2).alias("stable"))
 
 
+# Limits of the high-sample search, looked-back tails and sample floors of the stable selection.
+HIGH = {"min_trades": 60, "target_trades": 90, "min_active_days": 90, "target_active_days": 130, "min_precision": 0.58, "min_worst_year": 0.52,
+        "min_sharpe": 1.0, "min_annualized": 0.10, "max_drawdown": 0.20, "min_win_rate": 0.55, "min_profit_factor": 1.5}
+TAILS, MIN_TAIL_TRADES, MIN_TAIL_ROWS, MIN_REGIME_DAYS = (45, 63, 84, 126), 3, 10, 3
+REGIMES = {"high_vol_downtrend": "p60 < 1 AND vol20 > vol60", "uptrend": "p60 > 1 AND ret20 > 0", "holiday": "pre_holiday = 1"}
+DRAWDOWN_SLACK = 0.001
+MORE_CONSTRAINTS = ("annualized_return", "sharpe_ratio", "win_rate", "profit_factor")
+
+# Spread of precision over walk-forward folds, and the scores of a look-back that need it.
+add_view("cand_folds", """
+SELECT symbol, label, months, count(*) FILTER (precision < 0.5) AS weak_folds, coalesce(stddev_pop(precision), 0) AS fold_std, count(precision) AS folds FROM (
+  SELECT symbol, label, months, fold, avg(CASE WHEN target_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (active) AS precision FROM cand_rows GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
+_SAMPLE_GATE = f"num_trades >= {HIGH['min_trades']} AND dir_active_days >= {HIGH['min_active_days']}"
+_QUALITY_GATE = (f"dir_precision >= {HIGH['min_precision']} AND worst_year >= {HIGH['min_worst_year']} AND sharpe_ratio >= {HIGH['min_sharpe']} AND annualized_return >= {HIGH['min_annualized']}"
+                 f" AND abs(max_drawdown) <= {HIGH['max_drawdown']} AND win_rate >= {HIGH['min_win_rate']} AND profit_factor >= {HIGH['min_profit_factor']}")
+add_view("window_scores", f"""
+SELECT c.*, fold_std, CASE WHEN folds = 0 THEN 99 ELSE weak_folds END AS losing,
+  CASE WHEN {_SAMPLE_GATE} THEN 1 ELSE 0 END AS sample_ok, CASE WHEN {_QUALITY_GATE} THEN 1 ELSE 0 END AS quality_ok,
+  CASE WHEN dir_active_days < 25 OR num_trades < 5 THEN -100 - (greatest(0, 25 - dir_active_days) + 2 * greatest(0, 5 - num_trades))
+   ELSE dir_precision * 5 + least(profit_factor, 5) * 0.45 + sharpe_ratio * 0.55 + annualized_return * 0.75 + coalesce(calmar_ratio, 0) * 0.2 + avg_next_return * 50
+    - greatest(0, abs(max_drawdown) - 0.18) * 8 - greatest(0, coverage - 0.25) * 3 - fold_std * 1.5 - (CASE WHEN folds = 0 THEN 99 ELSE weak_folds END) * 0.15 END AS precision_score,
+  dir_precision * 6 + worst_year * 2 + sharpe_ratio * 0.9 + annualized_return * 1.25 + least(profit_factor, 8) * 0.3 + least(dir_active_days, 80) * 0.015
+    - greatest(0, 25 - dir_active_days) * 0.15 - greatest(0, 18 - num_trades) * 0.2 - greatest(0, abs(max_drawdown) - 0.12) * 10
+    - (CASE WHEN folds = 0 THEN 9 ELSE weak_folds END) * 0.35 - fold_std * 2 - greatest(0, 0.58 - worst_year) * 4 AS robust_score,
+  dir_precision * 4 + worst_year * 1.5 + win_rate * 1.5 + sharpe_ratio * 0.75 + annualized_return + least(profit_factor, 6) * 0.35
+    + least(num_trades, {HIGH['target_trades']}) / {HIGH['target_trades']}.0 * 1.4 + least(dir_active_days, {HIGH['target_active_days']}) / {HIGH['target_active_days']}.0 * 0.8
+    + CASE WHEN {_SAMPLE_GATE} AND {_QUALITY_GATE} THEN 2 ELSE 0 END
+    - greatest(0, {HIGH['min_trades']} - num_trades) * 0.18 - greatest(0, {HIGH['min_active_days']} - dir_active_days) * 0.08
+    - greatest(0, abs(max_drawdown) - {HIGH['max_drawdown']}) * 12 - greatest(0, abs(max_drawdown) - 0.12) * 3
+    - (CASE WHEN folds = 0 THEN 9 ELSE weak_folds END) * 0.25 - fold_std * 1.75 - greatest(0, {HIGH['min_worst_year']} - worst_year) * 3 AS high_sample_score
+FROM candidates c JOIN cand_folds USING (symbol, label, months)""")
+
+
+def short_of(limit, c):
+    """How far a value stays below a limit, 0 above it."""
+    return F.greatest(F.lit(0.0), F.lit(float(limit)) - F.col(c))
+
+
+def fold_spread(spark, d):
+    """Weak folds and the deviation of fold precision of every candidate and look-back."""
+    f = candidate_rows(spark, d).groupBy(*KEYS, "fold").agg(F.avg(F.when(F.col("position") > 0, (F.col("target_return") > 0).cast("int"))).alias("precision"))
+    return f.groupBy(*KEYS).agg(F.sum(F.coalesce((F.col("precision") < 0.5).cast("int"), F.lit(0))).alias("weak_folds"),
+                                F.coalesce(F.stddev_pop("precision"), F.lit(0.0)).alias("fold_std"), F.count("precision").alias("folds"))
+
+
+def window_scores(spark, d):
+    """The scores of precision, long-run and high-sample search of each candidate and look-back."""
+    c = candidates(spark, d).join(fold_spread(spark, d), KEYS)
+    c = c.withColumn("losing", F.when(F.col("folds") == 0, 99).otherwise(F.col("weak_folds")))
+    weak = F.least("losing", F.when(F.col("folds") == 0, 9).otherwise(F.col("losing")))
+    dd = F.abs("max_drawdown")
+
+    def over(limit):
+        return F.greatest(F.lit(0.0), dd - limit)
+
+    def capped(col, top):
+        return F.least(F.col(col), F.lit(float(top)))
+
+    sample = (F.col("num_trades") >= HIGH["min_trades"]) & (F.col("dir_active_days") >= HIGH["min_active_days"])
+    floors = {"dir_precision": "min_precision", "worst_year": "min_worst_year", "sharpe_ratio": "min_sharpe", "annualized_return": "min_annualized",
+              "win_rate": "min_win_rate", "profit_factor": "min_profit_factor"}
+    quality = dd <= HIGH["max_drawdown"]
+    for metric, limit in floors.items():
+        quality = quality & (F.col(metric) >= HIGH[limit])
+    precision = (F.col("dir_precision") * 5 + capped("profit_factor", 5) * 0.45 + F.col("sharpe_ratio") * 0.55 + F.col("annualized_return") * 0.75
+                 + F.coalesce("calmar_ratio", F.lit(0.0)) * 0.2 + F.col("avg_next_return") * 50 - over(0.18) * 8
+                 - F.greatest(F.lit(0.0), F.col("coverage") - 0.25) * 3 - F.col("fold_std") * 1.5 - F.col("losing") * 0.15)
+    few = -100 - short_of(25, "dir_active_days") - short_of(5, "num_trades") * 2
+    robust = (F.col("dir_precision") * 6 + F.col("worst_year") * 2 + F.col("sharpe_ratio") * 0.9 + F.col("annualized_return") * 1.25 + capped("profit_factor", 8) * 0.3
+              + capped("dir_active_days", 80) * 0.015 - short_of(25, "dir_active_days") * 0.15 - short_of(18, "num_trades") * 0.2 - over(0.12) * 10
+              - weak * 0.35 - F.col("fold_std") * 2 - short_of(0.58, "worst_year") * 4)
+    high = (F.col("dir_precision") * 4 + F.col("worst_year") * 1.5 + F.col("win_rate") * 1.5 + F.col("sharpe_ratio") * 0.75 + F.col("annualized_return") + capped("profit_factor", 6) * 0.35
+            + capped("num_trades", HIGH["target_trades"]) / HIGH["target_trades"] * 1.4 + capped("dir_active_days", HIGH["target_active_days"]) / HIGH["target_active_days"] * 0.8
+            + flag(sample & quality) * 2 - short_of(HIGH["min_trades"], "num_trades") * 0.18 - short_of(HIGH["min_active_days"], "dir_active_days") * 0.08
+            - over(HIGH["max_drawdown"]) * 12 - over(0.12) * 3 - weak * 0.25 - F.col("fold_std") * 1.75 - short_of(HIGH["min_worst_year"], "worst_year") * 3)
+    return c.select("*", flag(sample).alias("sample_ok"), flag(quality).alias("quality_ok"),
+                    F.when((F.col("dir_active_days") < 25) | (F.col("num_trades") < 5), few).otherwise(precision).alias("precision_score"),
+                    robust.alias("robust_score"), high.alias("high_sample_score"))
+
+
+@query("p30_window_scores", "symbol:s label:s months:i fold_std:6 losing:i sample_ok:i quality_ok:i precision_score:3 robust_score:3 high_sample_score:3",
+       "SELECT * FROM window_scores", "P30 L04")
+def _(spark, d):
+    return window_scores(spark, d)
+
+
+# Trailing tails of a candidate: the ledger is cut to the last rows, as if the rule had started there.
+add_view("tail_rows", f"""
+SELECT symbol, label, k, session, target_return, active, position, h AS held, h * ret1 - abs(h - coalesce(lag(h) OVER (PARTITION BY symbol, label, k ORDER BY session), 0)) * 0.0015::DOUBLE AS net
+FROM (SELECT *, coalesce(lag(position) OVER (PARTITION BY symbol, label, k ORDER BY session), 0) AS h FROM (
+  SELECT r.*, w.k FROM (SELECT *, row_number() OVER (PARTITION BY symbol, label ORDER BY session DESC) AS back FROM rule_signals) r, (VALUES {', '.join(f'({k})' for k in TAILS)}) w(k) WHERE back <= w.k))""")
+add_view("tail_trades", trades_sql("tail_rows", "symbol, label, k"))
+add_view("tails", f"""
+WITH s AS (SELECT symbol, label, k, count(*) AS days, count(*) FILTER (active) AS active_days, sqrt(252) * avg(net) / CASE WHEN stddev_pop(net) > 1e-12 THEN stddev_pop(net) END AS tail_sharpe FROM tail_rows GROUP BY 1, 2, 3),
+ f AS (SELECT symbol, label, coalesce(sqrt(252) * avg(net) / CASE WHEN stddev_pop(net) > 1e-12 THEN stddev_pop(net) END, 0) AS full_sharpe FROM cand_net GROUP BY 1, 2),
+ j AS (SELECT s.*, full_sharpe, coalesce(t.num_trades, 0) AS tail_trades, round((full_sharpe - coalesce(tail_sharpe, 0)) / nullif(abs(full_sharpe), 0), 9) AS degradation
+       FROM s JOIN f USING (symbol, label) LEFT JOIN tail_trades t USING (symbol, label, k))
+SELECT *, CASE WHEN days < {MIN_TAIL_ROWS} OR tail_trades < {MIN_TAIL_TRADES} THEN 'oos_insufficient_sample' WHEN coalesce(degradation <= 0.2, false) THEN 'pass' ELSE 'reject_oos_degradation' END AS tail_status FROM j""")
+
+
+def _sharpe(c="net"):
+    sd = F.stddev_pop(c)
+    return F.avg(c) * math.sqrt(252) / F.when(sd > 1e-12, sd)
+
+
+def tails(spark, d):
+    """Degradation of the Sharpe ratio over the last rows of each candidate; a bounded number of rows a candidate."""
+    r = sg.rule_signals(spark, d).select("symbol", "label", "session", "position", "active", "ret1", "target_return")
+    keys = ["symbol", "label"]
+    full = rt.net_of_costs(r, keys).groupBy(*keys).agg(F.coalesce(_sharpe(), F.lit(0.0)).alias("full_sharpe"))
+    last = r.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("session")))).filter(F.col("back") <= max(TAILS))
+    cut = last.withColumn("k", F.explode(F.array_compact(F.array(*[F.when(F.col("back") <= k, k) for k in TAILS]))))
+    cut = rt.net_of_costs(cut, [*keys, "k"])
+    t = cut.groupBy(*keys, "k").agg(F.count("*").alias("days"), F.sum(F.col("active").cast("int")).alias("active_days"), _sharpe().alias("tail_sharpe"))
+    n = rt.trade_stats(rt.trades(cut, [*keys, "k"]), [*keys, "k"]).select(*keys, "k", F.col("num_trades").alias("tail_trades"))
+    t = t.join(n, [*keys, "k"], "left").join(full, keys).withColumn("tail_trades", F.coalesce("tail_trades", F.lit(0)))
+    t = t.withColumn("degradation", F.round(sdiv(F.col("full_sharpe") - F.coalesce("tail_sharpe", F.lit(0.0)), F.abs("full_sharpe")), 9))
+    few = (F.col("days") < MIN_TAIL_ROWS) | (F.col("tail_trades") < MIN_TAIL_TRADES)
+    return t.withColumn("tail_status", F.when(few, "oos_insufficient_sample").when(truth(F.col("degradation") <= 0.2), "pass").otherwise("reject_oos_degradation"))
+
+
+@query("a35_trailing_tails", "symbol:s label:s k:i days:i active_days:i tail_trades:i full_sharpe:5 tail_sharpe:5 degradation:4 tail_status:s", "SELECT * FROM tails", "A35")
+def _(spark, d):
+    return tails(spark, d)
+
+
+add_view("regime_rows", "SELECT symbol, label, regime, active_days, hit, mean_next, CASE WHEN active_days < " + str(MIN_REGIME_DAYS) + " THEN 'regime_insufficient_sample' WHEN hit < 0.5 THEN 'watchlist_regime_weakness' ELSE 'pass' END AS regime_status FROM ("
+         + " UNION ALL ".join(f"SELECT r.symbol, r.label, '{n}' AS regime, count(*) FILTER (r.active AND {m}) AS active_days, avg(CASE WHEN r.target_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (r.active AND {m}) AS hit,"
+                              f" avg(r.target_return) FILTER (r.active AND {m}) AS mean_next FROM rule_signals r JOIN (SELECT symbol, session, p60, vol20, vol60, ret20, pre_holiday FROM rule_frame) x ON x.symbol = r.symbol AND x.session = r.session GROUP BY 1, 2"
+                              for n, m in REGIMES.items()) + ")")
+
+
+def regimes(spark, d):
+    """Active days and precision of each candidate in each regime; regimes overlap, so one pass counts them side by side."""
+    x = sg.rule_frame(spark, d).select("symbol", "session", F.array(*[F.when(F.expr(m), n) for n, m in REGIMES.items()]).alias("in"))
+    x = x.withColumn("in", F.array_compact("in"))
+    r = sg.rule_signals(spark, d).select("symbol", "label", "session", "active", "target_return").join(x, ["symbol", "session"])
+    parts = [F.struct(F.lit(n).alias("regime"), *[e.alias(a) for a, e in (
+        ("active_days", F.count(F.when(F.col("active") & F.array_contains("in", n), 1))), ("hit", F.avg(F.when(F.col("active") & F.array_contains("in", n), (F.col("target_return") > 0).cast("int")))),
+        ("mean_next", F.avg(F.when(F.col("active") & F.array_contains("in", n), F.col("target_return")))))]) for n in REGIMES]
+    g = r.groupBy("symbol", "label").agg(F.array(*parts).alias("p")).select("symbol", "label", F.inline("p"))
+    return g.withColumn("regime_status", F.when(F.col("active_days") < MIN_REGIME_DAYS, "regime_insufficient_sample").when(F.col("hit") < 0.5, "watchlist_regime_weakness").otherwise("pass"))
+
+
+@query("a35_regime_diagnostics", "symbol:s label:s regime:s active_days:i hit:6 mean_next:8 regime_status:s", "SELECT * FROM regime_rows", "A35 A17")
+def _(spark, d):
+    return regimes(spark, d)
+
+
+_BASE = rl.rule_grid()[0]["label"]
+add_view("stable_summary", f"""
+WITH g AS (SELECT symbol, label, min(annualized_return) AS a, min(sharpe_ratio) AS s, max(abs(max_drawdown)) AS dd, min(win_rate) AS w, min(profit_factor) AS pf, sum(len(fails)) AS nf,
+   max(annualized_return) FILTER (months = 60) AS long_a FROM gated_candidates GROUP BY 1, 2),
+ o AS (SELECT symbol, label, max(degradation) AS worst, quantile_cont(degradation, 0.5) AS mid, max(CASE WHEN tail_status = 'oos_insufficient_sample' THEN 1 ELSE 0 END) AS few, max(CASE WHEN tail_status = 'reject_oos_degradation' THEN 1 ELSE 0 END) AS bad FROM tails GROUP BY 1, 2),
+ r AS (SELECT symbol, label, count(*) FILTER (regime_status = 'watchlist_regime_weakness') AS weak FROM regime_rows GROUP BY 1, 2),
+ x AS (SELECT p.symbol, p.label, o.worst, o.mid, coalesce(r.weak, 0) AS weak,
+   CASE WHEN p.label = '{_BASE}' THEN 'current_baseline' WHEN p.status NOT IN ('promote_candidate', 'watchlist_strong_recent_mid') THEN p.status
+     WHEN o.few IS NULL OR o.few = 1 THEN 'oos_insufficient_sample' WHEN o.bad = 1 THEN 'reject_oos_degradation' WHEN r.weak > 0 THEN 'watchlist_regime_weakness' ELSE p.status END AS status,
+   CASE WHEN g.long_a IS NULL THEN -999 ELSE CASE WHEN g.nf = 0 THEN 3 ELSE 0 END + g.a * 4 + g.s * 1.5 + g.w * 1.5 + g.pf * 0.6 + g.long_a * 1.5 - g.dd * 4 - greatest(0, coalesce(o.worst, 1)) * 2 - coalesce(r.weak, 0) * 0.75 END AS stable_score
+   FROM promotion p JOIN g ON g.symbol = p.symbol AND g.label = p.label LEFT JOIN o ON o.symbol = p.symbol AND o.label = p.label LEFT JOIN r ON r.symbol = p.symbol AND r.label = p.label)
+SELECT *, CASE status WHEN 'current_baseline' THEN 'BASELINE_AUDITED_SEPARATELY' WHEN 'promote_candidate' THEN 'PASS_WITH_WARNINGS' ELSE 'REJECT_OR_WATCHLIST' END AS overfit_proxy FROM x""")
+
+
+def downgraded(status, is_base, few, bad, weak):
+    """A passing status falls by the first of: too few trades in a tail (or no tails), a tail that degrades, a weak regime."""
+    passing = status.isin("promote_candidate", "watchlist_strong_recent_mid")
+    return (F.when(is_base, "current_baseline").when(~passing, status).when(F.coalesce(few, F.lit(1)) == 1, "oos_insufficient_sample")
+            .when(bad == 1, "reject_oos_degradation").when(weak > 0, "watchlist_regime_weakness").otherwise(status))
+
+
+def stable_summary(spark, d):
+    """Promotion status downgraded by trailing tails and regimes, with one score over all look-backs."""
+    keys = ["symbol", "label"]
+    g = gated_candidates(spark, d).groupBy(*keys).agg(
+        F.min("annualized_return").alias("a"), F.min("sharpe_ratio").alias("s"), F.max(F.abs("max_drawdown")).alias("dd"), F.min("win_rate").alias("w"), F.min("profit_factor").alias("pf"),
+        F.sum(F.size("fails")).alias("nf"), F.max(F.when(F.col("months") == 60, F.col("annualized_return"))).alias("long_a"))
+    o = tails(spark, d).groupBy(*keys).agg(F.max("degradation").alias("worst"), F.percentile("degradation", 0.5).alias("mid"), F.max(flag(F.col("tail_status") == "oos_insufficient_sample")).alias("few"),
+                                           F.max(flag(F.col("tail_status") == "reject_oos_degradation")).alias("bad"))
+    r = regimes(spark, d).groupBy(*keys).agg(F.sum(flag(F.col("regime_status") == "watchlist_regime_weakness")).alias("weak"))
+    j = promotion(spark, d).select(*keys, F.col("status").alias("before")).join(g, keys).join(o, keys, "left").join(r, keys, "left").withColumn("weak", F.coalesce("weak", F.lit(0)))
+    status = downgraded(F.col("before"), F.col("label") == _BASE, F.col("few"), F.col("bad"), F.col("weak"))
+    score = (F.when(F.col("nf") == 0, 3.0).otherwise(0.0) + F.col("a") * 4 + F.col("s") * 1.5 + F.col("w") * 1.5 + F.col("pf") * 0.6 + F.col("long_a") * 1.5 - F.col("dd") * 4
+             - F.greatest(F.lit(0.0), F.coalesce("worst", F.lit(1.0))) * 2 - F.col("weak") * 0.75)
+    j = j.withColumn("status", status).withColumn("stable_score", F.when(F.col("long_a").isNull(), -999.0).otherwise(score))
+    return j.withColumn("overfit_proxy", F.when(F.col("status") == "current_baseline", "BASELINE_AUDITED_SEPARATELY").when(F.col("status") == "promote_candidate", "PASS_WITH_WARNINGS").otherwise("REJECT_OR_WATCHLIST"))
+
+
+@query("a35_stable_summary", "symbol:s label:s status:s stable_score:3 worst:4 mid:4 weak:i overfit_proxy:s", "SELECT * FROM stable_summary", "A35 P30 P28")
+def _(spark, d):
+    return stable_summary(spark, d)
+
+
+add_view("promotion_scores", f"""
+WITH w AS (SELECT symbol, label, {', '.join(f"max({c}) FILTER (months = {m}) AS c{m}_{c}" for m in (24, 36, 60) for c in [*PROMO, "dir_precision", "dir_active_days"])} FROM candidates GROUP BY 1, 2),
+ o AS (SELECT symbol, label, max(degradation) AS worst FROM tails GROUP BY 1, 2)
+SELECT w.symbol, w.label,
+  CASE WHEN w.c24_sharpe_ratio IS NULL THEN -999 ELSE w.c24_dir_precision * 4 + w.c24_sharpe_ratio * 0.65 + w.c24_annualized_return * 1.2 + least(w.c24_profit_factor, 6) * 0.25 - abs(w.c24_max_drawdown) * 4 + least(w.c24_num_trades / 50.0, 1) * 0.6
+   + coalesce(w.c36_annualized_return + w.c36_sharpe_ratio * 0.35 + w.c36_win_rate * 0.5 - greatest(0, 0.12 - w.c36_annualized_return) * 3 - greatest(0, abs(w.c36_max_drawdown) - 0.15) * 3, 0)
+   + coalesce(w.c60_annualized_return * 0.35 + w.c60_sharpe_ratio * 0.15 - greatest(0, -w.c60_annualized_return) * 4 - greatest(0, abs(w.c60_max_drawdown) - 0.25) * 2.5, 0) END AS promotion_score,
+  {' + '.join(f"CASE WHEN w.c{m}_{c} < b.c{m}_{c} THEN 1 ELSE 0 END" for m in (24, 36) for c in MORE_CONSTRAINTS)} + {' + '.join(f"CASE WHEN abs(w.c{m}_max_drawdown) > abs(b.c{m}_max_drawdown) + {DRAWDOWN_SLACK} THEN 1 ELSE 0 END" for m in (24, 36))} AS weakened,
+  (w.c60_annualized_return - b.c60_annualized_return) * 18 + (w.c60_sharpe_ratio - b.c60_sharpe_ratio) * 4 + (w.c60_profit_factor - b.c60_profit_factor) * 1.2 + (w.c60_win_rate - b.c60_win_rate) * 3
+   + least(w.c60_num_trades / 120.0, 1.5) + least(w.c60_dir_active_days / 180.0, 1.5) - greatest(0, abs(w.c60_max_drawdown) - abs(b.c60_max_drawdown)) * 12 - greatest(0, coalesce(o.worst, 1)) * 2 AS long_first_score
+FROM w JOIN w b ON b.symbol = w.symbol AND b.label = '{_BASE}' LEFT JOIN o ON o.symbol = w.symbol AND o.label = w.label""")
+
+
+def promotion_scores(spark, d):
+    """Promotion score over three look-backs, and the score that puts the longest one first against the baseline rule."""
+    metrics = [*PROMO, "dir_precision", "dir_active_days"]
+    w = candidates(spark, d).groupBy("symbol", "label").pivot("months", [24, 36, 60]).agg(*[F.max(c).alias(c) for c in metrics])
+    w = w.select("symbol", "label", *[F.col(f"`{m}_{c}`").alias(f"c{m}_{c}") for m in (24, 36, 60) for c in metrics])
+    base = w.filter(F.col("label") == _BASE).select("symbol", *[F.col(f"c{m}_{c}").alias(f"b{m}_{c}") for m in (24, 36, 60) for c in metrics])
+    o = tails(spark, d).groupBy("symbol", "label").agg(F.max("degradation").alias("worst"))
+    j = w.join(base, "symbol").join(o, ["symbol", "label"], "left")
+    z = F.lit(0.0)
+
+    def c(months, name, side="c"):
+        return F.col(f"{side}{months}_{name}")
+
+    recent = (c(24, "dir_precision") * 4 + c(24, "sharpe_ratio") * 0.65 + c(24, "annualized_return") * 1.2 + F.least(c(24, "profit_factor"), F.lit(6.0)) * 0.25
+              - F.abs(c(24, "max_drawdown")) * 4 + F.least(c(24, "num_trades") / 50, F.lit(1.0)) * 0.6)
+    mid = (c(36, "annualized_return") + c(36, "sharpe_ratio") * 0.35 + c(36, "win_rate") * 0.5 - F.greatest(z, 0.12 - c(36, "annualized_return")) * 3
+           - F.greatest(z, F.abs(c(36, "max_drawdown")) - 0.15) * 3)
+    far = (c(60, "annualized_return") * 0.35 + c(60, "sharpe_ratio") * 0.15 - F.greatest(z, -c(60, "annualized_return")) * 4 - F.greatest(z, F.abs(c(60, "max_drawdown")) - 0.25) * 2.5)
+    worse = sum((flag(c(m, n) < c(m, n, "b")) for m in (24, 36) for n in MORE_CONSTRAINTS), F.lit(0))
+    worse = sum((flag(F.abs(c(m, "max_drawdown")) > F.abs(c(m, "max_drawdown", "b")) + DRAWDOWN_SLACK) for m in (24, 36)), worse)
+
+    def gain(name):
+        return c(60, name) - c(60, name, "b")
+
+    long_first = (gain("annualized_return") * 18 + gain("sharpe_ratio") * 4 + gain("profit_factor") * 1.2 + gain("win_rate") * 3
+                  + F.least(c(60, "num_trades") / 120, F.lit(1.5)) + F.least(c(60, "dir_active_days") / 180, F.lit(1.5))
+                  - F.greatest(z, F.abs(c(60, "max_drawdown")) - F.abs(c(60, "max_drawdown", "b"))) * 12 - F.greatest(z, F.coalesce("worst", F.lit(1.0))) * 2)
+    score = F.when(c(24, "sharpe_ratio").isNull(), -999.0).otherwise(recent + F.coalesce(mid, z) + F.coalesce(far, z))
+    return j.select("symbol", "label", score.alias("promotion_score"), worse.alias("weakened"), long_first.alias("long_first_score"))
+
+
+@query("p30_promotion_scores", "symbol:s label:s promotion_score:3 weakened:i long_first_score:3", "SELECT * FROM promotion_scores", "P30 P29")
+def _(spark, d):
+    return promotion_scores(spark, d)
+
+
 @query("a36_overfit_audit", "symbol:s label:s metric:s margin:5 train_delta:5 neighbours:i",
        """WITH m AS (SELECT symbol, label, months, metric, value FROM (UNPIVOT (SELECT symbol, label, months, CAST(annualized_return - 0.12 AS DOUBLE) AS annualized_return, CAST(sharpe_ratio - 1 AS DOUBLE) AS sharpe_ratio, CAST(win_rate - 0.55 AS DOUBLE) AS win_rate FROM candidates) ON annualized_return, sharpe_ratio, win_rate INTO NAME metric VALUE value)),
           n AS (SELECT symbol, split_part(label, '_mq', 1) AS family, count(*) AS k FROM candidates WHERE months = 60 AND sharpe_ratio > 0 GROUP BY 1, 2)
