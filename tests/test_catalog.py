@@ -14,6 +14,7 @@ SAMPLE = """s01_daily_bars s07_option_bars s16_snapshot_overlay s21_strict_json
  a30_store_audit a38_holdings_consensus a45_expiry_table a42_group_validation w03_ewm_mean w05_rsi w10_shifted_quantile w15_technical_block w18_calendar_block
  w22_session_vwap w26_history_rank w29_cluster_safe_folds w31_story_dedupe f01_text_clean f04_lexicon_score f06_event_type f09_json_cells f12_calendar_dates u05_missing_sessions
  r02_trade_episodes r03_barrier_touch r04_ledger r06_greedy_intraday r07_walk_forward_intraday f20_implied_volatility p11_rule_mask p25_event_samples p07_column_audit w36_adaptive_rule m01_mature_folds
+ p30_window_scores p30_promotion_scores a35_trailing_tails a35_regime_diagnostics a35_stable_summary
  m04_feature_selection t02_sliding_news t01_tumbling_bars t03_session_stream t07_forecast_outcomes t10_record_sink t11_stream_enrichment""".split()
 NAMES = [n for n in CATALOG if CATALOG[n].body] if os.environ.get("TIDELINE_ALL") else SAMPLE
 

@@ -1,11 +1,14 @@
-"""Trade selection held against a plain walk over the bars."""
+"""Trade selection held against a plain walk over the bars; status rules of the stable selection."""
 
 import datetime as dt
 import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tideline.operators import returns as rt
+from tideline.plans.evaluation import downgraded
 
 
 def _walk(bars, horizon, cost):
@@ -41,3 +44,13 @@ def test_intraday_trades_match_a_walk_with_one_key_of_most_bars(spark, horizon):
 def test_intraday_trades_of_no_bars(spark):
     none = spark.createDataFrame([], "symbol string, bar timestamp_ntz, session_ny date, open double, close double, signal int")
     assert rt.greedy_intraday_trades(none).count() == 0
+
+
+def test_status_falls_by_the_first_reason_that_holds(spark):
+    rows = [("promote_candidate", True, 1, 1, 3, "current_baseline"), ("reject_weak_metrics", False, 1, 1, 3, "reject_weak_metrics"),
+            ("promote_candidate", False, None, None, 0, "oos_insufficient_sample"), ("promote_candidate", False, 1, 1, 1, "oos_insufficient_sample"),
+            ("promote_candidate", False, 0, 1, 1, "reject_oos_degradation"), ("watchlist_strong_recent_mid", False, 0, 0, 2, "watchlist_regime_weakness"),
+            ("promote_candidate", False, 0, 0, 0, "promote_candidate"), ("watchlist_strong_recent_mid", False, 0, 0, 0, "watchlist_strong_recent_mid")]
+    d = spark.createDataFrame(rows, "status string, base boolean, few int, bad int, weak int, want string")
+    got = d.select(downgraded(F.col("status"), F.col("base"), F.col("few"), F.col("bad"), F.col("weak")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
