@@ -160,8 +160,8 @@ def trial_estimators(t: dict, rows: int, sizes: Sizes = Sizes(), seed: int = 42)
     if t["model"] == "forest":
         return (RandomForestClassifier(numTrees=t["trees"], maxDepth=t["depth"], minInstancesPerNode=t["min_rows"], seed=seed, **c),
                 RandomForestRegressor(numTrees=t["r_trees"], maxDepth=t["r_depth"], minInstancesPerNode=t["r_min_rows"], seed=seed, **r))
-    return (GBTClassifier(maxIter=t["rounds"], stepSize=t["step"], maxDepth=math.ceil(math.log2(t["leaves"])), seed=seed, featuresCol="chosen"),
-            GBTRegressor(maxIter=t["r_rounds"], stepSize=t["r_step"], maxDepth=math.ceil(math.log2(t["r_leaves"])), seed=seed, **r))
+    return (GBTClassifier(maxIter=t["rounds"], stepSize=t["step"], maxDepth=math.ceil(math.log2(t["leaves"])), checkpointInterval=25, seed=seed, featuresCol="chosen"),
+            GBTRegressor(maxIter=t["r_rounds"], stepSize=t["r_step"], maxDepth=math.ceil(math.log2(t["r_leaves"])), checkpointInterval=25, seed=seed, **r))
 
 
 def fold_score(accuracy: float, log_loss: float) -> tuple[float, float]:
@@ -198,7 +198,15 @@ def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Size
     side by side, ``at_once`` at a time. Boosting checkpoints its residuals in the shared folder, as the lineage of
     hundreds of rounds would grow with every job. The driver keeps three numbers a trial and block."""
     ensure_checkpoint_dir(d.sparkSession)
-    tables = [x for x in (_search_tables(d, k, splits) for k in range(1, splits + 1)) if x]
+    d = d.select(*FEATURES, "label", "research_target", "t", "t_end").persist()
+    try:
+        with ThreadPoolExecutor(splits) as pool:
+            tables = [x for x in pool.map(lambda k: _search_tables(d, k, splits), range(1, splits + 1)) if x]
+            for train, test, _, _ in tables:
+                train.count()
+                test.count()
+    finally:
+        d.unpersist()
 
     def fit(job: tuple) -> tuple:
         t, (train, test, rows, width), kind = job
