@@ -45,6 +45,7 @@ BRACKETS = tuple((s, t) for s in STOPS for t in TAKES if t > s)
 FLAG_NAMES = tuple(dict.fromkeys(itertools.chain(*SETS)))
 BITS = 63  # a word keeps its sign bit free; all training windows are whole words, a test window is at most one
 UNIT = 1_000_000  # returns count in millionths; brackets bound them by the widest take
+BILLION = 1_000_000_000
 DIGITS = int(max(TAKES + STOPS) * UNIT).bit_length()
 CHUNK = 2048  # candidates that one row of bitmaps is asked for at a time
 VOL_AT = len(MOMENTUM) * len(MOMENTUM_QUANTILES)
@@ -251,6 +252,7 @@ def screen(frame: DataFrame, cap: int | None = None) -> DataFrame:
                  F.bit_count(F.col("here").bitwiseAND(F.bitwise_not(F.shiftleft("m0", 1)))).alias("entries"), "sets", "end",
                  F.when((F.col("year_no") == 0) & (window_n > 0), (window_up * 2 < window_n).cast("int")).alias("lost"))
     miss = F.col("up") * (1 - F.col("p")) * (1 - F.col("p")) + (F.col("n") - F.col("up")) * F.col("p") * F.col("p")
+    miss = F.floor(miss * BILLION + 0.5)  # whole billionths: sums do not depend on their order
     by_year = j.groupBy("symbol", "start", "end", "sets", "rank", "year").agg(
         *[F.sum(c).alias(c) for c in ("days", "n", "up", "gain", "loss", "entries")], F.sum(miss).alias("miss"), F.sum("lost").alias("lost"), F.count("lost").alias("windows"))
     rate = F.when(F.col("n") > 0, F.col("up") / F.col("n"))
@@ -261,12 +263,12 @@ def screen(frame: DataFrame, cap: int | None = None) -> DataFrame:
     total = total.withColumn("rank", F.col("rank") + F.col("exposure_i") * F.col("sets")).filter(F.col("rank") < F.col("end"))
     has = F.col("n") > 0
     out = total.select(
-        "symbol", "rank", "gain", "loss", F.col("n").alias("active_days"), F.col("entries").alias("trades"), (F.col("n") / F.col("days")).alias("coverage"),
+        "symbol", "rank", "gain", "loss", "miss", F.col("n").alias("active_days"), F.col("entries").alias("trades"), (F.col("n") / F.col("days")).alias("coverage"),
         F.when(has, F.col("up") / F.col("n")).otherwise(0.0).alias("precision"),
         F.when(has, F.col("exposure") * (F.col("gain") - F.col("loss")) / UNIT / F.col("n")).otherwise(0.0).alias("avg_return"),
         F.when(F.col("loss") > 0, F.col("gain") / F.col("loss")).alias("profit_factor"), F.coalesce("worst_year", F.lit(0.0)).alias("worst_year"),
         F.when(has, F.col("year_std")).otherwise(1.0).alias("year_std"), F.when(F.col("windows") > 0, F.col("lost")).otherwise(99).alias("losing_windows"),
-        F.when(has, F.col("miss") / F.col("n")).alias("brier"), (F.col("gain") > 0).alias("_won"))
+        F.when(has, F.col("miss") / BILLION / F.col("n")).alias("brier"), (F.col("gain") > 0).alias("_won"))
     factor = F.least(F.coalesce("profit_factor", F.when(F.col("_won"), 5.0).otherwise(0.0)), F.lit(5.0))
     enough = (F.col("active_days") >= MIN_DAYS) & (F.col("trades") >= MIN_TRADES)
     short = F.greatest(MIN_DAYS - F.col("active_days"), F.lit(0)) + 2 * F.greatest(MIN_TRADES - F.col("trades"), F.lit(0))
