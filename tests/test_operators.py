@@ -1,6 +1,7 @@
 """Operators on hand-made rows against brute force."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -340,3 +341,43 @@ def test_running_total_restarts_with_every_key(spark):
     got = rk.running_total(spark.createDataFrame(rows, "k int, o int, x int").repartition(5), ["k"], ["o"], "x", "s").collect()
     for r in got:
         assert r.s == sum(x for k, o, x in rows if k == r.k and o < r.o)
+
+
+# ------------------------------------------------------------------ resampled paths
+def test_path_bootstrap_matches_drawn_rows(spark):
+    """Every path drawn row by row; keys of unlike length, a flat one, a total loss first, losses only, NULL keys and values."""
+    rng = random.Random(11)
+    kinds = {"long": [rng.gauss(0.001, 0.02) for _ in range(70)], "short": [0.01, -0.02, 0.005], "flat": [0.01] * 6, "one": [0.02],
+             "lost": [-1.0, 0.1, 0.2, -0.1], "all_lost": [-1.5, -1.0], None: [0.1, 0.2, 0.3]}
+    rows = [("s", k, day(i) if i else None, v) for k, vs in kinds.items() for i, v in enumerate(vs)] + [("s", "long", day(900), None), (None, "long", day(1), 0.5)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "strategy string, symbol string, session date, net double").repartition(4)
+    reps = 23
+    out = evl.iid_bootstrap(df, ["strategy", "symbol"], "net", reps=reps)
+    got = {(r[0], r[1]): tuple(r)[2:] for r in out.collect()}
+    assert set(got) == {("s", k) for k in kinds if k}
+    for k, vs in kinds.items():
+        if k is None:
+            continue
+        ratios, falls = [], []
+        for rep in range(reps):
+            path = [vs[int(hashlib.md5(f"7:{rep}:{slot}".encode()).hexdigest()[:8], 16) % len(vs)] for slot in range(len(vs))]
+            if np.std(path) > 1e-12:
+                ratios.append(np.mean(path) / np.std(path) * math.sqrt(252))
+            log, top, worst = None, None, []
+            for v in path:
+                if v > -1:
+                    log = (log or 0.0) + math.log1p(v)
+                if log is not None:
+                    top = log if top is None else max(top, log)
+                    worst.append(math.exp(log - max(top, 0.0)) - 1)
+            if worst:
+                falls.append(min(worst))
+        want = (*((np.quantile(ratios, 0.05), np.quantile(ratios, 0.95)) if ratios else (None, None)), np.quantile(falls, 0.05) if falls else None)
+        assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-9) for a, b in zip(got["s", k], want, strict=True)), k
+
+
+def test_path_bootstrap_shuffles_no_drawn_row(spark):
+    df = spark.createDataFrame([("s", "x", day(i), 0.01 * (i % 3 - 1)) for i in range(50)], "strategy string, symbol string, session date, net double")
+    plan = evl.iid_bootstrap(df, ["strategy", "symbol"], "net", reps=9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Window" not in plan

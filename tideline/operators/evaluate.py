@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tideline.functions.numeric import clip, num, sdiv
 from tideline.operators.ranking import running_total
@@ -83,18 +90,42 @@ def block_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, block: in
     return total.select(*keys, "n", (F.col("total") / F.col("n")).alias("mean")).join(limits, keys, "left")
 
 
+@lru_cache(maxsize=4)
+def _draw_codes(seed: str, reps: int, slots: int) -> np.ndarray:
+    """reps x slots numbers of 32 bits, each hash-chosen from seed, repetition and slot alone: all keys share them."""
+    heads = b"".join(hashlib.md5(f"{seed}:{rep}:{slot}".encode()).digest()[:4] for rep in range(reps) for slot in range(slots))
+    return np.frombuffer(heads, dtype=">u4").astype(np.int64).reshape(reps, slots)
+
+
+def _path_figures(v: np.ndarray) -> tuple:
+    """(Sharpe ratio, worst drawdown) of a path. The ratio of a flat path is NULL; a return of -1 or less has no
+    logarithm, so it adds nothing, and before the first logarithm there is no drawdown."""
+    with np.errstate(all="ignore"):
+        spread = v.std()
+        ratio = None if spread <= 1e-12 else float(v.mean() / spread * math.sqrt(252.0))
+        known = ~(v <= -1)
+        if not known.any():
+            return ratio, None
+        log = np.cumsum(np.where(known, np.log1p(v), 0.0))[known.argmax():]
+        return ratio, float(np.fmin.reduce(np.exp(log - np.maximum(np.maximum.accumulate(log), 0.0)) - 1))
+
+
 def iid_bootstrap(df: DataFrame, keys: list[str], x: str, reps: int, seed: str = "7", order: str = "session") -> DataFrame:
-    """Resampled Sharpe ratio and worst drawdown with hash-chosen rows. A repetition of one key is the
-    unit of work: its draws meet the series by an equi-join on the row number."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("v"), (F.row_number().over(w) - 1).alias("i"))
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = size.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = draws.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("slot"))
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot")).cast("binary")), 1, 8), 16, 10).cast("long")
-    path = draws.withColumn("i", (code % F.col("n")).cast("int")).join(rows, [*keys, "i"])
-    run = Window.partitionBy(*keys, "rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("_log", F.sum(F.log1p("v")).over(run))
-    path = path.withColumn("_dd", F.exp(F.col("_log") - F.greatest(F.max("_log").over(run), F.lit(0.0))) - 1)
-    one = path.groupBy(*keys, "rep").agg((F.avg("v") / F.when(F.stddev_pop("v") > 1e-12, F.stddev_pop("v")) * F.sqrt(F.lit(252.0))).alias("s"), F.min("_dd").alias("d"))
+    """Resampled Sharpe ratio and worst drawdown with hash-chosen rows. A key's series, one number a session, travels as
+    one array; its repetitions are drawn and reduced to two numbers where it lies, so no drawn row is ever shuffled."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as told: the arrays are small, the work on each is not
+    rows = df.filter(F.col(x).isNotNull()).dropna(subset=keys).select(*keys, order, F.col(x).cast("double").alias("v"))
+    series = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "v"))).getField("v").alias("vs")).repartition(parts)
+
+    def drawn(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                v = b.column("vs")[k].values.to_numpy()
+                codes = _draw_codes(seed, reps, 1 << (len(v) - 1).bit_length())[:, :len(v)]
+                s, d = zip(*[_path_figures(v[code % len(v)]) for code in codes], strict=True)
+                key = b.select(keys).take(pa.array([k] * reps))
+                yield pa.RecordBatch.from_arrays([*key.columns, pa.array(s, pa.float64()), pa.array(d, pa.float64())], [*keys, "s", "d"])
+
+    shape = StructType([*[df.schema[k] for k in keys], StructField("s", DoubleType()), StructField("d", DoubleType())])
+    one = series.mapInArrow(drawn, shape)
     return one.groupBy(*keys).agg(F.percentile("s", 0.05).alias("sharpe_low"), F.percentile("s", 0.95).alias("sharpe_high"), F.percentile("d", 0.05).alias("drawdown_low"))
