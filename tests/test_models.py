@@ -1,8 +1,12 @@
 """Sizes of the registered model fits."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 
 from tideline.operators import models as md
 from tideline.plans import CATALOG, learning
@@ -80,3 +84,41 @@ def test_random_search_scores_and_best_rows(spark):
 def test_best_quote_and_stories_need_no_sort_aggregate(spark, data):
     for name in ("p39_best_quote", "w31_story_dedupe"):
         assert "SortAggregate" not in CATALOG[name].build(spark, data)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_vocabulary_counts_words_and_pairs(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "GAMMA", "d1", "e", "f", "gg"][:rng.choice([3, 7])]) + rng.choice(["", ",", " -"]) for _ in range(rng.randrange(30))) for _ in range(40)] + ["", "...", "lone"]
+    counts = Counter()
+    for x in texts:
+        tok = [t for t in re.split(r"[\W_]+", x.lower()) if t]
+        counts.update(tok)
+        counts.update(" ".join(p) for p in zip(tok, tok[1:]))
+    d = spark.createDataFrame([(x,) for x in texts], "body string").repartition(3)
+    for size in (2, 5, 12, 500):
+        want = sorted(counts, key=lambda t: (-counts[t], t.count(" "), t))[:size]
+        model = Pipeline(stages=md.term_counts(size)).fit(d)
+        assert model.stages[-1].vocabulary == want
+        got = model.transform(d).select("body", vector_to_array("terms_c").alias("c")).collect()
+        total = [sum(c) for c in zip(*(r.c for r in got))]
+        assert total == [counts[t] for t in want]
+
+
+@pytest.mark.parametrize("name", ["m07_text_models", "m08_model_comparison"])
+def test_text_models_share_one_vocabulary(spark, monkeypatch, name):
+    """Both pipelines of a query read the same counts, learned once, from rows whose labels are known."""
+    plain, fits = md.TopTerms._fit, []
+
+    def counted(self, d):
+        fits.append(sorted(r.t for r in d.select("t").collect()))
+        return plain(self, d)
+
+    rows = [(k, k + 1, ["up", "down"][k % 2], f"{['good', 'bad'][k % 2]} news {k % 7}", *[float((k * 3 + i) % 5) for i in range(5)]) for k in range(60)]
+    d = spark.createDataFrame(rows, "t long, t_end long, target string, body string, sentiment double, quality double, rel double, importance double, words double")
+    monkeypatch.setattr(learning, "labelled_news", lambda *_: d)
+    monkeypatch.setattr(md.TopTerms, "_fit", counted)
+    got = {r.model: r for r in CATALOG[name].build(spark, "").collect()}
+    cut = sorted(r[0] for r in rows)[41]
+    assert fits == [[k for k in range(60) if k + 1 < cut]]
+    assert {r.n for r in got.values()} == {60 - cut}
+    assert all(r.accuracy == 1 for m, r in got.items() if m != "numeric_only")

@@ -381,3 +381,16 @@ def test_path_bootstrap_shuffles_no_drawn_row(spark):
     df = spark.createDataFrame([("s", "x", day(i), 0.01 * (i % 3 - 1)) for i in range(50)], "strategy string, symbol string, session date, net double")
     plan = evl.iid_bootstrap(df, ["strategy", "symbol"], "net", reps=9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan and "Window" not in plan
+
+
+# ------------------------------------------------------------------ one pass over a text
+def test_mentions_keep_every_listed_term(spark):
+    rng = random.Random(2)
+    loose = ["", "a", "be", "ats", "price ", "target", "p/", "é", "\n", "ban", "export control", "asics", "revenues", "x"]
+    texts = ["", "none of it", *tx.TERMS, "".join(tx.TERMS), "beatsurgebans"] + [rng.choice(["", " "]).join(rng.choice(loose + tx.TERMS) for _ in range(rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, None])], "k int, t string").withColumn("m", tx.mentions("t"))
+    got = {r.k: r.m for r in df.collect()}
+    assert got.pop(len(texts)) is None
+    assert all({t for t in tx.TERMS if t in x} == {t for t in tx.TERMS if t in got[k]} for k, x in enumerate(texts))
+    for score in (tx.lexicon_score, tx.event_type, tx.keyword_sentiment, lambda c: tx.relevance(c, F.lit(True)), *(lambda c, v=v: tx.hits(c, v) for v in tx.TOPIC_TERMS.values())):
+        assert df.filter(~score("t").eqNullSafe(score("m"))).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from tideline.functions.numeric import bind, clip, num
@@ -67,6 +69,38 @@ def story_hash(day, headline) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", num(day).cast("string"), F.lower(num(headline))).cast("binary"), 256), 1, 20)
 
 
+#: Every term that a score below asks for.
+TERMS = sorted({*POSITIVE_WEIGHTS, *NEGATIVE_WEIGHTS, *SENTIMENT_POSITIVE, *SENTIMENT_NEGATIVE, *RELEVANCE_TERMS,
+                *(t for terms in (*TOPIC_TERMS.values(), *EVENT_KEYWORDS.values()) for t in terms)})
+
+
+def _one_of(chars) -> str:
+    return f"[{''.join(re.escape(c) for c in sorted(set(chars)))}]"
+
+
+def _any_of(terms, few: int = 5) -> str:
+    """Pattern of the longest of the terms at a place, by shared first letters; many letters are tried in groups."""
+    tails: dict[str, list[str]] = {}
+    for t in terms:
+        if t:
+            tails.setdefault(t[0], []).append(t[1:])
+    heads = sorted(tails)
+    parts = [re.escape(head) + _any_of(tails[head]) for head in heads]
+    if len(parts) > 2 * few:
+        parts = [f"(?={_one_of(heads[k:k + few])})(?:{'|'.join(parts[k:k + few])})" for k in range(0, len(parts), few)]
+    one = f"(?:{'|'.join(parts)})" if len(parts) > 1 else "".join(parts)
+    return f"(?:{one})?" if parts and "" in terms else one
+
+
+def mentions(lowered, terms: list[str] = TERMS) -> Column:
+    """The listed terms of a text as one short text, read in a single pass instead of one search a term. It has the
+    longest term of every place, one a line; shorter terms there begin it, so a listed term is contained in the result
+    exactly if it is contained in the text."""
+    begins = "".join(_one_of(t[k] for t in terms) for k in range(min(map(len, terms))))  # most places fail here
+    found = F.regexp_extract_all(num(lowered), F.lit(f"(?={begins})(?=({_any_of(terms)}))"), F.lit(1))
+    return F.array_join(F.array_distinct(found), "\n")
+
+
 def hits(lowered, terms: list[str]) -> Column:
     """How many of the terms occur in the text, each counted once."""
     return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(num(lowered), t)))

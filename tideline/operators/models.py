@@ -10,9 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from statistics import mean, pstdev
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import (IDF, CountVectorizerModel, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -172,6 +172,8 @@ def fold_score(accuracy: float, log_loss: float) -> tuple[float, float]:
 
 #: Rows of a partition of the tables that all trials share.
 ROWS_A_PART = 100_000
+#: Rows of a partition of the counted texts, each some hundred numbers wide.
+TEXTS_A_PART = 25_000
 
 
 def _search_tables(d: DataFrame, k: int, splits: int) -> tuple | None:
@@ -268,20 +270,50 @@ def regressors(sizes: Sizes = Sizes(), seed: int = 42) -> dict[str, object]:
             "boosting_r": GBTRegressor(maxDepth=2, maxIter=sizes.boosting_rounds, seed=seed, **kw)}
 
 
-def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 256, sizes: Sizes = Sizes()) -> Pipeline:
-    """TF-IDF of one- and two-word terms, ranked in one list, beside scaled numerics; one class against the rest.
-    Rows bring a ``weight`` that makes classes count alike."""
+class TopTerms(Estimator):
+    """Counts of the most frequent one- and two-word terms of the rows it is fitted on; of equally frequent ones, single
+    words come first, then names decide. Only the vocabulary, of fixed size, reaches the driver.
+
+    A pair is at most as frequent as each of its words. So a word outside the most frequent ones, as many as the
+    vocabulary has places, is in no pair that gets a place, and pairs of other words need not be counted."""
+
+    def __init__(self, words: str, inputCol: str, outputCol: str, vocabulary: int):
+        super().__init__()
+        self.words, self.inputCol, self.outputCol, self.vocabulary = words, inputCol, outputCol, vocabulary
+
+    def _fit(self, d: DataFrame) -> CountVectorizerModel:
+        def top(terms) -> list:
+            counts = d.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+            return counts.orderBy(F.desc("n"), "term").limit(self.vocabulary).collect()
+
+        words = top(self.words)
+        kept = F.transform(self.words, lambda x: F.when(x.isin([r.term for r in words]), x))
+        rest = F.greatest(F.size(kept) - 1, F.lit(0))
+        pairs = top(F.array_compact(F.zip_with(F.slice(kept, F.lit(1), rest), F.slice(kept, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))))
+        ranked = sorted([(-r.n, 1, r.term) for r in words] + [(-r.n, 2, r.term) for r in pairs])
+        return CountVectorizerModel.from_vocabulary([t for _, _, t in ranked[:self.vocabulary]], inputCol=self.inputCol, outputCol=self.outputCol)
+
+
+def term_counts(vocabulary: int = 256) -> list:
+    """Stages from ``body`` to ``terms_c``: counts of one- and two-word terms, ranked in one list."""
+    return [SQLTransformer(statement=r"SELECT *, array_remove(split(lower(body), r'[^\p{L}\p{N}]+'), '') AS tok FROM __THIS__"),
+            SQLTransformer(statement="SELECT *, concat(tok, zip_with(slice(tok, 1, greatest(size(tok) - 1, 0)), slice(tok, 2, greatest(size(tok) - 1, 0)), "
+                                     "(a, b) -> concat(a, ' ', b))) AS terms FROM __THIS__"),
+            TopTerms(words="tok", inputCol="terms", outputCol="terms_c", vocabulary=vocabulary)]
+
+
+def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 256, sizes: Sizes = Sizes(), counted: bool = False) -> Pipeline:
+    """TF-IDF of one- and two-word terms beside scaled numerics; one class against the rest. Rows bring a ``weight``
+    that makes classes count alike, and, where ``counted``, the ``terms_c`` of `term_counts`."""
     nums = ["sentiment", "quality", "rel", "importance", "words"]
     stages = [VectorAssembler(inputCols=nums, outputCol="nv"), StandardScaler(inputCol="nv", outputCol="ns")]
     parts = ["ns"]
     if text:
-        stages += [RegexTokenizer(inputCol="body", outputCol="tok", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="tok", outputCol="bi"),
-                   SQLTransformer(statement="SELECT *, concat(tok, bi) AS terms FROM __THIS__"),
-                   CountVectorizer(inputCol="terms", outputCol="terms_c", vocabSize=vocabulary), IDF(inputCol="terms_c", outputCol="terms_v")]
+        stages += [*([] if counted else term_counts(vocabulary)), IDF(inputCol="terms_c", outputCol="terms_v")]
         parts.append("terms_v")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     base = LogisticRegression(regParam=0.05, maxIter=sizes.iterations, weightCol="weight")
-    stages.append(OneVsRest(classifier=base, featuresCol="features", labelCol="y", weightCol="weight") if kind == "logistic" else
+    stages.append(OneVsRest(classifier=base, featuresCol="features", labelCol="y", weightCol="weight", parallelism=3) if kind == "logistic" else
                   RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxDepth=sizes.text_depth, numTrees=sizes.text_trees, seed=42))
     return Pipeline(stages=stages)
 

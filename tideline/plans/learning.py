@@ -1,5 +1,6 @@
 """Model-fitting queries. Rates are SQL-checked; iterative fits are rows-only."""
 
+from pyspark.ml import Pipeline
 from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip
@@ -152,15 +153,22 @@ def labelled_news(spark, d):
 
 
 def _compare(spark, d, kinds):
+    pipelines = {name: md.text_pipeline(kind, text, counted=True) for name, (kind, text) in kinds.items()}
     n = labelled_news(spark, d)
     cut = n.agg(F.percentile_approx("t", 0.7)).first()[0]
     n = md.class_index().fit(md.mature(n, cut)).transform(n)  # classes are learned from training rows too
-    train = cut_lineage(md.balanced(md.mature(n, cut)))
+    # Texts are read once for the vocabulary and once for its counts; every fit and score below reads the counts.
+    n = cut_lineage(Pipeline(stages=md.term_counts()).fit(md.mature(n, cut)).transform(n).drop("body", "tok", "terms"))
+    train, test = md.balanced(md.mature(n, cut)), n.filter(F.col("t") >= cut)
+    train = train.coalesce(1 + train.count() // md.TEXTS_A_PART).persist()  # a fit runs hundreds of short jobs: few tasks each
     out = None
-    for name, (kind, text) in kinds.items():
-        model = md.text_pipeline(kind, text).fit(train)
-        r = model.transform(n.filter(F.col("t") >= cut)).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
-        out = r if out is None else out.unionByName(r)
+    try:
+        for name, pipeline in pipelines.items():
+            model = pipeline.fit(train)
+            r = model.transform(test).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("int")).alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
+            out = r if out is None else out.unionByName(r)
+    finally:
+        train.unpersist()
     return out
 
 

@@ -57,13 +57,13 @@ def news(spark, d):
 
 def build_news(spark, d):
     """Scored article table without its texts: whoever needs one joins the documents."""
-    s = story(spark, d)
+    s = story(spark, d).withColumn("seen", tx.mentions("lowered"))  # scores look for terms here, not in the whole text
     weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in tx.SOURCE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("publisher")), F.lit(1.0))
-    topics = [F.least(tx.hits("lowered", t) / 3.0, F.lit(1.0)).alias(f"s_{k}") for k, t in tx.TOPIC_TERMS.items()]
-    s = s.select("*", tx.lexicon_score("lowered", weight).alias("sentiment"), *topics, tx.event_type("lowered").alias("event_type"), tx.keyword_sentiment("lowered").alias("kw"),
-                 tx.source_quality("publisher").alias("quality"), tx.relevance("lowered", F.col("lang") == "en").alias("rel"), tx.word_count("lowered").alias("words"),
+    topics = [F.least(tx.hits("seen", t) / 3.0, F.lit(1.0)).alias(f"s_{k}") for k, t in tx.TOPIC_TERMS.items()]
+    s = s.select("*", tx.lexicon_score("seen", weight).alias("sentiment"), *topics, tx.event_type("seen").alias("event_type"), tx.keyword_sentiment("seen").alias("kw"),
+                 tx.source_quality("publisher").alias("quality"), tx.relevance("seen", F.col("lang") == "en").alias("rel"), tx.word_count("lowered").alias("words"),
                  tx.story_hash("day", "title").alias("story_id"))
-    return s.withColumn("importance", tx.importance("event_type", "rel", "quality", "kw", "words")).drop("title", "body", "lowered")
+    return s.withColumn("importance", tx.importance("event_type", "rel", "quality", "kw", "words")).drop("title", "body", "lowered", "seen")
 
 
 @query("f01_text_clean", "page_id:i n:i digest:s head:s",
