@@ -86,6 +86,16 @@ def test_best_quote_and_stories_need_no_sort_aggregate(spark, data):
         assert "SortAggregate" not in CATALOG[name].build(spark, data)._jdf.queryExecution().executedPlan().toString(), name
 
 
+def test_balanced_rows_are_weighted_where_they_lie(spark):
+    rows = [(0.0, 1), (0.0, 2), (0.0, 3), (1.0, 4), (None, 5), (2.0, 6), (2.0, 7), (0.0, 8)]
+    got = md.balanced(spark.createDataFrame(rows, "y double, k int").repartition(3))
+    counts = {0.0: 4, 1.0: 1, 2.0: 2}
+    assert sorted((r.y, r.k, round(r.weight, 12)) for r in got.collect()) == sorted((y, k, round(7 / (3 * counts[y]), 12)) for y, k in rows if y is not None)
+    plan = md.balanced(spark.range(20).selectExpr("double(id % 2) y", "id")).coalesce(1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # under coalesce, each partition's table would be held until the task ends
+    assert md.balanced(spark.createDataFrame([], "y double, k int")).count() == 0
+
+
 def test_vocabulary_counts_words_and_pairs(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["Alpha", "beta", "GAMMA", "d1", "e", "f", "gg"][:rng.choice([3, 7])]) + rng.choice(["", ",", " -"]) for _ in range(rng.randrange(30))) for _ in range(40)] + ["", "...", "lone"]

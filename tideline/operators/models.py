@@ -319,10 +319,13 @@ def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 2
 
 
 def balanced(train: DataFrame, label: str = "y") -> DataFrame:
-    """``weight`` = rows / (classes * rows of the class); one row per class is joined."""
-    n = train.groupBy(label).agg(F.count("*").alias("_n"))
-    total = n.agg(F.sum("_n").alias("s"), F.count("*").alias("k")).first()
-    return train.join(n, label).withColumn("weight", F.lit(float(total.s or 0)) / (F.col("_n") * F.lit(max(1, total.k)))).drop("_n")
+    """``weight`` = rows / (classes * rows of the class). The counts, one a class, become one expression: a join would
+    deal the rows by their class, and its table counts as a task's memory once for each partition that the task reads."""
+    n = {r[label]: r["_n"] for r in train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n")).collect()}
+    weight = F.lit(None).cast("double")
+    for value, rows in n.items():
+        weight = F.when(F.col(label) == F.lit(value), F.lit(sum(n.values()) / (rows * len(n)))).otherwise(weight)
+    return train.filter(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
 def class_index() -> StringIndexer:
