@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 
+from tideline.functions.text import TEXTS_AT_ONCE, count_vectors
 from tideline.operators import models as md
 from tideline.plans import CATALOG, learning
 
@@ -132,3 +134,30 @@ def test_text_models_share_one_vocabulary(spark, monkeypatch, name):
     assert fits == [[k for k in range(60) if k + 1 < cut]]
     assert {r.n for r in got.values()} == {60 - cut}
     assert all(r.accuracy == 1 for m, r in got.items() if m != "numeric_only")
+
+
+@pytest.mark.parametrize("name", ["m07_text_models", "m08_model_comparison"])
+def test_texts_are_taken_apart_once(spark, monkeypatch, name):
+    """What the vocabulary is learned from holds stored words: no text, and no pattern to run over it again."""
+    def caught(self, d):
+        raise Caught(d)
+
+    rows = [(k, k + 1, ["up", "down"][k % 2], f"Good, news {k % 7}...") for k in range(60)]
+    monkeypatch.setattr(learning, "labelled_news", lambda *_: spark.createDataFrame(rows, "t long, t_end long, target string, body string"))
+    monkeypatch.setattr(md.TopTerms, "_fit", caught)
+    with pytest.raises(Caught) as e:
+        CATALOG[name].build(spark, "")
+    d = e.value.args[0]
+    assert "body" not in d.columns and {r.tok for r in d.select("tok").collect()} == {f"good news {k}" for k in range(7)}
+    plan = d.select("tok")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("lower(", "split(", "regexp_"))
+
+
+def test_count_vectors_of_many_null_and_empty_texts():
+    texts = ["a b a b", None, "", "c", "b a c"] * TEXTS_AT_ONCE
+    want = [{0: 2.0, 1: 2.0, 2: 2.0, 3: 1.0}, None, {}, {}, {0: 1.0, 1: 1.0, 3: 1.0}] * TEXTS_AT_ONCE
+    got = count_vectors(pa.array(texts), ["a", "b", "a b", "b a"]).to_pylist()
+    assert [v and dict(zip(v["indices"], v["values"], strict=True)) for v in got] == want
+    assert all(v["size"] == 4 and v["type"] == 0 for v in got if v)
+    assert count_vectors(pa.array([], pa.string()), ["a"]).to_pylist() == []
+    assert [v["indices"] for v in count_vectors(pa.array(["a", ""]), []).to_pylist()] == [[], []]

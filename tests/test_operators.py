@@ -394,3 +394,11 @@ def test_mentions_keep_every_listed_term(spark):
     assert all({t for t in tx.TERMS if t in x} == {t for t in tx.TERMS if t in got[k]} for k, x in enumerate(texts))
     for score in (tx.lexicon_score, tx.event_type, tx.keyword_sentiment, lambda c: tx.relevance(c, F.lit(True)), *(lambda c, v=v: tx.hits(c, v) for v in tx.TOPIC_TERMS.values())):
         assert df.filter(~score("t").eqNullSafe(score("m"))).count() == 0
+
+
+def test_texts_without_a_term_skip_the_search_of_places(spark):
+    df = spark.createDataFrame([(0, "nothing of note"), (1, None), (2, ""), (3, "a p/e above it, a ban"), (4, "x" * 50 + "gpu" + "y" * 50)], "k int, t string")
+    seen = df.select("k", tx.mentions("t").alias("m"))
+    assert {r.k: r.m for r in seen.collect()} == {0: "", 1: None, 2: "", 3: "p/e\nban", 4: "gpu"}
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "CASE WHEN" in plan  # the pattern runs only where a term was found

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from tideline.functions.numeric import bind, clip, num
 
@@ -95,10 +100,16 @@ def _any_of(terms, few: int = 5) -> str:
 def mentions(lowered, terms: list[str] = TERMS) -> Column:
     """The listed terms of a text as one short text, read in a single pass instead of one search a term. It has the
     longest term of every place, one a line; shorter terms there begin it, so a listed term is contained in the result
-    exactly if it is contained in the text."""
+    exactly if it is contained in the text. Texts without any are told apart first, at a fraction of the cost."""
+    anywhere = "|".join(re.escape(t) for t in sorted(terms))
+
+    def found_any(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, anywhere)
+
+    some = F.arrow_udf(found_any, BooleanType())(num(lowered))
     begins = "".join(_one_of(t[k] for t in terms) for k in range(min(map(len, terms))))  # most places fail here
     found = F.regexp_extract_all(num(lowered), F.lit(f"(?={begins})(?=({_any_of(terms)}))"), F.lit(1))
-    return F.array_join(F.array_distinct(found), "\n")
+    return F.when(~some, F.lit("")).otherwise(F.array_join(F.array_distinct(found), "\n"))
 
 
 def hits(lowered, terms: list[str]) -> Column:
@@ -151,6 +162,57 @@ def importance(kind, rel, quality, sentiment, words) -> Column:
     return clip(F.lit(0.25) + 0.30 * num(rel) + 0.20 * num(quality) + 0.20 * F.abs(num(sentiment)) + boost + long_text, 0.0, 1.0)
 
 
+#: SQL for a text's lower-case words, with one blank between two.
+WORDS = r"trim(regexp_replace(lower({0}), r'[^\p{{L}}\p{{N}}]+', ' '))"
+#: Texts whose words are looked up at once: bounds the arrays in memory, not the work.
+TEXTS_AT_ONCE = 256
+
+
+def _numbered(texts: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number) of every known word of blank-separated texts, and which of these are followed by the next one."""
+    words = pc.split_pattern(texts, " ")
+    number = pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=known), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(number >= 0)
+    text, number = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)[at], number[at].astype(np.int64)
+    return text, number, np.flatnonzero((np.diff(at) == 1) & (np.diff(text) == 0))
+
+
+def pair_counts(batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[pa.RecordBatch]:
+    """(term, n): neighbours among the known words of a column of blank-separated texts, counted piece by piece."""
+    names = pa.array(known, pa.string())
+    for b in batches:
+        for k in range(0, b.num_rows, TEXTS_AT_ONCE):
+            _, number, first = _numbered(b.column(0).slice(k, TEXTS_AT_ONCE), names)
+            pairs, n = np.unique(number[first] * len(known) + number[first + 1], return_counts=True)
+            a, b_ = (names.take(pa.array(x)) for x in np.divmod(pairs, max(1, len(known))))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(a, b_, " "), pa.array(n, pa.int64())], ["term", "n"])
+
+
+def count_vectors(texts: pa.Array, vocabulary: list[str]) -> pa.Array:
+    """Sparse vectors of how often blank-separated texts hold the one- and two-word terms; a pair's words are terms too."""
+    place = {t: k for k, t in enumerate(vocabulary)}
+    singles = [t for t in vocabulary if " " not in t]
+    number = {t: k for k, t in enumerate(singles)}
+    places = np.array([place[t] for t in singles], np.int64)
+    pairs = sorted((number[a] * len(singles) + number[b], k) for t, k in place.items() if " " in t for a, b in [t.split(" ")])
+    keys, columns = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.array([-1], np.int64), np.array([0], np.int64))
+    width, pieces = max(1, len(vocabulary)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(0, len(texts), TEXTS_AT_ONCE):
+        text, known, first = _numbered(texts.slice(k, TEXTS_AT_ONCE), pa.array(singles, pa.string()))
+        pair = known[first] * len(singles) + known[first + 1]
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = keys[at] == pair
+        cells = np.concatenate([text * width + places[known], text[first[hit]] * width + columns[at[hit]]])
+        cells, n = np.unique(cells, return_counts=True)
+        pieces.append((cells + k * width, n))
+    cells, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    ends = pa.array(np.searchsorted(cells, np.arange(len(texts) + 1, dtype=np.int64) * width), pa.int32())
+    indices = pa.ListArray.from_arrays(ends, pa.array(cells % width, pa.int32()))
+    values = pa.ListArray.from_arrays(ends, pa.array(n, pa.float64()))
+    sparse, size = pa.array(np.zeros(len(texts)), pa.int8()), pa.array(np.full(len(texts), len(vocabulary)), pa.int32())
+    return pa.StructArray.from_arrays([sparse, size, indices, values], ["type", "size", "indices", "values"], mask=pc.is_null(texts))
+
+
 def string_set(c) -> Column:
     """Upper-case distinct sorted members of a list written with commas, bars, semicolons or blanks."""
     parts = F.split(F.upper(num(c)), r"[,|;\s]+")

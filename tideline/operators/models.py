@@ -10,14 +10,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from statistics import mean, pstdev
 
-from pyspark.ml import Estimator, Pipeline
+import pyarrow as pa
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (IDF, CountVectorizerModel, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import (IDF, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.numeric import clip, logit
+from tideline.functions.text import WORDS, count_vectors, pair_counts
 from tideline.session import ensure_checkpoint_dir
 
 FEATURES = ["ret1", "ret5", "ret20", "ret60", "vol20", "vol60", "day_range", "overnight", "volume_ratio", "price_ma20", "price_ma60", "volume_change"]
@@ -270,6 +273,22 @@ def regressors(sizes: Sizes = Sizes(), seed: int = 42) -> dict[str, object]:
             "boosting_r": GBTRegressor(maxDepth=2, maxIter=sizes.boosting_rounds, seed=seed, **kw)}
 
 
+class TermCounts(Model):
+    """Counts of the terms of ``vocabulary`` in the blank-separated words of a column."""
+
+    def __init__(self, words: str, outputCol: str, vocabulary: list[str]):
+        super().__init__()
+        self.words, self.outputCol, self.vocabulary = words, outputCol, vocabulary
+
+    def _transform(self, d: DataFrame) -> DataFrame:
+        vocabulary = self.vocabulary
+
+        def counted(texts: pa.Array) -> pa.Array:
+            return count_vectors(texts, vocabulary)
+
+        return d.withColumn(self.outputCol, F.arrow_udf(counted, VectorUDT())(F.col(self.words)))
+
+
 class TopTerms(Estimator):
     """Counts of the most frequent one- and two-word terms of the rows it is fitted on; of equally frequent ones, single
     words come first, then names decide. Only the vocabulary, of fixed size, reaches the driver.
@@ -277,29 +296,30 @@ class TopTerms(Estimator):
     A pair is at most as frequent as each of its words. So a word outside the most frequent ones, as many as the
     vocabulary has places, is in no pair that gets a place, and pairs of other words need not be counted."""
 
-    def __init__(self, words: str, inputCol: str, outputCol: str, vocabulary: int):
+    def __init__(self, words: str, outputCol: str, vocabulary: int):
         super().__init__()
-        self.words, self.inputCol, self.outputCol, self.vocabulary = words, inputCol, outputCol, vocabulary
+        self.words, self.outputCol, self.vocabulary = words, outputCol, vocabulary
 
-    def _fit(self, d: DataFrame) -> CountVectorizerModel:
-        def top(terms) -> list:
-            counts = d.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    def _fit(self, d: DataFrame) -> TermCounts:
+        def top(counts: DataFrame) -> list:
             return counts.orderBy(F.desc("n"), "term").limit(self.vocabulary).collect()
 
-        words = top(self.words)
-        kept = F.transform(self.words, lambda x: F.when(x.isin([r.term for r in words]), x))
-        rest = F.greatest(F.size(kept) - 1, F.lit(0))
-        pairs = top(F.array_compact(F.zip_with(F.slice(kept, F.lit(1), rest), F.slice(kept, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))))
+        each = d.select(F.explode(F.split(self.words, " ")).alias("term")).filter("term <> ''")
+        words = top(each.groupBy("term").agg(F.count("*").alias("n")))
+        known = [r.term for r in words]
+
+        def neighbours(batches):
+            return pair_counts(batches, known)
+
+        pairs = top(d.select(self.words).mapInArrow(neighbours, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
         ranked = sorted([(-r.n, 1, r.term) for r in words] + [(-r.n, 2, r.term) for r in pairs])
-        return CountVectorizerModel.from_vocabulary([t for _, _, t in ranked[:self.vocabulary]], inputCol=self.inputCol, outputCol=self.outputCol)
+        return TermCounts(self.words, self.outputCol, [t for _, _, t in ranked[:self.vocabulary]])
 
 
 def term_counts(vocabulary: int = 256) -> list:
-    """Stages from ``body`` to ``terms_c``: counts of one- and two-word terms, ranked in one list."""
-    return [SQLTransformer(statement=r"SELECT *, array_remove(split(lower(body), r'[^\p{L}\p{N}]+'), '') AS tok FROM __THIS__"),
-            SQLTransformer(statement="SELECT *, concat(tok, zip_with(slice(tok, 1, greatest(size(tok) - 1, 0)), slice(tok, 2, greatest(size(tok) - 1, 0)), "
-                                     "(a, b) -> concat(a, ' ', b))) AS terms FROM __THIS__"),
-            TopTerms(words="tok", inputCol="terms", outputCol="terms_c", vocabulary=vocabulary)]
+    """Stages from ``body`` to its words, ``tok``, and to ``terms_c``: counts of one- and two-word terms, ranked in one list."""
+    return [SQLTransformer(statement=f"SELECT *, {WORDS.format('body')} AS tok FROM __THIS__"),
+            TopTerms(words="tok", outputCol="terms_c", vocabulary=vocabulary)]
 
 
 def text_pipeline(kind: str = "logistic", text: bool = True, vocabulary: int = 256, sizes: Sizes = Sizes(), counted: bool = False) -> Pipeline:

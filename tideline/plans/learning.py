@@ -1,6 +1,5 @@
 """Model-fitting queries. Rates are SQL-checked; iterative fits are rows-only."""
 
-from pyspark.ml import Pipeline
 from pyspark.sql import Window, functions as F
 
 from tideline.functions.numeric import clip
@@ -149,16 +148,18 @@ def labelled_news(spark, d):
                                       F.unix_timestamp(F.lead("session", 5).over(w).cast("timestamp") + F.expr("INTERVAL 21 HOUR")).alias("t_end"))
     n = news(spark, d).join(views.articles(spark, d).select("doc_id", "body"), "doc_id").select("doc_id", "body", "available_at", "sentiment", "quality", "rel", "importance", F.col("words").cast("double").alias("words"))
     j = asof_join(n, m, "available_at", "market_close", ["market_close", "fwd5", "t_end"], forward=True).filter("fwd5 IS NOT NULL")
-    return cut_lineage(j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at")))
+    return j.withColumn("target", feat.direction_label("fwd5", 0.005)).withColumn("t", F.unix_timestamp("available_at"))
 
 
 def _compare(spark, d, kinds):
     pipelines = {name: md.text_pipeline(kind, text, counted=True) for name, (kind, text) in kinds.items()}
-    n = labelled_news(spark, d)
+    words, terms = md.term_counts()
+    # Texts are taken apart once, before they are stored; the vocabulary and its counts are read from their words.
+    n = cut_lineage(words.transform(labelled_news(spark, d)).drop("body"))
     cut = n.agg(F.percentile_approx("t", 0.7)).first()[0]
     n = md.class_index().fit(md.mature(n, cut)).transform(n)  # classes are learned from training rows too
-    # Texts are read once for the vocabulary and once for its counts; every fit and score below reads the counts.
-    n = cut_lineage(Pipeline(stages=md.term_counts()).fit(md.mature(n, cut)).transform(n).drop("body", "tok", "terms"))
+    # Every fit and score below reads the counts.
+    n = cut_lineage(terms.fit(md.mature(n, cut)).transform(n).drop("tok"))
     train, test = md.balanced(md.mature(n, cut)), n.filter(F.col("t") >= cut)
     train = train.coalesce(1 + train.count() // md.TEXTS_A_PART).persist()  # a fit runs hundreds of short jobs: few tasks each
     out = None
