@@ -1,16 +1,22 @@
 """Sizes of the registered model fits."""
 
+import inspect
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import functions as F
 
 from tideline.functions.text import TEXTS_AT_ONCE, count_vectors
-from tideline.operators import models as md
+from tideline.operators import models as md, trees
 from tideline.plans import CATALOG, learning
 
 
@@ -83,6 +89,102 @@ def test_random_search_scores_and_best_rows(spark):
     assert md.fold_score(0.4, 1.0) == (0.05, 0.4 + 0.004 - 0.12) and md.fold_score(1.0, 0.0)[0] == 5.75
 
 
+def test_registered_search_has_full_size(spark, monkeypatch):
+    """Twenty trials a family over four calendar blocks."""
+    def caught(d, trials, *args):
+        bound = inspect.signature(plain).bind(d, trials, *args)
+        bound.apply_defaults()
+        raise Caught((Counter(t["model"] for t in trials), bound.arguments["splits"]))
+
+    plain = md.random_search
+    monkeypatch.setattr(learning, "research", lambda *_: None)
+    monkeypatch.setattr(md, "random_search", caught)
+    with pytest.raises(Caught) as e:
+        CATALOG["m06_random_search"].build(spark, "")
+    assert e.value.args[0] == ({"logistic": 20, "forest": 20, "boosting": 20}, 4)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    """(train, test) of `random_search`, with a feature of few values and one that is the same everywhere."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(700):
+        x = [rng.gauss(0, 1), float(rng.randrange(4)), rng.random() ** 3, 2.5, rng.gauss(3, 9)]
+        y = 0.5 * x[0] - 0.3 * x[1] + x[2] * (x[4] > 3) + rng.gauss(0, 0.7)
+        rows.append((Vectors.dense(x), float(y > 0), y))
+    d = [spark.createDataFrame(r, ["features", "label", "research_target"]).coalesce(1) for r in (rows[:500], rows[500:])]
+    return md.balanced(d[0], "label").persist(), d[1].withColumn("weight", F.lit(1.0)).persist()
+
+
+def held(vectors, width=5):
+    train, test = vectors
+    cuts = trees.feature_splits(train, width, train.count())
+    return trees.binned(train, cuts), trees.binned(test, cuts)
+
+
+def test_boosted_trees_are_those_of_spark(vectors):
+    a, b = held(vectors)
+    for estimator in (GBTClassifier(maxIter=12, stepSize=0.1, maxDepth=3, minInstancesPerNode=8), GBTRegressor(maxIter=12, stepSize=0.1, maxDepth=4, minInstancesPerNode=8, labelCol="research_target")):
+        scored = estimator.fit(vectors[0]).transform(vectors[1])
+        classify = isinstance(estimator, GBTClassifier)
+        want = [r[0] for r in scored.select(vector_to_array("probability").getItem(1) if classify else "prediction").collect()]
+        got = trees.boosted(md._tree_fit(estimator, 5), a, b)
+        assert sorted(got) == pytest.approx(sorted(want), abs=1e-6), estimator
+
+
+def test_a_tree_of_classes_is_that_of_spark(vectors):
+    """Weighted gini, the least rows of a leaf, and leaves beside each other that name one class. Features are of few
+    values: between many, Spark ML places its splits by the rows' weights."""
+    few = F.udf(lambda x: Vectors.dense([round(3 * v) % 25 for v in x]), VectorUDT())
+    vectors = [d.withColumn("features", few("features")).persist() for d in vectors]
+    a, b = held(vectors)
+    scale = np.array([a.weight[a.label == c].max() for c in (0, 1)])
+    for depth, least in ((3, 1), (5, 12)):
+        model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=least, weightCol="weight").fit(vectors[0])
+        want = [r[0] for r in model.transform(vectors[1]).select(vector_to_array("probability").getItem(1)).collect()]
+        counts = [(a.label == c).astype(float) for c in (0, 1)]
+        levels, sums, _ = trees.grow(a.bins, a.columns, np.arange(len(a.label)), counts, scale, depth, least)
+        got = trees.shares(levels, sums, scale)[trees.place_of(b.bins, levels)]
+        assert sorted(got) == pytest.approx(sorted(want), abs=1e-9)
+
+
+def test_forests_score_as_those_of_spark(vectors):
+    a, b = held(vectors)
+    c = {"featuresCol": "features", "numTrees": 150, "maxDepth": 4, "minInstancesPerNode": 6}
+    for estimator in (RandomForestClassifier(weightCol="weight", **c), RandomForestRegressor(labelCol="research_target", **c)):
+        scored = estimator.fit(vectors[0]).transform(vectors[1])
+        classify = isinstance(estimator, RandomForestClassifier)
+        want = [r[0] for r in scored.select(vector_to_array("probability").getItem(1) if classify else "prediction").collect()]
+        got = trees.forest(md._tree_fit(estimator, 5), a, b)
+        # Bags and drawn features are left to chance; both are a mean of many trees.
+        assert np.mean(np.abs(np.sort(got) - np.sort(want))) < 0.03
+        assert np.corrcoef(got, b.label if classify else b.research_target)[0, 1] > 0.5
+        assert (got == trees.forest(md._tree_fit(estimator, 5), a, b)).all()
+
+
+def test_rows_are_binned_in_one_order(vectors):
+    a, b = held(vectors)
+    c, _ = held((vectors[0].repartition(7), vectors[1]))
+    assert len(a.label) == 500 and len(b.label) == 200 and a.bins.max(0).tolist() == [31, 3, 31, 0, 31]
+    assert (a.bins == c.bins).all() and (a.research_target == c.research_target).all() and (a.weight == c.weight).all()
+    assert [len(x) for x in (trees.splits([1.0] * 9, 31), trees.splits([0.0] * 1024 + [1.0], 31), trees.splits([float(k) for k in range(1025)], 31))] == [0, 1, 31]
+
+
+def test_large_blocks_are_fitted_by_spark(spark, monkeypatch):
+    """Above ``ROWS_A_TASK`` rows the same boosted trees come from Spark ML, over all partitions."""
+    rng = random.Random(2)
+    rows = [(k / 900, k / 900, float(k % 2), k % 2 - 0.5 + rng.gauss(0, 1), *[rng.gauss(0, 1) + k % 2 for _ in md.FEATURES]) for k in range(900)]
+    d = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["t", "t_end", "label", "research_target", *md.FEATURES]))
+    trial = {"trial": 0, "model": "boosting", "rounds": 3, "step": 0.1, "leaves": 4, "r_rounds": 3, "r_step": 0.1, "r_leaves": 4, "top_k": 8}
+    in_tasks = md.random_search(d, [trial], splits=2)
+    monkeypatch.setattr(md, "ROWS_A_TASK", 0)
+    monkeypatch.setattr(trees, "scores", None)
+    monkeypatch.setattr(trees, "binned", None)
+    for got, want in zip(md.random_search(d, [trial], splits=2), in_tasks, strict=True):
+        assert got == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in want.items()}
+
+
 def test_best_quote_and_stories_need_no_sort_aggregate(spark, data):
     for name in ("p39_best_quote", "w31_story_dedupe"):
         assert "SortAggregate" not in CATALOG[name].build(spark, data)._jdf.queryExecution().executedPlan().toString(), name

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from statistics import mean, pstdev
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import (IDF, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer)
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.numeric import clip, logit
 from tideline.functions.text import WORDS, count_vectors, pair_counts
+from tideline.operators import trees
 from tideline.session import ensure_checkpoint_dir
 
 FEATURES = ["ret1", "ret5", "ret20", "ret60", "vol20", "vol60", "day_range", "overnight", "volume_ratio", "price_ma20", "price_ma60", "volume_change"]
@@ -179,8 +181,23 @@ ROWS_A_PART = 100_000
 TEXTS_A_PART = 25_000
 
 
-def _search_tables(d: DataFrame, k: int, splits: int) -> tuple | None:
-    """(train, test, rows, features) of a calendar block, imputed, ordered by relevance and scaled once for all trials."""
+#: Train and test rows up to which a block's trees are fitted inside one task each, some 200 bytes a row.
+ROWS_A_TASK = 1_000_000
+
+
+@dataclass(frozen=True)
+class Block:
+    """A calendar block's vector tables, the rows it trains on, its features and, up to ``ROWS_A_TASK``, its binned rows."""
+
+    train: DataFrame
+    test: DataFrame
+    rows: int
+    width: int
+    held: Broadcast | None
+
+
+def _search_tables(d: DataFrame, k: int, splits: int) -> Block | None:
+    """A calendar block, imputed, ordered by relevance and scaled once for all trials."""
     cut, stop = k / (splits + 1), (k + 1) / (splits + 1) if k < splits else 1.01
     train, test = mature(d, cut), d.filter((F.col("t") >= cut) & (F.col("t") < stop))
     if train.isEmpty() or test.isEmpty():
@@ -192,32 +209,49 @@ def _search_tables(d: DataFrame, k: int, splits: int) -> tuple | None:
     keep = ["features", "label", "research_target"]
     rows = train.count()
     parts = 1 + rows // ROWS_A_PART  # a fit runs hundreds of short jobs: few tasks each, many fits at once
-    return (balanced(prepared.transform(train).select(*keep), "label").coalesce(parts).persist(),
-            prepared.transform(test).select(*keep).coalesce(parts).persist(), rows, len(named))
+    train = balanced(prepared.transform(train).select(*keep), "label").coalesce(parts).persist()
+    test = prepared.transform(test).select(*keep).coalesce(parts).persist()
+    held = None
+    if train.count() + test.count() <= ROWS_A_TASK:
+        cuts = trees.feature_splits(train, len(named), rows)
+        held = d.sparkSession.sparkContext.broadcast((trees.binned(train, cuts), trees.binned(test.withColumn("weight", F.lit(1.0)), cuts)))
+    return Block(train, test, rows, len(named), held)
+
+
+def _tree_fit(e: Estimator, width: int) -> trees.Fit:
+    """What an estimator of `trial_estimators` asks for, over its first features."""
+    boosting = isinstance(e, (GBTClassifier, GBTRegressor))
+    return trees.Fit(e.getMaxIter() if boosting else e.getNumTrees(), e.getMaxDepth(), width, isinstance(e, (GBTClassifier, RandomForestClassifier)),
+                     e.getStepSize() if boosting else None, e.getMinInstancesPerNode(), e.getSeed())
 
 
 def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Sizes = Sizes(), at_once: int = 8) -> list[dict]:
     """The trials with their scores over expanding calendar blocks, best first, ``best`` marking the first of each family.
 
     Each block is prepared once; all trials share its two vector tables, and the fits of all blocks, trials and kinds run
-    side by side, ``at_once`` at a time. Boosting checkpoints its residuals in the shared folder, as the lineage of
-    hundreds of rounds would grow with every job. The driver keeps three numbers a trial and block."""
+    side by side, ``at_once`` at a time. Trees of a block of up to ``ROWS_A_TASK`` rows are fitted by `trees`, a task a
+    fit; those of a larger one by Spark ML, over all its partitions. There boosting checkpoints its residuals in the
+    shared folder, as the lineage of hundreds of rounds would grow with every job. The driver keeps three numbers a trial
+    and block."""
     ensure_checkpoint_dir(d.sparkSession)
+    sc = d.sparkSession.sparkContext
     d = d.select(*FEATURES, "label", "research_target", "t", "t_end").persist()
     try:
         with ThreadPoolExecutor(splits) as pool:
-            tables = [x for x in pool.map(lambda k: _search_tables(d, k, splits), range(1, splits + 1)) if x]
-            for train, test, _, _ in tables:
-                train.count()
-                test.count()
+            blocks = [x for x in pool.map(lambda k: _search_tables(d, k, splits), range(1, splits + 1)) if x]
     finally:
         d.unpersist()
 
     def fit(job: tuple) -> tuple:
-        t, (train, test, rows, width), kind = job
-        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(min(t["top_k"], width))))
-        classifier, regressor = trial_estimators(t, rows, sizes)
-        scored = (classifier if kind == "label" else regressor).fit(chosen.transform(train)).transform(chosen.transform(test))
+        t, block, kind = job
+        width = min(t["top_k"], block.width)
+        classifier, regressor = trial_estimators(t, block.rows, sizes)
+        estimator = classifier if kind == "label" else regressor
+        if block.held and t["model"] != "logistic":
+            asked, held = _tree_fit(estimator, width), block.held
+            return sc.parallelize([asked], 1).map(lambda f: trees.scores(f, *held.value)).first()
+        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(width)))
+        scored = estimator.fit(chosen.transform(block.train)).transform(chosen.transform(block.test))
         if kind != "label":
             return tuple(scored.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2)))).first())
         up = vector_to_array("probability").getItem(1)
@@ -225,16 +259,18 @@ def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Size
         return tuple(scored.agg(F.avg(((up >= 0.5) == (F.col("label") > 0)).cast("int")),
                                 F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))).first())
 
-    jobs = [(t, x, kind) for t in trials for x in tables for kind in ("label", "target")]
+    jobs = [(t, x, kind) for t in trials for x in blocks for kind in ("label", "target")]
     # The longest fits start first, so that none is left alone at the end.
-    order = sorted(range(len(jobs)), key=lambda i: -(jobs[i][0].get("rounds", 0) + jobs[i][0].get("trees", 0)))
+    order = sorted(range(len(jobs)), key=lambda i: -(jobs[i][0].get("rounds", 0) + jobs[i][0].get("trees", 0)) * jobs[i][1].rows)
     try:
         with ThreadPoolExecutor(at_once) as pool:
             done = dict(zip(order, pool.map(lambda i: fit(jobs[i]), order), strict=True))
     finally:
-        for train, test, _, _ in tables:
-            train.unpersist()
-            test.unpersist()
+        for x in blocks:
+            x.train.unpersist()
+            x.test.unpersist()
+            if x.held:
+                x.held.unpersist()
     found: dict[int, list[tuple]] = {t["trial"]: [] for t in trials}
     for i in range(0, len(jobs), 2):
         found[jobs[i][0]["trial"]].append(done[i] + done[i + 1])

@@ -127,16 +127,11 @@ def _(spark, d):
     return out
 
 
-#: Trials of a family and blocks in the registered search. A trial is two fits of up to 420 trees or rounds a block; the
-#: operator's own defaults are 20 and four, and the README gives measured seconds.
-SEARCH_TRIALS, SEARCH_SPLITS = 1, 2
-
-
 @query("m06_random_search", "trial:i model:s params:s folds:i score:5 accuracy_mean:5 accuracy_std:5 log_loss_mean:5 weight_mean:5 rmse_mean:6 best:i", None, "M06")
 def _(spark, d):
     names = ("trial int, model string, params string, folds int, score double, accuracy_mean double, accuracy_std double, log_loss_mean double, "
              "weight_mean double, rmse_mean double, best int")
-    rows = md.random_search(research(spark, d), md.random_trials(SEARCH_TRIALS), SEARCH_SPLITS)  # a row a trial
+    rows = md.random_search(research(spark, d), md.random_trials())  # a row a trial
     return spark.createDataFrame([tuple(r[x.split()[0]] for x in names.split(", ")) for r in rows], names)
 
 
