@@ -129,7 +129,7 @@ def test_boosted_trees_are_those_of_spark(vectors):
         scored = estimator.fit(vectors[0]).transform(vectors[1])
         classify = isinstance(estimator, GBTClassifier)
         want = [r[0] for r in scored.select(vector_to_array("probability").getItem(1) if classify else "prediction").collect()]
-        got = trees.boosted(md._tree_fit(estimator, 5), a, b)
+        got = trees.boosted([md._tree_fit(estimator, 5)], a, b)[0]
         assert sorted(got) == pytest.approx(sorted(want), abs=1e-6), estimator
 
 
@@ -156,11 +156,22 @@ def test_forests_score_as_those_of_spark(vectors):
         scored = estimator.fit(vectors[0]).transform(vectors[1])
         classify = isinstance(estimator, RandomForestClassifier)
         want = [r[0] for r in scored.select(vector_to_array("probability").getItem(1) if classify else "prediction").collect()]
-        got = trees.forest(md._tree_fit(estimator, 5), a, b)
+        got = trees.forest([md._tree_fit(estimator, 5)], a, b)[0]
         # Bags and drawn features are left to chance; both are a mean of many trees.
         assert np.mean(np.abs(np.sort(got) - np.sort(want))) < 0.03
         assert np.corrcoef(got, b.label if classify else b.research_target)[0, 1] > 0.5
-        assert (got == trees.forest(md._tree_fit(estimator, 5), a, b)).all()
+
+
+def test_fits_of_one_family_are_those_made_alone(vectors):
+    a, b = held(vectors)
+    for classify in (True, False):
+        forests = [trees.Fit(count, depth, 5, classify, least=4) for count, depth in ((9, 3), (4, 5), (9, 5), (1, 2))]
+        assert len({f.family for f in forests[:3]}) == 1 and forests[3].family != forests[0].family  # one tree may use all features
+        rounds = [trees.Fit(count, 3, 5, classify, step=0.1, least=4) for count in (7, 2, 7)]
+        for found, fits in ((trees.forest, forests[:3]), (trees.boosted, rounds)):
+            for got, f in zip(found(fits, a, b), fits, strict=True):
+                assert got == pytest.approx(found([f], a, b)[0], abs=1e-12)
+        assert trees.Fit(2, 4, 5, classify, step=0.1).family != trees.Fit(2, 3, 5, classify, step=0.1).family
 
 
 def test_rows_are_binned_in_one_order(vectors):

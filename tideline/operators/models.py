@@ -189,6 +189,7 @@ ROWS_A_TASK = 1_000_000
 class Block:
     """A calendar block's vector tables, the rows it trains on, its features and, up to ``ROWS_A_TASK``, its binned rows."""
 
+    cut: float
     train: DataFrame
     test: DataFrame
     rows: int
@@ -215,7 +216,7 @@ def _search_tables(d: DataFrame, k: int, splits: int) -> Block | None:
     if train.count() + test.count() <= ROWS_A_TASK:
         cuts = trees.feature_splits(train, len(named), rows)
         held = d.sparkSession.sparkContext.broadcast((trees.binned(train, cuts), trees.binned(test.withColumn("weight", F.lit(1.0)), cuts)))
-    return Block(train, test, rows, len(named), held)
+    return Block(cut, train, test, rows, len(named), held)
 
 
 def _tree_fit(e: Estimator, width: int) -> trees.Fit:
@@ -225,12 +226,12 @@ def _tree_fit(e: Estimator, width: int) -> trees.Fit:
                      e.getStepSize() if boosting else None, e.getMinInstancesPerNode(), e.getSeed())
 
 
-def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Sizes = Sizes(), at_once: int = 8) -> list[dict]:
+def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Sizes = Sizes(), at_once: int = 12) -> list[dict]:
     """The trials with their scores over expanding calendar blocks, best first, ``best`` marking the first of each family.
 
     Each block is prepared once; all trials share its two vector tables, and the fits of all blocks, trials and kinds run
-    side by side, ``at_once`` at a time. Trees of a block of up to ``ROWS_A_TASK`` rows are fitted by `trees`, a task a
-    fit; those of a larger one by Spark ML, over all its partitions. There boosting checkpoints its residuals in the
+    side by side, ``at_once`` at a time. Trees of a block of up to ``ROWS_A_TASK`` rows are fitted by `trees`, a task for
+    those that grow the same ones; those of a larger one by Spark ML, over all its partitions. There boosting checkpoints its residuals in the
     shared folder, as the lineage of hundreds of rounds would grow with every job. The driver keeps three numbers a trial
     and block."""
     ensure_checkpoint_dir(d.sparkSession)
@@ -242,15 +243,9 @@ def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Size
     finally:
         d.unpersist()
 
-    def fit(job: tuple) -> tuple:
-        t, block, kind = job
-        width = min(t["top_k"], block.width)
-        classifier, regressor = trial_estimators(t, block.rows, sizes)
-        estimator = classifier if kind == "label" else regressor
-        if block.held and t["model"] != "logistic":
-            asked, held = _tree_fit(estimator, width), block.held
-            return sc.parallelize([asked], 1).map(lambda f: trees.scores(f, *held.value)).first()
-        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(width)))
+    def fit(t: dict, block: Block, kind: str) -> tuple:
+        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=list(range(min(t["top_k"], block.width))))
+        estimator = trial_estimators(t, block.rows, sizes)[kind == "target"]
         scored = estimator.fit(chosen.transform(block.train)).transform(chosen.transform(block.test))
         if kind != "label":
             return tuple(scored.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("research_target"), 2)))).first())
@@ -259,12 +254,32 @@ def random_search(d: DataFrame, trials: list[dict], splits: int = 4, sizes: Size
         return tuple(scored.agg(F.avg(((up >= 0.5) == (F.col("label") > 0)).cast("int")),
                                 F.avg(-(F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p)))).first())
 
+    def fit_held(fits: list[trees.Fit], held: Broadcast) -> list[tuple]:
+        return sc.parallelize([fits], 1).map(lambda x: trees.scores(x, *held.value)).first()
+
     jobs = [(t, x, kind) for t in trials for x in blocks for kind in ("label", "target")]
-    # The longest fits start first, so that none is left alone at the end.
-    order = sorted(range(len(jobs)), key=lambda i: -(jobs[i][0].get("rounds", 0) + jobs[i][0].get("trees", 0)) * jobs[i][1].rows)
+    families: dict[tuple, dict[int, trees.Fit]] = {}
+    by_spark = []
+    for i, (t, x, kind) in enumerate(jobs):
+        if x.held and t["model"] != "logistic":
+            asked = _tree_fit(trial_estimators(t, x.rows, sizes)[kind == "target"], min(t["top_k"], x.width))
+            families.setdefault((x.cut, *asked.family), {})[i] = asked
+        else:
+            by_spark.append(i)
+    # The longest fits start first, so that none is left alone at the end; those of Spark ML, of many short jobs, are dealt between.
+    by_spark.sort(key=lambda i: -(jobs[i][0].get("rounds", 0) + jobs[i][0].get("trees", 0)) * jobs[i][1].rows)
+    own = sorted(families.values(), key=lambda fits: -max(f.count for f in fits.values()) * max(f.depth for f in fits.values()) * jobs[min(fits)][1].rows)
+    work = sorted([(k / len(own), 0, fits) for k, fits in enumerate(own)] + [(k / len(by_spark), 1, i) for k, i in enumerate(by_spark)], key=lambda x: x[:2])
+
+    def run(one: tuple) -> dict[int, tuple]:
+        _, spark_ml, x = one
+        return {x: fit(*jobs[x])} if spark_ml else dict(zip(x, fit_held([*x.values()], jobs[min(x)][1].held), strict=True))
+
+    done: dict[int, tuple] = {}
     try:
         with ThreadPoolExecutor(at_once) as pool:
-            done = dict(zip(order, pool.map(lambda i: fit(jobs[i]), order), strict=True))
+            for scores in pool.map(run, work):
+                done |= scores
     finally:
         for x in blocks:
             x.train.unpersist()
